@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, quality, simhash, url_filter
+from millrace.llm import chat, decontaminate, mixing, quality, simhash, token_shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the shards, which are written to the shared folder."""
+    return token_shards.materialize_order(_table(spark, sf_dir, "documents"))[0]
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.link(_table(spark, sf_dir, "documents"))
     return linked.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -51,6 +56,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select(
+        "doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("text_chars"), F.col("__copy").alias("copy_no"), F.col("__key").alias("order_key")
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -64,9 +76,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_token_shards": op5_token_shards,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_poisson_mix": op9_poisson_mix,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -134,6 +148,28 @@ verdict AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT rejected AS kept
 FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
+""",
+    "op9_poisson_mix": r"""
+WITH sums AS (
+  SELECT source, sum(coalesce(length(text), 0)) AS n FROM documents GROUP BY source),
+weights AS (SELECT source, n, CASE WHEN n > 0 THEN pow(CAST(n AS DOUBLE), 0.5) ELSE 0.0 END AS w FROM sums),
+rates AS (
+  SELECT source, CASE WHEN n > 0 THEN w / (SELECT sum(w) FROM weights) * (SELECT sum(n) FROM weights) / n ELSE 1.0 END AS rate
+  FROM weights),
+steps AS (
+  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rates),
+cdf AS (
+  SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
+draws AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(length(text), 0) AS text_chars,
+         CAST('0x' || substr(md5('count 0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|1'), 1, 13) AS BIGINT) / pow(2.0, 52) AS u
+  FROM documents),
+counts AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(d.source) AS source, any_value(text_chars) AS text_chars, count(*) AS n
+  FROM draws d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY r)
+SELECT doc_id, source, text_chars, copy_no,
+       CAST('0x' || substr(md5('order 0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy_no), 1, 15) AS BIGINT) AS order_key
+FROM (SELECT doc_id, source, CAST(text_chars AS BIGINT) AS text_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy_no FROM counts)
 """,
     "op10_chat_format": r"""
 WITH t AS (
