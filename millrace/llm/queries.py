@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, mixing, quality, simhash, token_shards, url_filter
+from millrace.llm import chat, decontaminate, html_samples, html_text, mixing, quality, simhash, token_shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_text.fit(html_samples.labelled_pages())
+    return html_text.extract(_table(spark, sf_dir, "pages"), model)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +80,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op3_decontaminate": op3_decontaminate,
     "op5_token_shards": op5_token_shards,
     "op6_simhash": op6_simhash,
@@ -84,7 +90,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
 }
 
+#: op1: what the given pages' layout makes of the rule: the article, as these pages mark it up.
 ORACLE_SQL: dict[str, str] = {
+    "op1_html_text": r"""
+WITH articles AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS a FROM pages),
+blocks AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM articles),
+decoded AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM blocks)
+SELECT page_id, url, trim(regexp_replace(t, '[\s\x{00A0}]+', ' ', 'g')) AS text,
+       CAST(length(trim(regexp_replace(t, '[\s\x{00A0}]+', ' ', 'g'))) AS BIGINT) AS n_chars
+FROM decoded
+""",
     "op3_decontaminate": r"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS r,
