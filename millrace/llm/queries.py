@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, chunks, decontaminate, html_samples, html_text, mixing, quality, simhash, token_shards, url_filter
+from millrace.llm import chat, chunks, decontaminate, html_samples, html_text, mixing, quality, simhash, suffix_dedup, token_shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of the shards, which are written to the shared folder."""
     return token_shards.materialize_order(_table(spark, sf_dir, "documents"))[0]
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_chunk_dedup": op2_chunk_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_shards": op5_token_shards,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
