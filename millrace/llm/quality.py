@@ -118,13 +118,13 @@ def judge(docs: DataFrame, max_rate: float = 0.5, **rules) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_rate: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """The rows of docs that are kept, with all columns. The base rules are evaluated where the text
-    is; the host verdicts, one short row a host, come to the documents."""
-    hosts = host_verdicts(measure(docs, min_words, max_repeat_percent), max_rate)
+    """The rows of docs that are kept, with all columns. The base rules are evaluated once, on the way to a
+    table in the shared folder; host counts read its two short columns, and the rejected hosts come back."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = docs.withColumn("__w", words(F.col("text"))).withColumn("__h", _window_hashes(F.col("__w")))
+    failed = base_failed(F.size("__w"), _covered(F.col("__h")), min_words, max_repeat_percent)
+    judged = materialize(one.select(*columns, failed.alias("__failed")))
+    hosts = host_verdicts(judged.select("source", F.col("__failed").alias("base_failed")), max_rate)
     bad = hosts.where("host_rejected").select(F.col("source").alias("__host"))
-    one = docs.withColumn("__w", words(F.col("text")))
-    one = one.withColumn("__n", F.size("__w")).withColumn("__h", _window_hashes(F.col("__w")))
-    good = one.where(
-        ~base_failed(F.col("__n"), _covered(F.col("__h")), min_words, max_repeat_percent)
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return good.join(bad, good.source.eqNullSafe(bad["__host"]), "left_anti")
+    good = judged.where("not __failed")
+    return good.join(bad, good["source"].eqNullSafe(bad["__host"]), "left_anti").select(*columns)
