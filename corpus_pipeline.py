@@ -1,6 +1,52 @@
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token shards."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import decontaminate, mixing, quality, simhash, token_shards
+from millrace.llm.common import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or stand on a rejected host go."""
+    return quality.keep_good(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays, that of the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target share wants it, in a global shuffle."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the shards in training order; the rows are their manifest."""
+    return token_shards.materialize_order(docs)[0]
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_output),
+]
+
+#: Fingerprints, components and token ids are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
