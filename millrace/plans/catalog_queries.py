@@ -1,6 +1,734 @@
-"""Queries over the given tables, one for each group of operators, with the SQL that gives the same rows."""
+"""The queries of the catalog engine over the driver's tables, and the SQL that gives the same rows.
+
+There is no catalog among the tables, so records are derived from orders and customers (courses()) and
+markup from parts, by the same rules in both languages."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import classify, dates, html, robots, text, urls
+from millrace.operators import crawl, lifecycle, links, memory, ranking, resolve, search, validation
+from millrace.sources import exports
+
+AS_OF = "2001-01-01"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog records made of orders and their customers."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    key, first = F.col("o_orderkey"), F.left("o_orderpriority", F.lit(1))
+    pick = lambda c, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (c + 1).cast("int"))
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.concat(F.lit("course-"), key).alias("id"),
+        F.concat(F.lit("Course "), key % 97).alias("title"),
+        F.concat(F.lit("Institution "), "c_nationkey").alias("institution"),
+        F.when(F.col("c_nationkey") % 5 == 0, "proveedor-ia").otherwise("institucion").alias("provider_type"),
+        pick(key % 4, "datos", "salud", "pmo", None).alias("domain"),
+        F.when(first == "1", "certificado gratuito").when(first == "2", "badge gratuito").when(first == "3", "certificado pagado").when(first == "5", "otro").alias("credential_type"),
+        F.when(first.isin("1", "2"), True).when(first == "3", False).alias("credential_free"),
+        F.when(F.col("o_orderstatus") == "O", "VERIFICADO").when(F.col("o_orderstatus") == "P", "PENDIENTE").otherwise("REVERIFICAR").alias("verification_status"),
+        F.when(key % 5 < 4, (key % 5).cast("int")).alias("relevance_ppp_infra"),
+        F.when(key % 11 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("last_verified"),
+        F.when(key % 3 == 0, F.array(F.lit("es"))).when(key % 3 == 1, F.array(F.lit("en"), F.lit("ES"))).alias("language"),
+        (key % 30).cast("double").alias("duration_weeks"),
+        F.round("o_totalprice", 2).alias("credential_price_usd"),
+        F.concat(F.lit("https://www.example.org/course/"), key % 1000, F.lit("/")).alias("url_official"),
+        key.alias("pos"),
+    )
+
+
+COURSES = """
+courses AS (
+  SELECT 'course-' || o_orderkey AS id, 'Course ' || (o_orderkey % 97) AS title, 'Institution ' || c_nationkey AS institution,
+    CASE WHEN c_nationkey % 5 = 0 THEN 'proveedor-ia' ELSE 'institucion' END AS provider_type,
+    CASE o_orderkey % 4 WHEN 0 THEN 'datos' WHEN 1 THEN 'salud' WHEN 2 THEN 'pmo' END AS domain,
+    CASE left(o_orderpriority, 1) WHEN '1' THEN 'certificado gratuito' WHEN '2' THEN 'badge gratuito'
+      WHEN '3' THEN 'certificado pagado' WHEN '5' THEN 'otro' END AS credential_type,
+    CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN TRUE WHEN left(o_orderpriority, 1) = '3' THEN FALSE END AS credential_free,
+    CASE o_orderstatus WHEN 'O' THEN 'VERIFICADO' WHEN 'P' THEN 'PENDIENTE' ELSE 'REVERIFICAR' END AS verification_status,
+    CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderkey % 5 AS INTEGER) END AS relevance_ppp_infra,
+    CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS last_verified,
+    CASE o_orderkey % 3 WHEN 0 THEN ['es'] WHEN 1 THEN ['en', 'ES'] END AS language,
+    CAST(o_orderkey % 30 AS DOUBLE) AS duration_weeks, round(o_totalprice, 2) AS credential_price_usd,
+    'https://www.example.org/course/' || (o_orderkey % 1000) || '/' AS url_official, o_orderkey AS pos
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+RANKED = """
+ranked AS (
+  SELECT *, CASE credential_type WHEN 'certificado gratuito' THEN 0 WHEN 'badge gratuito' THEN 1 WHEN 'declaracion de logro' THEN 2
+      WHEN 'certificado pagado verificable' THEN 3 WHEN 'certificado pagado' THEN 4 ELSE CASE WHEN credential_type IS NULL THEN 6 ELSE 5 END END AS credential_rank,
+    CASE WHEN verification_status = 'VERIFICADO' THEN 0 ELSE 1 END AS verified_rank
+  FROM courses)"""
+#: An address's canonical form, for addresses without users, ports and coded parameters.
+CANONICAL = """
+parts AS (
+  SELECT page_id, url, html, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') AS host,
+    regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains(
+      ['utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','mc_cid','mc_eid','ref','referrer','source'],
+      lower(split_part(p, '=', 1))))) AS params
+  FROM pages),
+canon AS (
+  SELECT page_id, url, html, host, CASE WHEN path = '' THEN '/' ELSE path END AS path,
+    'https://' || host || CASE WHEN path IN ('', '/') THEN '/' WHEN path LIKE '%/' THEN left(path, length(path) - 1) ELSE path END
+      || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical
+  FROM parts)""".replace("\\\\", "\\")
+TITLE = r"""list_reduce(list_filter(string_split_regex(trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+  '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')), '\s+[|·–—]\s+'), lambda x: trim(x) <> ''), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END)"""
+TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+# addresses
+
+
+@_query(f"WITH {CANONICAL} SELECT page_id, canonical, host FROM canon")
+def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"), urls.host(F.col("url")).alias("host"))
+
+
+@_query(f"WITH {CANONICAL} SELECT page_id, host = 'example.net' OR host LIKE '%.example.net' OR host LIKE '%.tionble.example.com' OR host = 'tionble.example.com' AS allowed FROM canon")
+def url_host_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = F.array(F.lit("www.Example.net"), F.lit("tionble.example.com"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.is_allowed_host(F.col("url"), allowed).alias("allowed"))
+
+
+@_query(f"WITH {CANONICAL} SELECT canonical, min(page_id) AS page_id, count(*) AS pages FROM canon GROUP BY canonical")
+def dedupe_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
+    return pages.groupBy("canonical").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages"))
+
+
+@_query(
+    f"""WITH {CANONICAL} SELECT page_id, regexp_matches(regexp_replace(path, '/$', ''), '(?i)/(search|courses|cursos|catalog|catalogo|browse|explore|index|all)$')
+      OR regexp_matches({TITLE}, '(?i)^(search|courses?|cursos?|catalog|catálogo|browse|explore|all courses|home)\\b') AS is_index,
+    regexp_matches({TITLE}, '(?i)\\.(pdf|ppt|pptx|doc|docx|xls|xlsx|zip)$') OR regexp_matches({TITLE}, '(?i)^(week|lecture|session|unit|module|chapter|part|lec)\\s+[0-9ivx]+')
+      OR regexp_matches({TITLE}, '(?i)\\b(slides?\\s+[0-9]|part\\s+[ivx]+\\s+of\\b|(problem set|pset[0-9]|handout|transcript|lecture notes)\\b)') AS is_material,
+    regexp_matches(url, '(?i)/(course|courses|curso|cursos|learn|class|classes|program|training|mooc)s?/') OR regexp_matches(url, '(?i)course_templates|course-v1') AS is_course,
+    NOT regexp_matches(lower(url), '\\.(pdf|zip|tar|gz|mp4|mp3|avi|mov|png|jpg|jpeg|gif|svg|ico|css|js|woff|woff2|ttf|eot|xml|rss)$')
+      AND NOT regexp_matches(lower(url), '/login|/signin|/sign-in|/register|/signup|/checkout|/cart|/account|/profile|/password|/logout|/admin|/search\\?|/print/|/share|facebook\\.com|twitter\\.com|linkedin\\.com|instagram\\.com|youtube\\.com/watch') AS is_relevant,
+    regexp_matches(url, '(?i)^https://') AND length(url) <= 2000 AS may_open FROM canon"""
+)
+def url_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = html.title(F.col("html"))
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        urls.is_index_page(url, title).alias("is_index"),
+        urls.is_course_material(title).alias("is_material"),
+        urls.is_course_like(url).alias("is_course"),
+        urls.is_relevant(url).alias("is_relevant"),
+        urls.may_open(url).alias("may_open"),
+    )
+
+
+_RULES = [(False, "/en/"), (True, "/en/7"), (False, "/*.html$"), (False, "/de/*/"), (True, "/de/5*"), (False, "")]
+
+
+@_query(
+    f"""WITH {CANONICAL}, rules AS (SELECT * FROM (VALUES (FALSE, '/en/', '^/en/'), (TRUE, '/en/7', '^/en/7'), (FALSE, '/*.html$', '^/.*\\.html$'),
+      (FALSE, '/de/*/', '^/de/.*/'), (TRUE, '/de/5*', '^/de/5.*')) AS t(allow, rule, pattern))
+    SELECT page_id, coalesce((SELECT arg_max(allow, length(rule) * 2 + CAST(allow AS INTEGER)) FROM rules WHERE regexp_matches(path, pattern)), TRUE) AS allowed FROM canon"""
+)
+def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = F.array(*[F.struct(F.lit(a).alias("allow"), F.lit(p).alias("path")) for a, p in _RULES])
+    return table(spark, sf_dir, "pages").select("page_id", robots.allows(rules, urls.path(F.col("url"))).alias("allowed"))
+
+
+# markup
+
+
+@_query(f"SELECT page_id, {TITLE} AS title FROM pages")
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@_query(f"SELECT page_id, {TEXT} AS page_text FROM pages")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html")).alias("page_text"))
+
+
+@_query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*href=[\"'']([^\"''#]+)[\"'']', 1))) AS hrefs FROM pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(html.hrefs(F.col("html")))).alias("hrefs"))
+
+
+@_query()
+def page_links_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links resolved against the page's address, which SQL can't."""
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.links(F.col("html"), F.col("url"))).alias("place", "link"))
+
+
+def marked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with linked data, meta elements and prices made of parts; url and body."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    entity = F.concat(F.lit('{"@type": ["Thing", "Course"], "name": "'), name, F.lit(' &amp; more", "provider": {"name": " '), "p_brand", F.lit(' "}, "courseCode": "C-'), key, F.lit('", "inLanguage": "EN-us"}'))
+    broken = F.when(key % 7 == 0, '<script type="application/ld+json">{broken</script>').otherwise("")
+    linked = F.when(key % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Person"}, '), entity, F.lit("]}</script>"))).otherwise("")
+    graph = F.when(key % 2 == 0, F.concat(F.lit('<meta property="og:title" content="Graph '), name, F.lit('"><meta content="es_ES" property="og:locale">'))).otherwise("")
+    level = F.element_at(F.array(*[F.lit(x) for x in ("an introductory course", "for advanced students", "nothing said", "nivel intermedio")]), (key % 4 + 1).cast("int"))
+    price = F.when(key % 5 == 0, F.concat(F.lit("Price: $"), F.format_string("%.2f", "p_retailprice"))).when(key % 5 == 1, "free with a certificate").otherwise("")
+    body = F.concat(F.lit("<html><head><title>Part "), key, F.lit(" | "), name, F.lit(" of the store</title>"), broken, linked, graph, F.lit("</head><body><p>"), level, F.lit(". "), price, F.lit("</p></body></html>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://www.example.org/learn/"), key).alias("url"), body.alias("body"), "p_name", "p_brand")
+
+
+@_query(
+    """SELECT p_partkey, 'https://example.org/learn/' || p_partkey AS url_official,
+      CASE WHEN p_partkey % 3 = 0 THEN p_name || ' & more' WHEN p_partkey % 2 = 0 THEN 'Graph ' || p_name
+        WHEN length(p_name || ' of the store') > length('Part ' || p_partkey) THEN p_name || ' of the store' ELSE 'Part ' || p_partkey END AS title,
+      CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS institution, CASE WHEN p_partkey % 3 = 0 THEN 'C-' || p_partkey END AS course_code,
+      CASE WHEN p_partkey % 3 = 0 THEN ['en'] WHEN p_partkey % 2 = 0 THEN ['es'] END AS language,
+      CASE p_partkey % 4 WHEN 0 THEN 'introductorio' WHEN 1 THEN 'avanzado' WHEN 3 THEN 'intermedio' END AS level,
+      CASE p_partkey % 5 WHEN 0 THEN 'paid' ELSE 'extracted' END AS outcome, CASE p_partkey % 5 WHEN 0 THEN 'pagado' WHEN 1 THEN 'gratis' END AS cost_access,
+      p_partkey % 3 = 0 AS has_course, p_partkey % 5 = 1 AS mentions_certificate
+    FROM part"""
+)
+def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    pages = marked_parts(spark, sf_dir).withColumns({"ok": F.lit(True), "reason": none, "source_institution": none, "source_id": none, "adapter": none, "discovered_at": none})
+    found = lifecycle.extract(pages, AS_OF)
+    return found.select(
+        F.substring_index("url", "/", -1).cast("long").alias("p_partkey"), "url_official", "title", "institution", "course_code", "language", "level", "outcome", "cost_access",
+        F.col("evidence.has_course_entity").alias("has_course"), F.col("evidence.mentions_certificate").alias("mentions_certificate"),
+    )
+
+
+@_query(f"WITH {CANONICAL} SELECT page_id, canonical AS url, {TITLE} AS title, length({TEXT}) AS n_chars, CASE WHEN regexp_matches({TEXT}, '(?i)\\bfree\\b|\\bgratis\\b') THEN 'gratis' END AS access FROM canon QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY page_id) = 1")
+def curated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: pages by canonical address, the first of each, with title, text length and access."""
+    pages = table(spark, sf_dir, "pages").withColumn("canonical", urls.canonical(F.col("url")))
+    first = pages.groupBy("canonical").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p"))
+    said = html.page_text(F.col("p.html"))
+    return first.select(
+        F.col("p.page_id").alias("page_id"), F.col("canonical").alias("url"), html.title(F.col("p.html")).alias("title"), F.length(said).cast("long").alias("n_chars"), classify.access(said).alias("access")
+    )
+
+
+# text and classification
+
+
+@_query(
+    """SELECT doc_id, nullif(regexp_replace(left(regexp_replace(lower(strip_accents(trim(regexp_replace(left(text, 120), '\\s+', ' ', 'g')))), '[^a-z0-9]+', '-', 'g'), 80), '^-+|-+$', '', 'g'), '') AS slug,
+    nullif(trim(regexp_replace(lower(strip_accents(left(text, 120))), '[^a-z0-9]+', ' ', 'g')), '') AS norm_title FROM documents"""
+)
+def slug_and_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.left("text", F.lit(120))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(head).alias("slug"), text.norm_title(head).alias("norm_title"))
+
+
+@_query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'mit' ELSE replace(lower(p_brand), '#', '-') END || '-' || CASE WHEN p_partkey % 2 = 0 THEN 'c-' || p_partkey ELSE replace(p_name, ' ', '-') END AS id FROM part"""
+)
+def make_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    institution = F.when(key % 3 == 0, " Massachusetts  Institute of Technology").otherwise(F.col("p_brand"))
+    code = F.when(key % 2 == 0, F.concat(F.lit("C "), key))
+    return table(spark, sf_dir, "part").select("p_partkey", text.make_id(institution, code, F.col("p_name")).alias("id"))
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.format_string("%.2f", "p_retailprice")
+    key = F.col("p_partkey")
+    said = (
+        F.when(key % 6 == 0, F.concat(F.lit("Tuition: $1,"), price, F.lit(" and cost US$ 20.50")))
+        .when(key % 6 == 1, F.concat(F.lit("Price $"), price))
+        .when(key % 6 == 2, F.concat(F.lit("Price: free. Certificate $"), price))
+        .when(key % 6 == 3, F.concat(F.lit("audit this course for free, price: $"), price))
+        .when(key % 6 == 4, F.concat(F.lit("gratisé, "), price, F.lit(" EUR")))
+        .otherwise(F.concat(F.lit("USD "), price, F.lit(" for a verified certificate")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", said.alias("said"))
+
+
+PRICED = """priced AS (SELECT p_partkey, printf('%.2f', p_retailprice) AS price, CASE p_partkey % 6
+    WHEN 0 THEN 'Tuition: $1,' || printf('%.2f', p_retailprice) || ' and cost US$ 20.50' WHEN 1 THEN 'Price $' || printf('%.2f', p_retailprice)
+    WHEN 2 THEN 'Price: free. Certificate $' || printf('%.2f', p_retailprice) WHEN 3 THEN 'audit this course for free, price: $' || printf('%.2f', p_retailprice)
+    WHEN 4 THEN 'gratisé, ' || printf('%.2f', p_retailprice) || ' EUR' ELSE 'USD ' || printf('%.2f', p_retailprice) || ' for a verified certificate' END AS said FROM part)"""
+
+
+@_query(
+    f"""WITH {PRICED} SELECT p_partkey, CASE WHEN regexp_matches(said, '(?i)\\bprice\\s*:?\\s*free') THEN 0.0
+      ELSE TRY_CAST(replace(coalesce(nullif(regexp_extract(said, '(?i)\\bprice\\s*:?\\s*(?:us)?\\$\\s*([0-9,]+(?:\\.[0-9][0-9])?)', 1), ''), nullif(regexp_extract(said, '(?i)\\bcost\\s*:?\\s*(?:us)?\\$\\s*([0-9,]+(?:\\.[0-9][0-9])?)', 1), ''),
+        nullif(regexp_extract(said, '(?i)\\btuition\\s*:?\\s*(?:us)?\\$\\s*([0-9,]+(?:\\.[0-9][0-9])?)', 1), '')), ',', '') AS DOUBLE) END AS access_price,
+    CASE p_partkey % 6 WHEN 0 THEN 'pagado' WHEN 1 THEN 'pagado' WHEN 2 THEN 'gratis' WHEN 4 THEN 'gratis' END AS access,
+    CASE WHEN regexp_matches(said, '(?i)\\b(free|gratis|sin costo|no cost)\\b') THEN 0.0 WHEN regexp_matches(said, '(?i)\\beur\\b') THEN NULL
+      ELSE TRY_CAST(replace(regexp_extract(said, '(?i)(?:us\\$|usd|\\$)\\s*([0-9.,]+)', 1), ',', '') AS DOUBLE) END AS price_usd,
+    CASE WHEN p_partkey % 6 = 2 THEN 'certificado gratuito' WHEN p_partkey % 6 = 5 THEN 'certificado pagado verificable' END AS credential FROM priced"""
+)
+def access_and_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.col("said")
+    price = classify.price_usd(said)
+    return _priced(spark, sf_dir).select(
+        "p_partkey", classify.access_price(said).alias("access_price"), classify.access(said).alias("access"), price.alias("price_usd"), classify.credential(said, price).alias("credential")
+    )
+
+
+@_query(
+    """SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bprice\\s*:?\\s*free') THEN 'gratis' WHEN regexp_matches(text, '(?i)\\b(free|gratis|sin costo|acceso (libre|gratuito))\\b') THEN 'gratis' END AS access,
+    CASE WHEN regexp_matches(left(text, 4000), '(?i)\\b(introductory|beginner|introductorio|principiante|b[aá]sico)\\b') THEN 'introductorio' WHEN regexp_matches(left(text, 4000), '(?i)\\b(intermediate|intermedio)\\b') THEN 'intermedio'
+      WHEN regexp_matches(left(text, 4000), '(?i)\\b(advanced|avanzado|graduate)\\b') THEN 'avanzado' END AS level,
+    regexp_matches(text, '(?i)\\b(free|gratis|gratuito|sin costo)\\b') AS mentions_free, regexp_matches(text, '(?i)\\b(certificate|certificado|certification)\\b') AS mentions_certificate,
+    regexp_matches(text, '(?i)\\b(badge|insignia)\\b') AS mentions_badge, regexp_matches(text, '(?i)\\b(audit|auditar)\\b') AS mentions_audit FROM documents"""
+)
+def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", classify.access(said).alias("access"), classify.level(F.left("text", F.lit(4000))).alias("level"), *classify.evidence(said))
+
+
+# search
+
+
+@_query(
+    f"""WITH {COURSES} SELECT facet, value, count(*) AS n FROM (
+      SELECT unnest([{{'facet': 'providerType', 'value': provider_type}}, {{'facet': 'domain', 'value': domain}}, {{'facet': 'institution', 'value': institution}},
+        {{'facet': 'credentialType', 'value': credential_type}}, {{'facet': 'verificationStatus', 'value': verification_status}}], recursive := true) FROM courses)
+    WHERE value IS NOT NULL GROUP BY facet, value"""
+)
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"providerType": "provider_type", "domain": "domain", "institution": "institution", "credentialType": "credential_type", "verificationStatus": "verification_status"}
+    return search.facets(courses(spark, sf_dir), names)
+
+
+@_query(
+    """WITH f AS (SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang
+      UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source)
+    SELECT facet, value, n, CAST(row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS INTEGER) AS position FROM f
+    QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 8"""
+)
+def facet_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = search.facets(table(spark, sf_dir, "documents"), {"lang": "lang", "source": "source"})
+    return ranking.top_per_group(counted, "facet", search.facet_order(), 8)
+
+
+@_query(
+    f"""WITH {COURSES} SELECT count(*) AS total, count(*) FILTER (credential_free AND credential_type = 'certificado gratuito') AS free_certificate,
+    count(*) FILTER (credential_free AND credential_type = 'badge gratuito') AS free_badge, count(*) FILTER (NOT credential_free) AS paid_certificate,
+    count(*) FILTER (credential_type IS NULL) AS no_credential, count(DISTINCT institution) AS institutions, count(*) FILTER (provider_type = 'institucion') AS from_institutions,
+    count(*) FILTER (provider_type = 'proveedor-ia') AS from_ai_providers, count(*) FILTER (verification_status = 'VERIFICADO') AS verified,
+    count(*) FILTER (last_verified IS NULL OR date_diff('day', CAST(last_verified AS DATE), DATE '{AS_OF}') > 90) AS needs_reverify FROM courses"""
+)
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.stats(courses(spark, sf_dir), AS_OF)
+
+
+@_query(
+    f"""WITH {COURSES}, {RANKED} SELECT id, credential_rank, verified_rank, CAST(row_number() OVER w AS INTEGER) AS position FROM ranked
+    WINDOW w AS (ORDER BY credential_rank, verified_rank, relevance_ppp_infra DESC NULLS LAST, institution NULLS FIRST, title NULLS FIRST, id) QUALIFY row_number() OVER w <= 2000"""
+)
+def ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ranking.with_ranks(courses(spark, sf_dir))
+    return ranking.top_k(ranked, ranking.named_order("recomendado"), search.MAX_ROWS).select("id", "credential_rank", "verified_rank", "position")
+
+
+@_query(
+    f"""WITH {COURSES} SELECT id, CAST(row_number() OVER w AS INTEGER) AS position FROM courses
+    WINDOW w AS (ORDER BY duration_weeks NULLS LAST, title, id) QUALIFY row_number() OVER w <= 500"""
+)
+def sorted_by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [*ranking.named_order("duracion"), F.col("id").asc()]
+    return ranking.top_k(courses(spark, sf_dir), order, 500).select("id", "position")
+
+
+@_query(
+    f"""WITH {COURSES} SELECT id, institution, credential_type FROM courses WHERE domain = 'datos' AND provider_type = 'institucion' AND credential_free AND relevance_ppp_infra >= 1
+    AND list_contains(list_transform(language, lambda x: lower(x)), 'es')"""
+)
+def filtered_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = search.Request(domain=" datos ", provider_type="institucion", credential_free=True, min_relevance=1, language="es", country=None, level="x" * 99)
+    return search.matching(courses(spark, sf_dir), request).select("id", "institution", "credential_type")
+
+
+@_query(f"WITH {COURSES} SELECT id FROM courses WHERE FALSE")
+def impossible_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value outside a closed list matches nothing, and nothing is read."""
+    return courses(spark, sf_dir).where(search.predicate(search.Request(domain="unknown"))).select("id")
+
+
+@_query(
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}\\p{Co}\\p{M}]+')) AS t FROM documents)
+    SELECT doc_id FROM w WHERE t LIKE 'ther%' OR t LIKE 'ing%' GROUP BY doc_id HAVING bool_or(t LIKE 'ther%') AND bool_or(t LIKE 'ing%')"""
+)
+def full_text_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.postings(table(spark, sf_dir, "documents"), "doc_id", ("text",), stemmed=False)
+    return search.full_text(index, "doc_id", [["ther"], ["ing"]])
+
+
+@_query()
+def full_text_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two prefixes of stems and a phrase; SQL has no such stemmer."""
+    index = search.postings(table(spark, sf_dir, "documents"), "doc_id", ("text",))
+    return search.full_text(index, "doc_id", search.query_phrases("the-on thing* ther"))
+
+
+@_query(f"WITH {COURSES} SELECT coalesce(domain, '(sin dato)') AS label, count(*) AS n FROM courses GROUP BY 1")
+def count_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.count_by(courses(spark, sf_dir), "domain").orderBy(*search.count_order())
+
+
+@_query(f"WITH {COURSES} SELECT count(DISTINCT domain) + max(CASE WHEN domain IS NULL THEN 1 ELSE 0 END) AS n FROM courses")
+def distinct_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.members(courses(spark, sf_dir), "domain")
+
+
+# dates
+
+
+@_query(
+    f"""WITH {COURSES}, a AS (SELECT id, verification_status, CASE WHEN pos % 13 = 0 THEN '2000-02-30' ELSE last_verified END AS d FROM courses)
+    SELECT id, TRY_CAST(d AS DATE) IS NOT NULL AS is_date, date_diff('day', TRY_CAST(d AS DATE), DATE '{AS_OF}') AS age, coalesce(date_diff('day', TRY_CAST(d AS DATE), DATE '{AS_OF}') > 90, TRUE) AS stale,
+    CASE WHEN verification_status <> 'VERIFICADO' THEN verification_status WHEN coalesce(date_diff('day', TRY_CAST(d AS DATE), DATE '{AS_OF}') > 90, TRUE) THEN 'REVERIFICAR' ELSE 'VERIFICADO' END AS derived FROM a"""
+)
+def stale_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.when(F.col("pos") % 13 == 0, "2000-02-30").otherwise(F.col("last_verified"))
+    return courses(spark, sf_dir).withColumn("d", day).select(
+        "id",
+        F.coalesce(dates.is_iso_date(F.col("d")), F.lit(False)).alias("is_date"),
+        dates.days_since(F.col("d"), AS_OF).cast("long").alias("age"),
+        dates.is_stale(F.col("d"), AS_OF).alias("stale"),
+        dates.derived_status(F.col("verification_status"), F.col("d"), AS_OF).alias("derived"),
+    )
+
+
+# state
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as visits to the pages of users; an error is a failure."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.concat(F.lit("https://example.org/u/"), "user_id").alias("url"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.concat(F.lit("s"), F.col("user_id") % 3).alias("source"),
+        (F.col("event_type") == "purchase").alias("is_course"),
+        F.left(F.sha2("props", 256), F.lit(16)).alias("content_hash"),
+        F.col("event_type").alias("reason"),
+    )
+
+
+STATE = """
+v AS (SELECT 'https://example.org/u/' || user_id AS url, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+    event_type <> 'error' AS ok, 's' || (user_id % 3) AS source, event_type = 'purchase' AS is_course, left(sha256(props), 16) AS h FROM events),
+c AS (SELECT *, CASE WHEN ok AND h <> last_value(CASE WHEN ok THEN h END IGNORE NULLS) OVER (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN day END AS changed FROM v),
+g AS (SELECT url, max(CASE WHEN ok THEN seq END) AS last_ok FROM v GROUP BY url),
+state AS (SELECT c.url, arg_max(source, seq) FILTER (ok) AS source, arg_min(day, seq) AS first_seen, arg_max(day, seq) FILTER (ok) AS last_seen, coalesce(bool_or(ok AND is_course), FALSE) AS is_course,
+    arg_max(h, seq) FILTER (ok) AS content_hash, arg_max(changed, seq) FILTER (changed IS NOT NULL) AS changed_at,
+    CAST(count(*) FILTER (NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS INTEGER) AS missing_count,
+    arg_max(day, seq) FILTER (NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS last_missing,
+    arg_max('error', seq) FILTER (NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS last_reason FROM c JOIN g ON c.url = g.url GROUP BY c.url),
+named AS (SELECT *, CASE WHEN missing_count = 0 THEN 'activo' WHEN missing_count < 3 THEN 'inestable' ELSE 'retirado' END AS status FROM state)"""
+
+
+@_query(f"WITH {STATE} SELECT * FROM named")
+def url_memory_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.fold(visits(spark, sf_dir))
+
+
+@_query(f"WITH {STATE} SELECT * FROM named")
+def url_memory_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state folded in two steps, the second from the first's."""
+    every = visits(spark, sf_dir)
+    early = memory.fold(every.where("day < '2024-01-15'"))
+    return memory.fold(every.where("day >= '2024-01-15'"), early)
+
+
+@_query(f"WITH {STATE} SELECT * FROM named")
+def url_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state kept by a stream over the events' file, with the last row of each address."""
+    import uuid
+
+    from millrace.operators.tables import materialize, shared_dir
+    from millrace.streaming.state import track
+
+    base = f"{shared_dir(spark)}/millrace-stream-{uuid.uuid4().hex}"
+    rows = materialize(visits(spark, sf_dir))
+    rows.write.parquet(f"{base}/in")
+    stream = track(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
+    return lifecycle.last_of(out, "url", "batch")
+
+
+@_query(
+    f"""WITH {STATE} SELECT url, CASE status WHEN 'retirado' THEN FALSE WHEN 'inestable' THEN TRUE
+      ELSE coalesce(date_diff('day', CAST(last_seen AS DATE), DATE '2024-02-01') >= CASE WHEN is_course THEN 14 ELSE 2 END, TRUE) END AS due FROM named"""
+)
+def revisit_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.fold(visits(spark, sf_dir)).select("url", memory.should_revisit("2024-02-01").alias("due"))
+
+
+@_query(f"WITH {STATE} SELECT url, last_seen, missing_count, last_reason AS reason FROM named WHERE status = 'retirado'")
+def retired_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.retired(memory.fold(visits(spark, sf_dir)))
+
+
+@_query(
+    f"""WITH {STATE} SELECT count(*) AS total, count(*) FILTER (status = 'activo') AS active, count(*) FILTER (status = 'inestable') AS unstable,
+    count(*) FILTER (status = 'retirado') AS retired, count(*) FILTER (is_course) AS courses FROM named"""
+)
+def memory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.summary(memory.fold(visits(spark, sf_dir)))
+
+
+# lifecycle
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    now = courses(spark, sf_dir).select("id", "title", "verification_status", "last_verified", "pos")
+    before = now.where("pos % 10 != 0").withColumn("title", F.when(F.col("pos") % 7 == 0, F.concat("title", F.lit(" old"))).otherwise(F.col("title")))
+    after = now.where("pos % 9 != 0").withColumn("last_verified", F.when(F.col("pos") % 4 != 0, F.col("last_verified")))
+    return before.drop("pos"), after.drop("pos")
+
+
+@_query(
+    f"""WITH {COURSES}, a AS (SELECT id, CASE WHEN pos % 7 = 0 THEN title || ' old' ELSE title END AS title, verification_status, last_verified FROM courses WHERE pos % 10 <> 0),
+    b AS (SELECT id, title, verification_status, CASE WHEN pos % 4 <> 0 THEN last_verified END AS last_verified FROM courses WHERE pos % 9 <> 0)
+    SELECT b.id, 'added' AS change, NULL::VARCHAR AS field, NULL::VARCHAR AS old, NULL::VARCHAR AS new FROM b ANTI JOIN a ON a.id = b.id UNION ALL SELECT a.id, 'removed', NULL, NULL, NULL FROM a ANTI JOIN b ON a.id = b.id
+    UNION ALL SELECT a.id, 'changed', 'title', a.title, b.title FROM a JOIN b ON a.id = b.id WHERE a.title IS DISTINCT FROM b.title
+    UNION ALL SELECT a.id, 'changed', 'last_verified', a.last_verified, b.last_verified FROM a JOIN b ON a.id = b.id WHERE a.last_verified IS DISTINCT FROM b.last_verified"""
+)
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.diff(*_versions(spark, sf_dir), watched=["title", "verification_status", "last_verified"])
+
+
+@_query(
+    f"""WITH {CANONICAL} SELECT canonical AS url, 'new' AS change FROM canon WHERE page_id % 3 = 0 AND canonical NOT IN (SELECT canonical FROM canon WHERE page_id % 2 = 0) GROUP BY canonical
+    UNION ALL SELECT canonical, 'gone' FROM canon WHERE page_id % 2 = 0 AND canonical NOT IN (SELECT canonical FROM canon WHERE page_id % 3 = 0) GROUP BY canonical"""
+)
+def discover_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
+    return lifecycle.discover(pages.where("page_id % 3 = 0"), pages.where("page_id % 2 = 0"))
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("pos")
+    gone = key % 3 == 0
+    note = F.when(key % 6 == 0, "[DEPRECADO 2000-01-01] Motivo: HTTP 404. Confirmado tras 3 verificaciones fallidas consecutivas. Los datos se conservan tal como fueron verificados por ultima vez. Nota propia.").when(key % 5 == 0, "Nota.")
+    return courses(spark, sf_dir).select(
+        "id", "url_official", F.when(gone, "NO_DISPONIBLE").otherwise(F.col("verification_status")).alias("verification_status"), F.lit("activo").alias("status"),
+        F.lit(True).alias("enrollment_open"), F.lit(None).cast("string").alias("updated_at"), note.alias("notes"), "pos",
+    )
+
+
+@_query(
+    f"""WITH {COURSES}, n AS (SELECT id, pos, CASE WHEN pos % 3 = 0 THEN 'NO_DISPONIBLE' ELSE verification_status END AS verification_status, (pos % 1000) % 4 = 1 AS hit, CASE WHEN pos % 6 = 0 THEN 'Nota propia.' WHEN pos % 5 = 0 THEN 'Nota.' END AS tail,
+      CASE WHEN pos % 6 = 0 THEN '[DEPRECADO 2000-01-01] Motivo: HTTP 404. Confirmado tras 3 verificaciones fallidas consecutivas. Los datos se conservan tal como fueron verificados por ultima vez. Nota propia.' WHEN pos % 5 = 0 THEN 'Nota.' END AS notes FROM courses),
+    a AS (SELECT *, CASE WHEN hit AND verification_status <> 'NO_DISPONIBLE' THEN 'gone' WHEN NOT hit AND verification_status = 'NO_DISPONIBLE' THEN 'restored' END AS action FROM n)
+    SELECT id, action, CASE action WHEN 'gone' THEN 'NO_DISPONIBLE' WHEN 'restored' THEN 'REVERIFICAR' ELSE verification_status END AS verification_status,
+      CASE action WHEN 'gone' THEN '[DEPRECADO {AS_OF}] Motivo: HTTP 410. Confirmado tras 4 verificaciones fallidas consecutivas. Los datos se conservan tal como fueron verificados por ultima vez.' || coalesce(' ' || notes, '')
+        WHEN 'restored' THEN '[RESTAURADO {AS_OF}] El curso volvio a responder' || CASE WHEN tail IS NULL THEN ' tras haber sido marcado como no disponible.' ELSE '. ' || tail END ELSE notes END AS notes FROM a"""
+)
+def deprecate_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.range(1000).where("id % 4 = 1").select(
+        F.concat(F.lit("http://example.org/course/"), "id", F.lit("?ref=x")).alias("url"), F.lit("HTTP 410").alias("reason"), F.lit(4).alias("missing_count"), F.col("id").alias("pos")
+    )
+    return lifecycle.apply_retired(_noted(spark, sf_dir), gone, AS_OF).select("id", "action", "verification_status", "notes")
+
+
+@_query(f"WITH {COURSES} SELECT id, CASE WHEN pos % 2 = 0 THEN verification_status ELSE 'PENDIENTE' END AS verification_status FROM courses WHERE pos % 2 = 0 OR pos % 5 < 3")
+def incorporate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = courses(spark, sf_dir)
+    return lifecycle.incorporate(every.where("pos % 2 = 0"), every.where("pos % 5 < 3")).select("id", "verification_status")
+
+
+@_query(
+    f"""WITH {COURSES} SELECT c.id, CASE WHEN c.cost_access IS NULL THEN CASE c.pos % 4 WHEN 0 THEN 'undetermined' WHEN 1 THEN 'paid' WHEN 2 THEN 'free' ELSE 'undetermined' END END AS bucket,
+    CASE c.pos % 4 WHEN 1 THEN 49.5 END AS price FROM (SELECT *, CASE WHEN pos % 2 = 0 THEN 'gratis' END AS cost_access FROM courses UNION ALL SELECT *, NULL FROM courses WHERE FALSE) c WHERE cost_access IS NULL"""
+)
+def access_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = courses(spark, sf_dir)
+    catalog = every.withColumns({"cost_access": F.when(F.col("pos") % 2 == 0, "gratis"), "url_official": F.concat(F.lit("https://example.org/"), "id")})
+    body = F.when(F.col("pos") % 4 == 1, "<p>Price: $49.50</p>").otherwise("<p>nothing</p>")
+    pages = every.select(F.concat(F.lit("https://example.org/"), "id").alias("url"), F.lit(True).alias("ok"), body.alias("body"), F.lit(None).cast("string").alias("reason"))
+    return lifecycle.audit(catalog, pages).select("id", "bucket", "price")
+
+
+@_query(
+    """SELECT n_name AS institution, 'region ' || n_regionkey AS reason FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)"""
+)
+def unavailable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    sources = nation.select(F.col("n_name").alias("institution"), (F.col("n_nationkey") % 2 != 0).alias("enabled"), F.concat(F.lit("region "), "n_regionkey").alias("notes"))
+    supplier = table(spark, sf_dir, "supplier").where("s_acctbal > 9000")
+    return lifecycle.unavailable(sources, supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(F.col("n_name").alias("institution")))
+
+
+# resolution
+
+
+def _identities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer")
+    catalog = c.where("c_custkey % 3 != 0").select(
+        F.col("c_custkey").alias("pos"), F.concat(F.lit("https://www.example.org/c/"), F.col("c_custkey") % 400, F.lit("/")).alias("url_official"), F.concat(F.lit("Nación "), "c_nationkey").alias("institution"),
+        F.concat(F.lit("K"), F.col("c_custkey") % 50).alias("course_code"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("platform"),
+    )
+    s = table(spark, sf_dir, "supplier")
+    candidates = s.select(
+        F.col("s_suppkey").alias("pos"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("http://example.org/c/"), F.col("s_suppkey") * 5, F.lit("#top"))).alias("url_official"), F.concat(F.lit("NACION  "), "s_nationkey").alias("institution"),
+        F.concat(F.lit("k"), F.col("s_suppkey") % 60).alias("course_code"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("platform"),
+    )
+    return candidates, catalog
+
+
+@_query(
+    """WITH cat AS (SELECT c_custkey AS pos, 'https://example.org/c/' || (c_custkey % 400) AS url, c_nationkey || '|k' || (c_custkey % 50) AS code FROM customer WHERE c_custkey % 3 <> 0),
+    cand AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN 'https://example.org/c/' || (s_suppkey * 5) END AS url, s_nationkey || '|k' || (s_suppkey % 60) AS code FROM supplier),
+    hits AS (SELECT cand.pos, 0 AS rank, 'url' AS "by", cat.pos AS existing FROM cand JOIN cat ON cand.url = cat.url UNION ALL SELECT cand.pos, 1, 'institution+code', cat.pos FROM cand JOIN cat ON cand.code = cat.code)
+    SELECT pos, existing, "by" FROM hits QUALIFY row_number() OVER (PARTITION BY pos ORDER BY rank, existing) = 1"""
+)
+def identity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.exact_matches(*_identities(spark, sf_dir))
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.lit("x").alias("institution"), F.concat("p_name", F.lit(" number "), F.col("p_partkey") % 211).alias("title"))
+    return part.where("pos % 4 = 0").withColumn("title", F.concat("title", F.lit("s"))), part.where("pos % 4 != 0")
+
+
+@_query(
+    """WITH p AS (SELECT p_partkey AS pos, p_name || ' number ' || (p_partkey % 211) AS t FROM part), a AS (SELECT pos, t || 's' AS t FROM p WHERE pos % 4 = 0), b AS (SELECT pos, t FROM p WHERE pos % 4 <> 0),
+    d AS (SELECT x.t AS a, y.t AS b, 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) AS score FROM (SELECT DISTINCT t FROM a) x, (SELECT DISTINCT t FROM b) y),
+    m AS (SELECT a.pos, arg_min(b.pos, b.pos) AS existing, arg_min(d.score, b.pos) AS score FROM a JOIN d ON a.t = d.a JOIN b ON d.b = b.t WHERE d.score >= 0.88 GROUP BY a.pos) SELECT pos, existing, round(score, 9) AS score FROM m"""
+)
+def fuzzy_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve.ambiguous_matches(*_titles(spark, sf_dir))
+    return found.select("pos", "existing", F.round("score", 9).alias("score"))
+
+
+@_query()
+def greedy_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-dependent, so SQL can't; tests hold it against a sequential fold."""
+    return resolve.classify(*_identities(spark, sf_dir))
+
+
+# validation
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return courses(spark, sf_dir).withColumns({"source_of_truth": F.when(F.col("pos") % 17 != 0, F.col("url_official")), "notes": F.when(F.col("pos") % 2 == 0, "  "), "id": F.when(F.col("pos") % 19 == 0, F.concat("id", F.lit("_"))).otherwise(F.col("id"))})
+
+
+@_query(
+    f"""WITH {COURSES}, r AS (SELECT * REPLACE (CASE WHEN pos % 19 = 0 THEN id || '_' ELSE id END AS id), CASE WHEN pos % 17 <> 0 THEN url_official END AS source_of_truth, CASE WHEN pos % 2 = 0 THEN '  ' END AS notes FROM courses),
+    i AS (SELECT id, 'error' AS level, 'domain' AS field, 'Campo obligatorio ausente.' AS message FROM r WHERE domain IS NULL UNION ALL SELECT id, 'error', 'source_of_truth', 'Campo obligatorio ausente.' FROM r WHERE source_of_truth IS NULL
+    UNION ALL SELECT id, 'error', 'id', 'El id debe ser kebab-case sin acentos.' FROM r WHERE pos % 19 = 0 UNION ALL SELECT id, 'error', 'notes', 'String vacío: usar null.' FROM r WHERE trim(notes) = ''
+    UNION ALL SELECT id, 'error', 'credential_type', 'Valor fuera de la lista permitida: otro' FROM r WHERE credential_type = 'otro'
+    UNION ALL SELECT id, 'warn', 'notes', 'Relevancia mayor que 0 sin justificación en notes.' FROM r WHERE relevance_ppp_infra > 0 AND notes IS NULL
+    UNION ALL SELECT id, 'error', 'credential_price_usd', 'Incoherencia: credential_free es true pero el precio es mayor que cero.' FROM r WHERE credential_free AND credential_price_usd > 0
+    UNION ALL SELECT id, 'warn', 'credential_price_usd', 'Precio sin fecha de verificación: los precios son volátiles.' FROM r WHERE credential_price_usd > 0 AND last_verified IS NULL
+    UNION ALL SELECT id, 'error', 'last_verified', 'VERIFICADO exige fecha de verificación.' FROM r WHERE verification_status = 'VERIFICADO' AND last_verified IS NULL
+    UNION ALL SELECT id, 'warn', 'last_verified', 'Verificación vencida (más de 90 días): corresponde REVERIFICAR.' FROM r WHERE verification_status = 'VERIFICADO' AND date_diff('day', CAST(last_verified AS DATE), DATE '{AS_OF}') > 90
+    UNION ALL SELECT id, 'error', 'source_of_truth', 'VERIFICADO exige fuente de verdad.' FROM r WHERE verification_status = 'VERIFICADO' AND source_of_truth IS NULL
+    UNION ALL SELECT r.id, 'warn', 'url_official', 'URL repetida: ya usada por ' || f.id || '. Revisar posible duplicado.' FROM r JOIN (SELECT url_official AS u, min(pos) AS p, arg_min(id, pos) AS id FROM r GROUP BY 1) f ON r.url_official = f.u WHERE r.pos > f.p)
+    SELECT * FROM i"""
+)
+def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.validate(_records(spark, sf_dir), AS_OF).select("id", "level", "field", "message")
+
+
+@_query(
+    f"""WITH {COURSES} SELECT CAST(0 AS BIGINT) AS errors, count(*) - count(DISTINCT url_official) AS warnings, count(*) - count(DISTINCT url_official) AS total FROM courses"""
+)
+def duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.summary(validation.duplicate_issues(courses(spark, sf_dir)))
+
+
+# links
+
+
+LINKS = """t AS (SELECT id, 'url_official' AS field, url_official AS url, pos FROM courses UNION ALL SELECT id, 'source_of_truth', 'https://example.org/s', pos FROM courses WHERE pos % 3 = 0),
+    p AS (SELECT *, CASE pos % 6 WHEN 0 THEN 200 WHEN 1 THEN 405 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 301 END AS head, CASE pos % 6 WHEN 1 THEN 200 WHEN 3 THEN 500 END AS get FROM t)"""
+
+
+@_query(
+    f"""WITH {COURSES}, {LINKS} SELECT id, field, CASE WHEN head = 405 OR head >= 500 THEN get ELSE head END AS status, coalesce(CASE WHEN head = 405 OR head >= 500 THEN get ELSE head END BETWEEN 200 AND 399, FALSE) AS ok,
+    CASE WHEN pos % 6 = 4 THEN 'https://example.org/new' END AS redirect FROM p"""
+)
+def link_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    every = courses(spark, sf_dir).withColumns({"url_credential_info": none, "url_syllabus": F.lit(""), "source_of_truth": F.when(F.col("pos") % 3 == 0, "https://example.org/s")})
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x).cast("int") for x in v]), (F.substring_index("id", "-", -1).cast("long") % 6 + 1).cast("int"))
+    head = pick(200, 405, 404, 503, 301, None)
+    probes = links.targets(every).withColumns(
+        {"head_status": head, "get_status": pick(None, 200, None, 500, None, None), "error": none, "final_url": F.when(head == 301, "https://example.org/new")}
+    )
+    return links.outcome(probes).select("id", "field", "status", "ok", "redirect")
+
+
+@_query(
+    """SELECT o_orderkey, s BETWEEN 200 AND 299 AS ok, CASE WHEN s IN (401, 403, 429) THEN 'El sitio impide el acceso automatizado (HTTP ' || s || ')' WHEN s NOT BETWEEN 200 AND 299 THEN 'HTTP ' || s END AS reason, s IN (401, 403, 429) AS manual_review
+    FROM (SELECT o_orderkey, CAST(200 + (o_orderkey % 250) AS INTEGER) AS s FROM orders)"""
+)
+def fetch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = (200 + F.col("o_orderkey") % 250).cast("int")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(links.fetch_outcome(status, F.lit(None).cast("string")))))
+
+
+# crawl
+
+
+@_query(
+    """WITH RECURSIVE e AS (SELECT c_custkey AS src, (c_custkey * 3 + 1) % (SELECT count(*) FROM customer) AS dst FROM customer UNION SELECT c_custkey, (c_custkey + 7) % (SELECT count(*) FROM customer) FROM customer),
+    walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN e ON node = src WHERE depth < 6) SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
+)
+def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    n = c.agg(F.count("*").alias("n")).scalar()
+    edges = c.select(F.col("c_custkey").alias("src"), F.explode(F.array((F.col("c_custkey") * 3 + 1) % n, (F.col("c_custkey") + 7) % n)).alias("dst"))
+    return crawl.depths(edges, spark.range(1).select(F.col("id").alias("node")), 6)
+
+
+@_query()
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl over the pages from the address of each, the links of which lead nowhere in the table."""
+    pages = table(spark, sf_dir, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("body")).withColumns({"ok": F.lit(True), "reason": F.lit(None).cast("string"), "manual_review": F.lit(False)})
+    sources = pages.select(
+        F.concat(F.lit("s:"), "url").alias("id"), F.lit("x").alias("institution"), F.array(urls.host(F.col("url"))).alias("domains"), F.array("url").alias("seed_urls"), F.lit(1).alias("max_depth"), F.lit(True).alias("enabled"), F.lit("generic").alias("adapter")
+    )
+    return crawl.crawl(sources, pages, AS_OF)[0].groupBy("depth", "ok").agg(F.count("*").alias("n"))
+
+
+# exports
+
+
+@_query(
+    f"""WITH {COURSES} SELECT id, '"' || id || '";"' || title || '";"' || institution || '";"' || CASE WHEN credential_free THEN 'sí' WHEN NOT credential_free THEN 'no' ELSE '' END || '";"' || coalesce(array_to_string(language, ', '), '') || '";"' || CAST(duration_weeks AS BIGINT) || '";"'
+    || CASE WHEN pos % 2 = 0 THEN '''=1+""x""' ELSE 'a|b' END || '"' AS line FROM courses"""
+)
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = courses(spark, sf_dir).withColumn("formula", F.when(F.col("pos") % 2 == 0, '=1+"x"').otherwise("a|b"))
+    return every.select("id", exports.csv_line(every, ["id", "title", "institution", "credential_free", "language", "duration_weeks", "formula"]).alias("line"))
+
+
+@_query(
+    f"""WITH {COURSES} SELECT id, '| ' || id || ' | ' || title || ' | ' || CASE WHEN pos % 2 = 0 THEN 'a\\|b c' ELSE '' END || ' | ' || coalesce(credential_type, 'sin credencial') || ' |  | ' || verification_status || ' | [abrir](' || url_official || ') |' AS line FROM courses"""
+)
+def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = courses(spark, sf_dir).withColumns({"institution": F.when(F.col("pos") % 2 == 0, "a|b\nc"), "credential_price_usd": F.lit(None).cast("double")})
+    return every.select("id", exports.md_line().alias("line"))
+
+
