@@ -112,7 +112,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def row_spans(chunks: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """__row, doc_id and spans array<struct<start, end, other>> of the rows with repeated spans; other is a row
-    that has the span's first chunk too."""
+    that has the span's longest chunk too."""
     repeated = (
         chunks.groupBy("d1", "d2")
         .agg(F.min("__row").alias("low"), F.max("__row").alias("high"), F.max("again").alias("twice"))
@@ -121,7 +121,7 @@ def row_spans(chunks: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     )
     later = chunks.join(repeated, ["d1", "d2"]).where(F.col("again") | (F.col("__row") > F.col("low")))
     grouped = later.groupBy("__row", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", F.col("low").alias("other"), "final"))).alias("c")
+        F.array_sort(F.collect_list(F.struct("start", "end", F.col("low").alias("other"), "final", (F.col("end") - F.col("start")).alias("best")))).alias("c")
     )
     # chunks that touch make a run: the spans so far, the last of them open
     kind = grouped.schema["c"].dataType.simpleString()
@@ -132,7 +132,9 @@ def row_spans(chunks: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         return F.when(enough, F.concat(acc.done, F.array(x))).otherwise(acc.done)
 
     def longer(acc: Column, x: Column) -> Column:
-        return F.struct(acc.last.start.alias("start"), x.end.alias("end"), acc.last.other.alias("other"), x.final.alias("final"))
+        other = F.when(x.best > acc.last.best, x.other).otherwise(acc.last.other)
+        best = F.greatest(x.best, acc.last.best)
+        return F.struct(acc.last.start.alias("start"), x.end.alias("end"), other.alias("other"), x.final.alias("final"), best.alias("best"))
 
     merged = F.aggregate(
         "c",
@@ -158,7 +160,7 @@ def spans(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
 def cut(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
     """docs, with all columns, without their repeated spans; rows of which nothing is left go."""
     rows = materialize(_numbered(docs))
-    found = row_spans(chunk_table(rows, **sizes), min_run).select("__row", "spans")
+    found = row_spans(chunk_table(rows, **sizes), min_run).select("__row", F.col("spans").alias("__spans"))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -172,5 +174,5 @@ def cut(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
         return pa.array(out, pa.string())
 
     joined = rows.join(found, "__row", "left")
-    changed = joined.withColumn("text", without(F.col("text").cast("binary"), F.col("spans")))
-    return changed.where("spans is null or trim(text) != ''").select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = joined.withColumn("text", without(F.col("text").cast("binary"), F.col("__spans")))
+    return changed.where("__spans is null or trim(text) != ''").select(*[F.col(f"`{c}`") for c in docs.columns])

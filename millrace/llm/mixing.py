@@ -39,7 +39,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
         weight = F.coalesce(F.try_element_at(table, F.col("source")), F.lit(0.0)) if weights else F.lit(0.0)
     named = sums.withColumn("w", F.when(F.col("n_chars") > 0, weight).otherwise(0.0))
     wanted = F.lit(total) if total is not None else named.agg(F.sum("n_chars")).scalar()
-    share = F.col("w") / named.agg(F.sum("w")).scalar()
+    share = F.try_divide("w", named.agg(F.sum("w")).scalar())
     rate = F.when(F.col("n_chars") > 0, share * wanted / F.col("n_chars")).otherwise(1.0)
     return materialize(named.select("source", "n_docs", "n_chars", F.coalesce(rate, F.lit(0.0)).alias("rate")))
 
