@@ -1,38 +1,17 @@
-"""What the training-data operators share: written tables, words, connected components."""
+"""What the training-data operators share: words, and the library's written tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.operators.tables import components, materialize, shared_dir
+
 #: The six ASCII separators of the word definition [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset (one machine, tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, outlives lost executors, and
-    its size is known to the planner, so that only a table below the threshold is broadcast."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower case of A-Z alone."""
     return F.translate(c, UPPER, LOWER)
@@ -46,37 +25,4 @@ def words(text: Column) -> Column:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of edges (a, b); component is the smallest node reachable.
-
-    Alternating large-star and small-star rounds: a round joins each edge with the least neighbour of
-    one end, so that the centre of a star is a hot join key, which the adaptive skew join splits, and
-    never a group that one task collects. Each round is written to the shared folder.
-    """
-    edges = materialize(
-        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    before = None
-    for _ in range(max_rounds):
-        for large in (True, False):
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-            least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-            joined = both.join(least, "a")
-            if large:  # each larger neighbour of a goes to the least neighbour of a
-                linked = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            else:  # a and each smaller neighbour go to the least of them
-                linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-                    least.select("a", F.col("m").alias("b"))
-                )
-            edges = materialize(linked.where("a != b").distinct())
-        # a star forest, where no node is both a child of two roots nor a root with a parent, is final
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (state.n, state.h) == before:
-            break
-        before = (state.n, state.h)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        roots.select("node", F.col("node").alias("component"))
-    )
+__all__ = ["ascii_lower", "components", "materialize", "shared_dir", "words"]

@@ -9,7 +9,8 @@ walked along its cycle until it falls below N: a permutation known from (N, key)
 A shard is a file of fixed-stride records in the order of slots: seq_len ids, little-endian, then two
 line feeds. The record of slot s is at (s % per_shard) * stride of shard s // per_shard, so reading can
 start anywhere. Spark's text writer puts them where spark.checkpoint.dir or the caller says, with its
-commit protocol. Records travel compressed until they are written.
+commit protocol. Records are compressed until they are written, in the table of packed
+sequences as pages of many, in the shuffle one by one.
 
 Null and empty texts give the end id alone; texts that spell out control tokens are ordinary text;
 repeated rows are packed each; an empty table writes no record. Only doc_id and text are read.
@@ -64,10 +65,10 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = 2048, level: int = 7) -> DataFrame:
-    """part, k, n_tokens, spans (doc_id, at, first, n), sha256, ids (binary, compressed): the k-th sequence
-    of each partition, written to the shared folder. A span says that n tokens of the document, from its
-    token number first, stand at place at."""
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = 2048) -> DataFrame:
+    """part, k, n_tokens, spans (doc_id, at, first, n), sha256, ids (binary): the k-th sequence of each
+    partition, written to the shared folder. A span says that n tokens of the document, from its token
+    number first, stand at place at."""
     with open(tokenizer, "rb") as file:  # a few megabytes, on the driver's machine
         data = file.read()
     if len(data) > MAX_TOKENIZER_BYTES:
@@ -78,13 +79,12 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = 2048, level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, shared.value)
-        zip_ = zstandard.ZstdCompressor(level=level)
         buffer, filled, spans, rows, k, part, id_type = np.empty(seq_len, encoder.dtype), 0, [], [], 0, None, None
         fill = encoder.end
 
         def close() -> dict:
             raw = buffer.tobytes()
-            return {"part": part, "k": k, "n_tokens": filled, "spans": spans, "sha256": hashlib.sha256(raw).hexdigest(), "ids": zip_.compress(raw)}
+            return {"part": part, "k": k, "n_tokens": filled, "spans": spans, "sha256": hashlib.sha256(raw).hexdigest(), "ids": raw}
 
         def batch() -> pa.RecordBatch:
             span = pa.struct([("doc_id", id_type), ("at", pa.int32()), ("first", pa.int64()), ("n", pa.int32())])
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = 2048, level
                     if filled == seq_len:
                         rows.append(close())
                         filled, spans, k = 0, [], k + 1
-                        if len(rows) == 512:
+                        if len(rows) == 256:
                             yield batch()
                             rows = []
         if filled:
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = 2048, level
             yield batch()
 
     rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
-    return materialize(rows, codec="uncompressed")
+    return materialize(rows, level=9)
 
 
 def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -162,13 +162,18 @@ def place(packed: DataFrame, key: int = 0, per_shard: int = 16384) -> tuple[Data
 def write_shards(placed: DataFrame, n: int, path: str, per_shard: int = 16384) -> None:
     """One file for each shard of n sequences, in order: part-00000 is shard 0."""
 
+    @F.arrow_udf("binary")
+    def small(ids: pa.Array) -> pa.Array:
+        zip_ = zstandard.ZstdCompressor()
+        return pa.array([zip_.compress(x.as_py()) for x in ids], pa.binary())
+
     @F.arrow_udf("binary")
     def plain(ids: pa.Array) -> pa.Array:
         unzip = zstandard.ZstdDecompressor()
         return pa.array([unzip.decompress(x.as_py()) for x in ids], pa.binary())
 
     shards = max(1, -(-n // per_shard))
-    dealt = placed.select("slot", "shard", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    dealt = placed.select("slot", "shard", small("ids").alias("ids")).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     dealt.select(plain("ids").cast("string")).write.option("lineSep", END).text(path)
 
 
