@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean, decoded, pattern, says
+from millrace.functions.text import clean, decoded, once, pattern, says
 
 # What counts as evidence.
 PRICE_FREE = r"\bprice\s*:?\s*free"
@@ -52,19 +52,18 @@ def access_price(text: Column) -> Column:
     found = F.when(says(text, PRICE_FREE), 0.0)
     for word in PRICE_WORDS:
         found = F.coalesce(found, _number(F.regexp_extract(text, pattern(rf"\b{word}{AMOUNT}"), 1)))
-    return found
+    # most texts name no price: one look settles them
+    return F.when(says(text, rf"\b({'|'.join(PRICE_WORDS)})\s*:?\s*(?:free|(?:us)?\$)"), found)
 
 
 def mentions_free_access(text: Column) -> Column:
-    found = F.lit(False)
-    for p in FREE_ACCESS:
-        found = found | says(text, p)
-    return found
+    return says(text, *FREE_ACCESS)
 
 
 def access(text: Column) -> Column:
-    price, free = access_price(text), mentions_free_access(text)
-    return F.when(price > 0, F.when(~free, "pagado")).when((price == 0) | free, "gratis")
+    said = F.struct(access_price(text).alias("price"), mentions_free_access(text).alias("free"))
+    paid = lambda x: F.when(x.price > 0, F.when(~x.free, "pagado")).when((x.price == 0) | x.free, "gratis")
+    return once(said, paid)
 
 
 def is_paid(text: Column) -> Column:

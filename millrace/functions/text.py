@@ -6,6 +6,7 @@ characters), whatever the JVM's defaults are."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+LETTER = "[A-Za-z0-9_]"
 
 #: Institutions whose ids have a short prefix.
 SHORT_NAMES = {
@@ -31,13 +32,17 @@ SHORT_NAMES = {
 }
 
 
-def pattern(text: str, flags: str = "(?iu)") -> str:
-    r"""A JVM pattern for one in which \b, \s and \w are meant as browsers mean them."""
-    return flags + text.replace(r"\b", EDGE).replace(r"\w", "[A-Za-z0-9_]").replace(r"\s", SPACE)
+def pattern(text: str) -> str:
+    r"""A JVM pattern, in any case, for one in which \b, \s and \w are meant as browsers mean them; \b stands
+    before a letter or a group of words, or else after one."""
+    text = re.sub(r"\\b(?=[A-Za-z(])", f"(?<!{LETTER})", text).replace(r"\b", f"(?!{LETTER})")
+    flags = "(?i)" if text.isascii() else "(?iu)"
+    return flags + text.replace(r"\w", LETTER).replace(r"\s", SPACE)
 
 
-def says(c: Column, text: str, flags: str = "(?iu)") -> Column:
-    return F.coalesce(c.rlike(pattern(text, flags)), F.lit(False))
+def says(c: Column, *texts: str) -> Column:
+    """Whether one of the patterns is in c."""
+    return F.coalesce(c.rlike(pattern("|".join(f"(?:{x})" for x in texts) if len(texts) > 1 else texts[0])), F.lit(False))
 
 
 def once(c: Column, f: Callable[[Column], Column]) -> Column:

@@ -119,7 +119,7 @@ def is_relevant(url: Column) -> Column:
 
 
 def is_course_like(url: Column) -> Column:
-    return says(url, COURSE_PATH) | says(url, COURSE_PARTS)
+    return says(url, COURSE_PATH, COURSE_PARTS)
 
 
 def is_index_page(url: Column, title: Column) -> Column:
@@ -128,13 +128,7 @@ def is_index_page(url: Column, title: Column) -> Column:
 
 
 def is_course_material(title: Column) -> Column:
-    def named(name: Column) -> Column:
-        found = says(name, FILE_NAME)
-        for text in PART_NAMES:
-            found = found | says(name, text)
-        return found
-
-    return once(decoded(title), named)
+    return says(decoded(title), FILE_NAME, *PART_NAMES)
 
 
 def may_open(url: Column, most: int = 2000) -> Column:

@@ -82,8 +82,9 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHO
     probes = probes.select("block", F.col("t").alias("a"), "m", "i", F.explode(cuts).alias("piece"))
     met = probes.join(table, ["block", "m", "i", "piece"]).select("block", "a", "b").distinct()
     longer = F.greatest(F.length("a"), F.length("b"))
-    score = 1 - F.levenshtein("a", "b") / longer
-    return met.select("block", "a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    # the distance stops where it is beyond the edits allowed, and is -1 then
+    near = met.withColumn("d", _edits(longer, threshold) + 1).withColumn("e", F.expr("levenshtein(a, b, d)")).where("e >= 0")
+    return near.select("block", "a", "b", (1 - F.col("e") / longer).alias("score")).where(F.col("score") >= threshold)
 
 
 def ambiguous_matches(candidates: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
