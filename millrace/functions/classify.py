@@ -98,10 +98,10 @@ def credential(text: Column, price: Column, is_badge: Column | None = None) -> C
 
 
 def level(text: Column) -> Column:
-    t, found = decoded(text), None
-    for p, name in LEVELS:
-        found = F.when(says(t, p), name) if found is None else found.when(says(t, p), name)
-    return found
+    def first(t: Column) -> Column:
+        return F.coalesce(*[F.when(says(t, p), name) for p, name in LEVELS])
+
+    return once(decoded(text), first)
 
 
 def evidence(text: Column) -> list[Column]:
