@@ -23,9 +23,11 @@ MAX_INLINE_RULES = 500
 N_BUCKETS = 1 << 14
 
 #: Words of hosts and paths that the built-in labelled table calls unwanted or plain.
-UNWANTED = """casino poker betting jackpot slots viagra cialis pharmacy pills porn xxx sex escort nude adult cams
-torrent warez crack keygen serial adserver doubleclick banner popup clicktrack affiliate promo coupon lottery
-payday loans bitcoinwin freemoney getrich spam phishing malware""".split()
+UNWANTED = """casino poker bet bets betting jackpot slots lottery gamble viagra cialis pharmacy pill pills meds porn
+xxx sex escort nude adult cams hookup torrent warez crack keygen serial ad ads adserver banner popup click tracker
+tracking affiliate coupon payday loan loans crypto bitcoin getrich spam spammer phishing malware scam""".split()
+LURES = """win best cheap free online club zone king deals hot farm top easy fast bonus now world hub track 24 x cash
+big play max pro""".split()
 PLAIN = """news blog docs wiki library museum school university science history garden recipes travel weather sports
 music books journal archive forum support shop city council health research engineering software data maps
 about article post page category tag author help contact guide product events""".split()
@@ -97,7 +99,7 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(of(host, "h:"), of(path, "p:"))
 
 
-def sample_labelled(spark: SparkSession, n: int = 4000) -> DataFrame:
+def sample_labelled(spark: SparkSession, n: int = 8000) -> DataFrame:
     """The built-in labelled table (url, label): n made-up urls, half of them unwanted (1). Each is put
     together from the fixed word lists by hashes of its number, so it is the same on every machine."""
 
@@ -110,9 +112,13 @@ def sample_labelled(spark: SparkSession, n: int = 4000) -> DataFrame:
 
     number = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90_000)).cast("string")
     name = F.concat(pick(SYLLABLES, 2), pick(SYLLABLES, 3), F.when(chance(4, 60), pick(SYLLABLES, 5)).otherwise(""))
-    site = F.when(chance(6, 60), name).otherwise(pick(PLAIN, 7))
-    bad_site = F.when(chance(8, 50), F.concat(pick(UNWANTED, 9), F.lit("-"), pick(UNWANTED, 10))).otherwise(
-        F.concat(pick(UNWANTED, 9), name)
+    site = F.when(chance(6, 60), name).when(chance(26, 40), F.concat(pick(PLAIN, 7), F.lit("-"), name)).otherwise(pick(PLAIN, 7))
+    joint = F.when(chance(8, 70), "-").otherwise("")
+    bad_site = (
+        F.when(chance(23, 35), F.concat(pick(LURES, 9), joint, pick(UNWANTED, 10)))
+        .when(chance(24, 55), F.concat(pick(UNWANTED, 9), joint, pick(LURES, 10)))
+        .when(chance(25, 50), F.concat(pick(UNWANTED, 9), joint, pick(UNWANTED, 10)))
+        .otherwise(F.concat(pick(UNWANTED, 9), joint, name))
     )
     bad = (F.col("id") % 2) == 1
     lead = F.when(chance(11, 30), "www.").when(chance(12, 20), "blog.").when(chance(13, 20), "m.").otherwise("")
@@ -121,7 +127,7 @@ def sample_labelled(spark: SparkSession, n: int = 4000) -> DataFrame:
         chance(15, 50), F.concat(F.lit("/"), pick(LANGUAGES, 16), F.lit("/"), number, pick(["", "/", ".html"], 17))
     ).otherwise(F.concat(F.lit("/"), pick(PLAIN, 18), F.lit("/"), name, F.lit("-"), pick(PLAIN, 19)))
     bad_path = F.when(
-        chance(20, 70), F.concat(F.lit("/"), pick(UNWANTED, 21), F.lit("/"), pick(UNWANTED, 22), F.lit("-"), number)
+        chance(20, 30), F.concat(F.lit("/"), pick(UNWANTED, 21), F.lit("/"), pick(UNWANTED, 22), F.lit("-"), number)
     ).otherwise(plain_path)
     url = F.concat(
         F.lit("https://"), lead, F.when(bad, bad_site).otherwise(site), domain, F.when(bad, bad_path).otherwise(plain_path)
