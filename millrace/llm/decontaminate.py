@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,17 @@ def item_windows(items: list[tuple[str | None, bytes | None]], n: int) -> dict[t
 
 
 def rolling(codes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n codes."""
-    out = np.zeros(len(codes) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        out = out * _FACTOR + codes[i : len(codes) - n + 1 + i]
-    return out ^ (out >> np.uint64(29))
+    """A hash of each run of n codes, put together from hashes of 1, 2, 4, ... codes."""
+    size, out, done, power, width, factor = len(codes) - n + 1, None, 0, codes, 1, _FACTOR
+    while True:
+        if n & width:  # the next width codes after those done
+            part = power[done : done + size]
+            out = part if out is None else out * factor + part
+            done += width
+        if 2 * width > n:
+            return out ^ (out >> np.uint64(29))
+        power = power[:-width] * factor + power[width:]
+        width, factor = 2 * width, np.uint64(int(factor) ** 2 % (1 << 64))
 
 
 class Windows:
@@ -72,27 +79,33 @@ class Windows:
         for n in sorted({len(w) for w in windows}):
             codes = np.array([self.code[x] for w in windows if len(w) == n for x in w], dtype=np.uint64)
             hashes = np.unique(rolling(codes, n)[::n])
-            sieve = np.zeros(1 << 20, dtype=bool)
-            sieve[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.hashes[n] = (hashes, sieve)
-
-    def find(self, w: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words are hit, and the ids of the items found."""
-        hit, items = np.zeros(len(w) + 1, dtype=np.int32), set()
+            # one in 64 places of the sieve is taken at most, up to 64 MB; each place stands for a hash's top bits
+            bits = min(26, max(20, (64 * len(hashes)).bit_length()))
+            sieve, shift = np.zeros(1 << bits, dtype=bool), np.uint64(64 - bits)
+            sieve[(hashes >> shift).astype(np.int64)] = True
+            self.hashes[n] = (hashes, sieve, shift)
+
+    def find(self, w: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        """Which words are hit (None if none is), and the ids of the items found."""
+        hit, items = None, set()
         get = self.code.get
-        codes = np.fromiter((get(x, 0) for x in w), dtype=np.uint64, count=len(w))
-        for n, (hashes, sieve) in self.hashes.items():
+        codes = np.fromiter(map(get, w, repeat(0)), dtype=np.uint64, count=len(w))
+        for n, (hashes, sieve, shift) in self.hashes.items():
             if len(w) < n:
                 continue
             h = rolling(codes, n)
-            maybe = np.flatnonzero(sieve[(h >> np.uint64(44)).astype(np.int64)])
-            for i in maybe[np.isin(h[maybe], hashes)].tolist():
+            maybe = np.flatnonzero(sieve[(h >> shift).astype(np.int64)])
+            if not len(maybe):
+                continue
+            nearest = hashes[np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)]
+            for i in maybe[nearest == h[maybe]].tolist():
                 ids = self.windows.get(tuple(w[i : i + n]))
                 if ids is not None:  # verified on the words
+                    hit = np.zeros(len(w) + 1, dtype=np.int32) if hit is None else hit
                     hit[i] += 1
                     hit[i + n] -= 1
                     items.update(ids)
-        return np.cumsum(hit[:-1]) > 0, items
+        return None if hit is None else np.cumsum(hit[:-1]) > 0, items
 
 
 def _runs(hit: np.ndarray) -> list[dict[str, int]]:
@@ -124,14 +137,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast_bytes:
     def find(texts: pa.Array) -> pa.Array:
         if not cached:
             cached.append(Windows(windows.value))
-        out = []
+        n_words, n_hit, items, hits = [], [], [], []
         for text in texts:
             w = words(text.as_py())
             hit, ids = cached[0].find(w)
-            out.append(
-                {"n_words": len(w), "n_hit": int(hit.sum()), "n_items": len(ids), "items": sorted(ids), "hits": _runs(hit)}
-            )
-        return pa.array(out, kind)
+            n_words.append(len(w)), n_hit.append(0 if hit is None else int(hit.sum()))
+            items.append(sorted(ids)), hits.append([] if hit is None else _runs(hit))
+        columns = [n_words, n_hit, list(map(len, items)), items, hits]
+        arrays = [pa.array(x, f.type) for x, f in zip(columns, kind, strict=True)]
+        return pa.StructArray.from_arrays(arrays, fields=list(kind))
 
     return docs.withColumn("__v", find(F.col("text").cast("binary")))
 
