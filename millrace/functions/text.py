@@ -41,8 +41,12 @@ def pattern(text: str) -> str:
 
 
 def says(c: Column, *texts: str) -> Column:
-    """Whether one of the patterns is in c."""
-    return F.coalesce(c.rlike(pattern("|".join(f"(?:{x})" for x in texts) if len(texts) > 1 else texts[0])), F.lit(False))
+    r"""Whether one of the patterns is in c. What all of them start with, \b, is looked for once."""
+    if len(texts) > 1 and all(x.startswith(r"\b") for x in texts):
+        text = r"\b(?:" + "|".join(x.removeprefix(r"\b") for x in texts) + ")"
+    else:
+        text = "|".join(f"(?:{x})" for x in texts) if len(texts) > 1 else texts[0]
+    return F.coalesce(c.rlike(pattern(text)), F.lit(False))
 
 
 def once(c: Column, f: Callable[[Column], Column]) -> Column:
