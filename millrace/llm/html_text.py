@@ -29,7 +29,7 @@ BATCH = 256
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes svg math object audio video canvas map datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes svg datalist".split())
 RAW = frozenset("script style iframe noembed noframes xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -57,7 +57,6 @@ MARKUP = re.compile(
 )
 NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARK = re.compile(r"data-main=\"([01])\"")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 EDGE_KINDS = 7
 BOUNDS = frozenset("nav header footer aside form menu search dialog".split())
@@ -129,9 +128,6 @@ def parse(source: str) -> Page:
         page.depths.append(page.depths[parent] + 1)
         mark = MARK.search(attributes)
         page.labels.append(int(mark[1]) if mark else page.labels[parent])
-        if attributes and HIDDEN.search(attributes):
-            tags[node] = "template"
-            tag = "template" if tag not in RAW else tag
         stack.append(node)
         unseen += tags[node] in UNSEEN
         if tag in RAW or tag == "textarea" or tag == "title":
