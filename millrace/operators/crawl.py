@@ -105,6 +105,13 @@ def _results(sources: DataFrame, done: DataFrame, as_of: str) -> tuple[DataFrame
     return visits, candidates
 
 
+def totals(visits: DataFrame, candidates: DataFrame) -> DataFrame:
+    """source_id, visited, blocked, candidates, from_memory: counts of a crawl by source."""
+    v = visits.groupBy("source_id").agg(F.count("*").alias("visited"), F.count_if(F.col("manual_review")).alias("blocked"))
+    c = candidates.groupBy("source_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("from_memory")).alias("from_memory"))
+    return v.join(c, "source_id", "full_outer").na.fill(0)
+
+
 def depths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """node, depth: the fewest steps over edges (src, dst) from seeds (node), up to max_depth."""
     seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)))

@@ -42,6 +42,15 @@ def rebuild(records: DataFrame, path: str) -> int:
     return table.count()
 
 
+def open_catalog(spark: SparkSession, path: str, seed: str) -> DataFrame:
+    """The query table under path; where there is none it is built from the JSON document seed."""
+    try:
+        return spark.read.schema(CATALOG).parquet(f"{path}/catalog")
+    except AnalysisException:
+        rebuild(read_json(spark, seed).drop("pos"), path)
+        return spark.read.schema(CATALOG).parquet(f"{path}/catalog")
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """The URL state, empty if there is none."""
     try:

@@ -55,6 +55,8 @@ def test_untyped_rules_and_duplicates(spark, tmp_path):
     s = validation.summary(found).first()
     assert s.total == s.errors + s.warnings == found.count()
     assert validation.grouped(found).first().id == "a"
+    opened = [store.open_catalog(spark, str(tmp_path / "table"), str(path)).count() for _ in range(2)]
+    assert opened == [4, 4]
     typed = store.read_json(spark, str(path)).orderBy("pos").collect()
     assert typed[0].id == "a" and typed[0].credential_price_usd == 149.0
 
@@ -192,6 +194,7 @@ def test_crawl(spark):
     got = {(r.url, r.depth, r.ok) for r in visits.collect()}
     assert got == {("https://x.org/", 0, True), ("https://x.org/course/a", 1, True), ("https://x.org/list", 1, True), ("https://x.org/course/b", 2, False)}
     assert [(r.url, r.institution) for r in found.collect()] == [("https://x.org/course/a", "MIT")]
+    assert [tuple(r) for r in crawl.totals(visits, found).collect()] == [("s", 4, 1, 1, 0)]
     few, _ = crawl.crawl(sources, store_, AS_OF, limits=crawl.Limits(max_pages=2))
     assert few.count() == 2
 
