@@ -5,10 +5,15 @@ suffixes of all texts only those at minimiser positions are kept: places whose h
 lowest of some window of WINDOW neighbours. A passage of min_words words that two texts share keeps the
 same places in both, the first of them early enough for `anchor` words of the passage to follow it. The
 suffixes are sorted over the whole cluster, by the hash of the anchor, then by hashes of ever longer
-prefixes of what follows, then by place; a second order compares what stands before. Neighbours in an order
-that agree in the anchor are matches; those on one diagonal of the same two texts are joined, then extended
-word by word to the left and right on the texts themselves. Matches of min_words or more are repeated
-spans; of two rows, the later one has the span.
+prefixes of what follows, then by place. Neighbours in this order that agree in the anchor are matches; those
+on one diagonal of the same two texts are joined, then extended word by word to the left and right on the
+texts themselves. Matches of min_words or more are repeated spans; of two rows, the later one has the span.
+
+Of two suffixes of one anchor, that is all. Of three or more, copies of a passage need not be neighbours:
+what follows the passage may sort others between them. So the runs of min_words words round such suffixes,
+but for those inside a match with an earlier place, are sorted by hash and place, and each run but the first
+of its hash is a repeated span of the first. The first place of a run is in no match, so none is missed.
+Spans of one row may overlap.
 
 Sorting by place too lets a hot passage spread over as many tasks as it needs, and comparing neighbours
 keeps the matches in proportion to the suffixes. Null texts and those of fewer words have no spans;
@@ -69,11 +74,9 @@ def minimisers(codes: np.ndarray, shingle: int = SHINGLE, window: int = WINDOW)
     return np.flatnonzero(_window(least, window, np.maximum) == h)
 
 
-def _ladder(codes: np.ndarray, at: np.ndarray, step: int, back: bool) -> np.ndarray:
-    """A long for each place whose four 16-bit parts hash the next 1, 2, 3 and 4 steps of words after it
-    (before it, if back); longs sort and group by how far the words agree."""
-    if back:
-        codes, at = codes[::-1], len(codes) - at
+def _ladder(codes: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """A long for each place whose four 16-bit parts hash the next 1, 2, 3 and 4 steps of words after it;
+    longs sort and group by how far the words agree."""
     padded = np.concatenate([codes, np.zeros(4 * step, dtype=np.uint64)])
     out = np.zeros(len(at), dtype=np.uint64)
     for k in range(1, 5):
@@ -82,7 +85,7 @@ def _ladder(codes: np.ndarray, at: np.ndarray, step: int, back: bool) -> np.ndar
 
 
 def suffixes(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """place (row, at), anchor, after, before of the kept suffixes of rows (__row, text), written to the shared folder."""
+    """place (row, at), anchor, after of the kept suffixes of rows (__row, text), written to the shared folder."""
     anchor, step = min_words - WINDOW - SHINGLE + 2, max(1, (WINDOW + SHINGLE) // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,7 @@ def suffixes(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 at = minimisers(codes)
                 at = at[at + anchor <= len(codes)]
                 parts.append(
-                    (np.full(len(at), row), at.astype(np.int32), rolling(codes, anchor)[at], _ladder(codes, at + anchor, step, False), _ladder(codes, at, step, True))
+                    (np.full(len(at), row), at.astype(np.int32), rolling(codes, anchor)[at], _ladder(codes, at + anchor, step))
                 )
                 n += len(at)
                 if n > 100_000:
@@ -107,23 +110,23 @@ def suffixes(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*parts)]
         arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns]
-        return pa.RecordBatch.from_arrays(arrays, ["row", "at", "anchor", "after", "before"])
+        return pa.RecordBatch.from_arrays(arrays, ["row", "at", "anchor", "after"])
 
     found = rows.select("__row", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "row long, at int, anchor long, after long, before long"
+        run, "row long, at int, anchor long, after long"
     )
     return materialize(found)
 
 
-PAIR = "row long, at int, row2 long, at2 int"
+PAIR = "row long, at int, row2 long, at2 int, many boolean"
 
 
-def neighbours(kept: DataFrame, order: str) -> DataFrame:
-    """(row, at, row2, at2): each suffix and the one before it in the order of (anchor, order, row, at), where
-    they agree in the anchor. Each task compares within its range; the first and last suffix of each range
-    (two rows a task) are compared on the driver."""
+def neighbours(kept: DataFrame) -> DataFrame:
+    """(row, at, row2, at2, many): each suffix and the one before it in the order of (anchor, after, row, at), where
+    they agree in the anchor; many is false only if no third suffix does. Each task compares within its range; the
+    first and last suffix of each range (two rows a task) are compared on the driver."""
     n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["anchor", order, "row", "at"]
+    keys = ["anchor", "after", "row", "at"]
     ranges = kept.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,34 +140,91 @@ def neighbours(kept: DataFrame, order: str) -> DataFrame:
                 yield edge(part, 0, anchor[0], row[0], at[0])
             else:
                 anchor, row, at = (np.concatenate([[x], y]) for x, y in zip(last, (anchor, row, at)))
-            same = np.flatnonzero(anchor[1:] == anchor[:-1])
+            equal = anchor[1:] == anchor[:-1]
+            same = np.flatnonzero(equal)
             if len(same):
+                # a run at either end of a batch may go on in the next one
+                beside = np.concatenate([[True], equal, [True]])
+                many = (beside[:-2] | beside[2:])[same]
                 none = pa.nulls(len(same), pa.int64())
-                arrays = [pa.array(row[same + 1]), pa.array(at[same + 1].astype(np.int32)), pa.array(row[same]), pa.array(at[same].astype(np.int32)), none, pa.nulls(len(same), pa.int32())]
+                arrays = [pa.array(row[same + 1]), pa.array(at[same + 1].astype(np.int32)), pa.array(row[same]), pa.array(at[same].astype(np.int32)), pa.array(many), none, pa.nulls(len(same), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
             last = (anchor[-1], row[-1], at[-1])
         if last is not None:
             yield edge(part, 1, *last)
 
-    names = ["row", "at", "row2", "at2", "anchor", "edge"]
+    names = ["row", "at", "row2", "at2", "many", "anchor", "edge"]
 
     def edge(part: int, end: int, anchor: int, row: int, at: int) -> pa.RecordBatch:
-        arrays = [pa.array([int(row)]), pa.array([int(at)], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([int(anchor)]), pa.array([2 * part + end], pa.int32())]
+        arrays = [pa.array([int(row)]), pa.array([int(at)], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.array([int(anchor)]), pa.array([2 * part + end], pa.int32())]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     found = materialize(
         ranges.select("anchor", "row", "at", F.spark_partition_id().alias("part")).mapInArrow(run, PAIR + ", anchor long, edge int")
     )
     edges = sorted(found.where("edge is not null").select("edge", "anchor", "row", "at").collect())
-    between = [(b.row, b.at, a.row, a.at) for a, b in zip(edges[1::2], edges[2::2]) if a.anchor == b.anchor]
-    return found.where("edge is null").select("row", "at", "row2", "at2").unionByName(
+    between = [(b.row, b.at, a.row, a.at, True) for a, b in zip(edges[1::2], edges[2::2]) if a.anchor == b.anchor]
+    return found.where("edge is null").select("row", "at", "row2", "at2", "many").unionByName(
         kept.sparkSession.createDataFrame(between, PAIR)
     )
 
 
-def matches(kept: DataFrame, anchor: int) -> DataFrame:
-    """(a, a_start, a_end, b, b_start): joined matches of the later place a with the earlier b, in words."""
-    pairs = neighbours(kept, "after").unionByName(neighbours(kept, "before"))
+def firsts(runs: DataFrame) -> DataFrame:
+    """(row, at, row2, at2): each place of runs (run, row, at) but the first of its run, and this first. Each task
+    looks within its range; where the first run of a range began is found on the driver (two rows a task)."""
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["run", "row", "at"]
+    ranges = runs.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    kind = "row long, at int, row2 long, at2 int, part int, run long, edge int"
+    names = ["row", "at", "row2", "at2", "part", "run", "edge"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = lead = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = b.column(3)[0].as_py()
+            run, row, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if last is None:
+                lead = run[0]
+                yield edge(part, 0, run[0], row[0], at[0])
+            # the first place of the run before stands in front, so that a run may go on in a later batch
+            run, row, at = (np.concatenate([[x], y]) for x, y in zip(last or (run[0], row[0], at[0]), (run, row, at)))
+            begins = np.concatenate([[True], run[1:] != run[:-1]])
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(run)), 0))
+            # places of the run that leads the range wait for the driver, all others but the first are found
+            led = run == lead
+            later = np.flatnonzero(led | ~begins)
+            later = later[later > 0]
+            if len(later):
+                arrays = [pa.array(row[later]), pa.array(at[later].astype(np.int32)), pa.array(row[first[later]]), pa.array(at[first[later]].astype(np.int32))]
+                arrays += [pa.array(np.full(len(later), part, np.int32), mask=~led[later]), pa.nulls(len(later), pa.int64()), pa.nulls(len(later), pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+            last = (run[-1], row[first[-1]], at[first[-1]])
+        if last is not None:
+            yield edge(part, 1, *last)
+
+    def edge(part: int, end: int, run: int, row: int, at: int) -> pa.RecordBatch:
+        arrays = [pa.array([int(row)]), pa.array([int(at)], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([part], pa.int32()), pa.array([int(run)]), pa.array([2 * part + end], pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    found = materialize(ranges.select(*keys, F.spark_partition_id().alias("part")).mapInArrow(find, kind))
+    edges = sorted(found.where("edge is not null").select("edge", "run", "row", "at", "part").collect())
+    origins, before = [], None
+    for head, tail in zip(edges[::2], edges[1::2]):
+        origin = before[1:] if before and before[0] == head.run else (head.row, head.at)
+        origins.append((head.part, *origin))
+        before = (tail.run, *(origin if tail.run == head.run else (tail.row, tail.at)))
+    known = runs.sparkSession.createDataFrame(origins, "part int, row3 long, at3 int")
+    pairs = found.where("edge is null").join(F.broadcast(known), "part", "left").select(
+        "row", "at", F.coalesce("row3", "row2").alias("row2"), F.coalesce("at3", "at2").alias("at2")
+    )
+    return pairs.where("row != row2 or at != at2")
+
+
+def matches(pairs: DataFrame, n: int) -> DataFrame:
+    """(a, a_start, a_end, b, b_start): joined matches of the later place a with the earlier b, in words, of pairs
+    that agree in n words."""
     later = F.struct("row", "at") > F.struct("row2", "at2")
     pairs = pairs.select(
         F.when(later, F.col("row")).otherwise(F.col("row2")).alias("a"),
@@ -180,28 +240,53 @@ def matches(kept: DataFrame, anchor: int) -> DataFrame:
         F.array().cast(f"array<{kind}>"),
         lambda acc, x: F.when(
             F.try_element_at(acc, F.lit(-1)).end >= x,
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1)).start.alias("start"), (x + anchor).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x.alias("start"), (x + anchor).alias("end"))))),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1)).start.alias("start"), (x + n).alias("end")))),
+        ).otherwise(F.concat(acc, F.array(F.struct(x.alias("start"), (x + n).alias("end"))))),
     )
     return places.select("a", "b", "diagonal", F.inline(runs)).select(
         "a", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "b", (F.col("start") - F.col("diagonal")).alias("b_start")
     )
 
 
-def extended(rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
-    """(a, start, end, b): matches extended on the texts of rows (__row, text), those of min_words or more."""
+def uncovered(size: int, places: set[int], known: list[tuple[int, int]], min_words: int) -> np.ndarray:
+    """Starts of the runs of min_words words in a text of so many words that the anchor at one of the places is
+    the first of, but for those inside a known (start, end)."""
+    wanted = np.zeros(max(0, size - min_words + 1), dtype=bool)
+    for p in places:
+        wanted[max(0, p - WINDOW + 1) : p + 1] = True
+    for start, end in known:
+        wanted[start : max(start, end - min_words + 1)] = False
+    return np.flatnonzero(wanted)
+
+
+def extended(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """(a, start, end, b): matches extended on the texts of rows (__row, text), those of min_words or more, and
+    the repeated runs of min_words words round suffixes of which there are many."""
     runs = materialize(found.withColumn("id", F.monotonically_increasing_id()))
     n = F.col("a_end") - F.col("a_start")
     wanted = runs.select(F.col("a").alias("__row"), "id", F.lit(True).alias("later"), F.col("a_start").alias("start"), n.alias("n")).unionByName(
         runs.select(F.col("b").alias("__row"), "id", F.lit(False).alias("later"), F.col("b_start").alias("start"), n.alias("n"))
     )
+    place = F.explode(F.array(F.struct("row", "at"), F.struct(F.col("row2").alias("row"), F.col("at2").alias("at"))))
+    many = pairs.where("many").select(place.alias("p")).select("p.*")
+    none = F.lit(None)
+    wanted = wanted.unionByName(
+        many.select(F.col("row").alias("__row"), none.cast("long").alias("id"), none.cast("boolean").alias("later"), F.col("at").alias("start"), F.lit(0).alias("n"))
+    )
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("id", pa.int64()), ("later", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+        kind = pa.schema([("id", pa.int64()), ("later", pa.bool_()), ("left", pa.binary()), ("right", pa.binary()), ("run", pa.int64()), ("row", pa.int64()), ("at", pa.int32())])
         for b in batches:
-            for text, wants in zip(b.column(0), b.column(1), strict=True):
-                codes, out = word_codes(text.as_py()), []
-                for w in wants.as_py():
+            for row, text, wants in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                codes, out, wants = word_codes(text.as_py()), [], wants.as_py()
+                places = {w["start"] for w in wants if w["id"] is None}
+                if places:
+                    at = uncovered(len(codes), places, [(w["start"], w["start"] + w["n"]) for w in wants if w["later"]], min_words)
+                    values = {"run": rolling(codes, min_words)[at].view(np.int64), "row": np.full(len(at), row), "at": at.astype(np.int32)}
+                    yield pa.RecordBatch.from_arrays([pa.array(values[f.name]) if f.name in values else pa.nulls(len(at), f.type) for f in kind], schema=kind)
+                for w in wants:
+                    if w["id"] is None:
+                        continue
                     s, e = w["start"], w["start"] + w["n"]
                     out.append({"id": w["id"], "later": w["later"], "left": codes[max(0, s - CONTEXT) : s][::-1].tobytes(), "right": codes[e : e + CONTEXT].tobytes()})
                 for at in range(0, len(out), 4096):
@@ -219,14 +304,16 @@ def extended(rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
 
     # the wishes of one row: at most as many as its suffixes have neighbours
     asked = wanted.groupBy("__row").agg(F.collect_list(F.struct("id", "later", "start", "n")).alias("wants"))
-    texts = rows.select("__row", F.col("text").cast("binary").alias("text")).join(asked, "__row").select("text", "wants")
-    sides = materialize(texts.mapInArrow(context, "id long, later boolean, left binary, right binary"))
-    a = sides.where("later").drop("later")
+    texts = rows.select("__row", F.col("text").cast("binary").alias("text")).join(asked, "__row").select("__row", "text", "wants")
+    sides = materialize(texts.mapInArrow(context, "id long, later boolean, left binary, right binary, run long, row long, at int"))
+    again = matches(firsts(sides.where("run is not null")), min_words)
+    a = sides.where("later").select("id", "left", "right")
     b = sides.where("not later").select("id", F.col("left").alias("left2"), F.col("right").alias("right2"))
     longer = a.join(b, "id").select("id", agree("left", "left2").alias("l"), agree("right", "right2").alias("r"))
-    return runs.join(longer, "id").where(F.col("l") + n + F.col("r") >= min_words).select(
+    spans = runs.join(longer, "id").where(F.col("l") + n + F.col("r") >= min_words).select(
         "a", (F.col("a_start") - F.col("l")).alias("start"), (F.col("a_end") + F.col("r")).alias("end"), "b"
     )
+    return spans.unionByName(again.select("a", F.col("a_start").alias("start"), F.col("a_end").alias("end"), "b"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -237,8 +324,8 @@ def row_spans(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(a, start, end, b) of rows (__row, text): words start to end (exclusive) of row a are in the earlier row b too."""
     if min_words < WINDOW + SHINGLE + 4:
         raise ValueError(f"min_words must be at least {WINDOW + SHINGLE + 4}")
-    found = matches(suffixes(rows, min_words), min_words - WINDOW - SHINGLE + 2)
-    return extended(rows, found, min_words)
+    pairs = neighbours(suffixes(rows, min_words))
+    return extended(rows, matches(pairs, min_words - WINDOW - SHINGLE + 2), pairs, min_words)
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from millrace.llm import suffix_dedup
 
@@ -52,6 +53,34 @@ def test_planted_lengths(spark):
     assert len(covered(found)) == len(brute(rows))
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_copies_that_are_no_neighbours(spark, partitions):
+    """Hundreds of copies of passages of 50 to 60 words between unrelated words, and templates that share one side:
+    all but one copy of each run of 50 words is found."""
+    r = random.Random(5)
+    v = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(r.choice(v) for _ in range(n))
+    bodies = [text(n) for n in (50, 52, 55, 60)]
+    rows = [f"{text(30)} {b} {text(30)}" for b in bodies for _ in range(200)]
+    core, sides = text(30), [text(25) for _ in range(4)]
+    for i in range(240):
+        left, right = (sides[i % 4], text(30)) if i % 2 else (text(30), sides[i % 4])
+        rows.append(f"{text(5)} {left} {core} {right} {text(5)}")
+    r.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = suffix_dedup.spans(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    texts = [t.split() for t in rows]
+    for x in found:
+        assert " ".join(texts[x.doc_id][x.start_word : x.end_word]) in rows[x.other_doc_id] and x.other_doc_id <= x.doc_id
+    expected = brute(list(enumerate(rows)))
+    assert len(expected) > 1000 and covered(found) == expected
+
+
 def test_minimisers_of_a_shared_run_are_shared():
     r = np.random.default_rng(1)
     run = r.integers(0, 1 << 63, 60).astype(np.uint64)
