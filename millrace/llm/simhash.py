@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import components, materialize
 
 BITS, SEGMENT = 64, 32
+#: Bits that two fingerprints with a common entry are at most apart.
+REACH = 2
 #: Hashes turned into bits at a time: 64 bytes each.
 CHUNK = 1 << 16
 
@@ -67,7 +69,9 @@ def entries(fp: Column) -> Column:
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b): edges between the representatives of different fingerprints (fp, rep); what they connect is
-    what all pairs at most 2 bits apart connect."""
+    what all pairs at most max_bits apart connect. The table does not reach beyond 2 bits."""
+    if not 0 <= max_bits <= REACH:
+        raise ValueError(f"max_bits must be 0 to {REACH}: the entries of fingerprints further apart do not meet")
     table = fps.select("fp", "rep", F.explode(entries(F.col("fp"))).alias("entry"))
     before = Window.partitionBy("entry").orderBy("fp")
     met = table.select(

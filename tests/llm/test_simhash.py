@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def test_links_of_planted_fingerprints(spark):
     assert {d: found.get(d, d) for d, _ in numbered} == expected
 
 
+def test_bits_beyond_reach_are_refused(spark):
+    """Prints three bits apart share no entry; asked for them, links must not answer with none."""
+    fps = spark.createDataFrame([(0, 1), (0b111, 2)], "fp long, rep long")
+    assert simhash.links(fps, 2).count() == 0
+    for bits in (-1, 3, 11):
+        with pytest.raises(ValueError):
+            simhash.links(fps, bits)
+
+
 def test_an_entry_is_shared_exactly_within_two_bits(spark):
     near, far = 0b11 << 31, 0b111 << 30
     for other, shared in ((1, True), (near, True), (far, False), ((1 << 63) - 1, False)):
