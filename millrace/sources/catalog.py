@@ -12,25 +12,44 @@ from millrace.operators.search import postings
 from millrace.schema import CATALOG
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType = CATALOG) -> DataFrame:
-    """Records of a JSON document, a list or {"courses": list}, with pos, their place in it."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+#: A path with such an end has a record a line and is read in parallel, in a file or a folder of parts.
+LINES = (".jsonl", ".ndjson")
+
+
+def _parsed(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    """v, the value of each line, or of the whole document; text that is no JSON, or too long for one value
+    (beyond 128 MB), is an error, not an empty catalog. Blank text has no value."""
+    text = spark.read.text(path, wholetext=whole).where(r"value rlike '[^\\x{FEFF}\\s]'")
+    v = F.try_parse_json("value")
+    why = F.lit(f"{path}: no JSON, or a document beyond 128 MB, which must have a record a line ({' or '.join(LINES)})")
+    return text.select(F.when(v.isNull(), F.raise_error(why).cast("variant")).otherwise(v).alias("v"))
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """pos and record of a JSON document, a list or {"courses": list}, or of lines; pos rises with the place."""
+    if path.rstrip("/").endswith(LINES):
+        return _parsed(spark, path, False).select(F.monotonically_increasing_id().alias("pos"), F.col("v").alias("record"))
     listed = F.coalesce(F.try_variant_get("v", "$.courses", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    rows = text.select(F.posexplode(listed).alias("pos", "record"))
+    return _parsed(spark, path, True).select(F.posexplode(listed).alias("pos", "record"))
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType = CATALOG) -> DataFrame:
+    """Records of a JSON document, a list or {"courses": list}, or of lines, with pos, their place in it (of lines
+    it rises, with gaps)."""
     fields = [F.try_variant_get("record", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema]
-    return rows.select("pos", *fields)
+    return _records(spark, path).select("pos", *fields)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """pos and value, the JSON text of each record, as validation.untyped() takes them; a document that is no
     list gives no rows and is an issue of its own (is_list)."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    listed = F.coalesce(F.try_variant_get("v", "$.courses", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    return text.select(F.posexplode(listed).alias("pos", "record")).select("pos", F.to_json("record").alias("value"))
+    return _records(spark, path).select("pos", F.to_json("record").alias("value"))
 
 
 def is_list(spark: SparkSession, path: str) -> bool:
-    kind = spark.read.text(path, wholetext=True).select(F.schema_of_variant(F.try_parse_json("value"))).first()
+    if path.rstrip("/").endswith(LINES):
+        return True
+    kind = _parsed(spark, path, True).select(F.schema_of_variant("v")).first()
     return kind is not None and (kind[0] or "").startswith("ARRAY")
 
 
@@ -43,12 +62,12 @@ def rebuild(records: DataFrame, path: str) -> int:
 
 
 def open_catalog(spark: SparkSession, path: str, seed: str) -> DataFrame:
-    """The query table under path; where there is none it is built from the JSON document seed."""
+    """The query table under path; where there is none it is built from the JSON document or lines of seed."""
     try:
-        return spark.read.schema(CATALOG).parquet(f"{path}/catalog")
+        spark.read.parquet(f"{path}/catalog")  # a folder that a failed write has left has no files to infer from
     except AnalysisException:
         rebuild(read_json(spark, seed).drop("pos"), path)
-        return spark.read.schema(CATALOG).parquet(f"{path}/catalog")
+    return spark.read.schema(CATALOG).parquet(f"{path}/catalog")
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

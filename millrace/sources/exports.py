@@ -93,19 +93,35 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*safe).write.options(sep=";", quoteAll=True, header=True, escape='"', lineSep="\r\n", emptyValue="").csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Files of a record a line, nulls too; sources/catalog reads them back under a name that ends in .jsonl."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
+#: Rows of a single document; more go through write_csv, write_json or a written md_line().
+DOCUMENT_ROWS = 50_000
+
+
 def document(df: DataFrame, kind: str) -> str:
-    """One csv, md or json document of the rows in their order; for results of a search, which are bounded."""
+    """One csv, md or json document of the rows in their order; for results of a search, which are bounded: more
+    than DOCUMENT_ROWS are an error, and no more than that come to the driver."""
+
+    def rows(c: Column) -> list[str]:
+        found = [r[0] for r in df.select(c).limit(DOCUMENT_ROWS + 1).collect()]
+        if len(found) > DOCUMENT_ROWS:
+            raise ValueError(f"more than {DOCUMENT_ROWS} rows are no single document: use write_csv or write_json")
+        return found
+
     if kind == "csv":
-        lines = [csv_header(), *(r[0] for r in df.select(csv_line(df)).collect())]
-        return BOM + "".join(f"{x}\r\n" for x in lines)
+        return BOM + "".join(f"{x}\r\n" for x in [csv_header(), *rows(csv_line(df))])
     if kind == "md":
         head = [f"| {' | '.join(MD_HEADINGS)} |", "|" + "|".join("---" for _ in MD_HEADINGS) + "|"]
-        return "".join(f"{x}\n" for x in [*head, *(r[0] for r in df.select(md_line()).collect())])
+        return "".join(f"{x}\n" for x in [*head, *rows(md_line())])
     if kind == "json":
         import json
 
-        rows = [json.loads(x) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]]
-        return json.dumps(rows, ensure_ascii=False, indent=2) + "\n"
+        found = rows(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+        return json.dumps([json.loads(x) for x in found], ensure_ascii=False, indent=2) + "\n"
     raise ValueError(kind)
 
 

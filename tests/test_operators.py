@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.text import norm_title
@@ -239,3 +240,39 @@ def test_exports(spark, tmp_path):
     changes = lifecycle.diff(df, df.withColumn("title", F.lit("new")))
     lines = [r.line for r in exports.diff_report(changes, AS_OF, 1, "x").collect()]
     assert '| mit-1 | title | "=1+"x"" | "new" |' in lines and lines[0].startswith("# Reporte")
+
+
+def test_catalog_that_does_not_parse_is_an_error(spark, tmp_path):
+    """Cut JSON gives null, as a document does that is beyond one value: neither is an empty catalog, and no table
+    is left of it."""
+    cut, blank = (tmp_path / f"{n}.json" for n in ("cut", "blank"))
+    cut.write_text('[{"id": "a"}, {"id":')
+    blank.write_text(" \n")
+    table = str(tmp_path / "table")
+    for read in (store.read_json, store.read_raw, lambda s, p: store.open_catalog(s, table, p)):
+        with pytest.raises(Exception, match="beyond 128 MB"):
+            read(spark, str(cut)).collect()
+    with pytest.raises(Exception, match="beyond 128 MB"):
+        store.is_list(spark, str(cut))
+    good = tmp_path / "good.json"
+    good.write_text('[{"id": "a"}]')
+    assert store.open_catalog(spark, table, str(good)).count() == 1
+    assert store.read_json(spark, str(blank)).count() == 0 and not store.is_list(spark, str(blank))
+
+
+def test_catalog_lines_and_bounded_documents(spark, tmp_path, monkeypatch):
+    df = records(spark, *[{**GOOD, "id": f"mit-{i}", "language": ["en", None], "title": None if i % 3 else "é\n"} for i in range(40)]).drop("pos")
+    path = str(tmp_path / "catalog.jsonl")
+    exports.write_json(df.repartition(3), path)
+    back = store.read_json(spark, path)
+    assert back.select("pos").distinct().count() == 40 and sorted(back.drop("pos").collect(), key=lambda r: r.id) == sorted(df.collect(), key=lambda r: r.id)
+    assert store.is_list(spark, path) and store.read_raw(spark, path).count() == 40
+    assert store.open_catalog(spark, str(tmp_path / "table"), path).count() == 40
+    (tmp_path / "bad.jsonl").write_text('{"id": "a"}\n\n{"id":\n')
+    with pytest.raises(Exception, match="no JSON"):
+        store.read_json(spark, str(tmp_path / "bad.jsonl")).collect()
+    monkeypatch.setattr(exports, "DOCUMENT_ROWS", 39)
+    for kind in ("csv", "md", "json"):
+        with pytest.raises(ValueError, match="39 rows"):
+            exports.document(df, kind)
+        assert exports.document(df.limit(39), kind).count("mit-") >= 39
