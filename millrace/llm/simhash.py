@@ -81,29 +81,36 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return met.where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
+def parts(fps: DataFrame) -> DataFrame:
+    """(fp, component) of the fingerprints (fp) that are linked to another; component is the smallest of them."""
+    return components(links(fps.select("fp", F.col("fp").alias("rep")))).select(F.col("node").alias("fp"), "component")
+
+
 def link(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (long) and component_id, the smallest doc_id reachable over links, of each row of docs."""
     prints = materialize(fingerprints(docs, n, seed))
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = components(links(fps.where("rep is not null")))
-    named = fps.join(parts, fps.rep == parts.node, "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+    found = materialize(parts(fps).join(fps, "fp"))
+    least = found.groupBy("component").agg(F.min("rep").alias("least"))
+    named = fps.join(found.join(least, "component").select("fp", "least"), "fp", "left").select(
+        "fp", F.coalesce("least", "rep").alias("component_id")
     )
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
-    """One row of docs, with all columns, of each component: that of its smallest doc_id, and of rows that
-    share this id the one of the smallest hash. Rows without id have no group and stay."""
-    kept = materialize(link(docs, n, seed).where("doc_id = component_id").select("doc_id").distinct())
+    """One row of docs, with all columns, of each component of linked fingerprints: that of its smallest doc_id,
+    and of its rows that share this id the one of the smallest hash; an id that unrelated texts share stays with
+    each of them. Rows without id have no group and stay."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = (
-        docs.join(kept, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64(*columns), F.xxhash64(F.lit(7), *columns))).alias("row"))
-        .select("row.*")
-    )
-    return chosen.unionByName(docs.where("doc_id is null"))
+    place = F.struct(F.col("doc_id"), F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(7), *columns).alias("h2"), F.col("__row"))
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    numbered = rows.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), place))
+    fps = materialize(fingerprints(numbered, n, seed).groupBy("fp").agg(F.min("doc_id").alias("first")))
+    firsts = fps.join(parts(fps), "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    kept = materialize(firsts.where("first is not null").select(F.col("first.__row").alias("__row")))
+    chosen = rows.join(kept, "__row", "left_semi").unionByName(rows.where("doc_id is null"))
+    return chosen.select(*columns)
 
 
 def hex16(fp: Column) -> Column:

@@ -94,3 +94,21 @@ def test_edges(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_rows_without_id_and_reused_ids(spark, monkeypatch):
+    """A text that only a row without id has connects others; each text under a reused id keeps a copy."""
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    base, other = 0x123456789ABCDEF0, 0xFEDCBA9876543210
+    # the second is within two bits of the first and the third, which are four bits apart
+    rows = [(base, 5), (base ^ 0b11, None), (base ^ 0b1111, 9), (other, 7)]
+    signed = [(d, str(p - (1 << 64) if p >> 63 else p)) for p, d in rows]
+    docs = spark.createDataFrame(signed, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, n, seed: d.select("doc_id", F.col("text").cast("long").alias("fp")))
+    got = {x.doc_id: x.component_id for x in simhash.link(docs).collect()}
+    kept = sorted(x.doc_id or 0 for x in simhash.keep_one(docs).collect())
+    monkeypatch.undo()
+    assert got == {5: 5, None: 5, 9: 5, 7: 7} and kept == [0, 5, 7]
+    shared = [(1, text(1, 30)), (2, text(1, 30)), (2, text(2, 30)), (2, text(3, 30)), (2, text(3, 30)), (3, text(2, 30))]
+    df = spark.createDataFrame(shared, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in simhash.keep_one(df).collect()) == [(1, text(1, 30)), (2, text(2, 30)), (2, text(3, 30))]
