@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -11,30 +12,34 @@ from pyspark.sql import functions as F
 from millrace.functions.text import once
 
 POLICY = "struct<rules: array<struct<allow: boolean, path: string>>, delay_ms: double>"
-_LINE = re.compile(r"^([A-Za-z-]+)\s*:\s*(.*)$")
-_NUMBER = re.compile(r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)")
+#: A record of the file (RFC 9309): field, colon, value up to a comment; other lines say nothing.
+_RECORD = re.compile(r"^[^\S\n]*([A-Za-z-]+)[^\S\n]*:([^#\n]*)", re.M)
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)", re.A)
+
+
+def sections(text: str) -> list[list[tuple[str, str]]]:
+    """The file's groups as slices of its (field, value) records: a group starts at an agent line that no other
+    agent line, but for records that are no rules, comes right before. What stands before the first is left out."""
+    records = [(m[1].lower(), m[2].strip()) for m in _RECORD.finditer(text)]
+    agents = {i for i, (field, _) in enumerate(records) if field == "user-agent"}
+    ruled = {i for i, (field, value) in enumerate(records) if field == "disallow" or (field == "allow" and value)}
+    starts = [i for before, i in pairwise([-1, *sorted(agents | ruled)]) if i in agents and before not in agents]
+    return [records[a:b] for a, b in pairwise([*starts, len(records)])]
 
 
 def group_for(text: str, agent: str) -> dict:
-    """rules and delay_ms of the first group that names the agent, else of the first for all, else none."""
-    groups: list[dict] = []
-    for raw in re.split(r"\r?\n", text):
-        found = _LINE.match(raw.split("#", 1)[0].strip())
-        if not found:
-            continue
-        name, value = found[1].lower(), found[2].strip()
-        if name == "user-agent":
-            if not groups or groups[-1]["rules"]:
-                groups.append({"agents": [], "rules": [], "delay_ms": None})
-            groups[-1]["agents"].append(value.lower())
-        elif groups and (name == "disallow" or (name == "allow" and value)):
-            groups[-1]["rules"].append({"allow": name == "allow", "path": value})
-        elif groups and name == "crawl-delay" and (number := _NUMBER.match(value)) and float(number[0]) >= 0:
-            groups[-1]["delay_ms"] = float(number[0]) * 1000
-    own = [g for g in groups if any(a != "*" and a in agent.lower() for a in g["agents"])]
-    everyone = [g for g in groups if "*" in g["agents"]]
-    best = (own + everyone + [{"rules": [], "delay_ms": None}])[0]
-    return {"rules": best["rules"], "delay_ms": best["delay_ms"]}
+    """rules and delay_ms (None: not said) of the agent's group: the first of which an agent's name is within the
+    agent (kept as it is: neither whole names nor merged groups), else the first for all, else no rules."""
+    named = {"own": [], "all": []}
+    for section in sections(text):
+        names = {value.lower() for field, value in section if field == "user-agent"}
+        named["all"] += [section] * ("*" in names)
+        named["own"] += [section] * any(name in agent.lower() for name in names - {"*"})
+    chosen = next(iter(named["own"] + named["all"]), [])
+    rules = [{"allow": field == "allow", "path": value} for field, value in chosen if field == "disallow" or (field == "allow" and value)]
+    numbers = [_NUMBER.match(value) for field, value in chosen if field == "crawl-delay"]
+    delays = [1000 * float(n[0]) for n in numbers if n and float(n[0]) >= 0]
+    return {"rules": rules, "delay_ms": delays[-1] if delays else None}
 
 
 def policy(text: Column, agent: str) -> Column:

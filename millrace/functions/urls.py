@@ -18,7 +18,7 @@ SKIPPED_SUFFIXES = """.pdf .zip .tar .gz .mp4 .mp3 .avi .mov .png .jpg .jpeg .gi
 SKIPPED_PARTS = """/login /signin /sign-in /register /signup /checkout /cart /account /profile /password
 /logout /admin /search? /print/ /share facebook.com twitter.com linkedin.com instagram.com
 youtube.com/watch""".split()
-#: Paths of listings, of courses, and names of listings and of course material.
+#: Paths of listings and of single offers, and names of listings and of teaching material.
 LISTING_PATH = r"/(search|courses|cursos|catalog|catalogo|browse|explore|index|all)$"
 LISTING_NAME = r"^(search|courses?|cursos?|catalog|catálogo|browse|explore|all courses|home)\b"
 COURSE_PATH = r"/(course|courses|curso|cursos|learn|class|classes|program|training|mooc)s?/"

@@ -84,4 +84,4 @@ def retired(state: DataFrame) -> DataFrame:
 
 def summary(state: DataFrame) -> DataFrame:
     n = lambda name: F.count_if(F.col("status") == name)
-    return state.agg(F.count("*").alias("total"), n("activo").alias("active"), n("inestable").alias("unstable"), n("retirado").alias("retired"), F.count_if(F.col("is_course")).alias("courses"))
+    return state.agg(F.count("*").alias("total"), n("activo").alias("active"), n("inestable").alias("unstable"), n("retirado").alias("retired"), F.count_if(F.col("is_course")).alias("course_pages"))

@@ -1,6 +1,6 @@
 """The queries of the catalog engine over the driver's tables, and the SQL that gives the same rows.
 
-There is no catalog among the tables, so records are derived from orders and customers (courses()) and
+There is no catalog among the tables, so records are derived from orders and customers (records()) and
 markup from parts, by the same rules in both languages."""
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog records made of orders and their customers."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     key, first = F.col("o_orderkey"), F.left("o_orderpriority", F.lit(1))
@@ -57,8 +57,8 @@ def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-COURSES = """
-courses AS (
+RECORDS = """
+records AS (
   SELECT 'course-' || o_orderkey AS id, 'Course ' || (o_orderkey % 97) AS title, 'Institution ' || c_nationkey AS institution,
     CASE WHEN c_nationkey % 5 = 0 THEN 'proveedor-ia' ELSE 'institucion' END AS provider_type,
     CASE o_orderkey % 4 WHEN 0 THEN 'datos' WHEN 1 THEN 'salud' WHEN 2 THEN 'pmo' END AS domain,
@@ -77,7 +77,7 @@ ranked AS (
   SELECT *, CASE credential_type WHEN 'certificado gratuito' THEN 0 WHEN 'badge gratuito' THEN 1 WHEN 'declaracion de logro' THEN 2
       WHEN 'certificado pagado verificable' THEN 3 WHEN 'certificado pagado' THEN 4 ELSE CASE WHEN credential_type IS NULL THEN 6 ELSE 5 END END AS credential_rank,
     CASE WHEN verification_status = 'VERIFICADO' THEN 0 ELSE 1 END AS verified_rank
-  FROM courses)"""
+  FROM records)"""
 #: An address's canonical form, for addresses without users, ports and coded parameters.
 CANONICAL = """
 parts AS (
@@ -297,14 +297,14 @@ def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {COURSES} SELECT facet, value, count(*) AS n FROM (
+    f"""WITH {RECORDS} SELECT facet, value, count(*) AS n FROM (
       SELECT unnest([{{'facet': 'providerType', 'value': provider_type}}, {{'facet': 'domain', 'value': domain}}, {{'facet': 'institution', 'value': institution}},
-        {{'facet': 'credentialType', 'value': credential_type}}, {{'facet': 'verificationStatus', 'value': verification_status}}], recursive := true) FROM courses)
+        {{'facet': 'credentialType', 'value': credential_type}}, {{'facet': 'verificationStatus', 'value': verification_status}}], recursive := true) FROM records)
     WHERE value IS NOT NULL GROUP BY facet, value"""
 )
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"providerType": "provider_type", "domain": "domain", "institution": "institution", "credentialType": "credential_type", "verificationStatus": "verification_status"}
-    return search.facets(courses(spark, sf_dir), names)
+    return search.facets(records(spark, sf_dir), names)
 
 
 @_query(
@@ -319,47 +319,47 @@ def facet_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {COURSES} SELECT count(*) AS total, count(*) FILTER (credential_free AND credential_type = 'certificado gratuito') AS free_certificate,
+    f"""WITH {RECORDS} SELECT count(*) AS total, count(*) FILTER (credential_free AND credential_type = 'certificado gratuito') AS free_certificate,
     count(*) FILTER (credential_free AND credential_type = 'badge gratuito') AS free_badge, count(*) FILTER (NOT credential_free) AS paid_certificate,
     count(*) FILTER (credential_type IS NULL) AS no_credential, count(DISTINCT institution) AS institutions, count(*) FILTER (provider_type = 'institucion') AS from_institutions,
     count(*) FILTER (provider_type = 'proveedor-ia') AS from_ai_providers, count(*) FILTER (verification_status = 'VERIFICADO') AS verified,
-    count(*) FILTER (last_verified IS NULL OR date_diff('day', CAST(last_verified AS DATE), DATE '{AS_OF}') > 90) AS needs_reverify FROM courses"""
+    count(*) FILTER (last_verified IS NULL OR date_diff('day', CAST(last_verified AS DATE), DATE '{AS_OF}') > 90) AS needs_reverify FROM records"""
 )
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.stats(courses(spark, sf_dir), AS_OF)
+    return search.stats(records(spark, sf_dir), AS_OF)
 
 
 @_query(
-    f"""WITH {COURSES}, {RANKED} SELECT id, credential_rank, verified_rank, CAST(row_number() OVER w AS INTEGER) AS position FROM ranked
+    f"""WITH {RECORDS}, {RANKED} SELECT id, credential_rank, verified_rank, CAST(row_number() OVER w AS INTEGER) AS position FROM ranked
     WINDOW w AS (ORDER BY credential_rank, verified_rank, relevance_ppp_infra DESC NULLS LAST, institution NULLS FIRST, title NULLS FIRST, id) QUALIFY row_number() OVER w <= 2000"""
 )
 def ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranking.with_ranks(courses(spark, sf_dir))
+    ranked = ranking.with_ranks(records(spark, sf_dir))
     return ranking.top_k(ranked, ranking.named_order("recomendado"), search.MAX_ROWS).select("id", "credential_rank", "verified_rank", "position")
 
 
 @_query(
-    f"""WITH {COURSES} SELECT id, CAST(row_number() OVER w AS INTEGER) AS position FROM courses
+    f"""WITH {RECORDS} SELECT id, CAST(row_number() OVER w AS INTEGER) AS position FROM records
     WINDOW w AS (ORDER BY duration_weeks NULLS LAST, title, id) QUALIFY row_number() OVER w <= 500"""
 )
 def sorted_by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [*ranking.named_order("duracion"), F.col("id").asc()]
-    return ranking.top_k(courses(spark, sf_dir), order, 500).select("id", "position")
+    return ranking.top_k(records(spark, sf_dir), order, 500).select("id", "position")
 
 
 @_query(
-    f"""WITH {COURSES} SELECT id, institution, credential_type FROM courses WHERE domain = 'datos' AND provider_type = 'institucion' AND credential_free AND relevance_ppp_infra >= 1
+    f"""WITH {RECORDS} SELECT id, institution, credential_type FROM records WHERE domain = 'datos' AND provider_type = 'institucion' AND credential_free AND relevance_ppp_infra >= 1
     AND list_contains(list_transform(language, lambda x: lower(x)), 'es')"""
 )
 def filtered_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = search.Request(domain=" datos ", provider_type="institucion", credential_free=True, min_relevance=1, language="es", country=None, level="x" * 99)
-    return search.matching(courses(spark, sf_dir), request).select("id", "institution", "credential_type")
+    return search.matching(records(spark, sf_dir), request).select("id", "institution", "credential_type")
 
 
-@_query(f"WITH {COURSES} SELECT id FROM courses WHERE FALSE")
+@_query(f"WITH {RECORDS} SELECT id FROM records WHERE FALSE")
 def impossible_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value outside a closed list matches nothing, and nothing is read."""
-    return courses(spark, sf_dir).where(search.predicate(search.Request(domain="unknown"))).select("id")
+    return records(spark, sf_dir).where(search.predicate(search.Request(domain="unknown"))).select("id")
 
 
 @_query(
@@ -378,27 +378,27 @@ def full_text_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.full_text(index, "doc_id", search.query_phrases("the-on thing* ther"))
 
 
-@_query(f"WITH {COURSES} SELECT coalesce(domain, '(sin dato)') AS label, count(*) AS n FROM courses GROUP BY 1")
+@_query(f"WITH {RECORDS} SELECT coalesce(domain, '(sin dato)') AS label, count(*) AS n FROM records GROUP BY 1")
 def count_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.count_by(courses(spark, sf_dir), "domain").orderBy(*search.count_order())
+    return search.count_by(records(spark, sf_dir), "domain").orderBy(*search.count_order())
 
 
-@_query(f"WITH {COURSES} SELECT count(DISTINCT domain) + max(CASE WHEN domain IS NULL THEN 1 ELSE 0 END) AS n FROM courses")
+@_query(f"WITH {RECORDS} SELECT count(DISTINCT domain) + max(CASE WHEN domain IS NULL THEN 1 ELSE 0 END) AS n FROM records")
 def distinct_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.members(courses(spark, sf_dir), "domain")
+    return search.members(records(spark, sf_dir), "domain")
 
 
 # dates
 
 
 @_query(
-    f"""WITH {COURSES}, a AS (SELECT id, verification_status, CASE WHEN pos % 13 = 0 THEN '2000-02-30' ELSE last_verified END AS d FROM courses)
+    f"""WITH {RECORDS}, a AS (SELECT id, verification_status, CASE WHEN pos % 13 = 0 THEN '2000-02-30' ELSE last_verified END AS d FROM records)
     SELECT id, TRY_CAST(d AS DATE) IS NOT NULL AS is_date, date_diff('day', TRY_CAST(d AS DATE), DATE '{AS_OF}') AS age, coalesce(date_diff('day', TRY_CAST(d AS DATE), DATE '{AS_OF}') > 90, TRUE) AS stale,
     CASE WHEN verification_status <> 'VERIFICADO' THEN verification_status WHEN coalesce(date_diff('day', TRY_CAST(d AS DATE), DATE '{AS_OF}') > 90, TRUE) THEN 'REVERIFICAR' ELSE 'VERIFICADO' END AS derived FROM a"""
 )
 def stale_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(F.col("pos") % 13 == 0, "2000-02-30").otherwise(F.col("last_verified"))
-    return courses(spark, sf_dir).withColumn("d", day).select(
+    return records(spark, sf_dir).withColumn("d", day).select(
         "id",
         F.coalesce(dates.is_iso_date(F.col("d")), F.lit(False)).alias("is_date"),
         dates.days_since(F.col("d"), AS_OF).cast("long").alias("age"),
@@ -488,7 +488,7 @@ def retired_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH {STATE} SELECT count(*) AS total, count(*) FILTER (status = 'activo') AS active, count(*) FILTER (status = 'inestable') AS unstable,
-    count(*) FILTER (status = 'retirado') AS retired, count(*) FILTER (is_course) AS courses FROM named"""
+    count(*) FILTER (status = 'retirado') AS retired, count(*) FILTER (is_course) AS course_pages FROM named"""
 )
 def memory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.summary(memory.fold(visits(spark, sf_dir)))
@@ -498,15 +498,15 @@ def memory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    now = courses(spark, sf_dir).select("id", "title", "verification_status", "last_verified", "pos")
+    now = records(spark, sf_dir).select("id", "title", "verification_status", "last_verified", "pos")
     before = now.where("pos % 10 != 0").withColumn("title", F.when(F.col("pos") % 7 == 0, F.concat("title", F.lit(" old"))).otherwise(F.col("title")))
     after = now.where("pos % 9 != 0").withColumn("last_verified", F.when(F.col("pos") % 4 != 0, F.col("last_verified")))
     return before.drop("pos"), after.drop("pos")
 
 
 @_query(
-    f"""WITH {COURSES}, a AS (SELECT id, CASE WHEN pos % 7 = 0 THEN title || ' old' ELSE title END AS title, verification_status, last_verified FROM courses WHERE pos % 10 <> 0),
-    b AS (SELECT id, title, verification_status, CASE WHEN pos % 4 <> 0 THEN last_verified END AS last_verified FROM courses WHERE pos % 9 <> 0)
+    f"""WITH {RECORDS}, a AS (SELECT id, CASE WHEN pos % 7 = 0 THEN title || ' old' ELSE title END AS title, verification_status, last_verified FROM records WHERE pos % 10 <> 0),
+    b AS (SELECT id, title, verification_status, CASE WHEN pos % 4 <> 0 THEN last_verified END AS last_verified FROM records WHERE pos % 9 <> 0)
     SELECT b.id, 'added' AS change, NULL::VARCHAR AS field, NULL::VARCHAR AS old, NULL::VARCHAR AS new FROM b ANTI JOIN a ON a.id = b.id UNION ALL SELECT a.id, 'removed', NULL, NULL, NULL FROM a ANTI JOIN b ON a.id = b.id
     UNION ALL SELECT a.id, 'changed', 'title', a.title, b.title FROM a JOIN b ON a.id = b.id WHERE a.title IS DISTINCT FROM b.title
     UNION ALL SELECT a.id, 'changed', 'last_verified', a.last_verified, b.last_verified FROM a JOIN b ON a.id = b.id WHERE a.last_verified IS DISTINCT FROM b.last_verified"""
@@ -528,15 +528,15 @@ def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("pos")
     gone = key % 3 == 0
     note = F.when(key % 6 == 0, "[DEPRECADO 2000-01-01] Motivo: HTTP 404. Confirmado tras 3 verificaciones fallidas consecutivas. Los datos se conservan tal como fueron verificados por ultima vez. Nota propia.").when(key % 5 == 0, "Nota.")
-    return courses(spark, sf_dir).select(
+    return records(spark, sf_dir).select(
         "id", "url_official", F.when(gone, "NO_DISPONIBLE").otherwise(F.col("verification_status")).alias("verification_status"), F.lit("activo").alias("status"),
         F.lit(True).alias("enrollment_open"), F.lit(None).cast("string").alias("updated_at"), note.alias("notes"), "pos",
     )
 
 
 @_query(
-    f"""WITH {COURSES}, n AS (SELECT id, pos, CASE WHEN pos % 3 = 0 THEN 'NO_DISPONIBLE' ELSE verification_status END AS verification_status, (pos % 1000) % 4 = 1 AS hit, CASE WHEN pos % 6 = 0 THEN 'Nota propia.' WHEN pos % 5 = 0 THEN 'Nota.' END AS tail,
-      CASE WHEN pos % 6 = 0 THEN '[DEPRECADO 2000-01-01] Motivo: HTTP 404. Confirmado tras 3 verificaciones fallidas consecutivas. Los datos se conservan tal como fueron verificados por ultima vez. Nota propia.' WHEN pos % 5 = 0 THEN 'Nota.' END AS notes FROM courses),
+    f"""WITH {RECORDS}, n AS (SELECT id, pos, CASE WHEN pos % 3 = 0 THEN 'NO_DISPONIBLE' ELSE verification_status END AS verification_status, (pos % 1000) % 4 = 1 AS hit, CASE WHEN pos % 6 = 0 THEN 'Nota propia.' WHEN pos % 5 = 0 THEN 'Nota.' END AS tail,
+      CASE WHEN pos % 6 = 0 THEN '[DEPRECADO 2000-01-01] Motivo: HTTP 404. Confirmado tras 3 verificaciones fallidas consecutivas. Los datos se conservan tal como fueron verificados por ultima vez. Nota propia.' WHEN pos % 5 = 0 THEN 'Nota.' END AS notes FROM records),
     a AS (SELECT *, CASE WHEN hit AND verification_status <> 'NO_DISPONIBLE' THEN 'gone' WHEN NOT hit AND verification_status = 'NO_DISPONIBLE' THEN 'restored' END AS action FROM n)
     SELECT id, action, CASE action WHEN 'gone' THEN 'NO_DISPONIBLE' WHEN 'restored' THEN 'REVERIFICAR' ELSE verification_status END AS verification_status,
       CASE action WHEN 'gone' THEN '[DEPRECADO {AS_OF}] Motivo: HTTP 410. Confirmado tras 4 verificaciones fallidas consecutivas. Los datos se conservan tal como fueron verificados por ultima vez.' || coalesce(' ' || notes, '')
@@ -549,18 +549,18 @@ def deprecate_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.apply_retired(_noted(spark, sf_dir), gone, AS_OF).select("id", "action", "verification_status", "notes")
 
 
-@_query(f"WITH {COURSES} SELECT id, CASE WHEN pos % 2 = 0 THEN verification_status ELSE 'PENDIENTE' END AS verification_status FROM courses WHERE pos % 2 = 0 OR pos % 5 < 3")
+@_query(f"WITH {RECORDS} SELECT id, CASE WHEN pos % 2 = 0 THEN verification_status ELSE 'PENDIENTE' END AS verification_status FROM records WHERE pos % 2 = 0 OR pos % 5 < 3")
 def incorporate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = courses(spark, sf_dir)
+    every = records(spark, sf_dir)
     return lifecycle.incorporate(every.where("pos % 2 = 0"), every.where("pos % 5 < 3")).select("id", "verification_status")
 
 
 @_query(
-    f"""WITH {COURSES} SELECT c.id, CASE WHEN c.cost_access IS NULL THEN CASE c.pos % 4 WHEN 0 THEN 'undetermined' WHEN 1 THEN 'paid' WHEN 2 THEN 'free' ELSE 'undetermined' END END AS bucket,
-    CASE c.pos % 4 WHEN 1 THEN 49.5 END AS price FROM (SELECT *, CASE WHEN pos % 2 = 0 THEN 'gratis' END AS cost_access FROM courses UNION ALL SELECT *, NULL FROM courses WHERE FALSE) c WHERE cost_access IS NULL"""
+    f"""WITH {RECORDS} SELECT c.id, CASE WHEN c.cost_access IS NULL THEN CASE c.pos % 4 WHEN 0 THEN 'undetermined' WHEN 1 THEN 'paid' WHEN 2 THEN 'free' ELSE 'undetermined' END END AS bucket,
+    CASE c.pos % 4 WHEN 1 THEN 49.5 END AS price FROM (SELECT *, CASE WHEN pos % 2 = 0 THEN 'gratis' END AS cost_access FROM records UNION ALL SELECT *, NULL FROM records WHERE FALSE) c WHERE cost_access IS NULL"""
 )
 def access_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = courses(spark, sf_dir)
+    every = records(spark, sf_dir)
     catalog = every.withColumns({"cost_access": F.when(F.col("pos") % 2 == 0, "gratis"), "url_official": F.concat(F.lit("https://example.org/"), "id")})
     body = F.when(F.col("pos") % 4 == 1, "<p>Price: $49.50</p>").otherwise("<p>nothing</p>")
     pages = every.select(F.concat(F.lit("https://example.org/"), "id").alias("url"), F.lit(True).alias("ok"), body.alias("body"), F.lit(None).cast("string").alias("reason"))
@@ -629,11 +629,11 @@ def greedy_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return courses(spark, sf_dir).withColumns({"source_of_truth": F.when(F.col("pos") % 17 != 0, F.col("url_official")), "notes": F.when(F.col("pos") % 2 == 0, "  "), "id": F.when(F.col("pos") % 19 == 0, F.concat("id", F.lit("_"))).otherwise(F.col("id"))})
+    return records(spark, sf_dir).withColumns({"source_of_truth": F.when(F.col("pos") % 17 != 0, F.col("url_official")), "notes": F.when(F.col("pos") % 2 == 0, "  "), "id": F.when(F.col("pos") % 19 == 0, F.concat("id", F.lit("_"))).otherwise(F.col("id"))})
 
 
 @_query(
-    f"""WITH {COURSES}, r AS (SELECT * REPLACE (CASE WHEN pos % 19 = 0 THEN id || '_' ELSE id END AS id), CASE WHEN pos % 17 <> 0 THEN url_official END AS source_of_truth, CASE WHEN pos % 2 = 0 THEN '  ' END AS notes FROM courses),
+    f"""WITH {RECORDS}, r AS (SELECT * REPLACE (CASE WHEN pos % 19 = 0 THEN id || '_' ELSE id END AS id), CASE WHEN pos % 17 <> 0 THEN url_official END AS source_of_truth, CASE WHEN pos % 2 = 0 THEN '  ' END AS notes FROM records),
     i AS (SELECT id, 'error' AS level, 'domain' AS field, 'Campo obligatorio ausente.' AS message FROM r WHERE domain IS NULL UNION ALL SELECT id, 'error', 'source_of_truth', 'Campo obligatorio ausente.' FROM r WHERE source_of_truth IS NULL
     UNION ALL SELECT id, 'error', 'id', 'El id debe ser kebab-case sin acentos.' FROM r WHERE pos % 19 = 0 UNION ALL SELECT id, 'error', 'notes', 'String vacío: usar null.' FROM r WHERE trim(notes) = ''
     UNION ALL SELECT id, 'error', 'credential_type', 'Valor fuera de la lista permitida: otro' FROM r WHERE credential_type = 'otro'
@@ -651,26 +651,26 @@ def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {COURSES} SELECT CAST(0 AS BIGINT) AS errors, count(*) - count(DISTINCT url_official) AS warnings, count(*) - count(DISTINCT url_official) AS total FROM courses"""
+    f"""WITH {RECORDS} SELECT CAST(0 AS BIGINT) AS errors, count(*) - count(DISTINCT url_official) AS warnings, count(*) - count(DISTINCT url_official) AS total FROM records"""
 )
 def duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.summary(validation.duplicate_issues(courses(spark, sf_dir)))
+    return validation.summary(validation.duplicate_issues(records(spark, sf_dir)))
 
 
 # links
 
 
-LINKS = """t AS (SELECT id, 'url_official' AS field, url_official AS url, pos FROM courses UNION ALL SELECT id, 'source_of_truth', 'https://example.org/s', pos FROM courses WHERE pos % 3 = 0),
+LINKS = """t AS (SELECT id, 'url_official' AS field, url_official AS url, pos FROM records UNION ALL SELECT id, 'source_of_truth', 'https://example.org/s', pos FROM records WHERE pos % 3 = 0),
     p AS (SELECT *, CASE pos % 6 WHEN 0 THEN 200 WHEN 1 THEN 405 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 301 END AS head, CASE pos % 6 WHEN 1 THEN 200 WHEN 3 THEN 500 END AS get FROM t)"""
 
 
 @_query(
-    f"""WITH {COURSES}, {LINKS} SELECT id, field, CASE WHEN head = 405 OR head >= 500 THEN get ELSE head END AS status, coalesce(CASE WHEN head = 405 OR head >= 500 THEN get ELSE head END BETWEEN 200 AND 399, FALSE) AS ok,
+    f"""WITH {RECORDS}, {LINKS} SELECT id, field, CASE WHEN head = 405 OR head >= 500 THEN get ELSE head END AS status, coalesce(CASE WHEN head = 405 OR head >= 500 THEN get ELSE head END BETWEEN 200 AND 399, FALSE) AS ok,
     CASE WHEN pos % 6 = 4 THEN 'https://example.org/new' END AS redirect FROM p"""
 )
 def link_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    every = courses(spark, sf_dir).withColumns({"url_credential_info": none, "url_syllabus": F.lit(""), "source_of_truth": F.when(F.col("pos") % 3 == 0, "https://example.org/s")})
+    every = records(spark, sf_dir).withColumns({"url_credential_info": none, "url_syllabus": F.lit(""), "source_of_truth": F.when(F.col("pos") % 3 == 0, "https://example.org/s")})
     pick = lambda *v: F.element_at(F.array(*[F.lit(x).cast("int") for x in v]), (F.substring_index("id", "-", -1).cast("long") % 6 + 1).cast("int"))
     head = pick(200, 405, 404, 503, 301, None)
     probes = links.targets(every).withColumns(
@@ -716,19 +716,19 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {COURSES} SELECT id, '"' || id || '";"' || title || '";"' || institution || '";"' || CASE WHEN credential_free THEN 'sí' WHEN NOT credential_free THEN 'no' ELSE '' END || '";"' || coalesce(array_to_string(language, ', '), '') || '";"' || CAST(duration_weeks AS BIGINT) || '";"'
-    || CASE WHEN pos % 2 = 0 THEN '''=1+""x""' ELSE 'a|b' END || '"' AS line FROM courses"""
+    f"""WITH {RECORDS} SELECT id, '"' || id || '";"' || title || '";"' || institution || '";"' || CASE WHEN credential_free THEN 'sí' WHEN NOT credential_free THEN 'no' ELSE '' END || '";"' || coalesce(array_to_string(language, ', '), '') || '";"' || CAST(duration_weeks AS BIGINT) || '";"'
+    || CASE WHEN pos % 2 = 0 THEN '''=1+""x""' ELSE 'a|b' END || '"' AS line FROM records"""
 )
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = courses(spark, sf_dir).withColumn("formula", F.when(F.col("pos") % 2 == 0, '=1+"x"').otherwise("a|b"))
+    every = records(spark, sf_dir).withColumn("formula", F.when(F.col("pos") % 2 == 0, '=1+"x"').otherwise("a|b"))
     return every.select("id", exports.csv_line(every, ["id", "title", "institution", "credential_free", "language", "duration_weeks", "formula"]).alias("line"))
 
 
 @_query(
-    f"""WITH {COURSES} SELECT id, '| ' || id || ' | ' || title || ' | ' || CASE WHEN pos % 2 = 0 THEN 'a\\|b c' ELSE '' END || ' | ' || coalesce(credential_type, 'sin credencial') || ' |  | ' || verification_status || ' | [abrir](' || url_official || ') |' AS line FROM courses"""
+    f"""WITH {RECORDS} SELECT id, '| ' || id || ' | ' || title || ' | ' || CASE WHEN pos % 2 = 0 THEN 'a\\|b c' ELSE '' END || ' | ' || coalesce(credential_type, 'sin credencial') || ' |  | ' || verification_status || ' | [abrir](' || url_official || ') |' AS line FROM records"""
 )
 def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = courses(spark, sf_dir).withColumns({"institution": F.when(F.col("pos") % 2 == 0, "a|b\nc"), "credential_price_usd": F.lit(None).cast("double")})
+    every = records(spark, sf_dir).withColumns({"institution": F.when(F.col("pos") % 2 == 0, "a|b\nc"), "credential_price_usd": F.lit(None).cast("double")})
     return every.select("id", exports.md_line().alias("line"))
 
 

@@ -12,6 +12,8 @@ from millrace.operators.search import postings
 from millrace.schema import CATALOG
 
 
+#: Fixed value: the key that a document may have its list of records under.
+WRAPPER = "courses"
 #: A path with such an end has a record a line and is read in parallel, in a file or a folder of parts.
 LINES = (".jsonl", ".ndjson")
 
@@ -26,15 +28,15 @@ def _parsed(spark: SparkSession, path: str, whole: bool) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """pos and record of a JSON document, a list or {"courses": list}, or of lines; pos rises with the place."""
+    """pos and record of a JSON document, a list or a list under WRAPPER, or of lines; pos rises with the place."""
     if path.rstrip("/").endswith(LINES):
         return _parsed(spark, path, False).select(F.monotonically_increasing_id().alias("pos"), F.col("v").alias("record"))
-    listed = F.coalesce(F.try_variant_get("v", "$.courses", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+    listed = F.coalesce(F.try_variant_get("v", f"$.{WRAPPER}", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
     return _parsed(spark, path, True).select(F.posexplode(listed).alias("pos", "record"))
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType = CATALOG) -> DataFrame:
-    """Records of a JSON document, a list or {"courses": list}, or of lines, with pos, their place in it (of lines
+    """Records of a JSON document, a list or a list under WRAPPER, or of lines, with pos, their place in it (of lines
     it rises, with gaps)."""
     fields = [F.try_variant_get("record", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema]
     return _records(spark, path).select("pos", *fields)
