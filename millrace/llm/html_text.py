@@ -9,21 +9,28 @@ expected counts) to labelled pages, in which data-main="1" or "0" marks an eleme
 Blocks are parted by block elements and <br>; white space inside one becomes one space; blocks are joined
 by a space in page order. Null and empty pages, and pages without content, have an empty text; broken
 markup is read as browsers do, near enough: unclosed paragraphs end at the next block, stray end tags
-are ignored. Repeated rows are read each; an empty table gives an empty result. Only page_id, url and
-html are read.
+are ignored, a tag or comment that never ends is text or nothing. Pages are read whole; the time grows with
+their length, whatever their markup: elements below DEEPEST levels hang there, and names that the model does
+not know are no features. Equal marginals (one half) are no content. Repeated rows are read each; an empty
+table gives an empty result. Only page_id, url and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import html_samples
+
 #: Pages whose messages are passed together.
 BATCH = 256
 
@@ -50,14 +57,22 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+CELLS = frozenset(["td", "th", "table"])
+BREAKS_CELLS = frozenset("table tr tbody thead tfoot body html".split())
 SCOPE = frozenset(["table", "td", "th", "caption", "button", "object", "template", "html"])
 
-MARKUP = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S
-)
-NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: What may follow "<" in a tag: its name, then attributes, in which a quoted value may hold ">".
+TAG = re.compile(r"(/?+)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+LOOSE_TAG = re.compile(r"(/?+)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+NAME_START = re.compile(r"/?[a-zA-Z]")
+COMMENT_END = re.compile(r"--!?>")
+#: Browsers nest no deeper than about this either.
+DEEPEST = 256
+NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role|itemprop|aria-label)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 MARK = re.compile(r"data-main=\"([01])\"")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What a claim of rights says.
+RIGHTS = re.compile(r"©|&copy;|&#169;|&#xa9;|\bcopyright\b|\(c\)|\brights reserved\b|\brechte vorbehalten\b|\bderechos reservados\b|\bdroits réservés\b", re.I)
 EDGE_KINDS = 7
 BOUNDS = frozenset("nav header footer aside form menu search dialog".split())
 
@@ -74,45 +89,69 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)  # (-1, "") between blocks
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """(slash, name, attributes, start, end) of each tag; name is "" for comments and declarations. Every place is
+    looked at a few times at most: what ends nowhere is only searched for once."""
+    at, last, tag = source.find("<"), source.rfind(">"), TAG
+    while 0 <= at < last:
+        m = tag.match(source, at + 1)
+        if m is None and tag is TAG and NAME_START.match(source, at + 1):
+            tag = LOOSE_TAG  # quotes that hide every ">" from here on are no quotes
+            continue
+        if m:
+            end = m.end()
+            yield m[1], m[2].lower(), m[3], at, end
+        elif source.startswith("!--", at + 1):
+            closed = COMMENT_END.search(source, at + 2)  # <!--> is a comment too
+            end = closed.end() if closed else len(source)
+            yield "", "", "", at, end
+        elif source[at + 1] in "!?" or source.startswith("/", at + 1):
+            end = source.index(">", at) + 1
+            yield "", "", "", at, end
+        else:
+            end = at + 1
+        raw = m and not m[1] and m[2].lower()
+        if raw in RAW or raw in ("textarea", "title"):
+            closed = re.compile(f"</{raw}(?=[\\s/>])", re.I).search(source, end)
+            end = closed.start() if closed else len(source)
+        at = source.find("<", end)
+
+
 def parse(source: str) -> Page:
-    page, stack, unseen, at, n = Page(), [0], 0, 0, len(source)
+    page, stack, unseen, at = Page(), [0], 0, 0
     tags, runs = page.tags, page.runs
+    opened, beyond = Counter(), Counter()  # open elements by tag; those that hang too deep to be on the stack
 
     def pop_to(k: int) -> None:
         nonlocal unseen
         for node in stack[k:]:
             unseen -= tags[node] in UNSEEN
+            opened[tags[node]] -= 1
             if tags[node] not in INLINE:
                 runs.append((-1, ""))
         del stack[k:]
 
     def close(names: frozenset[str], limits: frozenset[str]) -> None:
+        if not any(opened[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if tags[stack[k]] in names:
                 return pop_to(k)
             if tags[stack[k]] in limits:
-                return None
-
-    while at < n:
-        m = MARKUP.search(source, at)
-        upto = m.start() if m else n
-        if upto > at and not unseen:
-            runs.append((stack[-1], source[at:upto]))
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+                return
+
+    for slash, tag, attributes, start, end in tokens(source):
+        if start > at and not unseen:
+            runs.append((stack[-1], source[at:start]))
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    pop_to(k)
-                    break
-                if tags[stack[k]] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+        if slash:
+            if beyond[tag]:
+                beyond[tag] -= 1
+            elif opened[tag]:
+                close(frozenset([tag]), frozenset() if tag in BREAKS_CELLS else CELLS)
             continue
-        attributes = m[3]
         if tag in ENDS_P:
             close(frozenset(["p"]), SCOPE)
         if tag in CLOSES:
@@ -128,14 +167,14 @@ def parse(source: str) -> Page:
         page.depths.append(page.depths[parent] + 1)
         mark = MARK.search(attributes)
         page.labels.append(int(mark[1]) if mark else page.labels[parent])
-        stack.append(node)
-        unseen += tags[node] in UNSEEN
-        if tag in RAW or tag == "textarea" or tag == "title":
-            end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
-            upto = end.start() if end else n
-            if upto > at and not unseen:
-                runs.append((node, source[at:upto]))
-            at = upto
+        if len(stack) > DEEPEST and (unseen or tag not in UNSEEN):
+            beyond[tag] += 1
+        else:
+            stack.append(node)
+            opened[tag] += 1
+            unseen += tag in UNSEEN
+    if len(source) > at and not unseen:
+        runs.append((stack[-1], source[at:]))
     return page
 
 
@@ -143,13 +182,15 @@ def _bin(x: int, most: int = 12) -> int:
     return min(x.bit_length(), most)
 
 
-def features(page: Page) -> list[list[str]]:
-    """The names of each node's features."""
+def features(page: Page, known: Container[str] | None = None) -> list[list[str]]:
+    """The names of each node's features; of what nodes and those above are called, only known ones (all if None)."""
     n = len(page.tags)
-    text, linked, ends, own = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
+    text, linked, ends, own, rights = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    in_link, heads = [False] * n, [0] * n
     for i in range(1, n):
         in_link[i] = page.tags[i] == "a" or in_link[page.parents[i]]
+        heads[i] = page.tags[i] == "h1" and not in_link[page.parents[i]]
+    first_head = heads.index(True) if any(heads) else n
     for node, s in page.runs:
         if node >= 0:
             size = len(s) - s.count(" ") - s.count("\n") if len(s) < 200 else len(s)
@@ -157,21 +198,30 @@ def features(page: Page) -> list[list[str]]:
             own[node] += size
             linked[node] += size if in_link[node] else 0
             ends[node] += s.count(". ") + s.count(", ") + (s.rstrip()[-1:] in (".", "!", "?", "…"))
+            rights[node] |= bool(RIGHTS.search(s))
+    claims = list(rights)
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
         text[p] += text[i]
         linked[p] += linked[i]
         ends[p] += ends[i]
+        rights[p] |= rights[i]
+        heads[p] += heads[i]
     out: list[list[str]] = []
     above: list[list[str]] = []  # what the nodes above are called, and the node itself
     for i in range(n):
         tag, over = page.tags[i], above[page.parents[i]] if i else []
         density = 4 * linked[i] // text[i] if text[i] else -1
-        f = ["1", f"t {tag}", f"n {_bin(text[i])}", f"l {density}", f"e {_bin(ends[i], 6)}", f"o {_bin(own[i])}", f"tl {tag} {density}", f"tn {tag} {_bin(text[i]) // 3}"]
-        names = [x.lower() for x in PARTS.findall(page.names[i])] if page.names[i] else []
+        share = 8 * text[i] // text[0] if text[0] else 0
+        side = "none" if first_head == n else "with" if heads[i] else "before" if i < first_head else "after"
+        size = _bin(text[i])
+        f = ["1", f"t {tag}", f"n {size}", f"l {density}", f"e {_bin(ends[i], 6)}", f"o {_bin(own[i])}", f"tl {tag} {density}", f"tn {tag} {size // 3}", f"s {share}", f"h {side}", f"hl {side} {density}", f"hs {side} {share}"]
+        if rights[i]:
+            f += [f"r {size // 2}", "claim"][: 1 + claims[i]]
+        names = [x for x in map(str.lower, PARTS.findall(page.names[i])) if known is None or f"c {x}" in known or f"ac {x}" in known] if page.names[i] else []
         f += [f"c {x}" for x in dict.fromkeys(names)]
         f += over
-        new = [x for x in (f"a {tag}", *[f"ac {x}" for x in names]) if x not in over] if tag not in INLINE else []
+        new = [x for x in (f"a {tag}", *[f"ac {x}" for x in names]) if x not in over and (known is None or x in known)] if tag not in INLINE else []
         above.append(over + list(dict.fromkeys(new)) if new else over)
         if page.names[i]:
             f.append("named")
@@ -196,6 +246,7 @@ class Forest:
     kinds: np.ndarray
     levels: list[slice]
     back: np.ndarray  # place of each node in page order
+    over: list[tuple[np.ndarray, np.ndarray]]  # of each level: where a parent's children start, and the parents
 
 
 def forest(pages: list[Page]) -> Forest:
@@ -207,7 +258,10 @@ def forest(pages: list[Page]) -> Forest:
     back = np.empty(len(order), dtype=np.int64)
     back[order] = np.arange(len(order))
     cuts = np.searchsorted(depths[order], np.arange(depths.max() + 2))
-    return Forest(back[parents[order]], kinds[order], [slice(a, b) for a, b in zip(cuts, cuts[1:])], back)
+    levels, parents = [slice(a, b) for a, b in zip(cuts, cuts[1:])], back[parents[order]]
+    # children of one parent stand together, as both levels are in page order
+    starts = [np.flatnonzero(np.diff(parents[x], prepend=-1)) for x in levels]
+    return Forest(parents, kinds[order], levels, back, [(s, parents[x][s]) for s, x in zip(starts, levels)])
 
 
 def sum_product(f: Forest, scores: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,9 +270,9 @@ def sum_product(f: Forest, scores: np.ndarray, edges: np.ndarray) -> tuple[np.nd
     up[:, 1] = scores
     sent = np.zeros((len(scores), 2))
     pair = edges[f.kinds]  # node, parent's label, own label
-    for level in reversed(f.levels[1:]):
+    for level, (starts, parents) in reversed(list(zip(f.levels, f.over))[1:]):
         sent[level] = np.logaddexp(*np.moveaxis(up[level][:, None, :] + pair[level], 2, 0))
-        np.add.at(up, f.parents[level], sent[level])
+        up[parents] += np.add.reduceat(sent[level], starts)
     down = np.zeros((len(scores), 2))
     both = np.zeros((len(scores), 2, 2))
     for level in f.levels[1:]:
@@ -243,14 +297,14 @@ class Model:
         """Which nodes of each page are content."""
         get = self.weights.get
         f = forest(pages)
-        scores = np.fromiter((sum(get(x, 0.0) for x in node) for p in pages for node in features(p)), dtype=float)
+        scores = np.fromiter((sum(get(x, 0.0) for x in node) for p in pages for node in features(p, self.weights)), dtype=float)
         by_depth = np.empty_like(scores)
         by_depth[f.back] = scores
         p = sum_product(f, by_depth, self.edges)[0][f.back]
         return np.split(p > 0.5, np.cumsum([len(x.tags) for x in pages])[:-1])
 
 
-def fit(labelled: list[str], steps: int = 150, rate: float = 0.1, l2: float = 0.005) -> Model:
+def fit(labelled: list[str], steps: int = 300, rate: float = 0.1, l2: float = 0.002) -> Model:
     """Maximum likelihood on pages with data-main marks, by Adam's steps on the exact gradient."""
     pages = [parse(x) for x in labelled]
     f = forest(pages)
@@ -284,6 +338,12 @@ def fit(labelled: list[str], steps: int = 150, rate: float = 0.1, l2: float = 0.
     return Model(weights, w[size:].reshape(EDGE_KINDS, 2, 2))
 
 
+@cache
+def built_in() -> Model:
+    """The model of html_samples' pages, fitted once a process."""
+    return fit(html_samples.labelled_pages())
+
+
 def main_text(page: Page, content: np.ndarray) -> str:
     blocks, parts = [], []
     for node, s in [*page.runs, (-1, "")]:
@@ -296,8 +356,9 @@ def main_text(page: Page, content: np.ndarray) -> str:
     return " ".join(blocks)
 
 
-def extract(pages: DataFrame, model: Model) -> DataFrame:
-    """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
+def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of each row of pages (page_id, url, html); model: the built-in one if None."""
+    model = model or built_in()
 
     @F.arrow_udf("string")
     def text_of(sources: pa.Array) -> pa.Array:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, chunks, decontaminate, html_samples, html_text, mixing, quality, simhash, suffix_dedup, token_shards, url_filter
+from millrace.llm import chat, chunks, decontaminate, html_text, mixing, quality, simhash, suffix_dedup, token_shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = html_text.fit(html_samples.labelled_pages())
-    return html_text.extract(_table(spark, sf_dir, "pages"), model)
+    return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
 def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,20 @@
+import sys
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from millrace.llm import html_samples, html_text
 
+sys.path.insert(0, str(Path(__file__).parent))
+
+from hand_pages import PAGES, UNSEEN  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def model():
-    return html_text.fit(html_samples.labelled_pages())
+    return html_text.built_in()
 
 
 def text_of(model, source):
@@ -59,6 +67,42 @@ def test_layouts(model, around, inside):
     assert text_of(model, page) == TEXT
 
 
+@pytest.mark.parametrize("name", [*PAGES, *UNSEEN])
+def test_hand_written_pages(model, name):
+    source, wanted = (PAGES | UNSEEN)[name]
+    assert text_of(model, source) == wanted
+
+
+HOSTILE = {
+    "unclosed tags": "<a" * 500_000,
+    "unclosed declarations": "<!-" * 330_000,
+    "quotes that hide the end": "<a " * 300_000 + 'x=">"',
+    "one tag after another unclosed": "<a x='\"" * 150_000,
+    "long name": "<a" * 500_000 + ">",
+    "comments": "<!--" * 250_000 + ">",
+    "raw text": "<title><" * 120_000,
+    "deep": "<div>" * 100_000 + "x" + "</p>" * 100_000,
+    "deep in a cell": "<p><table><tr><td>" + "<i>" * 100_000 + "<div></div>" * 60_000,
+    "unseen": "<svg>" * 100_000 + "x" + "</svg>" * 100_000,
+    "many names": "<div class='menu " + "x y z " * 150_000 + "'>" + "<div>" * 20_000,
+    "tables": "<table><td>" * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_markup_takes_time_in_proportion(model, name):
+    """A megabyte or so: seconds at most, where time by the square of the length would take hours."""
+    began = time.process_time()
+    text_of(model, HOSTILE[name])
+    assert time.process_time() - began < 10
+
+
+def test_long_page(model):
+    body = "".join(f"<p>Sentence number {i} of a very long story, told once.</p>" for i in range(20_000))
+    got = text_of(model, f"<body><nav><a href=/>Home</a></nav><article><h1>Long</h1>{body}</article><footer>&copy; us</footer></body>")
+    assert got == "Long " + " ".join(f"Sentence number {i} of a very long story, told once." for i in range(20_000))
+
+
 def test_parts_inside_the_article_are_left_out(model):
     page = f"<body><article>{BODY}<div class='ad'>Sponsored: buy this now.</div><p>The last words of it.</p><!-- <p>hidden</p> --></article></body>"
     assert text_of(model, page) == TEXT + " The last words of it."
@@ -74,7 +118,8 @@ def test_odd_markup(model):
 
 def test_operator(spark, model, edge_docs):
     pages = spark.createDataFrame(
-        [(1, "u", f"<body><nav><a href=/>Home</a></nav><article>{BODY}</article></body>", "x"), (1, "u", None, "x"), (None, None, "", None)], "page_id long, url string, html string, text string"
+        [(1, "u", f"<body><nav><a href=/>Home</a></nav><article>{BODY}</article></body>", "x", 7), (1, "u", None, "x", 7), (None, None, "", None, None)],
+        "page_id long, url string, html string, text string, n_chars int",
     )
     rows = sorted(html_text.extract(pages, model).collect(), key=str)
     assert sorted((r.text, r.n_chars) for r in rows) == [("", 0), ("", 0), (TEXT, len(TEXT))]
