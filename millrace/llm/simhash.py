@@ -1,16 +1,20 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has two segments of 32 bits. Two fingerprints are at most 2 bits apart exactly when they
-differ by (0, up to 2), (up to 2, 0) or (1, 1) bits in the segments. So the table is entered under each
-member of the Hamming ball of radius 1 round one segment, next to the other segment as it is: 65 entries
-a fingerprint. Fingerprints at most 2 apart meet in such an entry, and those that meet are at most 2
-apart, which the full distance then verifies. An entry holds at most 65 different fingerprints, however
-many documents there are; they are linked in a chain, not pair by pair, so the work grows with the
-number of different fingerprints and has no hot key.
+A fingerprint has two segments of 32 bits. Two fingerprints at most max_bits apart agree in one segment but
+for max_bits // 2 bits (pigeonhole). So there is a table for each segment, from its value to the fingerprints
+that have it; each fingerprint enumerates the Hamming ball of that radius round each of its segments, fetches
+the fingerprints found there, and the distance over all bits decides. Of two values a bit apart only the one
+without the bit looks for the other, which halves the balls.
+
+A value that more than MOST different fingerprints share (of a large group of near copies, say) is not paired
+with all of them. Who meets such a value is entered in a further table instead, under each whole fingerprint
+at most one bit off: there all that meet are at most two bits apart, so a chain links them, not pairs. Both
+ways are exact; the work grows with the number of different fingerprints, and no key is hot.
 
 A null or blank text has fingerprint zero. Copies and repeated rows share a fingerprint and a component.
-A null doc_id gets its fingerprint and the smallest id it is linked to, or null. An empty table gives an
-empty result. Only doc_id and text are read; keep_one() gives back all columns of its input.
+A null doc_id gets its fingerprint and the smallest id it is linked to, or null. Texts are read whole, however
+long; a bit set in just half of the hashes (a tie) is 0. An empty table gives an empty result. Only doc_id and
+text are read; keep_one() gives back all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, materialize
+from millrace.llm.common import columns_of, components, materialize, spare
 
 BITS, SEGMENT = 64, 32
-#: Bits that two fingerprints with a common entry are at most apart.
+#: Bits that links() reaches at most, as the chains do.
 REACH = 2
+#: Fingerprints of one segment value that are compared one by one.
+MOST = 64
 #: Hashes turned into bits at a time: 64 bytes each.
 CHUNK = 1 << 16
 
@@ -59,31 +65,55 @@ def fingerprints(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", prints(F.col("text").cast("binary")).alias("fp"))
 
 
-def entries(fp: Column) -> Column:
-    """The table entries of a fingerprint: the ball of radius 1 round each segment, the other as it is."""
-    one = F.lit(1).cast("long")
-    low = [fp] + [fp.bitwiseXOR(F.shiftleft(one, i)) for i in range(SEGMENT)]
-    high = [fp.bitwiseXOR(F.shiftleft(one, i)) for i in range(SEGMENT, BITS)]
-    return F.array(*low, *high)
+def segments(fp: Column) -> Column:
+    """The table keys of a fingerprint: each segment's value, with the number of the segment above it."""
+    mask = F.lit((1 << SEGMENT) - 1).cast("long")
+    keys = [F.shiftrightunsigned(fp, SEGMENT * s).bitwiseAND(mask).bitwiseOR(F.lit(s << SEGMENT).cast("long")) for s in range(BITS // SEGMENT)]
+    return F.array(*keys)
+
+
+def ball(key: Column, radius: int) -> Column:
+    """The keys to look up for one key: itself and, for radius 1, those with one bit more (null for each bit it has)."""
+    bits = [F.shiftleft(F.lit(1).cast("long"), i) for i in range(SEGMENT * radius)]
+    return F.array(key, *[F.when(key.bitwiseAND(bit) == 0, key.bitwiseOR(bit)) for bit in bits])
+
+
+def distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): edges between the representatives of different fingerprints (fp, rep); what they connect is
-    what all pairs at most max_bits apart connect. The table does not reach beyond 2 bits."""
+def links(fps: DataFrame, max_bits: int = 2, most: int = MOST) -> DataFrame:
+    """(a, b): edges between different fingerprints (fp); what they connect is what all pairs at most max_bits
+    apart connect."""
     if not 0 <= max_bits <= REACH:
-        raise ValueError(f"max_bits must be 0 to {REACH}: the entries of fingerprints further apart do not meet")
-    table = fps.select("fp", "rep", F.explode(entries(F.col("fp"))).alias("entry"))
-    before = Window.partitionBy("entry").orderBy("fp")
-    met = table.select(
-        "fp", "rep", F.lag("fp").over(before).alias("fp2"), F.lag("rep").over(before).alias("rep2")
-    ).where("fp2 is not null")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_bits
-    return met.where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+        raise ValueError(f"max_bits must be 0 to {REACH}: the tables do not reach further")
+    table = fps.select("fp", F.explode(segments(F.col("fp"))).alias("key"))
+    sizes = table.groupBy("key").agg(F.count("*").alias("n"))
+    # of a crowded value only that it is one
+    found = table.join(sizes, "key").select("key", F.when(F.col("n") <= most, F.col("fp")).alias("other")).distinct()
+    probes = table.select("fp", F.explode(ball(F.col("key"), max_bits // 2)).alias("key")).where("key is not null")
+    near = F.col("other").isNull() | ((F.col("fp") != F.col("other")) & (distance("fp", "other") <= max_bits))
+    met = materialize(probes.join(found, "key").where(near).select("fp", "other"))
+    pairs = met.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    return pairs.unionByName(chains(met.where("other is null").select("fp").distinct(), max_bits)).distinct()
+
+
+def chains(fps: DataFrame, max_bits: int) -> DataFrame:
+    """As links(), by whole values: a fingerprint is entered under itself and each value one bit off, so that an
+    entry has 65 of them at most, two bits apart at most. For two bits each is linked to the one before it in an
+    entry, for one bit to the fingerprint that the entry is."""
+    off = [F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(BITS)]
+    table = fps.select(F.col("fp").alias("a"), F.explode(F.array("fp", *off)).alias("entry"))
+    if max_bits < 2:
+        met = table.join(fps.select(F.col("fp").alias("b")), F.col("entry") == F.col("b"))
+    else:
+        met = table.select("a", F.lag("a").over(Window.partitionBy("entry").orderBy("a")).alias("b")).where("b is not null")
+    return met.where((F.col("a") != F.col("b")) & (distance("a", "b") <= max_bits)).select("a", "b")
 
 
 def parts(fps: DataFrame) -> DataFrame:
     """(fp, component) of the fingerprints (fp) that are linked to another; component is the smallest of them."""
-    return components(links(fps.select("fp", F.col("fp").alias("rep")))).select(F.col("node").alias("fp"), "component")
+    return components(links(fps)).select(F.col("node").alias("fp"), "component")
 
 
 def link(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
@@ -101,16 +131,22 @@ def link(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """One row of docs, with all columns, of each component of linked fingerprints: that of its smallest doc_id,
     and of its rows that share this id the one of the smallest hash; an id that unrelated texts share stays with
-    each of them. Rows without id have no group and stay."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    place = F.struct(F.col("doc_id"), F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(7), *columns).alias("h2"), F.col("__row"))
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    numbered = rows.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), place))
-    fps = materialize(fingerprints(numbered, n, seed).groupBy("fp").agg(F.min("doc_id").alias("first")))
-    firsts = fps.join(parts(fps), "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    kept = materialize(firsts.where("first is not null").select(F.col("first.__row").alias("__row")))
-    chosen = rows.join(kept, "__row", "left_semi").unionByName(rows.where("doc_id is null"))
-    return chosen.select(*columns)
+    each of them. Rows without id have no group and stay.
+
+    Texts are written once with a row number, and no more shuffled than the join with the rows that go needs:
+    these are numbers, broadcast while they are below Spark's threshold."""
+    row, columns = spare(docs, "__row")[0], columns_of(docs)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id"), F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(7), *columns).alias("h2"), F.col(row).alias("row"))
+    numbered = rows.select(F.when(F.col("doc_id").isNotNull(), place).alias("doc_id"), "text")
+    prints = materialize(fingerprints(numbered, n, seed).select(F.col("doc_id").alias("place"), "fp"))
+    fps = materialize(prints.groupBy("fp").agg(F.min("place").alias("first")))
+    linked = materialize(parts(fps.select("fp")).join(fps, "fp"))
+    least = linked.groupBy("component").agg(F.min("first").alias("kept"))
+    named = linked.join(least, "component").select("fp", "kept")
+    kept = fps.join(named, "fp", "left").select("fp", F.coalesce("kept", "first").getField("row").alias("kept"))
+    gone = materialize(prints.join(kept, "fp").where(F.col("place.row") != F.col("kept")).select(F.col("place.row").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*columns)
 
 
 def hex16(fp: Column) -> Column:

@@ -18,7 +18,7 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, bits=2):
     """doc_id to component for prints (doc_id, fingerprint), by all pairs."""
     parent = {d: d for d, _ in prints}
 
@@ -29,7 +29,7 @@ def brute_components(prints):
 
     for i, (a, p) in enumerate(prints):
         for b, q in prints[:i]:
-            if (p ^ q).bit_count() <= 2:
+            if (p ^ q).bit_count() <= bits:
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {d: root(d) for d, _ in prints}
@@ -43,8 +43,10 @@ def test_against_brute_force(spark, docs):
     assert {r[0]: (r[1], r[2]) for r in linked.collect()} == expected
 
 
-def test_links_of_planted_fingerprints(spark):
-    """Distances of 1 to 4 bits in one and in both segments; chains; what all pairs connect is connected."""
+@pytest.mark.parametrize(("bits", "most"), [(2, simhash.MOST), (2, 2), (2, 0), (1, 64), (1, 0), (0, 64)])
+def test_links_of_planted_fingerprints(spark, bits, most):
+    """Distances of 1 to 4 bits in one and in both segments; chains; what all pairs connect is connected, whether
+    values are crowded or not."""
     r = random.Random(3)
     prints = []
     for _ in range(40):
@@ -57,30 +59,49 @@ def test_links_of_planted_fingerprints(spark):
             prints.append(q)
             p = r.choice([p, q])
     numbered = list(enumerate(dict.fromkeys(prints)))
-    signed = [(p - (1 << 64) if p >> 63 else p, d) for d, p in numbered]
-    fps = spark.createDataFrame(signed, "fp long, rep long")
+    sign = lambda p: p - (1 << 64) if p >> 63 else p
+    fps = spark.createDataFrame([(sign(p),) for _, p in numbered], "fp long")
     from millrace.llm.common import components
 
+    pairs = [tuple(x) for x in simhash.links(fps, bits, most).collect()]
+    assert all(0 < ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits for a, b in pairs)
+    found = {n.node: n.component for n in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    together = brute_components(numbered, bits)
+    groups = {}
+    for d, p in numbered:
+        groups.setdefault(together[d], set()).add(found.get(sign(p), sign(p)))
+    assert all(len(x) == 1 for x in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
+def test_a_crowded_segment_value(spark):
+    """Hundreds of fingerprints that agree in one segment: the chains give what all pairs give."""
+    r = random.Random(8)
+    prints = list({(0xABCDEF01 << 32 | r.getrandbits(9) << r.choice([0, 20])) for _ in range(400)} | {r.getrandbits(64) >> 1 for _ in range(50)})
+    fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    from millrace.llm.common import components
+
+    numbered = [(p - (1 << 64) if p >> 63 else p, p) for p in sorted(prints)]
     found = {n.node: n.component for n in components(simhash.links(fps)).collect()}
-    expected = brute_components(numbered)
+    expected = brute_components(sorted(numbered))
     assert {d: found.get(d, d) for d, _ in numbered} == expected
 
 
 def test_bits_beyond_reach_are_refused(spark):
     """Prints three bits apart share no entry; asked for them, links must not answer with none."""
-    fps = spark.createDataFrame([(0, 1), (0b111, 2)], "fp long, rep long")
+    fps = spark.createDataFrame([(0,), (0b111,)], "fp long")
     assert simhash.links(fps, 2).count() == 0
     for bits in (-1, 3, 11):
         with pytest.raises(ValueError):
             simhash.links(fps, bits)
 
 
-def test_an_entry_is_shared_exactly_within_two_bits(spark):
-    near, far = 0b11 << 31, 0b111 << 30
-    for other, shared in ((1, True), (near, True), (far, False), ((1 << 63) - 1, False)):
-        df = spark.createDataFrame([(0, other)], "a long, b long")
-        both = F.arrays_overlap(simhash.entries(F.col("a")), simhash.entries(F.col("b")))
-        assert df.select(both).first()[0] is shared
+def test_balls_and_segments(spark):
+    fp = 0x1234567890ABCDEF
+    df = spark.createDataFrame([(fp,)], "fp long").select(F.explode(simhash.segments(F.col("fp"))).alias("key"))
+    assert [r.key for r in df.collect()] == [0x90ABCDEF, 1 << 32 | 0x12345678]
+    for key in (0x90ABCDEF, 1 << 32 | 0x12345678):
+        got = spark.range(1).select(F.explode(simhash.ball(F.lit(key), 1)).alias("k")).where("k is not null").collect()
+        assert sorted(r.k for r in got) == sorted([key, *[key | 1 << i for i in range(32) if not key >> i & 1]])
 
 
 def test_edges(spark, edge_docs, no_docs):
