@@ -52,6 +52,11 @@ def host(url: Column) -> Column:
     return F.when(is_http_url(url), F.regexp_replace(F.lower(_part(url, 3)), r"^www\.", ""))
 
 
+def origin(url: Column) -> Column:
+    """Scheme, host and port, in lower case."""
+    return F.when(is_http_url(url), F.lower(F.concat(_part(url, 1), F.lit("://"), _part(url, 3), _part(url, 4))))
+
+
 def path(url: Column) -> Column:
     """The path with / for \\ and without dot segments; / if empty."""
     plain = F.replace(_part(url, 5), F.lit("\\"), F.lit("/"))

@@ -5,6 +5,7 @@ the explosion of their links and an anti-join with what was seen, written to the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -28,13 +29,14 @@ def enabled(sources: DataFrame) -> DataFrame:
     return sources.where("not (enabled <=> false)")
 
 
-def crawl(sources: DataFrame, pages: DataFrame, as_of: str, state: DataFrame | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+def crawl(sources: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], as_of: str, state: DataFrame | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """visits (source_id, url, raw_url, depth, ok, reason, is_course, content_hash, manual_review, from_memory) and
     candidates (url, source_id, institution, adapter, depth, discovered_at, from_memory).
 
     sources: id, institution, domains, seed_urls, max_depth, enabled, adapter. pages: url, ok, body, reason,
-    manual_review, and optionally rules (of robots). A source visits max_pages addresses at most, those
-    nearer to its seeds first, then by order of links."""
+    manual_review, and optionally rules (of robots); or what gives such a table for addresses (url), such as
+    http.live_pages(), which is asked once a level. A source visits max_pages addresses at most, those nearer to its
+    seeds first, then by order of links."""
     on = enabled(sources)
     frontier = materialize(
         on.select("id", "domains", F.coalesce("max_depth", F.lit(limits.max_depth)).alias("most"), F.posexplode("seed_urls").alias("at", "raw"))
@@ -56,14 +58,15 @@ def crawl(sources: DataFrame, pages: DataFrame, as_of: str, state: DataFrame | N
         else:
             here = here.withColumns({"is_course": F.lit(None).cast("boolean"), "first_seen": F.lit(None).cast("string")})
         here = here.select("id", "key", "raw", "domains", "most", "order", F.col("is_course").alias("was_course"), "first_seen", known.alias("from_memory"))
-        # the page budget of a source: what it has left, in the order of the frontier
-        used = done.where("not from_memory").groupBy("id").agg(F.count("*").alias("used")) if done is not None else None
-        here = here.join(used, "id", "left") if used is not None else here.withColumn("used", F.lit(0))
-        turn = F.sum(F.when(~F.col("from_memory"), 1).otherwise(0)).over(Window.partitionBy("id").orderBy("order", "key"))
-        here = here.withColumn("turn", turn + F.coalesce("used", F.lit(0))).where(F.col("turn") <= limits.max_pages)
-        store = pages.select(F.col("url").alias("page_url"), *[c for c in pages.columns if c != "url"])
+        here = _within_budget(here, done, limits.max_pages)
+        if callable(pages):
+            wanted = here.where("not from_memory").select(F.col("raw").alias("url")).distinct()
+            answers = materialize(pages(wanted))
+        else:
+            answers = pages
+        store = answers.select(F.col("url").alias("page_url"), *[c for c in answers.columns if c != "url"])
         fetched = here.join(store, here.raw == F.col("page_url"), "left")
-        permitted = allows(F.col("rules"), path(F.col("raw"))) if "rules" in pages.columns else F.lit(True)
+        permitted = allows(F.col("rules"), path(F.col("raw"))) if "rules" in answers.columns else F.lit(True)
         permitted = F.coalesce(permitted, F.lit(True))
         ok = ~F.col("from_memory") & permitted & F.coalesce("ok", F.lit(False))
         visited = materialize(
@@ -92,6 +95,19 @@ def crawl(sources: DataFrame, pages: DataFrame, as_of: str, state: DataFrame | N
     return _results(on, done, as_of)
 
 
+def _within_budget(here: DataFrame, done: DataFrame | None, most: int) -> DataFrame:
+    """What a source's page budget allows of a level, in the order of the frontier; what is known from memory costs
+    nothing, but ends where the budget does. Each task keeps most + 1 addresses a source before they are numbered."""
+    order = [F.col("order"), F.col("key")]
+    costly = here.where("not from_memory").select("id", "order", "key")
+    first = costly.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("turn") <= most + 1)
+    used = done.where("not from_memory").groupBy("id").agg(F.count("*").alias("used")) if done is not None else None
+    first = first.join(used, "id", "left").na.fill(0, ["used"]) if used is not None else first.withColumn("used", F.lit(0))
+    # the first address of a source that there is no budget for
+    ends = first.where(F.col("turn") + F.col("used") > most).groupBy("id").agg(F.min(F.struct("order", "key")).alias("end"))
+    return here.join(ends, "id", "left").where(F.col("end").isNull() | (F.struct(*order) < F.col("end"))).drop("end")
+
+
 def _results(sources: DataFrame, done: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     visits = done.where("not from_memory").select(
         F.col("id").alias("source_id"), F.col("key").alias("url"), F.col("raw").alias("raw_url"), "depth", "ok", "reason", "is_course", "content_hash", "manual_review"

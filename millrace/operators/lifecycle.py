@@ -12,6 +12,7 @@ from millrace.functions.urls import canonical_or_raw, is_course_material, is_htt
 from millrace.operators.ranking import catalog_order
 from millrace.schema import AI_PROVIDERS, CANONICAL_FIELDS, CATALOG, LIST_FIELDS, WATCHED
 
+# States and the sentences of notes and reasons, here and in the functions below.
 GONE, PENDING = "NO_DISPONIBLE", "PENDIENTE"
 NOTE = "[DEPRECADO"
 PAID_REASON = "Acceso de pago: fuera del alcance del catálogo"

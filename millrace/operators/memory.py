@@ -2,14 +2,16 @@
 
 visits: url, day (ISO text), seq (order of the visits of a url), ok, source, is_course, content_hash,
 reason. A success resets the count of misses; three misses in a row retire an address. The fold is by
-aggregates over each address's ordered visits (window functions), not a loop."""
+aggregates, neither a loop nor a window over one address's visits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.dates import days_since
+from millrace.operators.tables import materialize
 
 RETIRE_AFTER, REVISIT_DAYS = 3, 14
 STATE = """url string, source string, first_seen string, last_seen string, is_course boolean, content_hash string,
@@ -21,48 +23,55 @@ def status_of(misses: Column) -> Column:
 
 
 def fold(visits: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """The state after visits, from an earlier state if there is one. Partial results combine before the
-    shuffle: everything is a min, a max or a sum over (url), apart from the hash changes, which look at the
-    hash before."""
-    ordered = Window.partitionBy("url").orderBy("seq")
-    ok = F.col("ok")
-    hashed = F.when(ok, F.col("content_hash"))
-    before = F.last(hashed, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    old = None
-    if state is not None:
-        old = state.select("url", F.struct(*[c for c in state.columns if c != "url"]).alias("old"))
-        visits = visits.join(old, "url", "left")
-        before = F.coalesce(before, F.col("old.content_hash"))
-    last_ok = F.max(F.when(ok, F.col("seq"))).over(Window.partitionBy("url"))
-    marked = visits.withColumns({"changed": F.when(hashed != before, F.col("day")), "last_ok": last_ok})
-    last = lambda c, when=None: F.max_by(c, F.when(c.isNotNull() if when is None else when, F.col("seq")))
-    new = marked.groupBy("url").agg(
-        last(F.when(ok, F.col("source"))).alias("source"),
+    """The state after visits, from an earlier state if there is one. Everything is a minimum, a maximum or a count
+    by url, combined before the shuffle, so an address with very many visits is no group of one task. What counts
+    only after a certain visit is aggregated in a second and a third pass, joined with what the passes before gave:
+    misses after the last success; and the last change of the hash, which is the first success with the last hash
+    after the last success with another."""
+    ok, hashed = F.col("ok"), F.col("ok") & F.col("content_hash").isNotNull()
+    last = lambda c, when: F.max_by(c, F.when(when, F.col("seq")))
+    first_pass = visits.groupBy("url").agg(
         F.min_by("day", "seq").alias("first_seen"),
-        last(F.when(ok, F.col("day"))).alias("last_seen"),
+        last(F.col("source"), ok & F.col("source").isNotNull()).alias("source"),
+        last(F.col("day"), ok).alias("last_seen"),
         F.coalesce(F.max(ok & F.col("is_course")), F.lit(False)).alias("is_course"),
-        last(hashed).alias("content_hash"),
-        last(F.col("changed")).alias("changed_at"),
-        F.max(F.when(ok, F.col("seq"))).alias("__ok"),
-        F.max_by(F.when(~ok, F.struct("day", "reason", "seq")), F.when(~ok, F.col("seq"))).alias("__miss"),
-        F.count_if(~ok & (F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok")))).cast("int").alias("since"),
-        *([F.first("old").alias("old")] if old is not None else []),
+        last(F.col("content_hash"), hashed).alias("content_hash"),
+        F.max(F.when(ok, F.col("seq"))).alias("last_ok"),
+        F.max_by(F.struct("day", "reason", "seq"), F.when(~ok, F.col("seq"))).alias("miss"),
     )
-    open_miss = F.col("__ok").isNull() | (F.col("__miss.seq") > F.col("__ok"))
-    o = (lambda name: F.col(f"old.{name}")) if old is not None else (lambda name: F.lit(None))
-    misses = F.col("since") + F.when(F.col("__ok").isNull(), F.coalesce(o("missing_count"), F.lit(0))).otherwise(0).cast("int")
-    done = new.select(
+    new = materialize(first_pass)
+    known = visits.join(new.select("url", "last_ok", F.col("content_hash").alias("last_hash")), "url")
+    other = F.col("ok") & (F.col("content_hash") != F.col("last_hash"))
+    second = materialize(
+        known.groupBy("url").agg(
+            F.count_if(~ok & (F.col("last_ok").isNull() | (F.col("seq") > F.col("last_ok")))).cast("int").alias("since"),
+            F.max(F.when(other, F.col("seq"))).alias("other"),
+        )
+    )
+    after = known.join(second.select("url", "other"), "url").where(hashed & (F.col("other").isNull() | (F.col("seq") > F.col("other"))))
+    third = after.groupBy("url").agg(F.min_by("day", "seq").alias("settled"))
+    done = new.join(second, "url").join(third, "url", "left")
+    if state is None:
+        done = done.withColumn("old", F.lit(None).cast(StructType.fromDDL(STATE)))
+    else:
+        done = done.join(state.select("url", F.struct(*state.columns).alias("old")), "url", "left")
+    o = lambda name: F.col(f"old.{name}")
+    # without another hash among the visits the old one may be another
+    changed = F.when(F.col("other").isNotNull() | (o("content_hash") != F.col("content_hash")), F.col("settled"))
+    misses = F.col("since") + F.when(F.col("last_ok").isNull(), F.coalesce(o("missing_count"), F.lit(0))).otherwise(0).cast("int")
+    open_miss = F.col("last_ok").isNull() | (F.col("miss.seq") > F.col("last_ok"))
+    done = done.select(
         "url",
         F.coalesce("source", o("source")).alias("source"),
         F.coalesce(o("first_seen"), "first_seen").alias("first_seen"),
         F.coalesce("last_seen", o("last_seen")).alias("last_seen"),
         (F.col("is_course") | F.coalesce(o("is_course"), F.lit(False))).alias("is_course"),
         F.coalesce("content_hash", o("content_hash")).alias("content_hash"),
-        F.coalesce("changed_at", o("changed_at")).alias("changed_at"),
+        F.coalesce(changed, o("changed_at")).alias("changed_at"),
         misses.alias("missing_count"),
         status_of(misses).alias("status"),
-        F.when(open_miss, F.col("__miss.day")).alias("last_missing"),
-        F.when(open_miss, F.col("__miss.reason")).alias("last_reason"),
+        F.when(open_miss, F.col("miss.day")).alias("last_missing"),
+        F.when(open_miss, F.col("miss.reason")).alias("last_reason"),
     )
     if state is None:
         return done

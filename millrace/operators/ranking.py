@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.tables import materialize
 from millrace.schema import CREDENTIAL_RANKS
 
 UNKNOWN_RANK, NONE_RANK = 5, 6
@@ -74,6 +75,18 @@ def top_k(df: DataFrame, order: list[Column], k: int, position: str = "position"
     return df.orderBy(*order).limit(k).withColumn(position, F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(df: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
+    """All rows with their position (1, 2, ...) in the order. Rows are sorted over the cluster and written; the number
+    of rows before a range is summed up over ranges, of which there are as many as tasks."""
+    sorted_ = materialize(df.orderBy(*order).withColumn(position, F.monotonically_increasing_id()))
+    part, at = F.shiftright(position, 33), F.col(position).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    placed = sorted_.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.withColumn(position, (at + F.col("__before") + 1).cast("long")).drop("__part", "__before")
+
+
 def top_per_group(counts: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return counts.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(
         F.col("position") <= k

@@ -1,9 +1,9 @@
 """Entity resolution: exact identity keys, similar titles within an institution, and first come, first kept.
 
-Nothing ambiguous is merged. Exact keys are joined by value. Similar titles are found by pieces: two titles
-at most d edits apart, one of them cut into d + 1 pieces, share a piece unchanged and near its place, so a
-join on pieces finds every pair that an all-pairs comparison would, without one. Only the distinct titles
-of an institution are compared."""
+Nothing ambiguous is merged. Exact keys are joined by value. Similar titles are found by their rarest grams: an
+edit changes at most GRAM of the grams of a title, so two titles at most d edits apart share one of the GRAM * d + 1
+rarest of either (in one order of rarity for all), which keeps what many titles have in common, such as "introduction
+to", out of the join. Only the distinct titles of an institution are compared."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from millrace.functions.urls import canonical
 from millrace.operators.tables import materialize
 
 THRESHOLD = 0.88
+#: Characters of a gram.
+GRAM = 3
 KINDS = ("url", "institution+code", "institution+title", "platform+code")
 
 
@@ -51,39 +53,36 @@ def _edits(length: Column, threshold: float) -> Column:
     return F.floor(length * (1 - threshold) + 1e-9).cast("int")
 
 
+def _grams(titles: DataFrame) -> DataFrame:
+    """block, t, gram and nth of the grams of titles (block, t): the nth of its kind in t. Marks before the title
+    make as many grams as it has characters."""
+    marked = F.concat(F.lit("^" * (GRAM - 1)), F.col("t"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(marked, i, F.lit(GRAM)))
+    one = titles.select("block", "t", F.explode(cut).alias("gram")).groupBy("block", "t", "gram").agg(F.count("*").cast("int").alias("n"))
+    return one.select("block", "t", "gram", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
+
+
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """block, a, b, score of distinct titles of left (block, t) and right (block, t) of one block whose
-    similarity is at least threshold. t: normalised titles, not null."""
-    n = F.length("t")
-    lefts = left.distinct().withColumn("n", n)
-    # right titles in pieces: one cut for each number of edits that a partner may need
-    most = _edits(F.floor(n / threshold + 1e-9), threshold)
-    cut = right.distinct().withColumn("n", n).withColumn("pieces", F.lit(1) + most)
-    size = lambda i: F.floor((i + 1) * F.col("n") / F.col("pieces")) - F.floor(i * F.col("n") / F.col("pieces"))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.col("pieces") - 1),
-        lambda i: F.struct(
-            i.alias("i"), F.substring("t", (F.floor(i * F.col("n") / F.col("pieces")) + 1).cast("int"), size(i).cast("int")).alias("piece")
-        ),
-    )
-    table = cut.select("block", F.col("t").alias("b"), F.col("n").alias("m"), F.inline(pieces))
-    # left titles look for each piece of each possible length, as far off its place as the edits allow
-    lengths = F.sequence(F.ceil(F.col("n") * threshold - 1e-9).cast("int"), F.floor(F.col("n") / threshold + 1e-9).cast("int"))
-    probes = lefts.select("block", "t", "n", F.explode(lengths).alias("m"))
-    probes = probes.withColumn("pieces", F.lit(1) + _edits(F.floor(F.col("m") / threshold + 1e-9), threshold))
-    probes = probes.withColumn("d", _edits(F.greatest("n", "m"), threshold)).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
-    start = F.floor(F.col("i") * F.col("m") / F.col("pieces"))
-    length = F.floor((F.col("i") + 1) * F.col("m") / F.col("pieces")) - start
-    probes = probes.withColumns({"s": start.cast("int"), "w": length.cast("int")})
-    low = F.greatest(F.lit(0), F.col("s") - F.col("d"))
-    high = F.least(F.col("n") - F.col("w"), F.col("s") + F.col("d"))
-    spots = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    cuts = F.array_distinct(F.transform(spots, lambda at: F.substring(F.col("t"), at + 1, F.col("w"))))
-    probes = probes.select("block", F.col("t").alias("a"), "m", "i", F.explode(cuts).alias("piece"))
-    met = probes.join(table, ["block", "m", "i", "piece"]).select("block", "a", "b").distinct()
+    similarity is at least threshold. t: normalised titles, neither null nor empty."""
+    sides = left.select("block", "t", F.lit(0).alias("side")).unionByName(right.select("block", "t", F.lit(1).alias("side"))).distinct()
+    titles = materialize(sides.groupBy("block", "t").agg(F.max(F.col("side") == 0).alias("is_left"), F.max(F.col("side") == 1).alias("is_right")))
+    grams = materialize(_grams(titles))
+    # normalised titles are of 37 characters, so there are at most 38 ** 3 grams
+    frequency = grams.where("nth = 1").groupBy("gram").agg(F.count("*").alias("titles"))
+    order = F.struct("titles", "gram", "nth")
+    ranked = grams.join(F.broadcast(frequency), "gram").groupBy("block", "t").agg(F.collect_list(order).alias("grams"))
+    # the partner may be longer, and the more edits be allowed
+    most = _edits(F.floor(F.length("t") / threshold + 1e-9), threshold)
+    rarest = F.slice(F.sort_array("grams"), F.lit(1), GRAM * most + 1)
+    keys = materialize(ranked.join(titles, ["block", "t"]).select("block", "t", "is_left", "is_right", F.inline(rarest)).drop("titles"))
+    a = keys.where("is_left").select("block", "gram", "nth", F.col("t").alias("a"))
+    b = keys.where("is_right").select("block", "gram", "nth", F.col("t").alias("b"))
     longer = F.greatest(F.length("a"), F.length("b"))
+    edits = _edits(longer, threshold)
+    met = a.join(b, ["block", "gram", "nth"]).where(F.abs(F.length("a") - F.length("b")) <= edits).select("block", "a", "b").distinct()
     # the distance stops where it is beyond the edits allowed, and is -1 then
-    near = met.withColumn("d", _edits(longer, threshold) + 1).withColumn("e", F.expr("levenshtein(a, b, d)")).where("e >= 0")
+    near = met.withColumn("d", edits + 1).withColumn("e", F.expr("levenshtein(a, b, d)")).where("e >= 0")
     return near.select("block", "a", "b", (1 - F.col("e") / longer).alias("score")).where(F.col("score") >= threshold)
 
 

@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 
 from millrace.functions.dates import MAX_AGE_DAYS, is_iso_date, is_stale
 from millrace.functions.urls import is_http_url
+from millrace.operators.tables import materialize
 from millrace.schema import CATALOG, DATE_FIELDS, ENUMS, LIST_FIELDS, REQUIRED, URL_FIELDS
 
+# What the issues say, here and in the rules below.
 NO_ID = "(sin id)"
-ISSUE = "struct<level:string,field:string,message:string>"
 PAID = ("certificado pagado", "certificado pagado verificable")
+#: When there is an issue, its level, its field, and what it says.
+Rule = tuple[Column, str, str | None, Column]
 
 
-def _issue(when: Column, level: str, field: str | None, *message: str | Column) -> Column:
-    parts = [F.lit(m) if isinstance(m, str) else m for m in message]
-    said = F.struct(F.lit(level).alias("level"), F.lit(field).cast("string").alias("field"), F.concat(*parts).alias("message"))
-    return F.when(F.coalesce(when, F.lit(False)), said)
+def _issue(when: Column, level: str, field: str | None, *message: str | Column) -> Rule:
+    return when, level, field, F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
+
+
+def _found(number: int, rule: Rule) -> Column:
+    """The issue, or null."""
+    when, level, field, message = rule
+    said = {"rule": F.lit(number), "level": F.lit(level), "field": F.lit(field).cast("string"), "message": message}
+    return F.when(F.coalesce(when, F.lit(False)), F.struct(*[c.alias(n) for n, c in said.items()]))
 
 
 class _Fields:
@@ -65,7 +73,7 @@ class _Fields:
         return F.size(F.try_variant_get(F.col(name), "$", "array<variant>")) if self.raw else F.size(name)
 
 
-def rules(f: _Fields, as_of: str, max_age: int = MAX_AGE_DAYS) -> list[Column]:
+def rules(f: _Fields, as_of: str, max_age: int = MAX_AGE_DAYS) -> list[Rule]:
     here = lambda names: [n for n in names if n in f.columns]
     out = [_issue(f.missing(n) | (f.text(n) == ""), "error", n, "Campo obligatorio ausente.") for n in REQUIRED]
     ident = f.text("id")
@@ -119,34 +127,29 @@ def record_issues(records: DataFrame, as_of: str, max_age: int = MAX_AGE_DAYS) -
     """pos, rule, level, id, field, message of the rules on single records (pos and fields, typed or raw)."""
     raw = "is_object" in records.columns
     f = _Fields([n for n in records.columns if n in CATALOG.names], raw)
-    found = F.array(*rules(f, as_of, max_age))
+    # what holds is kept before the issues are parted into rows
+    found = F.array_compact(F.array(*[_found(i, rule) for i, rule in enumerate(rules(f, as_of, max_age))]))
     if raw:
         alone = _issue(F.lit(True), "error", None, "El registro no es un objeto.")
-        found = F.when(F.col("is_object"), found).otherwise(F.array(alone))
+        found = F.when(F.col("is_object"), found).otherwise(F.array(_found(0, alone)))
     ident = F.when(F.coalesce(f.shown("id"), F.lit("")) == "", NO_ID).otherwise(f.shown("id")) if raw else F.coalesce("id", F.lit(NO_ID))
-    return (
-        records.select("pos", ident.alias("id"), F.posexplode(found).alias("rule", "issue"))
-        .where("issue is not null")
-        .select("pos", "rule", "issue.level", "id", "issue.field", "issue.message")
-    )
+    return records.select("pos", ident.alias("id"), F.inline(found)).select("pos", "rule", "level", "id", "field", "message")
 
 
 def duplicate_issues(records: DataFrame) -> DataFrame:
     """pos, rule, level, id, field, message of ids and addresses (compared as they are) used before. The first
     user of each is found by aggregation and joined back, so a hot value is no group of one task."""
     text = _Fields(records.columns, "is_object" in records.columns).text
-    base = records.select("pos", text("id").alias("id"), text("url_official").alias("url"))
-    out = []
-    for name, rule, level in (("id", 1000, "error"), ("url", 1001, "warn")):
-        some = base.where(F.col(name) != "")
-        first = some.groupBy(F.col(name).alias("__v")).agg(F.min(F.struct("pos", "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = some.join(first, F.col(name) == F.col("__v")).where("pos > first.pos")
-        owner = F.coalesce(F.nullif(F.col("first.id"), F.lit("")), F.lit(NO_ID))
-        message = F.lit("ID duplicado en el catálogo.") if name == "id" else F.concat(F.lit("URL repetida: ya usada por "), owner, F.lit(". Revisar posible duplicado."))
-        out.append(
-            again.select("pos", F.lit(rule).alias("rule"), F.lit(level).alias("level"), F.coalesce(F.col("id"), F.lit(NO_ID)).alias("id"), F.lit("id" if name == "id" else "url_official").alias("field"), message.alias("message"))
-        )
-    return out[0].unionByName(out[1])
+    used = F.array(F.struct(F.lit("id").alias("field"), F.col("id").alias("value")), F.struct(F.lit("url_official").alias("field"), F.col("url").alias("value")))
+    uses = materialize(records.select("pos", text("id").alias("id"), text("url_official").alias("url")).select("pos", "id", F.inline(used)).where("value != ''"))
+    first = uses.groupBy("field", "value").agg(F.min(F.struct("pos", "id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = uses.join(first, ["field", "value"]).where("pos > first.pos")
+    by_id = F.col("field") == "id"
+    owner = F.coalesce(F.nullif(F.col("first.id"), F.lit("")), F.lit(NO_ID))
+    message = F.when(by_id, "ID duplicado en el catálogo.").otherwise(F.concat(F.lit("URL repetida: ya usada por "), owner, F.lit(". Revisar posible duplicado.")))
+    return again.select(
+        "pos", F.when(by_id, 1000).otherwise(1001).alias("rule"), F.when(by_id, "error").otherwise("warn").alias("level"), F.coalesce(F.col("id"), F.lit(NO_ID)).alias("id"), "field", message.alias("message")
+    )
 
 
 def validate(records: DataFrame, as_of: str, max_age: int = MAX_AGE_DAYS) -> DataFrame:

@@ -5,14 +5,20 @@ markup from parts, by the same rules in both languages."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import classify, dates, html, robots, text, urls
-from millrace.operators import crawl, lifecycle, links, memory, ranking, resolve, search, validation
+from millrace.operators import crawl, labels, lifecycle, links, memory, ranking, resolve, search, validation
+from millrace.operators.tables import materialize, shared_dir
+from millrace.schema import FACETS
 from millrace.sources import exports
+from millrace.sources.catalog import read_state
+from millrace.streaming.state import track
 
 AS_OF = "2001-01-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +49,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Course "), key % 97).alias("title"),
         F.concat(F.lit("Institution "), "c_nationkey").alias("institution"),
         F.when(F.col("c_nationkey") % 5 == 0, "proveedor-ia").otherwise("institucion").alias("provider_type"),
+        pick(F.col("c_nationkey") % 3, "ES", "US", None).alias("institution_country"),
+        F.when(key % 6 < 5, F.concat(F.lit("Platform "), key % 6)).alias("platform"),
+        pick(key % 4, "introductorio", "intermedio", None, "avanzado").alias("level"),
         pick(key % 4, "datos", "salud", "pmo", None).alias("domain"),
         F.when(first == "1", "certificado gratuito").when(first == "2", "badge gratuito").when(first == "3", "certificado pagado").when(first == "5", "otro").alias("credential_type"),
         F.when(first.isin("1", "2"), True).when(first == "3", False).alias("credential_free"),
@@ -61,6 +70,8 @@ RECORDS = """
 records AS (
   SELECT 'course-' || o_orderkey AS id, 'Course ' || (o_orderkey % 97) AS title, 'Institution ' || c_nationkey AS institution,
     CASE WHEN c_nationkey % 5 = 0 THEN 'proveedor-ia' ELSE 'institucion' END AS provider_type,
+    CASE c_nationkey % 3 WHEN 0 THEN 'ES' WHEN 1 THEN 'US' END AS institution_country, CASE WHEN o_orderkey % 6 < 5 THEN 'Platform ' || (o_orderkey % 6) END AS platform,
+    CASE o_orderkey % 4 WHEN 0 THEN 'introductorio' WHEN 1 THEN 'intermedio' WHEN 3 THEN 'avanzado' END AS level,
     CASE o_orderkey % 4 WHEN 0 THEN 'datos' WHEN 1 THEN 'salud' WHEN 2 THEN 'pmo' END AS domain,
     CASE left(o_orderpriority, 1) WHEN '1' THEN 'certificado gratuito' WHEN '2' THEN 'badge gratuito'
       WHEN '3' THEN 'certificado pagado' WHEN '5' THEN 'otro' END AS credential_type,
@@ -171,9 +182,14 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(html.hrefs(F.col("html")))).alias("hrefs"))
 
 
-@_query()
+@_query(
+    """WITH h AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS origin, list_transform(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*href=["'']([^"''#]+)["'']', 1)),
+      lambda x: replace(replace(url_encode(x), '%2F', '/'), '%2C', ',')) AS links, regexp_extract_all(html, '(?i)<a[^>]*href=["'']([^"''#]+)["'']', 1) AS every FROM pages),
+    l AS (SELECT page_id, origin || replace(replace(url_encode(x), '%2F', '/'), '%2C', ',') AS link, k FROM (SELECT page_id, origin, unnest(every) AS x, generate_subscripts(every, 1) AS k FROM h))
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(k)) - 1 AS INTEGER) AS place, link FROM l GROUP BY page_id, link"""
+)
 def page_links_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links resolved against the page's address, which SQL can't."""
+    """Links resolved against the page's address, each once, in order of appearance. The pages' links all begin at the root."""
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.links(F.col("html"), F.col("url"))).alias("place", "link"))
 
 
@@ -226,12 +242,12 @@ def curated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT doc_id, nullif(regexp_replace(left(regexp_replace(lower(strip_accents(trim(regexp_replace(left(text, 120), '\\s+', ' ', 'g')))), '[^a-z0-9]+', '-', 'g'), 80), '^-+|-+$', '', 'g'), '') AS slug,
-    nullif(trim(regexp_replace(lower(strip_accents(left(text, 120))), '[^a-z0-9]+', ' ', 'g')), '') AS norm_title FROM documents"""
+    """SELECT doc_id, nullif(regexp_replace(left(regexp_replace(lower(strip_accents(trim(regexp_replace(text, '\\s+', ' ', 'g')))), '[^a-z0-9]+', '-', 'g'), 80), '^-+|-+$', '', 'g'), '') AS slug,
+    nullif(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), '') AS norm_title FROM documents"""
 )
 def slug_and_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.left("text", F.lit(120))
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(head).alias("slug"), text.norm_title(head).alias("norm_title"))
+    said = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(said).alias("slug"), text.norm_title(said).alias("norm_title"))
 
 
 @_query(
@@ -299,12 +315,25 @@ def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     f"""WITH {RECORDS} SELECT facet, value, count(*) AS n FROM (
       SELECT unnest([{{'facet': 'providerType', 'value': provider_type}}, {{'facet': 'domain', 'value': domain}}, {{'facet': 'institution', 'value': institution}},
+        {{'facet': 'country', 'value': institution_country}}, {{'facet': 'platform', 'value': platform}}, {{'facet': 'level', 'value': level}},
         {{'facet': 'credentialType', 'value': credential_type}}, {{'facet': 'verificationStatus', 'value': verification_status}}], recursive := true) FROM records)
     WHERE value IS NOT NULL GROUP BY facet, value"""
 )
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"providerType": "provider_type", "domain": "domain", "institution": "institution", "credentialType": "credential_type", "verificationStatus": "verification_status"}
-    return search.facets(records(spark, sf_dir), names)
+    return search.facets(records(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {RECORDS}, f AS (SELECT DISTINCT 'domain' AS facet, domain AS value FROM records UNION ALL SELECT DISTINCT 'country', institution_country FROM records UNION ALL SELECT DISTINCT 'credentialType', credential_type FROM records
+      UNION ALL SELECT DISTINCT 'institution', institution FROM records UNION ALL SELECT DISTINCT 'verificationStatus', verification_status FROM records)
+    SELECT facet, value, CASE value WHEN 'datos' THEN 'Datos y estadística' WHEN 'salud' THEN 'Salud y bienestar' WHEN 'pmo' THEN 'PMO y proyectos' WHEN 'US' THEN 'Estados Unidos' WHEN 'certificado gratuito' THEN 'Certificado gratuito' WHEN 'badge gratuito' THEN 'Badge gratuito'
+        WHEN 'certificado pagado' THEN 'Certificado pagado' WHEN 'VERIFICADO' THEN 'Verificado' WHEN 'PENDIENTE' THEN 'Pendiente' WHEN 'REVERIFICAR' THEN 'Por reverificar' ELSE value END AS label,
+      CASE WHEN facet = 'institution' THEN 'Universidades y organismos' ELSE CASE value WHEN 'datos' THEN 'Ciencia y sociedad' WHEN 'salud' THEN 'Ciencia y sociedad' WHEN 'pmo' THEN 'Gestión y negocio' WHEN 'certificado gratuito' THEN 'Gratuitas' WHEN 'badge gratuito' THEN 'Gratuitas'
+        WHEN 'certificado pagado' THEN 'De pago' WHEN 'VERIFICADO' THEN 'Confirmado' WHEN 'PENDIENTE' THEN 'Requiere revisión' WHEN 'REVERIFICAR' THEN 'Requiere revisión' END END AS group_label FROM f WHERE value IS NOT NULL"""
+)
+def facet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {n: c for n, c in FACETS.items() if n in ("domain", "country", "credentialType", "institution", "verificationStatus")}
+    return labels.labelled(search.facets(records(spark, sf_dir), names)).drop("n")
 
 
 @_query(
@@ -347,6 +376,27 @@ def sorted_by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(records(spark, sf_dir), order, 500).select("id", "position")
 
 
+ORDERS_SQL = {
+    "recomendado": "credential_rank, verified_rank, relevance_ppp_infra DESC NULLS LAST, institution NULLS FIRST, title NULLS FIRST, id",
+    "acreditabilidad": "credential_rank, verified_rank, title NULLS FIRST",
+    "relevancia": "relevance_ppp_infra DESC NULLS LAST, credential_rank, title NULLS FIRST",
+    "institucion": "institution NULLS FIRST, title NULLS FIRST",
+    "duracion": "duration_weeks NULLS LAST, title NULLS FIRST",
+    "verificacion": "last_verified DESC NULLS LAST, title NULLS FIRST",
+}
+
+
+@_query(
+    f"WITH {RECORDS}, {RANKED} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS named, id, CAST(row_number() OVER (ORDER BY {order}, id) AS INTEGER) AS position FROM ranked QUALIFY position <= 300" for name, order in ORDERS_SQL.items())
+)
+def sorted_by_every_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first records in each of the named orders, with their positions; ties by id."""
+    ranked = ranking.with_ranks(records(spark, sf_dir))
+    tops = [ranking.top_k(ranked, [*ranking.named_order(name), F.col("id").asc()], 300).select(F.lit(name).alias("named"), "id", "position") for name in ranking.ORDERS]
+    return reduce(DataFrame.unionByName, tops)
+
+
 @_query(
     f"""WITH {RECORDS} SELECT id, institution, credential_type FROM records WHERE domain = 'datos' AND provider_type = 'institucion' AND credential_free AND relevance_ppp_infra >= 1
     AND list_contains(list_transform(language, lambda x: lower(x)), 'es')"""
@@ -378,9 +428,9 @@ def full_text_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.full_text(index, "doc_id", search.query_phrases("the-on thing* ther"))
 
 
-@_query(f"WITH {RECORDS} SELECT coalesce(domain, '(sin dato)') AS label, count(*) AS n FROM records GROUP BY 1")
+@_query(f"WITH {RECORDS}, c AS (SELECT coalesce(domain, '(sin dato)') AS label, count(*) AS n FROM records GROUP BY 1) SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) AS INTEGER) AS position FROM c")
 def count_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.count_by(records(spark, sf_dir), "domain").orderBy(*search.count_order())
+    return search.count_by(records(spark, sf_dir), "domain").withColumn("position", F.row_number().over(Window.orderBy(*search.count_order())))
 
 
 @_query(f"WITH {RECORDS} SELECT count(DISTINCT domain) + max(CASE WHEN domain IS NULL THEN 1 ELSE 0 END) AS n FROM records")
@@ -407,34 +457,41 @@ def stale_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(f"""WITH {RECORDS} SELECT CASE WHEN verification_status <> 'VERIFICADO' THEN verification_status WHEN coalesce(date_diff('day', CAST(last_verified AS DATE), DATE '{AS_OF}') > 90, TRUE) THEN 'REVERIFICAR' ELSE 'VERIFICADO' END AS bucket, count(*) AS n FROM records GROUP BY 1""")
+def derived_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derived = dates.derived_status(F.col("verification_status"), F.col("last_verified"), AS_OF)
+    return exports.bucket_counts(records(spark, sf_dir).withColumn("derived", derived), "derived")
+
+
 # state
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as visits to the pages of users; an error is a failure."""
+    """Events as visits to the pages of users; an error is a failure, and some users' pages are gone in the end."""
     e = table(spark, sf_dir, "events")
-    return e.select(
+    seen = e.select(
         F.concat(F.lit("https://example.org/u/"), "user_id").alias("url"),
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
         F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"),
-        (F.col("event_type") != "error").alias("ok"),
+        ((F.col("event_type") != "error") & ~((F.col("user_id") % 4 == 1) & (F.col("ts") >= F.lit("2024-01-27").cast("timestamp_ntz")))).alias("ok"),
         F.concat(F.lit("s"), F.col("user_id") % 3).alias("source"),
         (F.col("event_type") == "purchase").alias("is_course"),
         F.left(F.sha2("props", 256), F.lit(16)).alias("content_hash"),
         F.col("event_type").alias("reason"),
     )
+    return materialize(seen)
 
 
 STATE = """
 v AS (SELECT 'https://example.org/u/' || user_id AS url, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
-    event_type <> 'error' AS ok, 's' || (user_id % 3) AS source, event_type = 'purchase' AS is_course, left(sha256(props), 16) AS h FROM events),
+    event_type <> 'error' AND NOT (user_id % 4 = 1 AND ts >= TIMESTAMP '2024-01-27') AS ok, event_type AS reason, 's' || (user_id % 3) AS source, event_type = 'purchase' AS is_course, left(sha256(props), 16) AS h FROM events),
 c AS (SELECT *, CASE WHEN ok AND h <> last_value(CASE WHEN ok THEN h END IGNORE NULLS) OVER (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN day END AS changed FROM v),
 g AS (SELECT url, max(CASE WHEN ok THEN seq END) AS last_ok FROM v GROUP BY url),
 state AS (SELECT c.url, arg_max(source, seq) FILTER (ok) AS source, arg_min(day, seq) AS first_seen, arg_max(day, seq) FILTER (ok) AS last_seen, coalesce(bool_or(ok AND is_course), FALSE) AS is_course,
     arg_max(h, seq) FILTER (ok) AS content_hash, arg_max(changed, seq) FILTER (changed IS NOT NULL) AS changed_at,
     CAST(count(*) FILTER (NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS INTEGER) AS missing_count,
     arg_max(day, seq) FILTER (NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS last_missing,
-    arg_max('error', seq) FILTER (NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS last_reason FROM c JOIN g ON c.url = g.url GROUP BY c.url),
+    arg_max(reason, seq) FILTER (NOT ok AND (last_ok IS NULL OR seq > last_ok)) AS last_reason FROM c JOIN g ON c.url = g.url GROUP BY c.url),
 named AS (SELECT *, CASE WHEN missing_count = 0 THEN 'activo' WHEN missing_count < 3 THEN 'inestable' ELSE 'retirado' END AS status FROM state)"""
 
 
@@ -453,24 +510,14 @@ def url_memory_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {STATE} SELECT * FROM named")
 def url_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same state kept by a stream over the events' file, with the last row of each address."""
-    import uuid
-
-    from millrace.operators.tables import materialize, shared_dir
-    from millrace.streaming.state import track
-
+    """The same state kept by a stream over the visits, which come in three parts by day."""
     base = f"{shared_dir(spark)}/millrace-stream-{uuid.uuid4().hex}"
-    rows = materialize(visits(spark, sf_dir))
-    rows.write.parquet(f"{base}/in")
-    stream = track(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    run = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
-    run.awaitTermination()
-    out = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
-    return lifecycle.last_of(out, "url", "batch")
+    rows = visits(spark, sf_dir)
+    for low, high in (("", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "9")):
+        rows.where((F.col("day") >= low) & (F.col("day") < high)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        track(stream, f"{base}/state", f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return read_state(spark, f"{base}/state")
 
 
 @_query(
@@ -516,12 +563,13 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {CANONICAL} SELECT canonical AS url, 'new' AS change FROM canon WHERE page_id % 3 = 0 AND canonical NOT IN (SELECT canonical FROM canon WHERE page_id % 2 = 0) GROUP BY canonical
-    UNION ALL SELECT canonical, 'gone' FROM canon WHERE page_id % 2 = 0 AND canonical NOT IN (SELECT canonical FROM canon WHERE page_id % 3 = 0) GROUP BY canonical"""
+    f"""WITH {CANONICAL} SELECT canonical AS url, 'new' AS change FROM canon WHERE page_id % 3 <> 0 AND canonical NOT IN (SELECT canonical FROM canon WHERE page_id % 3 <> 1) GROUP BY canonical
+    UNION ALL SELECT canonical, 'gone' FROM canon WHERE page_id % 3 <> 1 AND canonical NOT IN (SELECT canonical FROM canon WHERE page_id % 3 <> 0) GROUP BY canonical"""
 )
 def discover_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
-    return lifecycle.discover(pages.where("page_id % 3 = 0"), pages.where("page_id % 2 = 0"))
+    # every page is in one of the two snapshots at least
+    return lifecycle.discover(pages.where("page_id % 3 != 0"), pages.where("page_id % 3 != 1"))
 
 
 def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,10 +597,15 @@ def deprecate_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.apply_retired(_noted(spark, sf_dir), gone, AS_OF).select("id", "action", "verification_status", "notes")
 
 
-@_query(f"WITH {RECORDS} SELECT id, CASE WHEN pos % 2 = 0 THEN verification_status ELSE 'PENDIENTE' END AS verification_status FROM records WHERE pos % 2 = 0 OR pos % 5 < 3")
+@_query(
+    f"""WITH {RECORDS}, j AS (SELECT * REPLACE (CASE WHEN pos % 2 = 0 THEN verification_status ELSE 'PENDIENTE' END AS verification_status) FROM records), {RANKED.replace("FROM records", "FROM j").replace("ranked AS", "r AS")}
+    SELECT id, verification_status, row_number() OVER (ORDER BY credential_rank, verified_rank, relevance_ppp_infra DESC NULLS LAST, institution, title, id) AS position FROM r"""
+)
 def incorporate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record is in the catalog or accepted, some in both; the position is that in the catalog's order."""
     every = records(spark, sf_dir)
-    return lifecycle.incorporate(every.where("pos % 2 = 0"), every.where("pos % 5 < 3")).select("id", "verification_status")
+    joined = lifecycle.incorporate(every.where("pos % 2 = 0"), every.where("pos % 2 = 1 or pos % 5 < 3"))
+    return ranking.numbered(joined, ranking.catalog_order()).select("id", "verification_status", "position")
 
 
 @_query(
@@ -567,6 +620,20 @@ def access_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.audit(catalog, pages).select("id", "bucket", "price")
 
 
+@_query(f"WITH {RECORDS} SELECT CASE pos % 4 WHEN 1 THEN 'paid' ELSE 'undetermined' END AS bucket, count(*) AS n FROM records WHERE pos % 2 = 1 GROUP BY 1")
+def access_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.bucket_counts(access_audit(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {CANONICAL}, n AS (SELECT DISTINCT canonical FROM canon WHERE page_id % 3 <> 0), b AS (SELECT DISTINCT canonical FROM canon WHERE page_id % 3 <> 1)
+    SELECT '{AS_OF}' AS generated_at, (SELECT count(*) FROM n) AS total_now, (SELECT count(*) FROM b) AS total_before, (SELECT count(*) FROM n ANTI JOIN b ON n.canonical = b.canonical) AS "new", (SELECT count(*) FROM b ANTI JOIN n ON n.canonical = b.canonical) AS gone"""
+)
+def discovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
+    return exports.discovery_report(pages.where("page_id % 3 != 0"), pages.where("page_id % 3 != 1"), AS_OF)
+
+
 @_query(
     """SELECT n_name AS institution, 'region ' || n_regionkey AS reason FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)"""
 )
@@ -582,7 +649,7 @@ def unavailable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _identities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer")
-    catalog = c.where("c_custkey % 3 != 0").select(
+    catalog = c.select(
         F.col("c_custkey").alias("pos"), F.concat(F.lit("https://www.example.org/c/"), F.col("c_custkey") % 400, F.lit("/")).alias("url_official"), F.concat(F.lit("Nación "), "c_nationkey").alias("institution"),
         F.concat(F.lit("K"), F.col("c_custkey") % 50).alias("course_code"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("platform"),
     )
@@ -595,7 +662,7 @@ def _identities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 @_query(
-    """WITH cat AS (SELECT c_custkey AS pos, 'https://example.org/c/' || (c_custkey % 400) AS url, c_nationkey || '|k' || (c_custkey % 50) AS code FROM customer WHERE c_custkey % 3 <> 0),
+    """WITH cat AS (SELECT c_custkey AS pos, 'https://example.org/c/' || (c_custkey % 400) AS url, c_nationkey || '|k' || (c_custkey % 50) AS code FROM customer),
     cand AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN 'https://example.org/c/' || (s_suppkey * 5) END AS url, s_nationkey || '|k' || (s_suppkey % 60) AS code FROM supplier),
     hits AS (SELECT cand.pos, 0 AS rank, 'url' AS "by", cat.pos AS existing FROM cand JOIN cat ON cand.url = cat.url UNION ALL SELECT cand.pos, 1, 'institution+code', cat.pos FROM cand JOIN cat ON cand.code = cat.code)
     SELECT pos, existing, "by" FROM hits QUALIFY row_number() OVER (PARTITION BY pos ORDER BY rank, existing) = 1"""
@@ -619,9 +686,26 @@ def fuzzy_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pos", "existing", F.round("score", 9).alias("score"))
 
 
-@_query()
+@_query(
+    """WITH RECURSIVE cat AS (SELECT c_custkey AS pos, 'https://example.org/c/' || (c_custkey % 400) AS url, c_nationkey || '|k' || (c_custkey % 50) AS code, c_nationkey AS i, lower(replace(c_name, '#', ' ')) AS t FROM customer),
+    cand AS (SELECT s_suppkey AS pos, CASE WHEN s_suppkey % 2 = 0 THEN 'https://example.org/c/' || (s_suppkey * 5) END AS url, s_nationkey || '|k' || (s_suppkey % 60) AS code, s_nationkey AS i, lower(replace(s_name, '#', ' ')) AS t FROM supplier),
+    k AS (SELECT *, 'catalog' AS kind, pos - 1099511627776 AS ord FROM cat UNION ALL SELECT *, 'candidate', pos FROM cand),
+    ex AS (SELECT c.pos, 0 AS rank, 'url' AS "by", k.ord, k.kind, k.pos AS existing FROM cand c JOIN k ON c.url = k.url WHERE k.ord < c.pos UNION ALL SELECT c.pos, 1, 'institution+code', k.ord, k.kind, k.pos FROM cand c JOIN k ON c.code = k.code WHERE k.ord < c.pos),
+    am AS (SELECT * FROM (SELECT c.pos, k.ord, k.kind, k.pos AS existing, 1 - levenshtein(c.t, k.t) / greatest(length(c.t), length(k.t)) AS score FROM cand c JOIN k ON c.i = k.i AND k.ord < c.pos) WHERE score >= 0.88),
+    m AS (SELECT pos, bool_or(kind = 'catalog') AS hit, list(existing) FILTER (kind = 'candidate') AS js FROM (SELECT pos, kind, existing FROM ex UNION SELECT pos, kind, existing FROM am) GROUP BY pos),
+    p AS (SELECT row_number() OVER (ORDER BY cand.pos) AS n, cand.pos, coalesce(m.hit, FALSE) AS hit, coalesce(m.js, CAST([] AS BIGINT[])) AS js FROM cand LEFT JOIN m ON m.pos = cand.pos),
+    fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept UNION ALL
+      SELECT p.n, CASE WHEN p.hit OR list_has_any(fold.kept, p.js) THEN fold.kept ELSE list_append(fold.kept, p.pos) END FROM fold JOIN p ON p.n = fold.n + 1),
+    kept AS (SELECT unnest(kept) AS pos FROM fold WHERE n = (SELECT max(n) FROM fold)),
+    e AS (SELECT * FROM ex WHERE kind = 'catalog' OR existing IN (SELECT pos FROM kept) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY rank, ord) = 1),
+    a AS (SELECT * FROM am WHERE kind = 'catalog' OR existing IN (SELECT pos FROM kept) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY ord) = 1)
+    SELECT cand.pos, CASE WHEN kept.pos IS NOT NULL THEN 'none' WHEN e.pos IS NOT NULL THEN 'exact' ELSE 'ambiguous' END AS match,
+      CASE WHEN kept.pos IS NULL THEN coalesce(e."by", 'similitud de título') END AS "by", CASE WHEN kept.pos IS NULL THEN coalesce(e.kind, a.kind) END AS existing_kind,
+      CASE WHEN kept.pos IS NULL THEN coalesce(e.existing, a.existing) END AS existing, CASE WHEN kept.pos IS NULL AND e.pos IS NULL THEN a.score END AS score
+    FROM cand LEFT JOIN kept ON kept.pos = cand.pos LEFT JOIN e ON e.pos = cand.pos LEFT JOIN a ON a.pos = cand.pos"""
+)
 def greedy_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent, so SQL can't; tests hold it against a sequential fold."""
+    """First come, first kept: in SQL a fold over the candidates that carries the list of those kept."""
     return resolve.classify(*_identities(spark, sf_dir))
 
 
@@ -657,9 +741,63 @@ def duplicate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.summary(validation.duplicate_issues(records(spark, sf_dir)))
 
 
+#: A fault a record, by the number of the record; the others are without.
+_FAULTS = {
+    1: "[1]",
+    2: '"url_syllabus": "ftp://x"',
+    3: '"start_date": "2024-02-30"',
+    4: '"credential_price_usd": "12"',
+    5: '"credential_price_usd": -3',
+    6: '"credential_type": "certificado gratuito", "credential_free": false',
+    7: '"credential_type": "certificado pagado", "credential_free": true',
+    8: '"cost_access": "audit gratuito", "credential_free": true',
+    9: '"topics": "x"',
+    10: '"subtitles": []',
+    12: '"relevance_ppp_infra": 2.5',
+    13: '"level": 7',
+}
+_SAID = {
+    2: ("error", "url_syllabus", "URL inválida: ftp://x"),
+    3: ("error", "start_date", "Fecha inválida (se espera YYYY-MM-DD): 2024-02-30"),
+    4: ("error", "credential_price_usd", "Precio inválido."),
+    5: ("error", "credential_price_usd", "Precio inválido."),
+    6: ("error", "credential_free", "Incoherencia: el tipo es certificado gratuito pero credential_free es false."),
+    7: ("error", "credential_free", "Incoherencia: el tipo es certificado pagado pero credential_free es true."),
+    8: ("warn", "cost_access", "Audit gratuito con credencial gratuita: confirmar contra fuente oficial."),
+    9: ("error", "topics", "Debe ser un arreglo o null."),
+    10: ("error", "subtitles", "Arreglo vacío: usar null."),
+    12: ("error", "relevance_ppp_infra", "Debe ser un entero entre 0 y 3."),
+    13: ("error", "level", "Valor fuera de la lista permitida: 7"),
+}
+
+
+@_query(
+    "SELECT '(sin id)' AS id, 'error' AS level, NULL AS field, 'El registro no es un objeto.' AS message FROM orders WHERE o_orderkey % 16 = 1 UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'r-' || o_orderkey, '{level}', '{field}', '{message}' FROM orders WHERE o_orderkey % 16 = {k}" for k, (level, field, message) in _SAID.items())
+    + " UNION ALL SELECT 'dup', 'error', 'id', 'ID duplicado en el catálogo.' FROM orders WHERE o_orderkey % 16 = 11 AND o_orderkey > (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 16 = 11)"
+)
+def validate_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as JSON texts, with wrong types, addresses, dates, prices, lists, contradictions and a repeated id."""
+    key = F.col("o_orderkey")
+    ident = F.when(key % 16 == 11, "dup").otherwise(F.concat(F.lit("r-"), key))
+    fault = F.lit("")
+    for k, text_ in _FAULTS.items():
+        fault = F.when(key % 16 == k, ", " + text_).otherwise(fault)
+    good = F.concat(F.lit('{"id": "'), ident, F.lit('", "title": "T", "institution": "I", "domain": "datos", "verification_status": "PENDIENTE", "source_of_truth": "https://example.org/s", "url_official": "https://example.org/'), key, F.lit('"'), fault, F.lit("}"))
+    lines = table(spark, sf_dir, "orders").select(key.alias("pos"), F.when(key % 16 == 1, _FAULTS[1]).otherwise(good).alias("value"))
+    return validation.validate(validation.untyped(lines), AS_OF).select("id", "level", "field", "message")
+
+
 # links
 
 
+@_query(
+    f"""WITH {RECORDS} SELECT count(*) + count(*) FILTER (pos % 3 = 0) AS checked, count(*) FILTER (pos % 6 IN (2, 3, 5)) + count(*) FILTER (pos % 6 = 3) AS broken, count(*) FILTER (pos % 6 = 4) AS redirected FROM records"""
+)
+def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.summary(_link_outcomes(spark, sf_dir))
+
+
 LINKS = """t AS (SELECT id, 'url_official' AS field, url_official AS url, pos FROM records UNION ALL SELECT id, 'source_of_truth', 'https://example.org/s', pos FROM records WHERE pos % 3 = 0),
     p AS (SELECT *, CASE pos % 6 WHEN 0 THEN 200 WHEN 1 THEN 405 WHEN 2 THEN 404 WHEN 3 THEN 503 WHEN 4 THEN 301 END AS head, CASE pos % 6 WHEN 1 THEN 200 WHEN 3 THEN 500 END AS get FROM t)"""
 
@@ -669,6 +807,10 @@ LINKS = """t AS (SELECT id, 'url_official' AS field, url_official AS url, pos FR
     CASE WHEN pos % 6 = 4 THEN 'https://example.org/new' END AS redirect FROM p"""
 )
 def link_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _link_outcomes(spark, sf_dir).select("id", "field", "status", "ok", "redirect")
+
+
+def _link_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     every = records(spark, sf_dir).withColumns({"url_credential_info": none, "url_syllabus": F.lit(""), "source_of_truth": F.when(F.col("pos") % 3 == 0, "https://example.org/s")})
     pick = lambda *v: F.element_at(F.array(*[F.lit(x).cast("int") for x in v]), (F.substring_index("id", "-", -1).cast("long") % 6 + 1).cast("int"))
@@ -676,7 +818,7 @@ def link_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = links.targets(every).withColumns(
         {"head_status": head, "get_status": pick(None, 200, None, 500, None, None), "error": none, "final_url": F.when(head == 301, "https://example.org/new")}
     )
-    return links.outcome(probes).select("id", "field", "status", "ok", "redirect")
+    return links.outcome(probes)
 
 
 @_query(
@@ -702,7 +844,11 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.depths(edges, spark.range(1).select(F.col("id").alias("node")), 6)
 
 
-@_query()
+@_query(
+    """WITH first AS (SELECT url, arg_min(html, page_id) AS html FROM pages GROUP BY url),
+    l AS (SELECT url, len(list_distinct(regexp_extract_all(html, '(?i)<a[^>]*href=["'']([^"''#]+)["'']', 1))) AS n FROM first)
+    SELECT 0 AS depth, TRUE AS ok, count(*) AS n FROM l UNION ALL SELECT 1, FALSE, CAST(sum(n) AS BIGINT) FROM l HAVING sum(n) > 0"""
+)
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl over the pages from the address of each, the links of which lead nowhere in the table."""
     pages = table(spark, sf_dir, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("body")).withColumns({"ok": F.lit(True), "reason": F.lit(None).cast("string"), "manual_review": F.lit(False)})
@@ -712,6 +858,28 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl(sources, pages, AS_OF)[0].groupBy("depth", "ok").agg(F.count("*").alias("n"))
 
 
+@_query(
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), v AS (SELECT c_custkey AS node, c_custkey % 11 <> 5 AS answers, NOT starts_with(CAST(c_custkey AS VARCHAR), '9') AS permitted FROM customer),
+    e AS (SELECT node AS src, (node * 3 + 1) % n AS dst FROM v, n WHERE answers AND permitted UNION SELECT node, (node + 7) % n FROM v, n WHERE answers AND permitted),
+    walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN e ON node = src WHERE depth < 6)
+    SELECT 'https://example.org/course/' || node AS url, min(depth) AS depth, any_value(answers AND permitted) AS ok, any_value(answers AND permitted) AS is_course,
+      CASE WHEN NOT any_value(permitted) THEN 'Prohibido por robots.txt' WHEN NOT any_value(answers) THEN 'HTTP 500' END AS reason FROM walk JOIN v USING (node) GROUP BY node"""
+)
+def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of six levels over pages that link to each other; some fail, some are forbidden, and are not followed."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    n = c.agg(F.count("*").alias("n")).scalar()
+    body = F.concat(F.lit('<p><a href="/course/'), (F.col("k") * 3 + 1) % n, F.lit('">a</a> <a href="https://www.example.org/course/'), (F.col("k") + 7) % n, F.lit('?utm_source=x">b</a> <a href="/x.pdf">c</a> <a href="https://other.org/course/1">d</a></p>'))
+    rules = F.array(F.struct(F.lit(False).alias("allow"), F.lit("/course/9").alias("path")))
+    names = [F.concat(F.lit(host), F.lit("/course/"), "k", F.lit(end)) for host, end in (("https://example.org", ""), ("https://www.example.org", ""), ("https://www.example.org", "?utm_source=x"))]
+    some = c.select("k", F.explode(F.array(*names)).alias("url"), body.alias("body"))
+    pages = some.select("url", (F.col("k") % 11 != 5).alias("ok"), "body", F.when(F.col("k") % 11 == 5, "HTTP 500").alias("reason"), F.lit(False).alias("manual_review"), rules.alias("rules"))
+    kind = "id string, institution string, domains array<string>, seed_urls array<string>, max_depth int, enabled boolean, adapter string"
+    sources = spark.createDataFrame([("s", "x", ["example.org"], ["https://example.org/course/0"], 6, True, None)], kind)
+    found = crawl.crawl(sources, pages, AS_OF, limits=crawl.Limits(max_pages=1 << 30))[0]
+    return found.select("url", "depth", "ok", "is_course", "reason")
+
+
 # exports
 
 

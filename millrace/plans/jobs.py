@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from millrace.operators.crawl import Limits, crawl
 from millrace.operators.tables import materialize
 
 STEPS = ("update", "validate")
+log = logging.getLogger("millrace")
 _running = threading.Lock()
 
 
@@ -24,7 +29,7 @@ class Update:
     catalog: DataFrame
     state: DataFrame
     verified: DataFrame
-    changes: DataFrame
+    changes: DataFrame | None
     discovered: DataFrame
 
 
@@ -34,14 +39,23 @@ def verify(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     return candidates.join(found, "pos").withColumn("bucket", lifecycle.verification_bucket(F.col("match")))
 
 
-def update(sources: DataFrame, pages: DataFrame, catalog: DataFrame, as_of: str, state: DataFrame | None = None, before_urls: DataFrame | None = None, limits: Limits = Limits()) -> Update:
-    """Crawl, extract, verify, discover, mark what is gone, incorporate, diff. catalog has pos. A page is
-    read once: its body serves the crawl and the extraction."""
+def update(sources: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], catalog: DataFrame, as_of: str, state: DataFrame | None = None, before_urls: DataFrame | None = None, limits: Limits = Limits()) -> Update:
+    """Crawl, extract, verify, discover, mark what is gone, incorporate, diff. catalog has pos. pages is a table, or
+    what fetches them (http.live_pages()). A page is read once: its body serves the crawl and the extraction. A
+    report of changes that fails leaves changes None, and the catalog as it is updated."""
+    if callable(pages):
+        live, fetched = pages, []
+
+        def pages(urls: DataFrame) -> DataFrame:
+            fetched.append(materialize(live(urls)))
+            return fetched[-1]
+
     visits, found = crawl(sources, pages, as_of, state, limits)
     visits, found = materialize(visits), materialize(found)
     folded = memory.fold(visits.select("url", F.lit(as_of).alias("day"), F.lit(1).alias("seq"), "ok", F.col("source_id").alias("source"), "is_course", "content_hash", "reason").dropDuplicates(["url"]), state)
     folded = materialize(folded)
-    bodies = pages.select(F.col("url").alias("raw"), "ok", "body", "reason")
+    every = reduce(DataFrame.unionByName, fetched).dropDuplicates(["url"]) if callable(pages) else pages
+    bodies = every.select(F.col("url").alias("raw"), "ok", "body", "reason")
     fetched = found.withColumnRenamed("institution", "source_institution").join(visits.select("url", "source_id", "raw_url"), ["url", "source_id"], "left").join(bodies, F.coalesce("raw_url", "url") == F.col("raw"), "left")
     extracted = materialize(lifecycle.extract(fetched, as_of))
     ready = materialize(extracted.where("outcome = 'extracted'").withColumn("platform", F.lit(None).cast("string")).withColumn("pos", F.monotonically_increasing_id()))
@@ -51,31 +65,76 @@ def update(sources: DataFrame, pages: DataFrame, catalog: DataFrame, as_of: str,
     accepted = lifecycle.pending_record(verified.where("bucket = 'accepted'"), as_of)
     names = [c for c in catalog.columns if c != "pos"]
     after = materialize(lifecycle.incorporate(marked.select(*names), accepted.select(*names)))
-    changes = materialize(lifecycle.diff(catalog, after))
+    try:
+        changes = materialize(lifecycle.diff(catalog, after))
+    except PySparkException as error:
+        log.error("the report of changes failed, the catalog is updated: %s", error)
+        changes = None
     now = found.select("url")
     discovered = lifecycle.discover(now, before_urls) if before_urls is not None else now.distinct().withColumn("change", F.lit("new"))
     return Update(after, folded, verified, changes, materialize(discovered))
 
 
-def run(spark: SparkSession, steps: list[str], actions: dict[str, Callable[[SparkSession], bool]], tell: Callable[[str, str], None] = lambda step, state: None) -> bool:
-    """Runs named steps one after the other, stops at the first that fails; one run at a time."""
+class _Relay(logging.Handler):
+    """Hands what the library logs during a step on."""
+
+    def __init__(self, step: str, tell: Callable[[str, str, str], None]):
+        super().__init__()
+        self.step, self.tell = step, tell
+
+    def emit(self, record: logging.LogRecord) -> None:
+        for line in record.getMessage().splitlines():
+            if line.strip():
+                self.tell(self.step, record.levelname.lower(), line)
+
+
+def run(
+    spark: SparkSession,
+    steps: list[str],
+    actions: dict[str, Callable[[SparkSession], bool | None]],
+    tell: Callable[[str, str, str], None] = lambda step, level, message: None,
+    step_timeout_s: float = 20 * 60,
+    tries: int = 1,
+) -> bool:
+    """Runs named steps one after the other; one run at a time. A step that gives False or raises is run again, up to
+    tries times in all, then the run stops. A step that takes longer than step_timeout_s has its Spark jobs
+    cancelled, and fails. tell gets step, level and message of starts, ends, faults and of what the library logs."""
     unknown = [s for s in steps if s not in actions]
-    if unknown:
-        raise ValueError(f"unknown steps: {unknown}")
+    if unknown or not steps:
+        raise ValueError(f"unknown steps: {unknown}" if unknown else "no steps")
     if not _running.acquire(blocking=False):
         raise RuntimeError("a run is going on")
     try:
-        for step in steps:
-            tell(step, "start")
-            if not actions[step](spark):
-                tell(step, "failed")
-                return False
-            tell(step, "done")
-        return True
+        return all(any(_step(spark, step, actions[step], tell, step_timeout_s) for _ in range(tries)) for step in steps)
     finally:
         _running.release()
 
 
+def _step(spark: SparkSession, step: str, action: Callable[[SparkSession], bool | None], tell: Callable[[str, str, str], None], timeout_s: float) -> bool:
+    tag, late = f"millrace-{step}-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+    tell(step, "info", "start")
+    relay, timer = _Relay(step, tell), threading.Timer(timeout_s, cancel)
+    log.addHandler(relay)
+    spark.sparkContext.addJobTag(tag)
+    timer.start()
+    try:
+        good = action(spark) is not False and not late.is_set()
+    except Exception as error:  # noqa: BLE001  a step that fails stops the run, not the caller
+        tell(step, "error", str(error))
+        good = False
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(tag)
+        log.removeHandler(relay)
+    tell(step, "info" if good else "error", "done" if good else "timed out" if late.is_set() else "failed")
+    return good
+
+
 def validate(records: DataFrame, as_of: str) -> tuple[DataFrame, bool]:
     """The issues, and whether none is an error."""
     issues = materialize(validation.validate(records, as_of))

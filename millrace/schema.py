@@ -11,6 +11,7 @@ _KINDS = {
     "boolean": BooleanType(),
     "array<string>": ArrayType(StringType()),
 }
+# The fields of a record.
 _FIELDS = """id string, title string, institution string, institution_country string, provider_type string, platform string,
     course_code string, domain string, topics array<string>, level string, language array<string>,
     subtitles array<string>, duration_weeks double, hours_per_week double, pace string, cost_access string,

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.operators.crawl import Limits
 from millrace.operators.memory import STATE
 from millrace.operators.search import postings
+from millrace.operators.tables import latest, names_in, next_version
 from millrace.schema import CATALOG
 
 
 #: Fixed value: the key that a document may have its list of records under.
 WRAPPER = "courses"
+#: A table of another version is built anew.
+SCHEMA_VERSION = 1
 #: A path with such an end has a record a line and is read in parallel, in a file or a folder of parts.
 LINES = (".jsonl", ".ndjson")
 
@@ -56,28 +59,52 @@ def is_list(spark: SparkSession, path: str) -> bool:
 
 
 def rebuild(records: DataFrame, path: str) -> int:
-    """Replaces the query table and its postings under path; a failed write leaves the old ones. Returns rows."""
-    records.write.mode("overwrite").parquet(f"{path}/catalog")
-    table = records.sparkSession.read.schema(records.schema).parquet(f"{path}/catalog")
-    postings(table, "id").repartition("stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{path}/postings")
-    return table.count()
+    """Writes the query table and its postings as a new version under path; a failed write leaves the old one.
+    Returns the rows."""
+    spark = records.sparkSession
+    with next_version(spark, path) as folder:
+        records.write.parquet(f"{folder}/catalog")
+        table = spark.read.schema(records.schema).parquet(f"{folder}/catalog")
+        postings(table, "id").repartition("stem").sortWithinPartitions("stem").write.parquet(f"{folder}/postings")
+        spark.createDataFrame([(SCHEMA_VERSION,)], "schema_version int").coalesce(1).write.parquet(f"{folder}/meta")
+        return table.count()
 
 
 def open_catalog(spark: SparkSession, path: str, seed: str) -> DataFrame:
-    """The query table under path; where there is none it is built from the JSON document or lines of seed."""
-    try:
-        spark.read.parquet(f"{path}/catalog")  # a folder that a failed write has left has no files to infer from
-    except AnalysisException:
+    """The query table under path; where there is none, or one of another schema, it is built from the JSON document
+    or lines of seed."""
+    folder = latest(spark, path)
+    if folder is None or spark.read.parquet(f"{folder}/meta").first().schema_version != SCHEMA_VERSION:
         rebuild(read_json(spark, seed).drop("pos"), path)
-    return spark.read.schema(CATALOG).parquet(f"{path}/catalog")
+        folder = latest(spark, path)
+    return spark.read.schema(CATALOG).parquet(f"{folder}/catalog")
+
+
+def rebuild_from(spark: SparkSession, seed: str, path: str) -> str:
+    """Rebuilds from a catalog document and says how many records it has read and the table now has."""
+    inserted = rebuild(read_json(spark, seed).drop("pos"), path)
+    total = open_catalog(spark, path, seed).count()
+    return f"Base reconstruida: {inserted} registros indexados ({total} en total)."
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The URL state, empty if there is none."""
-    try:
-        return spark.read.schema(STATE).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], STATE)
+    """The URL state under path, empty if there is none."""
+    folder = latest(spark, path)
+    return spark.read.schema(STATE).parquet(f"{folder}/state") if folder else spark.createDataFrame([], STATE)
+
+
+def write_state(state: DataFrame, path: str, day: str) -> None:
+    """The state as the latest version under path, with the day of the update."""
+    spark = state.sparkSession
+    with next_version(spark, path) as folder:
+        state.write.parquet(f"{folder}/state")
+        spark.createDataFrame([(day, state.count())], "updated_at string, urls long").coalesce(1).write.parquet(f"{folder}/stamp")
+
+
+def state_stamp(spark: SparkSession, path: str) -> str | None:
+    """The day of the last update of the state, None before the first."""
+    folder = latest(spark, path)
+    return spark.read.parquet(f"{folder}/stamp").first().updated_at if folder else None
 
 
 def write_snapshot(records: DataFrame, path: str, day: str) -> None:
@@ -86,13 +113,25 @@ def write_snapshot(records: DataFrame, path: str, day: str) -> None:
 
 
 def last_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The records of the latest snapshot, or None. Only its folder is read."""
-    try:
-        every = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    last = every.agg(F.max("snapshot_date")).first()[0]
-    return None if last is None else every.where(F.col("snapshot_date") == last).drop("snapshot_date")
+    """The records of the latest snapshot, or None. The folder's names tell which; only that one is read."""
+    days = [n for n in names_in(spark, path) if n.startswith("snapshot_date=")]
+    return spark.read.parquet(f"{path}/{days[-1]}") if days else None
+
+
+def first_snapshot(records: DataFrame, path: str, day: str) -> bool:
+    """Writes a snapshot if there is none yet, and says so: then there is nothing to compare with."""
+    if last_snapshot(records.sparkSession, path) is not None:
+        return False
+    write_snapshot(records, path, day)
+    return True
+
+
+def read_limits(spark: SparkSession, path: str) -> Limits:
+    """The crawl's limits of a JSON document (max_depth, max_pages_per_source, revisit_days); what it does not say is
+    as built in."""
+    row = spark.read.schema("max_depth int, max_pages_per_source int, revisit_days int").option("multiLine", True).json(path).first()
+    given = {"max_depth": row.max_depth, "max_pages": row.max_pages_per_source, "revisit_days": row.revisit_days}
+    return Limits(**{k: v for k, v in given.items() if v is not None})
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:

@@ -3,10 +3,15 @@ be written; a single document is put together only on request."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The columns of the exports and their headings.
+from millrace.operators.lifecycle import discover
+from millrace.operators.links import summary as link_summary
+
+# The columns of the exports and their headings; also what the reports below say.
 CSV_COLUMNS = {
     "id": "ID",
     "title": "Título",
@@ -125,30 +130,78 @@ def document(df: DataFrame, kind: str) -> str:
     raise ValueError(kind)
 
 
+def _report(spark: SparkSession, heads: list[str], sections: list[tuple[list[str], DataFrame]], nothing: str) -> DataFrame:
+    """seq, line: the heads, then each section's heads and rows (place, line) if it has rows, or what is said if none has."""
+    parts, rows = [], [("0", f"{i:06d}", x) for i, x in enumerate(heads)]
+    for k, (titles, lines) in enumerate(sections, 1):
+        if not lines.isEmpty():
+            rows += [(f"{k}", f" {i}", x) for i, x in enumerate(titles)] + [(f"{k}~", "", "")]
+            parts.append(lines.select(F.lit(f"{k}").alias("section"), F.concat(F.lit("!"), "place").alias("place"), "line"))
+    if not parts:
+        rows.append(("9", "", nothing))
+    every = spark.createDataFrame(rows, "section string, place string, line string")
+    return reduce(DataFrame.unionByName, parts, every).orderBy("section", "place").select(F.concat_ws(" ", "section", "place").alias("seq"), "line")
+
+
+def _row(*cells: str | Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cells]), F.lit(" |"))
+
+
 def diff_report(changes: DataFrame, day: str, total: int, compared: str) -> DataFrame:
-    """seq, line of the Markdown report of lifecycle.diff() rows (with title and institution where added)."""
+    """seq, line of the Markdown report of lifecycle.diff() rows."""
     n = {r.change: r.n for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
     heads = [
         "# Reporte de cambios del catálogo", "", f"Fecha: {day}", f"Instantánea comparada: {compared}", "",
         f"- Cursos actuales: {total}", f"- Altas: {n.get('added', 0)}", f"- Bajas: {n.get('removed', 0)}", f"- Campos modificados: {n.get('changed', 0)}", "",
     ]
-    spark = changes.sparkSession
-    rows = [(f"0{i:03d}", x) for i, x in enumerate(heads)]
-    sections = {"added": ("## Cursos nuevos", "| ID |", "|---|"), "removed": ("## Cursos eliminados", "| ID |", "|---|"), "changed": ("## Cambios en campos sensibles", "| ID | Campo | Antes | Ahora |", "|---|---|---|---|")}
-    for k, (change, (title, head, rule)) in enumerate(sections.items(), 1):
-        if n.get(change):
-            rows += [(f"{k}0", title), (f"{k}1", ""), (f"{k}2", head), (f"{k}3", rule), (f"{k}9", "")]
-    if not n:
-        rows.append(("90", "Sin cambios respecto de la instantánea anterior."))
-    place = F.when(F.col("change") == "added", "1").when(F.col("change") == "removed", "2").otherwise("3")
     said = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
-    line = F.when(F.col("change") == "changed", F.concat(F.lit("| "), F.concat_ws(" | ", "id", "field", said("old"), said("new")), F.lit(" |"))).otherwise(F.concat(F.lit("| "), "id", F.lit(" |")))
-    body = changes.select(F.concat(place, F.lit("5 "), "id", F.lit(" "), F.coalesce("field", F.lit(""))).alias("seq"), line.alias("line"))
-    return spark.createDataFrame(rows, "seq string, line string").unionByName(body).orderBy("seq")
-
-
-def link_report(results: DataFrame) -> DataFrame:
-    """id, line of the links that are broken or lead elsewhere."""
-    status = F.coalesce(F.col("status").cast("string"), F.col("error"), F.lit(""))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", "id", "field", status, F.coalesce("redirect", F.lit("")), "url"), F.lit(" |"))
-    return results.where("not ok or redirect is not null").select("id", "field", line.alias("line"))
+    ids = lambda change: changes.where(F.col("change") == change).select(F.col("id").alias("place"), _row("id").alias("line"))
+    fields = changes.where("change = 'changed'").select(F.concat_ws(" ", "id", "field").alias("place"), _row("id", "field", said("old"), said("new")).alias("line"))
+    sections = [
+        (["## Cursos nuevos", "", "| ID |", "|---|"], ids("added")),
+        (["## Cursos eliminados", "", "| ID |", "|---|"], ids("removed")),
+        (["## Cambios en campos sensibles", "", "| ID | Campo | Antes | Ahora |", "|---|---|---|---|"], fields),
+    ]
+    return _report(changes.sparkSession, heads, sections, "Sin cambios respecto de la instantánea anterior.")
+
+
+def link_report(results: DataFrame, day: str) -> DataFrame:
+    """seq, line of the Markdown report of links.outcome() rows: totals, then the broken, then those that lead elsewhere."""
+    n = link_summary(results).first()
+    heads = ["# Reporte de enlaces", "", f"Fecha: {day}", "", f"- Enlaces verificados: {n.checked}", f"- Con problemas: {n.broken}", f"- Con redirección: {n.redirected}", ""]
+    place = F.concat_ws(" ", "id", "field").alias("place")
+    status = F.coalesce(F.col("status").cast("string"), F.col("error"))
+    broken = results.where("not ok").select(place, _row("id", "id", "field", status, "url").alias("line"))
+    moved = results.where("ok and redirect is not null").select(place, _row("id", "field", "url", "redirect").alias("line"))
+    sections = [
+        (["## Enlaces con problemas", "", "| ID | Curso | Campo | Estado | URL |", "|---|---|---|---|---|"], broken),
+        (["## Redirecciones detectadas", "", "| ID | Campo | URL original | Destino |", "|---|---|---|---|"], moved),
+    ]
+    return _report(results.sparkSession, heads, sections, "Todos los enlaces respondieron correctamente y sin redirecciones.")
+
+
+def discovery_report(now: DataFrame, before: DataFrame, day: str) -> DataFrame:
+    """generated_at, total_now, total_before, new and gone: one row of counts; the addresses are lifecycle.discover()'s."""
+    counts = discover(now, before).agg(F.count_if(F.col("change") == "new").alias("new"), F.count_if(F.col("change") == "gone").alias("gone"))
+    total = lambda df: df.agg(F.count_distinct("url")).scalar()
+    return counts.select(F.lit(day).alias("generated_at"), total(now).alias("total_now"), total(before).alias("total_before"), "new", "gone")
+
+
+def bucket_counts(rows: DataFrame, column: str = "bucket") -> DataFrame:
+    """bucket and n, the larger first: of verified candidates, audited records, or derived states."""
+    return rows.groupBy(F.col(column).alias("bucket")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bucket")
+
+
+def issue_report(issues: DataFrame, total: int) -> DataFrame:
+    """seq, line of the issues of validation.validate(), by record in order of its first issue, then their number."""
+    first = issues.groupBy("id").agg(F.min(F.struct("pos", "rule")).alias("at"), F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warn").alias("warnings"))
+    mark = F.when(F.col("level") == "error", "ERROR").otherwise("aviso")
+    field = F.coalesce(F.concat(F.lit(" ["), "field", F.lit("]")), F.lit(""))
+    heads = first.select("at", F.lit(0).alias("k"), F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(-1).alias("rule")).alias("sub"), F.col("id").alias("line"))
+    lines = issues.join(first.select("id", "at"), "id").select(
+        "at", F.lit(1).alias("k"), F.struct(F.col("pos").cast("long").alias("pos"), "rule").alias("sub"), F.concat(F.lit("  "), mark, field, F.lit(": "), "message").alias("line")
+    )
+    n = first.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("e"), F.coalesce(F.sum("warnings"), F.lit(0)).alias("w"))
+    last = n.select(F.lit(None).cast(heads.schema["at"].dataType).alias("at"), F.lit(2).alias("k"), F.lit(None).cast(heads.schema["sub"].dataType).alias("sub"), F.format_string(f"Validación: {total} cursos · %d errores · %d avisos", "e", "w").alias("line"))
+    every = heads.unionByName(lines).unionByName(last)
+    return every.orderBy(F.col("at").asc_nulls_last(), "k", "sub").select("line")

@@ -7,15 +7,21 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.urls import host
+from millrace.functions.robots import allows, policy_of_answer
+from millrace.functions.urls import host, origin, path
+from millrace.operators.links import fetch_outcome
+from millrace.operators.tables import materialize
 
 #: (status, headers, body, final url) of an address, or an exception.
 Fetch = Callable[[str, str], tuple[int, dict[str, str], str, str]]
+# Reasons of addresses that are not asked.
+DENIED, LATE = "Prohibido por robots.txt", "Tiempo agotado para la fuente"
 PAGE = "url string, status int, body string, content_type string, final_url string, error string, attempts int"
 
 
@@ -28,6 +34,8 @@ class Politeness:
     backoff_s: float = 2.0
     factor: float = 2.0
     hosts_at_once: int = 16
+    #: After so many seconds on one host the rest of its addresses in a call are not asked any more; None: no end.
+    host_s: float | None = 240.0
 
 
 def url_fetch(agent: str, timeout_s: float) -> Fetch:
@@ -72,8 +80,12 @@ def fetch_pages(urls: DataFrame, method: str = "GET", polite: Politeness = Polit
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
+        began: dict[str, float] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if polite.host_s is not None and time.monotonic() - began.setdefault(row.host, time.monotonic()) > polite.host_s:
+                    yield pd.DataFrame([{"url": row.url, "status": None, "body": None, "content_type": None, "final_url": None, "error": LATE, "attempts": 0}])
+                    continue
                 delay = max(polite.delay_s, (row.delay_ms or 0) / 1000 if has_delay and row.delay_ms == row.delay_ms else 0)
                 pause = last.get(row.host, -1e9) + delay - time.monotonic()
                 if pause > 0:
@@ -85,6 +97,35 @@ def fetch_pages(urls: DataFrame, method: str = "GET", polite: Politeness = Polit
     return dealt.mapInPandas(run, PAGE)
 
 
+def live_pages(polite: Politeness = Politeness(), fetch: Fetch | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame], DataFrame]:
+    """What gives pages (url, ok, body, reason, manual_review) for addresses (url), for crawl.crawl(). The robots file
+    of an origin is asked once for all calls; where it can't be had nothing is fetched. An address that robots do
+    not allow is not asked, and the delay they want is kept."""
+    known: list[DataFrame] = []
+
+    def robots(origins: DataFrame) -> DataFrame:
+        new = origins
+        for table in known:
+            new = new.join(table.select("origin"), "origin", "left_anti")
+        asked = fetch_pages(new.select(F.concat("origin", F.lit("/robots.txt")).alias("url")), "GET", polite, fetch, sleep)
+        found = policy_of_answer(F.col("status"), F.col("body"), polite.agent)
+        known.append(materialize(asked.select(F.regexp_replace("url", r"/robots\.txt$", "").alias("origin"), found.alias("policy"), (F.col("status").isNull() | (~F.col("status").between(200, 299) & (F.col("status") != 404))).alias("shut"))))
+        return reduce(DataFrame.unionByName, known)
+
+    def pages(urls: DataFrame) -> DataFrame:
+        named = materialize(urls.select("url", origin(F.col("url")).alias("origin")).distinct())
+        ruled = named.join(robots(named.select("origin").where("origin is not null").distinct()), "origin", "left")
+        allowed = F.coalesce(allows(F.col("policy.rules"), path(F.col("url"))), F.lit(False))
+        ruled = materialize(ruled.select("url", "shut", allowed.alias("allowed"), F.col("policy.delay_ms").alias("delay_ms")))
+        got = fetch_pages(ruled.where("allowed").select("url", "delay_ms"), "GET", polite, fetch, sleep)
+        answers = got.select("url", "body", F.inline(F.array(fetch_outcome(F.col("status"), F.col("error")))))
+        answers = answers.select("url", "ok", F.when(F.col("ok"), F.col("body")).alias("body"), "reason", "manual_review")
+        denied = ruled.where("not allowed").select("url", F.lit(False).alias("ok"), F.lit(None).cast("string").alias("body"), F.lit(DENIED).alias("reason"), F.coalesce("shut", F.lit(False)).alias("manual_review"))
+        return answers.unionByName(denied)
+
+    return pages
+
+
 def probe_links(targets: DataFrame, polite: Politeness = Politeness(), fetch: Fetch | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Adds head_status, get_status, final_url, error to targets (url, ...); each address is asked once."""
     urls = targets.select("url").distinct()

@@ -2,50 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from millrace.operators.memory import RETIRE_AFTER, STATE
-
-FIELDS = [x.split()[0] for x in STATE.replace("\n", " ").split(", ")]
-
-
-def visit(old: dict, row: dict) -> dict:
-    """The state of an address after one more visit."""
-    if not row["ok"]:
-        misses = (old.get("missing_count") or 0) + 1
-        return {"first_seen": row["day"], **old, "missing_count": misses, "last_missing": row["day"], "last_reason": row["reason"], "status": "retirado" if misses >= RETIRE_AFTER else "inestable"}
-    was, now = old.get("content_hash"), row["content_hash"]
-    return {
-        "source": row["source"] or old.get("source"),
-        "first_seen": old.get("first_seen") or row["day"],
-        "last_seen": row["day"],
-        "is_course": bool(row["is_course"]) or bool(old.get("is_course")),
-        "content_hash": now or was,
-        "changed_at": row["day"] if now and was and now != was else old.get("changed_at"),
-        "missing_count": 0,
-        "status": "activo",
-    }
-
-
-def _handle(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = dict(zip(FIELDS[1:], state.get, strict=True)) if state.exists else {}
-    rows = pd.concat(frames).sort_values("seq").astype(object)
-    for row in rows.where(rows.notna(), None).to_dict("records"):
-        now = visit({k: v for k, v in now.items() if v is not None}, row)
-    state.update(tuple(now.get(k, False if k == "is_course" else None) for k in FIELDS[1:]))
-    yield pd.DataFrame([{"url": key[0], **{k: now.get(k, False if k == "is_course" else None) for k in FIELDS[1:]}}])
-
-
-def track(visits: DataFrame) -> DataFrame:
-    """A stream of visits as a stream of the states of the addresses visited (update mode). The rows of an
-    address are folded in the order of seq within a batch."""
-    kept = STATE.replace("\n", " ").split(", ", 1)[1]
-    return visits.groupBy("url").applyInPandasWithState(_handle, STATE, kept, "update", GroupStateTimeout.NoTimeout)
+from millrace.operators import memory
+from millrace.operators.tables import latest, next_version, scratch
+from millrace.sources.catalog import read_state
+
+
+def track(visits: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keeps the URL state under path (read_state) up to date with a stream of visits. A batch is folded by
+    aggregates, so an address costs a row a batch however often it was visited, and merged with the latest
+    version, which the new one replaces when it is whole. A batch that is run again after a failure is folded
+    once: its number is in the version. Visits of an address are in the order of seq within a batch."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = latest(spark, path)
+        if folder and spark.read.parquet(f"{folder}/stamp").first().batch >= number:
+            return
+        with next_version(spark, path) as new, scratch(spark):
+            memory.fold(batch, read_state(spark, path)).write.parquet(f"{new}/state")
+            spark.range(1).select(F.lit(number).cast("long").alias("batch"), F.lit(None).cast("string").alias("updated_at")).write.parquet(f"{new}/stamp")
+
+    return visits.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def watch_catalog(spark: SparkSession, folder: str, rebuild: Callable[[SparkSession, list[str]], None], checkpoint: str, every: str = "250 milliseconds") -> StreamingQuery:
