@@ -188,14 +188,14 @@ cdf AS (
   SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
 draws AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(length(text), 0) AS text_chars,
-         CAST('0x' || substr(md5('count 0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|1'), 1, 13) AS BIGINT) / pow(2.0, 52) AS u
-  FROM documents),
+         CAST('0x' || substr(md5('count 0|' || name || '|1'), 1, 13) AS BIGINT) / pow(2.0, 52) AS u, name
+  FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || coalesce(text, '')) AS name FROM documents)),
 counts AS (
-  SELECT r, any_value(doc_id) AS doc_id, any_value(d.source) AS source, any_value(text_chars) AS text_chars, count(*) AS n
+  SELECT r, any_value(doc_id) AS doc_id, any_value(d.source) AS source, any_value(text_chars) AS text_chars, any_value(name) AS name, count(*) AS n
   FROM draws d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY r)
 SELECT doc_id, source, text_chars, copy_no,
-       CAST('0x' || substr(md5('order 0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy_no), 1, 15) AS BIGINT) AS order_key
-FROM (SELECT doc_id, source, CAST(text_chars AS BIGINT) AS text_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy_no FROM counts)
+       CAST('0x' || substr(md5('order 0|' || name || '|' || copy_no), 1, 15) AS BIGINT) AS order_key
+FROM (SELECT doc_id, source, name, CAST(text_chars AS BIGINT) AS text_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy_no FROM counts)
 """,
     "op10_chat_format": r"""
 WITH t AS (
