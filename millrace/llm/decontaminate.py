@@ -1,15 +1,17 @@
 """Benchmark decontamination with a broadcast hash set of normalised n-grams of the test items.
 
 Words are runs of 0-9, a-z and all beyond ASCII, after A-Z went to lower case. A window is n consecutive
-words of an item; an item of fewer words is one window. Each executor gets the hash set of all windows
-once; a task slides over the words of whole documents, looks up rolling hashes, and verifies each hit on
-the words themselves. The set is broadcast only while the items' text is within max_broadcast_bytes;
-beyond that the windows are a table, and documents meet it in a join on hashed windows.
+words of an item; an item of fewer words is one window. Each executor gets the sorted hashes of all different
+windows once, with the place of one copy of each in the items' normalised text and the items that have it; a
+task slides over the words of whole documents, looks up rolling hashes, and verifies each hit on the words
+themselves. The set is broadcast only while its tables, whose size is counted first, are within
+max_broadcast_bytes; beyond that the windows are a table, and documents meet it in a join on hashed windows.
 
 Null texts have no words. Items without words are no items; an item without id taints words but is not
-counted. Repeated rows are judged each; equal ids of items count once. An empty benchmark taints
-nothing; an empty table of documents gives an empty result. Only the named columns are read; clean() and
-cut() give back all columns of their input.
+counted. Texts are read whole, however long. Repeated rows are judged each; equal ids of items count once;
+windows that several items share count for each. An empty benchmark taints nothing; an empty table of
+documents gives an empty result. Only the named columns are read; clean() and cut() give back all columns of
+their input, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +19,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import ascii_lower, columns_of, materialize, spare
 
 N = 10
-MAX_BROADCAST_BYTES = 32 << 20
+#: Bytes of the tables of a broadcast set; a worker needs that and at most 64 MB more for its sieve.
+MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of a window in the tables: hash, place, length, end of its items, one item.
+WINDOW_BYTES = 32
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -40,14 +45,41 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def item_windows(items: list[tuple[str | None, bytes | None]], n: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Each window of the items (id, text) with the ids of the items it is in."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - n + 1) if w else 0):
-            found.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [item])
-    return {k: sorted(v) for k, v in found.items()}
+def codes_of(w: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
+
+
+def window_tables(items: list[tuple[str | None, bytes | None]], n: int) -> dict:
+    """The windows of the items (id, text) as arrays. text: the items' words, joined; ids; and, by window length,
+    hashes (sorted, each once), at and size (of a window in text), ends and items (the places in ids of the items
+    of window k are items[ends[k - 1] : ends[k]]). odd: (window, ids) of those that share another's hash."""
+    spoken = [(item, w) for item, text in items if (w := words(text))]
+    blob, start = [], 0
+    found: dict[int, list[np.ndarray]] = {}
+    for number, (_, w) in enumerate(spoken):
+        m = min(n, len(w))
+        places = start + np.concatenate([[0], np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1)])
+        size = (places[m:] - 1 - places[: len(places) - m]).astype(np.int32)
+        found.setdefault(m, []).append((rolling(codes_of(w), m), places[: len(size)], size, np.full(len(size), number, dtype=np.int32)))
+        blob.append(b" ".join(w))
+        start = int(places[-1])
+    text, lengths, odd = b" ".join(blob), {}, {}
+    for m, parts in found.items():
+        hashes, at, size, number = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((number, hashes))
+        hashes, at, size, number = hashes[order], at[order], size[order], number[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        of = np.repeat(first, np.diff(np.concatenate([first, [len(hashes)]])))
+        same = np.fromiter((text[a : a + s] == text[b : b + t] for a, s, b, t in zip(at, size, at[of], size[of])), dtype=bool, count=len(at))
+        for k in np.flatnonzero(~same).tolist():
+            odd.setdefault(text[at[k] : at[k] + size[k]], set()).add(spoken[number[k]][0])
+        # each item of a window once, none for those without id
+        named = np.fromiter((spoken[k][0] is not None for k in number), dtype=bool, count=len(number))
+        again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (number[1:] == number[:-1])])
+        kept = same & named & ~again
+        ends = np.add.reduceat(kept.astype(np.int64), first).cumsum()
+        lengths[m] = {"hashes": hashes[first], "at": at[first], "size": size[first], "ends": ends, "items": number[kept]}
+    return {"text": text, "ids": [item for item, _ in spoken], "lengths": lengths, "odd": {k: sorted(v - {None}) for k, v in odd.items()}}
 
 
 def rolling(codes: np.ndarray, n: int) -> np.ndarray:
@@ -65,46 +97,47 @@ def rolling(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The set on an executor: a code for each word, and the hashes of the windows by their length."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], list[str]]):
-        self.windows = windows
-        vocabulary = dict.fromkeys(w for window in windows for w in window)
-        # splitmix64 of 1, 2, ...; zero stands for every word that no window has
-        z = np.arange(1, len(vocabulary) + 1, dtype=np.uint64) * _FACTOR
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        self.code = dict(zip(vocabulary, (z ^ (z >> np.uint64(31))).tolist(), strict=True))
-        self.hashes = {}
-        for n in sorted({len(w) for w in windows}):
-            codes = np.array([self.code[x] for w in windows if len(w) == n for x in w], dtype=np.uint64)
-            hashes = np.unique(rolling(codes, n)[::n])
+    """The set in a task: the tables, and a sieve of the hashes by window length."""
+
+    def __init__(self, tables: dict):
+        self.text, self.ids, self.lengths, self.odd = (tables[k] for k in ("text", "ids", "lengths", "odd"))
+        self.sieves = {}
+        for n, table in self.lengths.items():
+            hashes = table["hashes"]
             # one in 64 places of the sieve is taken at most, up to 64 MB; each place stands for a hash's top bits
             bits = min(26, max(20, (64 * len(hashes)).bit_length()))
             sieve, shift = np.zeros(1 << bits, dtype=bool), np.uint64(64 - bits)
             sieve[(hashes >> shift).astype(np.int64)] = True
-            self.hashes[n] = (hashes, sieve, shift)
+            self.sieves[n] = (sieve, shift)
 
     def find(self, w: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """Which words are hit (None if none is), and the ids of the items found."""
         hit, items = None, set()
-        get = self.code.get
-        codes = np.fromiter(map(get, w, repeat(0)), dtype=np.uint64, count=len(w))
-        for n, (hashes, sieve, shift) in self.hashes.items():
+        codes = codes_of(w) if self.lengths else None
+        for n, table in self.lengths.items():
             if len(w) < n:
                 continue
+            hashes, (sieve, shift) = table["hashes"], self.sieves[n]
             h = rolling(codes, n)
             maybe = np.flatnonzero(sieve[(h >> shift).astype(np.int64)])
             if not len(maybe):
                 continue
-            nearest = hashes[np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)]
-            for i in maybe[nearest == h[maybe]].tolist():
-                ids = self.windows.get(tuple(w[i : i + n]))
-                if ids is not None:  # verified on the words
-                    hit = np.zeros(len(w) + 1, dtype=np.int32) if hit is None else hit
-                    hit[i] += 1
-                    hit[i + n] -= 1
-                    items.update(ids)
+            place = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+            found = hashes[place] == h[maybe]
+            seen = set()
+            for i, k in zip(maybe[found].tolist(), place[found].tolist()):
+                said, at = b" ".join(w[i : i + n]), table["at"][k]
+                if said == self.text[at : at + table["size"][k]]:  # verified on the words
+                    if k not in seen:
+                        seen.add(k)
+                        items.update(self.ids[x] for x in table["items"][table["ends"][k - 1] if k else 0 : table["ends"][k]])
+                elif said in self.odd:
+                    items.update(self.odd[said])
+                else:
+                    continue
+                hit = np.zeros(len(w) + 1, dtype=np.int32) if hit is None else hit
+                hit[i] += 1
+                hit[i + n] -= 1
         return None if hit is None else np.cumsum(hit[:-1]) > 0, items
 
 
@@ -113,14 +146,26 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
 
 
+def verdict_of(docs: DataFrame) -> str:
+    """The name that scan() gives its verdict, one that docs does not have."""
+    return spare(docs, "__v")[0]
+
+
+def table_bytes(items: DataFrame, n: int) -> int:
+    """What the tables of a broadcast set of items (text) take at most."""
+    spoken = F.coalesce(_count_words(F.col("text").cast("string")), F.lit(0))
+    windows = F.when(spoken > 0, F.greatest(spoken - (n - 1), F.lit(1))).otherwise(0)
+    r = items.agg(F.sum(F.length("text")).alias("b"), F.sum(windows).alias("w"), F.count("*").alias("n")).first()
+    return (r.b or 0) + WINDOW_BYTES * (r.w or 0) + 100 * r.n
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """All columns of docs (text, and more) and a struct __v: n_words, n_hit, n_items, items (ids, sorted),
-    hits (runs of hit words, end exclusive)."""
+    """All columns of docs (text, and more) and a struct named by verdict_of(docs): n_words, n_hit, n_items, items
+    (ids, sorted), hits (runs of hit words, end exclusive)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    if size.b + 64 * size.n > max_broadcast_bytes:
+    if table_bytes(items, n) > max_broadcast_bytes:
         return _scan_joined(docs, items, n)
-    windows = docs.sparkSession.sparkContext.broadcast(item_windows([tuple(r) for r in items.collect()], n))
+    tables = docs.sparkSession.sparkContext.broadcast(window_tables([tuple(r) for r in items.collect()], n))
     cached: list[Windows] = []
 
     kind = pa.struct(
@@ -136,7 +181,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast_bytes:
     @F.arrow_udf(VERDICT)
     def find(texts: pa.Array) -> pa.Array:
         if not cached:
-            cached.append(Windows(windows.value))
+            cached.append(Windows(tables.value))
         n_words, n_hit, items, hits = [], [], [], []
         for text in texts:
             w = words(text.as_py())
@@ -147,7 +192,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast_bytes:
         arrays = [pa.array(x, f.type) for x, f in zip(columns, kind, strict=True)]
         return pa.StructArray.from_arrays(arrays, fields=list(kind))
 
-    return docs.withColumn("__v", find(F.col("text").cast("binary")))
+    return docs.withColumn(verdict_of(docs), find(F.col("text").cast("binary")))
+
+
+def _count_words(text: Column) -> Column:
+    return F.regexp_count(ascii_lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
 
 
 def _hashed_windows(rows: DataFrame, key: str, n: int, short: bool) -> DataFrame:
@@ -182,8 +231,9 @@ def _windows_batch(keys, grams, starts, lengths, kind) -> pa.RecordBatch:
 def _scan_joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """As scan(), for a benchmark that is too large to broadcast: 128-bit digests of windows are joined.
     Items of fewer than n words are still matched by windows of each shorter length."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    text = rows.select("__row", F.col("text").cast("binary").alias("text"))
+    row = spare(docs, "__row")[0]
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    text = rows.select(F.col(row).alias("__row"), F.col("text").cast("binary").alias("text"))
     of_items = _hashed_windows(items, "item_id", n, True)
     table = materialize(of_items.groupBy("gram", "len").agg(F.collect_set("item_id").alias("ids")))
     lengths = [r.len for r in table.select("len").distinct().collect()]  # at most n numbers
@@ -196,36 +246,37 @@ def _scan_joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     if found is None:
         found = rows.select("__row", F.lit(0).alias("start"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("ids")).limit(0)
     merged = found.groupBy("__row").agg(
-        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("s"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"),
-    )
-    runs = F.aggregate(
-        "s",
-        F.array().cast(spans),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1)).end >= x.start),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1).start.alias("start"), F.greatest(F.element_at(acc, -1).end, x.end).alias("end")
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
+        F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("s"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"),
     )
-    merged = merged.select("__row", "items", runs.alias("hits"))
-    count = F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+
+    @F.arrow_udf(spans)
+    def joined(each: pa.Array) -> pa.Array:
+        out = []
+        for row_spans in each.to_pylist():
+            runs: list[dict[str, int]] = []
+            for x in row_spans:
+                if runs and runs[-1]["end"] >= x["start"]:
+                    runs[-1]["end"] = max(runs[-1]["end"], x["end"])
+                else:
+                    runs.append(x)
+            out.append(runs)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    merged = merged.select("__row", "items", joined("s").alias("hits"))
+    count = _count_words(rows["text"])
     none = F.array().cast("array<string>")
-    return rows.join(merged, "__row", "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    found_items, found_hits, key = spare(rows, "__items", "__hits", "__key")
+    merged = merged.select(F.col("__row").alias(key), F.col("items").alias(found_items), F.col("hits").alias(found_hits))
+    return rows.join(merged, F.col(row) == F.col(key), "left").select(
+        *columns_of(docs),
         F.struct(
             F.coalesce(count, F.lit(0)).cast("long").alias("n_words"),
-            F.coalesce(F.aggregate("hits", F.lit(0), lambda a, x: a + x.end - x.start), F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-            F.coalesce("items", none).alias("items"),
-            F.coalesce("hits", F.array().cast(spans)).alias("hits"),
-        ).alias("__v"),
+            F.coalesce(F.aggregate(found_hits, F.lit(0), lambda a, x: a + x.end - x.start), F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce(F.size(found_items), F.lit(0)).cast("long").alias("n_items"),
+            F.coalesce(found_items, none).alias("items"),
+            F.coalesce(found_hits, F.array().cast(spans)).alias("hits"),
+        ).alias(verdict_of(docs)),
     )
 
 
@@ -244,7 +295,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The rows of docs, with all columns, in which no word is hit."""
-    return scan(docs, benchmark, n).where("__v.n_hit = 0").drop("__v")
+    v = verdict_of(docs)
+    return scan(docs, benchmark, n).where(F.col(f"{v}.n_hit") == 0).drop(v)
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -261,5 +313,5 @@ def cut(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
             out.append(None if raw is None else raw.decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    v = scan(docs, benchmark, n)
-    return v.withColumn("text", without(F.col("text").cast("binary"), F.col("__v.hits"))).drop("__v")
+    v = verdict_of(docs)
+    return scan(docs, benchmark, n).withColumn("text", without(F.col("text").cast("binary"), F.col(f"{v}.hits"))).drop(v)
