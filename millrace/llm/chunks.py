@@ -5,13 +5,17 @@ the hash is lower than at the reach places before and no higher than at the reac
 max_size at the latest. So a cut depends on the bytes near it and on nothing else: an insertion moves no
 other cuts, and a passage is cut alike wherever it stands. Chunks of all documents are grouped by a
 128-bit digest.
-The first row with a chunk keeps it; a run of consecutive repeated chunks of min_run bytes or more, or of
-a whole text, is a repeated span of a later row.
-
-Null and empty texts have no chunks. Repeated rows are copies of each other. Rows without doc_id take
-part; their spans have a null doc_id. An empty table gives an empty result. Hot chunks cost a row a
-document: they are pre-aggregated, and the join with them is one that adaptive execution splits.
-spans() reads doc_id and text; cut() gives back all columns.
+The first place of a chunk, by row and start, keeps it; chunks at later places are repeated. Repeated chunks that
+touch make a run; a run of min_run bytes or more, or of a whole text, is repeated text of its row, and is given
+in parts, each with the row that has all of its bytes in one piece. Shorter runs are chance (words that often
+meet); min_run=0 gives them too. What a passage loses are the bytes before its first cut and behind its last
+(about 70 and a part of a chunk), so that a passage is found for sure from about min_run + 160 bytes on.
+
+Null and empty texts have no chunks. Texts are read whole, however long. Repeated rows are copies of each other.
+Rows without doc_id take part; their spans have a null doc_id. An empty table gives an empty result. Hot chunks
+cost a row a place: they are counted before the shuffle, and the digests with more than a share of one in
+MOST_HOT of all repeated places, which are fewer than MOST_HOT, are broadcast to the places instead of shuffling
+these. spans() reads doc_id and text; cut() gives back all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import columns_of, materialize, spare
 
 REACH, MAX_SIZE, MIN_RUN = 20, 512, 112
 WINDOW = 32
+#: Bound of the digests that are broadcast.
+MOST_HOT = 10_000
+SPANS = "array<struct<start: int, end: int, other: long>>"
 
 
 def gear_table(seed: int = 0) -> np.ndarray:
@@ -71,85 +78,88 @@ def cut_points(raw: bytes, table: np.ndarray, reach: int, max_size: int) -> list
 
 
 def chunk_table(rows: DataFrame, reach: int = REACH, max_size: int = MAX_SIZE) -> DataFrame:
-    """__row, doc_id, start, end (bytes), d1 and d2 (the digest), again (also earlier in this row) and final
-    of each chunk of rows (__row, doc_id, text), written to the shared folder."""
+    """__row, doc_id, start, end (bytes), d1 and d2 (the digest) and final of each chunk of rows (__row, doc_id, text),
+    written to the shared folder."""
     doc_kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gear_table()
         for b in batches:
-            which, starts, ends, digests, again, final = [], [], [], [], [], []
+            which, starts, ends, digests, final = [], [], [], [], []
 
             def batch() -> pa.RecordBatch:
                 take = pa.array(which, pa.int64())
                 digest = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                arrays = [b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(again, pa.bool_()), pa.array(final, pa.bool_())]
-                return pa.RecordBatch.from_arrays(arrays, ["__row", "doc_id", "start", "end", "d1", "d2", "again", "final"])
+                arrays = [b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(final, pa.bool_())]
+                return pa.RecordBatch.from_arrays(arrays, ["__row", "doc_id", "start", "end", "d1", "d2", "final"])
 
             for i, text in enumerate(b.column(2)):
-                raw, start, seen = text.as_py(), 0, set()
+                raw, start = text.as_py(), 0
                 if not raw:
                     continue
                 for end in cut_points(raw, table, reach, max_size):
-                    digest = hashlib.blake2b(raw[start:end], digest_size=16).digest()
-                    which.append(i), starts.append(start), ends.append(end), digests.append(digest), again.append(digest in seen), final.append(end == len(raw))
-                    seen.add(digest)
+                    which.append(i), starts.append(start), ends.append(end), final.append(end == len(raw))
+                    digests.append(hashlib.blake2b(raw[start:end], digest_size=16).digest())
                     start = end
                 if len(which) > 200_000:
                     yield batch()
-                    which, starts, ends, digests, again, final = [], [], [], [], [], []
+                    which, starts, ends, digests, final = [], [], [], [], []
             yield batch()
 
     found = rows.select("__row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"__row long, doc_id {doc_kind}, start int, end int, d1 long, d2 long, again boolean, final boolean"
+        run, f"__row long, doc_id {doc_kind}, start int, end int, d1 long, d2 long, final boolean"
     )
     return materialize(found)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+def repeated(chunks: DataFrame) -> DataFrame:
+    """__row, doc_id, start, end, final, other, at of the chunks that an earlier place has too: the first, in row
+    other from byte at on."""
+    first = F.min(F.struct(F.col("__row").alias("other"), F.col("start").alias("at")))
+    counted = materialize(chunks.groupBy("d1", "d2").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first.*", "n"))
+    limit = counted.agg(F.sum("n") / MOST_HOT).scalar()
+    keys, place = ["d1", "d2"], ["d1", "d2", "other", "at"]
+    hot, rest = counted.where(F.col("n") > limit).select(*place), counted.where(F.col("n") <= limit).select(*place)
+    met = chunks.join(F.broadcast(hot), keys).unionByName(chunks.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+    return met.where("__row > other or start > at").drop(*keys)
+
+
+def runs(places: list[tuple[int, int, int, int, bool]], min_run: int) -> list[dict[str, int]]:
+    """The parts of the runs of the repeated chunks (start, end, other, at, final) of one row."""
+    out: list[dict[str, int]] = []
+    run: list[dict[str, int]] = []
+    ended, next_at, whole = None, None, False
+    for start, end, other, at, final in [*sorted(places), (-1, -1, -1, -1, False)]:
+        if start != ended:
+            if run and (run[-1]["end"] - run[0]["start"] >= min_run or (whole and run[0]["start"] == 0)):
+                out += run
+            run = []
+        if run and run[-1]["other"] == other and next_at == at:
+            run[-1]["end"] = end
+        else:
+            run.append({"start": start, "end": end, "other": other})
+        ended, next_at, whole = end, at + end - start, final
+    return out
 
 
 def row_spans(chunks: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """__row, doc_id and spans array<struct<start, end, other>> of the rows with repeated spans; other is a row
-    that has the span's longest chunk too."""
-    repeated = (
-        chunks.groupBy("d1", "d2")
-        .agg(F.min("__row").alias("low"), F.max("__row").alias("high"), F.max("again").alias("twice"))
-        .where("low < high or twice")
-        .select("d1", "d2", "low")
-    )
-    later = chunks.join(repeated, ["d1", "d2"]).where(F.col("again") | (F.col("__row") > F.col("low")))
-    grouped = later.groupBy("__row", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", F.col("low").alias("other"), "final", (F.col("end") - F.col("start")).alias("best")))).alias("c")
-    )
-    # chunks that touch make a run: the spans so far, the last of them open
-    kind = grouped.schema["c"].dataType.simpleString()
-
-    def closed(acc: Column) -> Column:
-        x = acc.last
-        enough = (x.end - x.start >= min_run) | ((x.start == 0) & x.final)
-        return F.when(enough, F.concat(acc.done, F.array(x))).otherwise(acc.done)
-
-    def longer(acc: Column, x: Column) -> Column:
-        other = F.when(x.best > acc.last.best, x.other).otherwise(acc.last.other)
-        best = F.greatest(x.best, acc.last.best)
-        return F.struct(acc.last.start.alias("start"), x.end.alias("end"), other.alias("other"), x.final.alias("final"), best.alias("best"))
-
-    merged = F.aggregate(
-        "c",
-        F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast(kind[6:-1]).alias("last")),
-        lambda acc, x: F.when(acc.last.end == x.start, F.struct(acc.done.alias("done"), longer(acc, x).alias("last"))).otherwise(
-            F.struct(closed(acc).alias("done"), x.alias("last"))
-        ),
-        closed,
-    )
-    return grouped.select("__row", "doc_id", merged.alias("spans")).where(F.size("spans") > 0)
+    """__row, doc_id and spans array<struct<start, end, other>> of the rows with repeated spans, in order; row other
+    has the bytes of a span too."""
+    places = F.collect_list(F.struct("start", "end", "other", "at", "final"))
+    grouped = repeated(chunks).groupBy("__row", "doc_id").agg(places.alias("places"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())]))
+
+    @F.arrow_udf(SPANS)
+    def joined(rows: pa.Array) -> pa.Array:
+        return pa.array([runs([tuple(x.values()) for x in row.as_py()], min_run) for row in rows], kind)
+
+    return grouped.select("__row", "doc_id", joined("places").alias("spans")).where(F.size("spans") > 0)
 
 
 def spans(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
-    """doc_id, start_byte, end_byte, other_doc_id: a row for each repeated span of docs (doc_id, text)."""
-    chunks = chunk_table(_numbered(docs.select("doc_id", "text")), **sizes)
+    """doc_id, start_byte, end_byte, other_doc_id: a row for each part of a repeated span of docs (doc_id, text); the
+    other document has its bytes too."""
+    chunks = chunk_table(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()), **sizes)
     found = row_spans(chunks, min_run).select("doc_id", F.inline("spans"))
     names = chunks.where("start = 0").select(F.col("__row").alias("other"), F.col("doc_id").alias("other_doc_id"))
     return found.join(names, "other").select(
@@ -159,8 +169,10 @@ def spans(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
 
 def cut(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
     """docs, with all columns, without their repeated spans; rows of which nothing is left go."""
-    rows = materialize(_numbered(docs))
-    found = row_spans(chunk_table(rows, **sizes), min_run).select("__row", F.col("spans").alias("__spans"))
+    row, cuts = spare(docs, "__row", "__spans")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = rows.select(F.col(row).alias("__row"), "doc_id", "text")
+    found = row_spans(chunk_table(narrow, **sizes), min_run).select(F.col("__row").alias(row), F.col("spans").alias(cuts))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -173,6 +185,5 @@ def cut(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
             out.append(None if raw is None else b"".join([*parts, raw[at:]]).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    joined = rows.join(found, "__row", "left")
-    changed = joined.withColumn("text", without(F.col("text").cast("binary"), F.col("__spans")))
-    return changed.where("__spans is null or trim(text) != ''").select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = rows.join(found, row, "left").withColumn("text", without(F.col("text").cast("binary"), F.col(cuts)))
+    return changed.where(F.col(cuts).isNull() | (F.trim("text") != "")).select(*columns_of(docs))
