@@ -4,9 +4,11 @@ Per document: counts and two base rules. Per host (the column source): the share
 fail, shrunk towards the corpus by a beta prior whose strength is fitted to the spread between hosts.
 Documents of a host whose shrunk share is above max_rate are rejected too.
 
-Null texts have no words and fail; a null host is a host of its own; repeated rows count each; an
-empty table gives an empty result. Only the named columns are read, so extra columns can't clash;
-keep_good() gives back all columns of its input.
+Null texts have no words and fail; a null host is a host of its own; repeated rows count each. Texts are read
+whole, however long; equal windows are told by 64-bit hashes, which confuse two of the windows of a text of n
+words with a chance of n * n / 2 ** 65 (20,000 words: 1 in 10 ** 11). A rate of just max_rate (a tie) is kept.
+An empty table gives an empty result. Only the named columns are read, so extra columns can't clash;
+keep_good() gives back all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, words
+from millrace.llm.common import columns_of, materialize, spare, words
 
 WINDOW = 5
 #: Bounds of the prior's strength in documents, and its value where hosts show no spread.
@@ -31,14 +33,14 @@ def _window_hashes(w: Column) -> Column:
 def _covered(hashes: Column) -> Column:
     """Words covered by windows whose hash occurs twice or more: sort (hash, start), keep the starts
     that have an equal neighbour, and add up min(WINDOW, gap to the previous start)."""
-    pairs = F.array_sort(F.transform(hashes, lambda h, j: F.struct(h.alias("h"), j.alias("j"))))
+    pairs = F.sort_array(F.transform(hashes, lambda h, j: F.struct(h.alias("h"), j.alias("j"))))
     none = F.array(F.lit(None).cast("struct<h:bigint,j:int>"))
     after = F.concat(F.slice(pairs, 2, F.size(pairs)), none)
     before = F.concat(none, F.slice(pairs, 1, F.size(pairs) - 1))
     seen = F.zip_with(
         pairs, after, lambda p, q: F.struct(p.h.alias("h"), p.j.alias("j"), p.h.eqNullSafe(q.h).alias("twice"))
     )
-    starts = F.array_sort(
+    starts = F.sort_array(
         F.array_compact(F.zip_with(seen, before, lambda p, q: F.when(p.twice | p.h.eqNullSafe(q.h), p.j)))
     )
     total = F.aggregate(
@@ -120,11 +122,12 @@ def judge(docs: DataFrame, max_rate: float = 0.5, **rules) -> DataFrame:
 def keep_good(docs: DataFrame, max_rate: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """The rows of docs that are kept, with all columns. The base rules are evaluated once, on the way to a
     table in the shared folder; host counts read its two short columns, and the rejected hosts come back."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = docs.withColumn("__w", words(F.col("text"))).withColumn("__h", _window_hashes(F.col("__w")))
-    failed = base_failed(F.size("__w"), _covered(F.col("__h")), min_words, max_repeat_percent)
-    judged = materialize(one.select(*columns, failed.alias("__failed")))
-    hosts = host_verdicts(judged.select("source", F.col("__failed").alias("base_failed")), max_rate)
-    bad = hosts.where("host_rejected").select(F.col("source").alias("__host"))
-    good = judged.where("not __failed")
-    return good.join(bad, good["source"].eqNullSafe(bad["__host"]), "left_anti").select(*columns)
+    w, hashes, failed, host = spare(docs, "__w", "__h", "__failed", "__host")
+    columns = columns_of(docs)
+    one = docs.withColumn(w, words(F.col("text"))).withColumn(hashes, _window_hashes(F.col(w)))
+    verdict = base_failed(F.size(w), _covered(F.col(hashes)), min_words, max_repeat_percent)
+    judged = materialize(one.select(*columns, verdict.alias(failed)))
+    hosts = host_verdicts(judged.select("source", F.col(failed).alias("base_failed")), max_rate)
+    bad = hosts.where("host_rejected").select(F.col("source").alias(host))
+    good = judged.where(~F.col(failed))
+    return good.join(bad, good["source"].eqNullSafe(bad[host]), "left_anti").select(*columns)
