@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -17,6 +19,29 @@ def test_permutation(n):
         assert abs(np.corrcoef(np.arange(n), slots)[0, 1]) < 0.4
 
 
+def scalar_slot(x, n, key):
+    """One number by plain integers."""
+    half, wide = max(1, ((n - 1).bit_length() + 1) // 2), (1 << 64) - 1
+    mask = (1 << half) - 1
+    digest = hashlib.sha256(b"feistel %d" % key).digest() + hashlib.sha256(b"rounds %d" % key).digest()
+    keys = [int.from_bytes(digest[8 * i : 8 * i + 8], "little") for i in range(token_shards.ROUNDS)]
+    while True:
+        left, right = x >> half, x & mask
+        for k in keys:
+            f = (right + k) * 0xBF58476D1CE4E5B9 & wide
+            f = (f ^ f >> 29) * 0x94D049BB133111EB & wide
+            left, right = right, left ^ ((f ^ f >> 32) & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
+def test_permutation_against_plain_integers(n):
+    for key in (0, 7):
+        assert permute(np.arange(n), n, key).tolist() == [scalar_slot(x, n, key) for x in range(n)]
+
+
 def round_trip(spark, df, tokenizer, seq_len, per_shard):
     manifest, path = token_shards.materialize_order(df, tokenizer, seq_len, per_shard=per_shard)
     with open(tokenizer, "rb") as file:
