@@ -2,8 +2,9 @@
 character n-grams of host and path.
 
 Null urls and urls without "://" have an empty host and path, fit no rule and are allowed (there is
-no evidence). Repeated rows are judged each; an empty table gives an empty result; only page_id and
-url are read.
+no evidence). Urls are read whole, however long. A score of just max_score (a tie) is allowed. Repeated rows
+are judged each; an empty table gives an empty result; only page_id and url are read, so other columns can't
+clash.
 """
 
 from __future__ import annotations
@@ -14,27 +15,46 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower
+from millrace.llm.common import ascii_lower, columns_of, spare
 
 #: Rows of a labelled table that a fit reads at most, by the smallest hash of the url.
 MAX_LABELLED = 20_000
-#: Rules up to this number are compiled into one expression; more are joined by host suffix.
+#: Rules up to this number are compiled into one expression; more are joined by host suffix, with the same result.
 MAX_INLINE_RULES = 500
 N_BUCKETS = 1 << 14
 
-#: Words of hosts and paths that the built-in labelled table calls unwanted or plain.
-UNWANTED = """casino poker bet bets betting jackpot slots lottery gamble viagra cialis pharmacy pill pills meds porn
-xxx sex escort nude adult cams hookup torrent warez crack keygen serial ad ads adserver banner popup click tracker
-tracking affiliate coupon payday loan loans crypto bitcoin getrich spam spammer phishing malware scam""".split()
-LURES = """win best cheap free online club zone king deals hot farm top easy fast bonus now world hub track 24 x cash
-big play max pro""".split()
-PLAIN = """news blog docs wiki library museum school university science history garden recipes travel weather sports
-music books journal archive forum support shop city council health research engineering software data maps
-about article post page category tag author help contact guide product events""".split()
-#: Syllables of the made-up names of plain sites, and paths' languages.
-SYLLABLES = """an be ca de er fi ga ha in ja ko la mi no or pe qua re si th ti un va wh yo tion ther ing ment ble
-st ou le ch ver sch ung keit os ue ción""".split()
-LANGUAGES = "en de fr es it nl pt pl".split()
+#: The hosts of the built-in labelled table. Those that are wanted are well-known public sites, some
+#: with letters that unwanted names have too.
+WANTED = """nytimes.com theguardian.com reuters.com spiegel.de zeit.de elpais.com lavanguardia.com repubblica.it nrc.nl asahi.com
+nature.com arxiv.org plos.org jstor.org acm.org mit.edu stanford.edu ox.ac.uk cam.ac.uk sussex.ac.uk ed.ac.uk ethz.ch tum.de unam.mx
+usp.br u-tokyo.ac.jp wikipedia.org gutenberg.org archive.org loc.gov bl.uk bnf.fr nasa.gov noaa.gov nih.gov usda.gov europa.eu
+service.gov.uk bund.de who.int un.org unesco.org worldbank.org redcross.org github.com python.org mozilla.org apache.org debian.org
+stackoverflow.com readthedocs.io w3.org ietf.org metoffice.gov.uk espn.com olympics.com imdb.com goodreads.com allrecipes.com
+lonelyplanet.com booking.com etsy.com ikea.com lego.com siemens.com philips.com mayoclinic.org nhs.uk khanacademy.org coursera.org
+duolingo.com wordpress.com flickr.com vimeo.com nationalgeographic.com metmuseum.org louvre.fr adobe.com adidas.de alphabet.xyz
+betterhealth.vic.gov.au tibetanreview.net scunthorpe.co.uk middlesexcounty.gov spillway.org pillarhouse.co.uk loandsend.fr
+cryptogamic-botany.org camera-museum.nl trackandfield.org clickhouse.com winchester.gov.uk winterthur.ch topeka.org essen.de""".split()
+UNWANTED = """royal-casino-slots.com bestpokerbonus.net casino24x.info win-casino.biz megaslots-online.com luckyjackpot777.com
+freespins-casino.org onlinepokerking.net poker-deluxe.top bet-now365.com sportsbet-pro.net livebets.club bettingtipster.xyz
+betwinner-bonus.com jackpotcity-slots.net gambling-zone.biz casinohub.online vegas-slot-machine.info lottery-winner.top
+cheap-viagra-online.biz buycialis24.com canadian-pharmacy-meds.net pills4u.info rx-pills-discount.com viagra-generic.top
+online-pharmacy-store.biz dietpills-now.com weightloss-pills.xyz cheapmeds-rx.org xxx-tube-free.com freepornhub24.net
+hotsexcams.biz live-sex-cams.com adult-hookup.club escort-girls.info nude-webcams.net xxxvideos-free.top milf-porn.xyz
+sexdating4free.com adultfriend-chat.biz pornstar-clips.net torrent-downloadz.com crackz-keygen.net warez-serials.info
+free-crack-software.xyz keygen-zone.top torrentking.club serial-keys-free.biz nulled-scripts.net adserver-track.com
+ads.clickbanner.net popup-ads.biz adtrack-click.info banner-exchange.top affiliate-tracker.net clicktrack-ads.com
+trackingpixel-ads.net popunder-network.biz payday-loans-fast.com quickcash-loan.net easyloans24.biz badcredit-loans.info
+instant-payday-cash.com cashadvance-loan.top bitcoin-doubler.biz crypto-getrich.com free-bitcoin-faucet.net
+forex-profit-robot.info cryptogiveaway-eth.top earnmoney-fast.xyz getrichquick.club coupon-spam.net free-coupons-deals.biz
+cheap-replica-watches.com replica-handbags-outlet.net fakerolex-shop.biz cheapjerseys-outlet.top louis-replica.info
+phishing-login-secure.xyz secure-paypa1-login.info account-verify-bank.top appleid-unlock.biz malware-scanner-free.net
+virus-alert-fix.com winner-prize-claim.club free-iphone-giveaway.top survey-rewards.xyz scam-lottery-prize.info
+seo-backlinks-cheap.net buy-followers-likes.com spamblaster.biz essay-cheap-writer.net hacked-accounts.xyz""".split()
+#: What follows a host.
+WANTED_PATHS = """/ /en/ /de/ /fr/ /es/ /about /contact.html /index.html /news/world /2019/05/article-name.html /blog/post-title /wiki/Main_Page
+/docs/guide/intro /products/item-123 /research/papers /library/catalogue /articles/4711 /en/1234 /de/987/ /fr/42.html /events /help/faq""".split()
+UNWANTED_PATHS = """/ /en/ /index.php /go/click?id=99 /bonus/free-spins /casino/play-now /buy/cheap-pills /xxx/video-17 /win/prize.html /track/aff123
+/deals/discount-90 /loans/apply-now /download/crack.exe /cams/live /jackpot /order/viagra /en/77 /signup/bonus""".split()
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -51,24 +71,26 @@ def _fits(host: Column, path: Column, rule_host: Column, rule_path: Column) -> C
 
 def match_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """urls (host, path, and more) with rule and rule_verdict of the longest rule that fits, else null.
-    rules: (verdict, "host/path prefix"); of equally long rules the first in the alphabet wins."""
+    rules: (verdict, "host/path prefix"); of equally long rules the first in the alphabet wins, and of one rule
+    with both verdicts allow."""
+    rules = sorted({rule: verdict for verdict, rule in sorted(rules, reverse=True)}.items(), key=lambda r: (-len(r[0]), r[0]))
     if len(rules) > MAX_INLINE_RULES:
         return _join_rules(urls, rules)
-    ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
+    found = spare(urls, "__r")[0]
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, rule in reversed(ordered):
+    for rule, verdict in reversed(rules):
         host, slash, path = rule.partition("/")
         fits = _fits(F.col("host"), F.col("path"), F.lit(host), F.lit(slash + path))
         chosen = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(chosen)
-    return urls.withColumn("__r", chosen).select(
-        *[F.col(f"`{c}`") for c in urls.columns], F.col("__r.rule").alias("rule"), F.col("__r.verdict").alias("rule_verdict")
+    return urls.withColumn(found, chosen).select(
+        *columns_of(urls), F.col(f"{found}.rule").alias("rule"), F.col(f"{found}.verdict").alias("rule_verdict")
     )
 
 
 def _join_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """For many rules: the distinct (host, path) pairs meet the rules by each suffix of the host."""
+    """For many rules (rule, verdict): the distinct (host, path) pairs meet the rules by each suffix of the host."""
     table = urls.sparkSession.createDataFrame(
-        [(r.partition("/")[0], "/" + r.partition("/")[2] if "/" in r else "", r, v) for v, r in rules],
+        [(r.partition("/")[0], "/" + r.partition("/")[2] if "/" in r else "", r, v) for r, v in rules],
         "rule_host string, rule_path string, rule string, rule_verdict string",
     )
     labels = F.split("host", r"\.")
@@ -82,7 +104,7 @@ def _join_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         .agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "rule_verdict")).alias("b"))
         .select("host", "path", "b.rule", "b.rule_verdict")
     )
-    return urls.join(best, ["host", "path"], "left")
+    return urls.join(best, ["host", "path"], "left").select(*columns_of(urls), "rule", "rule_verdict")
 
 
 def grams(host: Column, path: Column) -> Column:
@@ -99,40 +121,18 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(of(host, "h:"), of(path, "p:"))
 
 
-def sample_labelled(spark: SparkSession, n: int = 8000) -> DataFrame:
-    """The built-in labelled table (url, label): n made-up urls, half of them unwanted (1). Each is put
-    together from the fixed word lists by hashes of its number, so it is the same on every machine."""
-
-    def pick(items: list[str], salt: int) -> Column:
-        table = F.array(*[F.lit(x) for x in items])
-        return F.element_at(table, (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(items))) + 1).cast("int"))
-
-    def chance(salt: int, percent: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(100)) < percent
-
-    number = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(90_000)).cast("string")
-    name = F.concat(pick(SYLLABLES, 2), pick(SYLLABLES, 3), F.when(chance(4, 60), pick(SYLLABLES, 5)).otherwise(""))
-    site = F.when(chance(6, 60), name).when(chance(26, 40), F.concat(pick(PLAIN, 7), F.lit("-"), name)).otherwise(pick(PLAIN, 7))
-    joint = F.when(chance(8, 70), "-").otherwise("")
-    bad_site = (
-        F.when(chance(23, 35), F.concat(pick(LURES, 9), joint, pick(UNWANTED, 10)))
-        .when(chance(24, 55), F.concat(pick(UNWANTED, 9), joint, pick(LURES, 10)))
-        .when(chance(25, 50), F.concat(pick(UNWANTED, 9), joint, pick(UNWANTED, 10)))
-        .otherwise(F.concat(pick(UNWANTED, 9), joint, name))
-    )
-    bad = (F.col("id") % 2) == 1
-    lead = F.when(chance(11, 30), "www.").when(chance(12, 20), "blog.").when(chance(13, 20), "m.").otherwise("")
-    domain = pick([".com", ".org", ".net", ".example.com", ".example.org", ".example.net", ".info"], 14)
-    plain_path = F.when(
-        chance(15, 50), F.concat(F.lit("/"), pick(LANGUAGES, 16), F.lit("/"), number, pick(["", "/", ".html"], 17))
-    ).otherwise(F.concat(F.lit("/"), pick(PLAIN, 18), F.lit("/"), name, F.lit("-"), pick(PLAIN, 19)))
-    bad_path = F.when(
-        chance(20, 30), F.concat(F.lit("/"), pick(UNWANTED, 21), F.lit("/"), pick(UNWANTED, 22), F.lit("-"), number)
-    ).otherwise(plain_path)
-    url = F.concat(
-        F.lit("https://"), lead, F.when(bad, bad_site).otherwise(site), domain, F.when(bad, bad_path).otherwise(plain_path)
-    )
-    return spark.range(n).select(url.alias("url"), bad.cast("int").alias("label"))
+def sample_labelled(spark: SparkSession, per_host: int = 24) -> DataFrame:
+    """The built-in labelled table (url, label, site): per_host urls of each fixed host, with subdomains and paths
+    picked by hashes of their number, so it is the same on every machine; 1 is unwanted."""
+    sites = [(h, 0) for h in WANTED] + [(h, 1) for h in UNWANTED]
+    items = lambda values: F.array(*[F.lit(x) for x in values])
+    pick = lambda values, salt: F.element_at(items(values), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+    at = (F.col("id") % len(sites) + 1).cast("int")
+    site, label = F.element_at(items([h for h, _ in sites]), at), F.element_at(items([y for _, y in sites]), at)
+    lead = pick(["", "", "", "www.", "www.", "m.", "blog."], 1)
+    path = F.when(label == 1, pick(UNWANTED_PATHS, 2)).otherwise(pick(WANTED_PATHS, 3))
+    url = F.concat(pick(["http://", "https://"], 4), lead, site, path)
+    return spark.range(len(sites) * per_host).select(url.alias("url"), label.alias("label"), site.alias("site"))
 
 
 def _vectors(urls: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Quality rules, URL filter, chat formatting, and the pipeline."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, mixing, quality, queries, simhash, url_filter
+from millrace.llm import chat, decontaminate, mixing, near_copies, quality, queries, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,43 +64,181 @@ def test_rules(spark):
     host, path = url_filter.split_url(F.col("url"))
     placed = df.select("url", host.alias("host"), path.alias("path"))
     assert {r.url: r.rule for r in url_filter.match_rules(placed, queries.URL_RULES).collect()} == cases
-    assert {r.url: r.rule for r in url_filter._join_rules(placed, queries.URL_RULES).collect()} == cases
 
 
-def test_url_model_on_held_out_rows(spark):
-    rows = url_filter.sample_labelled(spark, 6000)
-    rows = rows.withColumn("test", F.pmod(F.xxhash64("url"), F.lit(5)) == 0)
-    model = url_filter.train(rows.where("not test"))
-    held = rows.where("test").withColumn("page_id", F.monotonically_increasing_id())
-    judged = url_filter.judge(held, [], model).join(held.select("page_id", "label"), "page_id")
-    right = judged.agg(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("double"))).first()[0]
-    assert right > 0.95
+def test_rules_inline_and_joined_are_one(spark, monkeypatch):
+    """Random rules, some twice with either verdict, over hosts and paths of few letters."""
+    r = random.Random(6)
+    name = lambda: ".".join(r.choice("abc") for _ in range(r.randint(1, 3)))
+    rules = [(r.choice(["allow", "block"]), name() + r.choice(["", "/", "/x", "/x/y"])) for _ in range(60)]
+    rows = [(i, name(), r.choice(["", "/", "/x", "/x/", "/x/y", "/x/y/z", "/y"])) for i in range(400)] + [(None, "", ""), (None, "a.b", None)]
+    df = spark.createDataFrame(rows, "rule_host int, host string, path string").withColumn("__r", F.lit("x"))
+
+    def brute(host, path):
+        fits = [(v, x) for v, x in rules if path is not None and (host == (h := x.partition("/")[0]) or host.endswith("." + h)) and path.startswith(x[len(h) :])]
+        if not fits:
+            return None, None
+        rule = min((x for _, x in fits), key=lambda x: (-len(x), x))
+        return rule, min(v for v, x in fits if x == rule)
+
+    wanted = sorted(((i, h, p, *brute(h, p)) for i, h, p in rows), key=repr)
+    for most in (500, 0):
+        monkeypatch.setattr(url_filter, "MAX_INLINE_RULES", most)
+        found = url_filter.match_rules(df, rules)
+        assert found.columns == ["rule_host", "host", "path", "__r", "rule", "rule_verdict"]
+        assert sorted(((x.rule_host, x.host, x.path, x.rule, x.rule_verdict) for x in found.collect()), key=repr) == wanted
+
+
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return url_filter.train(url_filter.sample_labelled(spark))
+
+
+def verdicts(spark, model, urls):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    return {urls[r.page_id]: r.verdict for r in url_filter.judge(df, [], model).collect()}
+
+
+def test_url_model_on_held_out_hosts(spark):
+    """Whole sites are held out, three times; nearly all that is wanted must be allowed, and most else blocked."""
+    rows = url_filter.sample_labelled(spark)
+    allowed = blocked = wanted = unwanted = 0
+    for salt in range(3):
+        marked = rows.withColumn("test", F.pmod(F.xxhash64("site", F.lit(salt)), F.lit(4)) == 0)
+        model = url_filter.train(marked.where("not test"))
+        held = marked.where("test").withColumn("page_id", F.monotonically_increasing_id()).select("page_id", "url", "label")
+        for r in url_filter.judge(held, [], model).join(held.select("page_id", "label"), "page_id").groupBy("label", "verdict").count().collect():
+            wanted += r["count"] * (r.label == 0)
+            unwanted += r["count"] * (r.label == 1)
+            allowed += r["count"] * (r.label == 0 and r.verdict == "allow")
+            blocked += r["count"] * (r.label == 1 and r.verdict == "block")
+    print(allowed / wanted, blocked / unwanted)
+    assert allowed / wanted > 0.95 and blocked / unwanted > 0.8
+
+
+def test_plain_sites_that_no_table_has(spark, url_model):
+    """Well-known hosts that are not in the labelled table, many with letters of unwanted names, are allowed."""
+    plain = """https://www.bbc.co.uk/news/world https://www.lemonde.fr/planete/article/2020/ https://www.essex.ac.uk/courses https://pillsbury.com/recipes
+    https://betterbuildings.org/about http://www.thetimes.co.uk/ https://www.faz.net/aktuell/ https://english.elpais.es/ https://www.uni-heidelberg.de/en https://www.kth.se/en
+    https://www.gov.pl/web https://www.smithsonianmag.com/history https://www.rspb.org.uk/birds https://docs.oracle.com/en/ https://www.bundesbank.de/de
+    https://www.wessexarch.co.uk/projects https://www.cockermouth.org.uk/events https://adsabs.harvard.edu/abs https://www.lottehotel.com/ https://www.betatesting.org/docs
+    https://www.casinha-museu.pt/ https://www.slottsbiografen.se/ https://camelot-books.com/list https://www.loanstone-press.net/ https://cryptozoology.net/articles""".split()
+    got = verdicts(spark, url_model, plain)
+    assert all(got[u] == "allow" for u in plain[:5])
+    assert sum(v == "allow" for v in got.values()) >= 0.9 * len(plain), [u for u, v in got.items() if v == "block"]
+    bad = """http://best-online-casino-games.net/bonus http://cheap-viagra-pills.com/order https://www.poker-slots24.com/win http://free-xxx-cams.net/live
+    http://torrent-crack-download.info/ https://fast-payday-loans.biz/apply http://adtracker-click.com/go/click?id=1""".split()
+    assert sum(v == "block" for v in verdicts(spark, url_model, bad).values()) >= 6
+
+
+def murmur3(data, seed=42):
+    """The 32-bit hash of Spark's HashingTF, as it treats the last bytes: each a block of its own, for the text's bytes."""
+    mask = 0xFFFFFFFF
+    rot = lambda x, r: (x << r | x >> (32 - r)) & mask
+    h, tail = seed, len(data) // 4 * 4
+    for i in range(0, tail, 4):
+        k = rot(int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & mask
+    k = 0
+    for i in range(len(data) - 1, tail - 1, -1):
+        k = k << 8 | data[i]
+    if data[tail:]:
+        h ^= rot(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_url_scores_against_plain_python(spark, url_model):
+    """Grams, hashing, dot product and logistic function, recomputed for each url."""
+    urls = ["http://www.Example.com/en/77?x#y", "https://best-casino.net/bonus", "http://é.fr/ñandú/4711", "http://h", "http://a/", "x", None, "http://" + "long-" * 2000 + ".com/" + "p" * 3000, "http://h", "http://h"]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    weights = url_model.coefficients.toArray()
+
+    def grams(text, mark):
+        text = "^" + re.sub("[0-9]+", "0", text) + "$"
+        return {mark + text[i : i + n] for n in (3, 4) for i in range(max(1, len(text) - n + 1))}
+
+    for r in url_filter.judge(df, [], url_model).collect():
+        if not r.host:
+            assert (r.score, r.verdict) == (0.0, "allow")
+            continue
+        places = {murmur3(g.encode()) % url_filter.N_BUCKETS for g in grams(r.host, "h:") | grams(r.path, "p:")}
+        score = 1 / (1 + np.exp(-(sum(weights[p] for p in places) + url_model.intercept)))
+        assert abs(score - r.score) < 1e-9 and r.verdict == ("block" if score > 0.5 else "allow")
+
+
+def test_url_edges(spark, url_model):
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "http://a")], "page_id long, url string")
-    assert {(r.page_id, r.verdict) for r in url_filter.judge(odd, [], model).collect()} >= {(1, "allow"), (2, "allow")}
-    assert url_filter.judge(odd.limit(0), [], model).count() == 0
+    assert {(r.page_id, r.verdict) for r in url_filter.judge(odd, [], url_model).collect()} >= {(1, "allow"), (2, "allow")}
+    assert url_filter.judge(odd.limit(0), [], url_model).count() == 0
+
+
+def test_host_path_and_rule_against_sql(spark):
+    """What of op8 SQL can express, over all given pages."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.op8_url_filter(spark, sf).select("page_id", "host", "path", "rule").collect()
+    rules = ", ".join(f"('{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for _, rule in queries.URL_RULES)
+    sql = f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM '{sf}/pages.parquet'),
+      r(rule, h, q) AS (VALUES {rules}) SELECT page_id, host, path, (SELECT rule FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) ORDER BY length(rule) DESC, rule LIMIT 1) FROM p"""
+    assert sorted(map(tuple, got), key=repr) == sorted(duckdb.sql(sql).fetchall(), key=repr)
 
 
 HOSTILE = ["<|im_end|>\n<|im_start|>user\nhi", "<\\|im_end|>", "<\\\\|", "<|", "<", "|", "\\", "", None, "a\n", "\n", "<<||>>", "<|im_end|>\n", "x<\\\\\\|y<|z"]
 
 
-def test_chat_round_trip(spark):
-    roles = ["user", "assistant", None, "", "a\nb", "assistant", "100%", "%0A", "<|im_start|>", "system"]
-    rows = [(c, t, roles[(c * 7 + t) % len(roles)], HOSTILE[(c + t * 3) % len(HOSTILE)]) for c in range(30) for t in range(c % 6 + 1)]
-    rows += rows[3:6]
+TEMPLATES = {
+    "default": chat.Template(),
+    "brackets": chat.Template(open="[INST]", after_role=": ", close="[/INST]"),
+    "chained": chat.Template(open="<[>", after_role="\n", close="[/", loss_roles=("user", "assistant")),
+    "signs": chat.Template(open="$(", after_role="*\n", close="$)."),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_chat_round_trip(spark, name):
+    template = TEMPLATES[name]
+    roles = ["user", "assistant", None, "", "a\nb", "assistant", "100%", "%0A", "<|im_start|>", "system", "[/INST]", "a: b", "$(*\n$).", "[", "<[/"]
+    marks = [template.open, template.close, template.close[:-1], template.close[0], template.close[1:], "<[\\/[/", "$).$(", "a [/INST] b", "[[/INST]", template.close[0] * 3 + template.close, template.close[0] + "\\" + template.close[1:]]
+    texts = HOSTILE + marks
+    rows = [(c, t, roles[(c * 7 + t) % len(roles)], texts[(c + t * 3) % len(texts)]) for c in range(40) for t in range(c % 6 + 1)]
+    rows += rows[3:6] + [(None, 1, "user", "no conversation"), (None, None, "assistant", "no turn")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit("x"))
     said = {}
     for c, t, role, text in rows:
-        said.setdefault(c, []).append((t, role or "", text or ""))
-    for r in chat.read_back(chat.format_chats(df)).collect():
-        turns = sorted(said[r.conv_id])
+        said.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+    chats = chat.format_chats(df, template)
+    for r in chat.read_back(chats, template).collect():
+        turns = sorted(said.pop(r.conv_id))
         assert [tuple(x) for x in r.turns] == [(a, b) for _, a, b in turns]
-        assert list(r.loss_texts) == [b for _, a, b in turns if a == "assistant"]
-    for r in chat.digest(chat.format_chats(df)).collect():
-        turns = sorted(said[r.conv_id])
-        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+        assert list(r.loss_texts) == [b for _, a, b in turns if a in template.loss_roles]
+    assert not said
+    for r in chats.collect():
+        assert "".join(s.text for s in r.segments) == r.formatted and r.formatted.count(template.close) == len(r.segments) // 3
+    if name == "default":
+        hashes = {r.conv_id: r.turns_sha256 for r in chat.digest(chats).collect()}
+        turns = sorted((t, a or "", b or "") for c, t, a, b in rows if c == 7)
+        assert hashes[7] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
     assert chat.digest(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_a_long_conversation(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn <|"), "id").alias("text"))
+    r = chat.digest(chat.format_chats(df)).first()
+    said = "".join(f"turn <|{i}" for i in range(1, 20_000, 2))
+    assert (r.n_turns, r.loss_chars, r.loss_sha256, r.valid) == (20_000, len(said), hashlib.sha256(said.encode()).hexdigest(), True)
+
+
+@pytest.mark.parametrize("marks", [{"open": "<<a"}, {"close": "x"}, {"open": "\\a"}, {"after_role": "%"}, {"after_role": "a"}, {"after_role": ""}, {"after_role": "|"}, {"after_role": "\n<|im_end"}, {"open": "<|im_end|>\n"}, {"open": "<[", "close": "[/"}])
+def test_templates_that_texts_could_imitate_are_refused(marks):
+    with pytest.raises(ValueError):
+        chat.Template(**marks)
+
+
 def test_chat_machine(spark):
     orders = {1: "ua", 2: "sua", 3: "uaua", 4: "u", 5: "au", 6: "uu", 7: "sa", 8: "us", 9: "x", 10: "uaa"}
     names = {"u": "user", "a": "assistant", "s": "system", "x": "tool"}
@@ -121,7 +261,12 @@ def test_pipeline_stage_by_stage(spark):
         if not seen:
             kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
         elif len(seen) == 1:
-            kept = {r.doc_id for r in simhash.link(docs).collect() if r.doc_id == r.component_id}
+            kept = {r.doc_id for r in near_copies.keep_one(docs).collect()}
+            texts = {r.doc_id: r.text for r in docs.collect()}
+            equal = {}
+            for d in sorted(texts):
+                equal.setdefault(texts[d], []).append(d)
+            assert all(not set(ds[1:]) & kept for ds in equal.values())  # of equal texts one stays at most
         elif len(seen) == 2:
             kept = {r.doc_id for r in decontaminate.judge(docs, items).where("not contaminated").collect()}
         else:
