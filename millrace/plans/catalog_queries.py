@@ -210,7 +210,7 @@ def marked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT p_partkey, 'https://example.org/learn/' || p_partkey AS url_official,
       CASE WHEN p_partkey % 3 = 0 THEN p_name || ' & more' WHEN p_partkey % 2 = 0 THEN 'Graph ' || p_name
         WHEN length(p_name || ' of the store') > length('Part ' || p_partkey) THEN p_name || ' of the store' ELSE 'Part ' || p_partkey END AS title,
-      CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS institution, CASE WHEN p_partkey % 3 = 0 THEN 'C-' || p_partkey END AS course_code,
+      CASE WHEN p_partkey % 8 = 0 THEN 'Source ' || p_partkey WHEN p_partkey % 3 = 0 THEN p_brand END AS institution, CASE WHEN p_partkey % 3 = 0 THEN 'C-' || p_partkey END AS course_code,
       CASE WHEN p_partkey % 3 = 0 THEN ['en'] WHEN p_partkey % 2 = 0 THEN ['es'] END AS language,
       CASE p_partkey % 4 WHEN 0 THEN 'introductorio' WHEN 1 THEN 'avanzado' WHEN 3 THEN 'intermedio' END AS level,
       CASE p_partkey % 5 WHEN 0 THEN 'paid' ELSE 'extracted' END AS outcome, CASE p_partkey % 5 WHEN 0 THEN 'pagado' WHEN 1 THEN 'gratis' END AS cost_access,
@@ -219,7 +219,7 @@ def marked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    pages = marked_parts(spark, sf_dir).withColumns({"ok": F.lit(True), "reason": none, "source_institution": none, "source_id": none, "adapter": none, "discovered_at": none})
+    pages = marked_parts(spark, sf_dir).withColumns({"ok": F.lit(True), "reason": none, "source_institution": F.when(F.col("p_partkey") % 8 == 0, F.concat(F.lit("Source "), "p_partkey")), "source_id": none, "adapter": none, "discovered_at": none})
     found = lifecycle.extract(pages, AS_OF)
     return found.select(
         F.substring_index("url", "/", -1).cast("long").alias("p_partkey"), "url_official", "title", "institution", "course_code", "language", "level", "outcome", "cost_access",
@@ -284,7 +284,7 @@ PRICED = """priced AS (SELECT p_partkey, printf('%.2f', p_retailprice) AS price,
     f"""WITH {PRICED} SELECT p_partkey, CASE WHEN regexp_matches(said, '(?i)\\bprice\\s*:?\\s*free') THEN 0.0
       ELSE TRY_CAST(replace(coalesce(nullif(regexp_extract(said, '(?i)\\bprice\\s*:?\\s*(?:us)?\\$\\s*([0-9,]+(?:\\.[0-9][0-9])?)', 1), ''), nullif(regexp_extract(said, '(?i)\\bcost\\s*:?\\s*(?:us)?\\$\\s*([0-9,]+(?:\\.[0-9][0-9])?)', 1), ''),
         nullif(regexp_extract(said, '(?i)\\btuition\\s*:?\\s*(?:us)?\\$\\s*([0-9,]+(?:\\.[0-9][0-9])?)', 1), '')), ',', '') AS DOUBLE) END AS access_price,
-    CASE p_partkey % 6 WHEN 0 THEN 'pagado' WHEN 1 THEN 'pagado' WHEN 2 THEN 'gratis' WHEN 4 THEN 'gratis' END AS access,
+    CASE p_partkey % 6 WHEN 0 THEN 'pagado' WHEN 1 THEN 'pagado' WHEN 2 THEN 'gratis' WHEN 4 THEN 'gratis' END AS access, p_partkey % 6 IN (0, 1) AS is_paid,
     CASE WHEN regexp_matches(said, '(?i)\\b(free|gratis|sin costo|no cost)\\b') THEN 0.0 WHEN regexp_matches(said, '(?i)\\beur\\b') THEN NULL
       ELSE TRY_CAST(replace(regexp_extract(said, '(?i)(?:us\\$|usd|\\$)\\s*([0-9.,]+)', 1), ',', '') AS DOUBLE) END AS price_usd,
     CASE WHEN p_partkey % 6 = 2 THEN 'certificado gratuito' WHEN p_partkey % 6 = 5 THEN 'certificado pagado verificable' END AS credential FROM priced"""
@@ -293,7 +293,7 @@ def access_and_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.col("said")
     price = classify.price_usd(said)
     return _priced(spark, sf_dir).select(
-        "p_partkey", classify.access_price(said).alias("access_price"), classify.access(said).alias("access"), price.alias("price_usd"), classify.credential(said, price).alias("credential")
+        "p_partkey", classify.access_price(said).alias("access_price"), classify.access(said).alias("access"), classify.is_paid(said).alias("is_paid"), price.alias("price_usd"), classify.credential(said, price).alias("credential")
     )
 
 
@@ -406,6 +406,16 @@ def filtered_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.matching(records(spark, sf_dir), request).select("id", "institution", "credential_type")
 
 
+@_query(
+    f"""WITH {RECORDS} SELECT count(*) AS total, (SELECT count(*) FROM records) AS rows FROM records WHERE provider_type = 'institucion' AND credential_free AND platform = 'Platform 2' AND level = 'intermedio'"""
+)
+def filtered_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many a request matches, whatever its limit, beside the size of the table."""
+    every = records(spark, sf_dir).withColumns({"credential_verifiable": F.lit(True)})
+    rows, total = search.query(every, search.Request(provider_type="institucion", credential_free=True, credential_verifiable=True, platform="Platform 2", level="intermedio", limit=3))
+    return total.withColumn("rows", every.agg(F.count("*")).scalar())
+
+
 @_query(f"WITH {RECORDS} SELECT id FROM records WHERE FALSE")
 def impossible_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value outside a closed list matches nothing, and nothing is read."""
@@ -634,6 +644,55 @@ def discovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.discovery_report(pages.where("page_id % 3 != 0"), pages.where("page_id % 3 != 1"), AS_OF)
 
 
+@_query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'duplicates' WHEN p_partkey % 10 = 1 THEN 'ambiguous' WHEN p_partkey % 7 IN (0, 2, 3) THEN 'incomplete' WHEN p_partkey % 7 IN (1, 4, 5) THEN 'index_pages' ELSE 'accepted' END AS bucket FROM part"""
+)
+def verification_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates without title, institution or address, of listings and of material, exact and similar ones, and good ones."""
+    key = F.col("p_partkey")
+    k = key % 7
+    candidates = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.when(k == 0, None).when(k == 1, "Browse all").when(k == 5, "Lecture 3 on trees.pdf").otherwise(F.col("p_name")).alias("title"),
+        F.when(k == 2, "").otherwise(F.col("p_brand")).alias("institution"),
+        F.when(k == 3, "ftp://example.org/x").when(k == 4, F.concat(F.lit("https://example.org/catalog/?p="), key)).otherwise(F.concat(F.lit("https://example.org/learn/"), key)).alias("url_official"),
+        F.lit(None).cast("string").alias("course_code"),
+        F.lit(None).cast("string").alias("id"),
+        F.when(key % 10 == 0, "exact").when(key % 10 == 1, "ambiguous").otherwise("none").alias("match"),
+    )
+    return candidates.select("p_partkey", lifecycle.verification_bucket(F.col("match")).alias("bucket"))
+
+
+@_query("SELECT CASE WHEN p_partkey % 10 = 0 THEN 'duplicates' WHEN p_partkey % 10 = 1 THEN 'ambiguous' WHEN p_partkey % 7 IN (0, 2, 3) THEN 'incomplete' WHEN p_partkey % 7 IN (1, 4, 5) THEN 'index_pages' ELSE 'accepted' END AS bucket, count(*) AS n FROM part GROUP BY 1")
+def verification_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.bucket_counts(verification_buckets(spark, sf_dir))
+
+
+@_query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_name || ' x' END AS title, CASE p_partkey % 3 WHEN 0 THEN ['a b', 'c'] WHEN 1 THEN NULL ELSE ['d'] END AS topics, CASE WHEN p_partkey % 2 = 0 THEN 'https://example.org/p/' || p_partkey ELSE 'not an address' END AS url_official,
+    replace(lower(p_brand), '#', '-') || '-c-' || p_partkey AS id FROM part"""
+)
+def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank texts and members go, white space is one space, addresses are canonical, ids are made."""
+    key = F.col("p_partkey")
+    raw = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.when(key % 4 == 0, " \u00a0 ").otherwise(F.concat(F.lit("  "), "p_name", F.lit(" \n\tx "))).alias("title"),
+        F.when(key % 3 == 0, F.array(F.lit(" a  b"), F.lit(" "), F.lit("c"))).when(key % 3 == 1, F.array(F.lit(""), F.lit(None))).otherwise(F.array(F.lit("d"))).alias("topics"),
+        F.when(key % 2 == 0, F.concat(F.lit("http://www.Example.org/p/"), key, F.lit("/?utm_source=a#b"))).otherwise(" not  an address ").alias("url_official"),
+        F.col("p_brand").alias("institution"),
+        F.concat(F.lit("C "), key).alias("course_code"),
+    )
+    return lifecycle.normalise(raw).select("p_partkey", "title", "topics", "url_official", "id")
+
+
+@_query("SELECT n_name AS id FROM nation WHERE n_nationkey % 3 <> 1")
+def enabled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not said counts as enabled."""
+    nation = table(spark, sf_dir, "nation")
+    return crawl.enabled(nation.select(F.col("n_name").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, True).when(F.col("n_nationkey") % 3 == 1, False).alias("enabled"))).select("id")
+
+
 @_query(
     """SELECT n_name AS institution, 'region ' || n_regionkey AS reason FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)"""
 )
@@ -734,6 +793,12 @@ def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.validate(_records(spark, sf_dir), AS_OF).select("id", "level", "field", "message")
 
 
+@_query(f"SELECT id, count(*) AS n, count(*) FILTER (level = 'error') AS errors FROM ({ORACLE_SQL['validate_records']}) GROUP BY id")
+def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = validation.grouped(validation.validate(_records(spark, sf_dir), AS_OF))
+    return grouped.select("id", F.size("issues").cast("long").alias("n"), F.size(F.filter("issues", lambda x: x.level == "error")).cast("long").alias("errors"))
+
+
 @_query(
     f"""WITH {RECORDS} SELECT CAST(0 AS BIGINT) AS errors, count(*) - count(DISTINCT url_official) AS warnings, count(*) - count(DISTINCT url_official) AS total FROM records"""
 )
@@ -867,6 +932,10 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of six levels over pages that link to each other; some fail, some are forbidden, and are not followed."""
+    return _crawled(spark, sf_dir)[0].select("url", "depth", "ok", "is_course", "reason")
+
+
+def _crawled(spark: SparkSession, sf_dir: str, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     n = c.agg(F.count("*").alias("n")).scalar()
     body = F.concat(F.lit('<p><a href="/course/'), (F.col("k") * 3 + 1) % n, F.lit('">a</a> <a href="https://www.example.org/course/'), (F.col("k") + 7) % n, F.lit('?utm_source=x">b</a> <a href="/x.pdf">c</a> <a href="https://other.org/course/1">d</a></p>'))
@@ -876,8 +945,35 @@ def crawl_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = some.select("url", (F.col("k") % 11 != 5).alias("ok"), "body", F.when(F.col("k") % 11 == 5, "HTTP 500").alias("reason"), F.lit(False).alias("manual_review"), rules.alias("rules"))
     kind = "id string, institution string, domains array<string>, seed_urls array<string>, max_depth int, enabled boolean, adapter string"
     sources = spark.createDataFrame([("s", "x", ["example.org"], ["https://example.org/course/0"], 6, True, None)], kind)
-    found = crawl.crawl(sources, pages, AS_OF, limits=crawl.Limits(max_pages=1 << 30))[0]
-    return found.select("url", "depth", "ok", "is_course", "reason")
+    return crawl.crawl(sources, pages, AS_OF, state, crawl.Limits(max_pages=1 << 30))
+
+
+#: Nodes of the graph that memory knows: as visited yesterday, or as retired.
+WALKED = """n AS (SELECT count(*) AS n FROM customer), v AS (SELECT c_custkey AS node, c_custkey % 11 <> 5 AND NOT starts_with(CAST(c_custkey AS VARCHAR), '9') AS good, c_custkey % 13 = 3 AS seen, c_custkey % 13 = 4 AS retired FROM customer),
+    e AS (SELECT node AS src, (node * 3 + 1) % n AS dst FROM v, n WHERE good AND NOT seen AND NOT retired UNION SELECT node, (node + 7) % n FROM v, n WHERE good AND NOT seen AND NOT retired),
+    walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN e ON node = src WHERE depth < 6), w AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
+
+
+def _remembered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).where("k % 13 in (3, 4)")
+    seen = F.col("k") % 13 == 3
+    state = c.select(F.concat(F.lit("https://example.org/course/"), "k").alias("url"), F.when(seen, "activo").otherwise("retirado").alias("status"), seen.alias("is_course"), F.lit("2000-06-01").alias("first_seen"), F.lit("2000-12-31").alias("last_seen"))
+    return _crawled(spark, sf_dir, state)
+
+
+@_query(
+    f"""WITH RECURSIVE {WALKED} SELECT 'https://example.org/course/' || node AS url, depth, CASE WHEN seen THEN '2000-06-01' ELSE '{AS_OF}' END AS discovered_at, seen AS from_memory FROM w JOIN v USING (node) WHERE seen OR (good AND NOT retired)"""
+)
+def crawl_with_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a crawl that does not visit again what memory has lately seen, or has given up."""
+    return _remembered(spark, sf_dir)[1].select("url", "depth", "discovered_at", "from_memory")
+
+
+@_query(
+    f"""WITH RECURSIVE {WALKED} SELECT 's' AS source_id, count(*) FILTER (NOT seen AND NOT retired) AS visited, CAST(0 AS BIGINT) AS blocked, count(*) FILTER (seen OR (good AND NOT retired)) AS candidates, count(*) FILTER (seen) AS from_memory FROM w JOIN v USING (node)"""
+)
+def crawl_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.totals(*_remembered(spark, sf_dir))
 
 
 # exports

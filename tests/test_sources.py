@@ -262,3 +262,17 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         tables.shared_dir(Session())
+
+
+def test_commands(spark, tmp_path, capsys):
+    from millrace import __main__ as command
+
+    good, bad, other = (tmp_path / f"{n}.json" for n in ("good", "bad", "other"))
+    good.write_text('[{"id": "a-1", "title": "T", "institution": "I", "domain": "datos", "url_official": "https://x.org/1", "verification_status": "PENDIENTE", "source_of_truth": "https://x.org"}]')
+    bad.write_text('[{"id": "A", "topics": "x"}, 7]')
+    other.write_text('{"id": "a"}')
+    assert command.main(["validate", str(good), "2026-08-09"]) == 0
+    assert capsys.readouterr().out.splitlines()[-1] == "Validación: 1 cursos · 0 errores · 0 avisos"
+    assert command.main(["validate", str(bad)]) == 1 and "  ERROR [topics]: Debe ser un arreglo o null." in capsys.readouterr().out
+    assert command.main(["validate", str(other)]) == 1 and command.main([]) == 2
+    assert command.main(["rebuild", str(good), str(tmp_path / "table")]) == 0 and "1 registros" in capsys.readouterr().out
