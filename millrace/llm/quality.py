@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import once
 from millrace.llm.common import columns_of, materialize, spare, words
 
 WINDOW = 5
@@ -24,10 +25,18 @@ LEAST_STRENGTH, MOST_STRENGTH, PLAIN_STRENGTH = 1.0, 1000.0, 10.0
 
 
 def _window_hashes(w: Column) -> Column:
-    n = F.size(w)
-    return F.when(
-        n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda j: F.xxhash64(F.slice(w, j, WINDOW)))
-    ).otherwise(F.array().cast("array<bigint>"))
+    """A hash of each WINDOW words: words are hashed once, then two neighbours, two pairs, and the fifth word to them,
+    each a pass over the whole array, so that the work grows with the text."""
+    after = lambda c, k: F.slice(c, k + 1, F.size(c))
+    join = lambda a, b: F.xxhash64(a, b)
+    one = F.transform(w, lambda x: F.xxhash64(x))
+
+    def five(h: Column) -> Column:
+        two = F.zip_with(h, after(h, 1), join)
+        return once(two, lambda two: F.zip_with(F.zip_with(two, after(two, 2), join), after(h, 4), join))
+
+    whole = once(one, lambda h: F.slice(five(h), 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))))
+    return F.when(F.size(w) >= WINDOW, whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(hashes: Column) -> Column:
