@@ -15,7 +15,7 @@ from millrace.sources import catalog, exports
 
 def validate(spark: SparkSession, path: str, day: str | None = None) -> int:
     if not catalog.is_list(spark, path):
-        print("ERROR: El catálogo debe ser un arreglo de registros.")
+        print("(catálogo)\n  ERROR: El catálogo debe ser un arreglo.")
         return 1
     raw = catalog.read_raw(spark, path)
     issues, good = jobs.validate(validation.untyped(raw), day or datetime.date.today().isoformat())
