@@ -124,22 +124,23 @@ def repeated(chunks: DataFrame) -> DataFrame:
     return met.where("__row > other or start > at").drop(*keys)
 
 
-def runs(places: list[tuple[int, int, int, int, bool]], min_run: int) -> list[dict[str, int]]:
-    """The parts of the runs of the repeated chunks (start, end, other, at, final) of one row."""
-    out: list[dict[str, int]] = []
-    run: list[dict[str, int]] = []
-    ended, next_at, whole = None, None, False
-    for start, end, other, at, final in [*sorted(places), (-1, -1, -1, -1, False)]:
-        if start != ended:
-            if run and (run[-1]["end"] - run[0]["start"] >= min_run or (whole and run[0]["start"] == 0)):
-                out += run
-            run = []
-        if run and run[-1]["other"] == other and next_at == at:
-            run[-1]["end"] = end
-        else:
-            run.append({"start": start, "end": end, "other": other})
-        ended, next_at, whole = end, at + end - start, final
-    return out
+def runs(places: pa.ListArray, min_run: int) -> pa.ListArray:
+    """For each list of the repeated chunks (start, end, other, at, final) of a row, the parts of its runs in order."""
+    row = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy(zero_copy_only=False))
+    start, end, other, at, final = (x.to_numpy(zero_copy_only=False) for x in places.flatten().flatten())
+    order = np.lexsort((start, row))
+    row, start, end, other, at, final = (x[order] for x in (row, start, end, other, at, final))
+    apart = np.ones(len(row), dtype=bool)  # where a run, or a part, begins
+    parted = apart.copy()
+    apart[1:] = (row[1:] != row[:-1]) | (start[1:] != end[:-1])
+    parted[1:] = apart[1:] | (other[1:] != other[:-1]) | (at[1:] != at[:-1] + end[:-1] - start[:-1])
+    first, part = np.flatnonzero(apart), np.flatnonzero(parted)
+    last, part_last = (np.append(x[1:], len(row))[: len(x)] - 1 for x in (first, part))
+    enough = (end[last] - start[first] >= min_run) | ((start[first] == 0) & final[last])
+    kept = enough[np.searchsorted(first, part, side="right") - 1]
+    part, part_last = part[kept], part_last[kept]
+    spans = pa.StructArray.from_arrays([pa.array(start[part], pa.int32()), pa.array(end[part_last], pa.int32()), pa.array(other[part], pa.int64())], names=["start", "end", "other"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[part], np.arange(len(places) + 1)), pa.int32()), spans)
 
 
 def row_spans(chunks: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -147,11 +148,10 @@ def row_spans(chunks: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     has the bytes of a span too."""
     places = F.collect_list(F.struct("start", "end", "other", "at", "final"))
     grouped = repeated(chunks).groupBy("__row", "doc_id").agg(places.alias("places"))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())]))
 
     @F.arrow_udf(SPANS)
     def joined(rows: pa.Array) -> pa.Array:
-        return pa.array([runs([tuple(x.values()) for x in row.as_py()], min_run) for row in rows], kind)
+        return runs(rows, min_run)
 
     return grouped.select("__row", "doc_id", joined("places").alias("spans")).where(F.size("spans") > 0)
 
