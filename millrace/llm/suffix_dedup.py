@@ -13,16 +13,19 @@ Of two suffixes of one anchor, that is all. Of three or more, copies of a passag
 what follows the passage may sort others between them. So the runs of min_words words round such suffixes,
 but for those inside a match with an earlier place, are sorted by hash and place, and each run but the first
 of its hash is a repeated span of the first. The first place of a run is in no match, so none is missed.
-Spans of one row may overlap.
+Spans of one row may overlap, and one pair's may end where another pair's goes on: a match is extended by
+CONTEXT words at most beyond what its suffixes join. All spans of a row together cover each repeated passage
+of min_words or more to its ends.
 
 Sorting by place too lets a hot passage spread over as many tasks as it needs, and comparing neighbours
-keeps the matches in proportion to the suffixes. Null texts and those of fewer words have no spans;
-repeated rows are copies of each other; an empty table gives an empty result. Only doc_id and text are
-read; cut() gives back all columns.
+keeps the matches in proportion to the suffixes. Texts are read whole, however long. Null texts and those of
+fewer words have no spans; repeated rows are copies of each other; an empty table gives an empty result. Only
+doc_id and text are read; cut() gives back all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import columns_of, materialize, settled, spare
 
 MIN_WORDS, SHINGLE, WINDOW = 50, 6, 20
 #: Words compared beyond either end of a match; enough to decide whether it has min_words.
@@ -233,17 +236,20 @@ def matches(pairs: DataFrame, n: int) -> DataFrame:
         F.when(later, F.col("at") - F.col("at2")).otherwise(F.col("at2") - F.col("at")).alias("diagonal"),
     )
     # the places of one diagonal of two texts: at most as many as the shorter text keeps
-    places = pairs.groupBy("a", "b", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    kind = "struct<start: int, end: int>"
-    runs = F.aggregate(
-        "places",
-        F.array().cast(f"array<{kind}>"),
-        lambda acc, x: F.when(
-            F.try_element_at(acc, F.lit(-1)).end >= x,
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1)).start.alias("start"), (x + n).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x.alias("start"), (x + n).alias("end"))))),
-    )
-    return places.select("a", "b", "diagonal", F.inline(runs)).select(
+    places = pairs.groupBy("a", "b", "diagonal").agg(F.sort_array(F.collect_set("at")).alias("places"))
+
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def runs(rows: pa.Array) -> pa.Array:
+        at, cuts = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *rows.value_lengths().to_pylist()])
+        begins = np.ones(len(at), dtype=bool)
+        begins[1:] = np.diff(at) > n  # beyond the n words that the place before has
+        begins[cuts[:-1]] = True
+        first = np.flatnonzero(begins)
+        ends = np.append(first[1:], len(at))[: len(first)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(at[first], pa.int32()), pa.array(at[ends] + n, pa.int32())], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, cuts), pa.int32()), spans)
+
+    return places.select("a", "b", "diagonal", F.inline(runs("places"))).select(
         "a", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "b", (F.col("start") - F.col("diagonal")).alias("b_start")
     )
 
@@ -316,10 +322,6 @@ def extended(rows: DataFrame, found: DataFrame, pairs: DataFrame, min_words: int
     return spans.unionByName(again.select("a", F.col("a_start").alias("start"), F.col("a_end").alias("end"), "b"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-
 def row_spans(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(a, start, end, b) of rows (__row, text): words start to end (exclusive) of row a are in the earlier row b too."""
     if min_words < WINDOW + SHINGLE + 4:
@@ -330,10 +332,10 @@ def row_spans(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start_word, end_word, other_doc_id: a row for each pair of repeated spans of docs (doc_id, text)."""
-    rows = _numbered(docs.select("doc_id", "text"))
+    rows = materialize(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()))
     names = rows.select("__row", "doc_id")
     return (
-        materialize(row_spans(rows, min_words))
+        settled(docs.sparkSession, lambda: row_spans(rows, min_words))
         .join(names.withColumnRenamed("__row", "a"), "a")
         .join(names.select(F.col("__row").alias("b"), F.col("doc_id").alias("other_doc_id")), "b")
         .select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "other_doc_id")
@@ -343,10 +345,10 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def cut(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, with all columns, without the words of repeated spans and the white space between them; rows of
     which nothing is left go."""
-    import re
-
-    rows = _numbered(docs)
-    found = materialize(row_spans(rows, min_words)).groupBy("a").agg(F.collect_list(F.struct("start", "end")).alias("__cuts"))
+    row, cuts = spare(docs, "__row", "__cuts")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = rows.select(F.col(row).alias("__row"), "text")
+    found = settled(docs.sparkSession, lambda: row_spans(narrow, min_words)).groupBy(F.col("a").alias(row)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -362,6 +364,5 @@ def cut(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append(None if raw is None else raw.decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    joined = rows.join(found, rows["__row"] == found.a, "left")
-    changed = joined.withColumn("text", without(F.col("text").cast("binary"), F.col("__cuts")))
-    return changed.where("__cuts is null or trim(text) != ''").select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = rows.join(found, row, "left").withColumn("text", without(F.col("text").cast("binary"), F.col(cuts)))
+    return changed.where(F.col(cuts).isNull() | (F.trim("text") != "")).select(*columns_of(docs))
