@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import once
 from millrace.llm.common import ascii_lower, columns_of, spare
 
 #: Rows of a labelled table that a fit reads at most, by the smallest hash of the url.
@@ -108,15 +109,20 @@ def _join_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """Character 3- and 4-grams of host and path, marked by where they are; digits all become 0."""
+    """Character 3- and 4-grams of host and path, marked by where they are; digits all become 0; what is shorter is one
+    gram. Characters are cut once and joined with those behind them, so that the work grows with the url."""
 
     def of(c: Column, mark: str) -> Column:
         c = F.concat(F.lit("^"), F.regexp_replace(c, "[0-9]+", "0"), F.lit("$"))
-        cut = lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))),
-            lambda i: F.concat(F.lit(mark), F.substring(c, i, F.lit(n))),
-        )
-        return F.concat(cut(3), cut(4))
+        after = lambda x, k: F.slice(x, k + 1, F.size(x))
+        join = lambda a, b: F.concat(a, b)
+
+        def cut(ch: Column) -> Column:
+            three = F.zip_with(F.zip_with(F.transform(ch, lambda x: F.concat(F.lit(mark), x)), after(ch, 1), join), after(ch, 2), join)
+            both = once(three, lambda x: F.concat(F.array_compact(x), F.array_compact(F.zip_with(x, after(ch, 3), join))))
+            return F.concat(both, F.when(F.size(ch) < 4, F.array(F.concat(F.lit(mark), F.array_join(ch, "")))).otherwise(F.array().cast("array<string>")))
+
+        return once(F.split(c, ""), cut)
 
     return F.concat(of(host, "h:"), of(path, "p:"))
 
