@@ -14,8 +14,9 @@ any of their pairs. WIDTH is to be some 4 to 6 bits more than the logarithm of t
 that few values are shared by chance: 24 is for some ten millions, 32 for billions.
 
 A value shared by many is no group in which all are paired: who fetches it is compared with its first
-fingerprint alone, linear work that connects the copies of a text; afterwards only those that this has not connected
-are compared with the others. No candidate is left out.
+fingerprint alone, linear work that connects the copies of a text; afterwards those that this has not connected are
+compared with the others, within the join that fetches them, which gives the near ones alone. No candidate is left
+out.
 
 A null or blank text has no shingles and fingerprint zero; texts of fewer words have one shingle. Texts are read
 whole, however long. Equal texts, and repeated rows, share a fingerprint. Rows without doc_id connect others, and
@@ -92,30 +93,49 @@ def ball(key: Column) -> Column:
     return F.array(key, *[F.when(key.bitwiseAND(bit) == 0, key.bitwiseOR(bit)) for bit in bits])
 
 
+def apart(a: str, b: str) -> Column:
+    """Differing bits of two structs of the longs."""
+    return sum(F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in LONGS)
+
+
 def near(pairs: DataFrame, fps: DataFrame, max_bits: int) -> DataFrame:
     """The pairs (a, b) of ids of fps (id and longs) that are at most max_bits apart, written."""
     side = lambda name: fps.select(F.col("id").alias(name), F.struct(*LONGS).alias(f"{name}_print"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    apart = sum(F.bit_count(F.col(f"a_print.{w}").bitwiseXOR(F.col(f"b_print.{w}"))) for w in LONGS)
-    return materialize(both.where(apart <= max_bits).select("a", "b"))
+    return materialize(both.where(apart("a_print", "b_print") <= max_bits).select("a", "b"))
 
 
 def links(fps: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): edges between fingerprints (id and longs, each different) that connect what all fetched pairs at most
     max_bits apart connect."""
+    # those that share a value are compared with its first
     table = fps.select("id", F.explode(segment_keys()).alias("key"))
-    sizes = table.groupBy("key").agg(F.min("id").alias("first"), (F.count("*") > 1).alias("many"))
-    probes = table.select("id", F.explode(ball(F.col("key"))).alias("key")).where("key is not null")
-    met = materialize(probes.join(sizes.hint("shuffle_hash"), "key").where("many or id != first"))
-    firsts = near(met.where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")), fps, max_bits)
-    part = components(firsts).select(F.col("node").alias("id"), "component")
-    named = lambda df, name: df.join(part.withColumnRenamed("component", "c"), "id", "left").withColumn(name, F.coalesce("c", "id")).drop("c")
-    # those beside the first of a value, by the component they are in already; each asks the components it is not in
-    others = materialize(named(table.join(sizes.where("many"), "key").where("id != first").select("key", "id"), "theirs"))
-    asks = named(met.where("many").select("key", "id").distinct(), "mine")
-    open_ = asks.join(others.select("key", "theirs").distinct(), "key").where("mine != theirs").select("key", "id", "theirs")
-    rest = open_.withColumnRenamed("id", "a").join(others.withColumnRenamed("id", "b"), ["key", "theirs"]).select("a", "b")
-    return firsts.unionByName(near(rest, fps, max_bits))
+    sizes = table.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    crowded = materialize(table.join(sizes, "key").where("id != first").select("key", "id", "first"))
+    shared = near(crowded.select(F.col("id").alias("a"), F.col("first").alias("b")), fps, max_bits)
+    # all are compared with the first of each value that they fetch, unless they are connected already
+    known = materialize(_named(fps, components(shared), "id", "mine"))
+    table = known.select("id", "mine", F.explode(segment_keys()).alias("key"))
+    sizes = materialize(table.groupBy("key").agg(F.min(F.struct("id", "mine")).alias("first"), (F.count("*") > 1).alias("many")))
+    probes = table.select("id", "mine", F.explode(ball(F.col("key"))).alias("key")).where("key is not null")
+    met = materialize(probes.join(sizes.hint("shuffle_hash"), "key").where("many or mine != first.mine").select("key", "id", "many", F.when(F.col("mine") != F.col("first.mine"), F.col("first.id")).alias("first")))
+    beside = met.where("first is not null").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    firsts = shared.unionByName(near(beside, fps, max_bits))
+    # the others of a value, by their component; each asks the components it is not in
+    part = components(firsts)
+    prints = fps.select("id", F.struct(*LONGS).alias("print"))
+    others = materialize(_named(crowded.drop("first"), part, "id", "theirs").join(prints, "id").select("key", "theirs", F.col("id").alias("b"), F.col("print").alias("b_print")))
+    asks = _named(met.where("many").select("key", "id").distinct(), part, "id", "mine")
+    open_ = asks.join(others.select("key", "theirs").distinct(), "key").where("mine != theirs").join(prints, "id")
+    open_ = open_.select("key", "theirs", F.col("id").alias("a"), F.col("print").alias("a_print"))
+    fits = (open_.key == others.key) & (open_.theirs == others.theirs) & (apart("a_print", "b_print") <= max_bits)
+    return firsts.unionByName(open_.join(others, fits).select("a", "b").distinct())
+
+
+def _named(df: DataFrame, part: DataFrame, of: str, name: str) -> DataFrame:
+    """df with the component of a column of ids: that of part (node, component), or the id itself."""
+    known = part.select(F.col("node").alias(of), F.col("component").alias("__component"))
+    return df.join(known, of, "left").withColumn(name, F.coalesce("__component", of)).drop("__component")
 
 
 def gone(rows: DataFrame, row: str, columns: list[Column], n: int, similarity: float, seed: int) -> DataFrame:
