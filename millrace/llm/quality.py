@@ -44,14 +44,13 @@ def _covered(hashes: Column) -> Column:
     that have an equal neighbour, and add up min(WINDOW, gap to the previous start)."""
     pairs = F.sort_array(F.transform(hashes, lambda h, j: F.struct(h.alias("h"), j.alias("j"))))
     none = F.array(F.lit(None).cast("struct<h:bigint,j:int>"))
-    after = F.concat(F.slice(pairs, 2, F.size(pairs)), none)
-    before = F.concat(none, F.slice(pairs, 1, F.size(pairs) - 1))
-    seen = F.zip_with(
-        pairs, after, lambda p, q: F.struct(p.h.alias("h"), p.j.alias("j"), p.h.eqNullSafe(q.h).alias("twice"))
-    )
-    starts = F.sort_array(
-        F.array_compact(F.zip_with(seen, before, lambda p, q: F.when(p.twice | p.h.eqNullSafe(q.h), p.j)))
-    )
+
+    def repeated(p: Column) -> Column:
+        after, before = F.concat(F.slice(p, 2, F.size(p)), none), F.concat(none, F.slice(p, 1, F.size(p) - 1))
+        seen = F.zip_with(p, after, lambda x, y: F.struct(x.h.alias("h"), x.j.alias("j"), x.h.eqNullSafe(y.h).alias("twice")))
+        return F.sort_array(F.array_compact(F.zip_with(seen, before, lambda x, y: F.when(x.twice | x.h.eqNullSafe(y.h), x.j))))
+
+    starts = once(pairs, repeated)
     total = F.aggregate(
         starts,
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
