@@ -129,11 +129,11 @@ def dedupe_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {CANONICAL} SELECT page_id, regexp_matches(regexp_replace(path, '/$', ''), '(?i)/(search|courses|cursos|catalog|catalogo|browse|explore|index|all)$')
-      OR regexp_matches({TITLE}, '(?i)^(search|courses?|cursos?|catalog|catálogo|browse|explore|all courses|home)\\b') AS is_index,
+    f"""WITH {CANONICAL} SELECT page_id, regexp_matches(regexp_replace(path, '/$', ''), '(?i){urls.LISTING_PATH}')
+      OR regexp_matches({TITLE}, '(?i){urls.LISTING_NAME}') AS is_index,
     regexp_matches({TITLE}, '(?i)\\.(pdf|ppt|pptx|doc|docx|xls|xlsx|zip)$') OR regexp_matches({TITLE}, '(?i)^(week|lecture|session|unit|module|chapter|part|lec)\\s+[0-9ivx]+')
       OR regexp_matches({TITLE}, '(?i)\\b(slides?\\s+[0-9]|part\\s+[ivx]+\\s+of\\b|(problem set|pset[0-9]|handout|transcript|lecture notes)\\b)') AS is_material,
-    regexp_matches(url, '(?i)/(course|courses|curso|cursos|learn|class|classes|program|training|mooc)s?/') OR regexp_matches(url, '(?i)course_templates|course-v1') AS is_course,
+    regexp_matches(url, '(?i){urls.COURSE_PATH}') OR regexp_matches(url, '(?i)course_templates|course-v1') AS is_course,
     NOT regexp_matches(lower(url), '\\.(pdf|zip|tar|gz|mp4|mp3|avi|mov|png|jpg|jpeg|gif|svg|ico|css|js|woff|woff2|ttf|eot|xml|rss)$')
       AND NOT regexp_matches(lower(url), '/login|/signin|/sign-in|/register|/signup|/checkout|/cart|/account|/profile|/password|/logout|/admin|/search\\?|/print/|/share|facebook\\.com|twitter\\.com|linkedin\\.com|instagram\\.com|youtube\\.com/watch') AS is_relevant,
     regexp_matches(url, '(?i)^https://') AND length(url) <= 2000 AS may_open FROM canon"""

@@ -65,11 +65,11 @@ def test_hosts(values):
 
 
 def test_page_kinds(values):
-    index = {("https://x.org/courses/", "A"): True, ("https://x.org/a", "Search results"): True, ("https://x.org/a", "Catálogo"): True, ("https://x.org/course/ml", "Machine Learning"): False, ("https://x.org/searching", None): False}
+    index = {("https://x.org/cursos/", "A"): True, ("https://x.org/a", "Search results"): True, ("https://x.org/a", "Catálogo"): True, ("https://x.org/course/ml", "Machine Learning"): False, ("https://x.org/searching", None): False}
     assert values(urls.is_index_page, list(index), "string, string") == list(index.values())
     material = {"notes.pdf": True, "Week 8 Tool": True, "Slides 1-46": True, "Theory, Part III of IV": True, "Lecture notes": True, "Weekly planning": False, None: False, "Partial equations": False}
     assert values(urls.is_course_material, list(material)) == list(material.values())
-    like = {"https://x.org/course/ml": True, "https://x.org/courses": False, "https://x.org/course-v1:a": True, "https://x.org/learning/a": False}
+    like = {"https://x.org/course/ml": True, "https://x.org/cursos": False, "https://x.org/course-v1:a": True, "https://x.org/learning/a": False}
     assert values(urls.is_course_like, list(like)) == list(like.values())
     relevant = {"https://x.org/a.PDF": False, "https://x.org/login": False, "https://x.org/search?q": False, "https://x.org/a": True}
     assert values(urls.is_relevant, list(relevant)) == list(relevant.values())
@@ -101,6 +101,10 @@ def test_price_usd(values):
     assert values(classify.price_usd, list(cases)) == list(cases.values())
 
 
+def test_price_or_null(values):
+    assert values(classify.price_or_null, [0.0, 3.5, -1.0, float("inf"), float("nan"), None], "double") == [0.0, 3.5, None, None, None, None]
+
+
 def test_credentials(values):
     cases = {
         ("Free certificate of completion", None): "certificado gratuito",

@@ -1,5 +1,6 @@
 """Pages over HTTP with robots by origin, link probes, reports, stored state and versions, streams, and the runner."""
 
+import json
 import logging
 import time
 
@@ -136,7 +137,7 @@ def test_versions_survive_a_failed_write(spark, tmp_path):
     assert store.rebuild(one.union(one), path) == 2 and store.rebuild(one, path) == 1
     assert [n for n in tables.names_in(spark, path)] == ["version=0000000002", "version=0000000003"]
     seed = tmp_path / "seed.json"
-    seed.write_text('{"courses": [{"id": "a"}, {"id": "b"}]}')
+    seed.write_text(json.dumps({store.WRAPPER: [{"id": "a"}, {"id": "b"}]}))
     assert store.rebuild_from(spark, str(seed), path) == "Base reconstruida: 2 registros indexados (2 en total)."
 
 
