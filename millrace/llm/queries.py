@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, chunks, decontaminate, html_text, mixing, quality, simhash, suffix_dedup, token_shards, url_filter
+from millrace.llm import chat, chunks, decontaminate, filter_audit, html_text, mixing, pieces, quality, simhash, suffix_dedup, token_shards, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.unionByName(extra)))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode, decode = pieces.encoder(spark), pieces.decoder(spark)
+    encoded = _table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
+    decoded = encoded.select("doc_id", "ids", decode(F.col("ids")).alias("text"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books and books.sha256()).cast("string").alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_chunk_dedup": op2_chunk_dedup,
@@ -97,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_chat_format": op10_chat_format,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: op1: what the given pages' layout makes of the rule: the article, as these pages mark it up.
@@ -219,5 +245,79 @@ SELECT conv_id, count(*) AS n_turns,
          AND bool_and(CASE WHEN after IS NULL THEN role = 'assistant'
                            WHEN role = 'system' THEN before IS NULL ELSE TRUE END) AS valid
 FROM moves GROUP BY conv_id
+""",
+    "op12_filter_audit": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+said AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (
+  SELECT d.r, part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+         [len(w) < 200,
+          100 * len(list_distinct(w)) < 50 * len(w),
+          100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'),
+          coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), FALSE)] AS fails
+  FROM d LEFT JOIN said USING (doc_id)),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT row_number() OVER () AS o, [a.i, b.i, c.i, d.i, e.i] AS seq
+  FROM letters a JOIN letters b ON b.i <> a.i JOIN letters c ON c.i NOT IN (a.i, b.i)
+  JOIN letters d ON d.i NOT IN (a.i, b.i, c.i) JOIN letters e ON e.i NOT IN (a.i, b.i, c.i, d.i)),
+kinds AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM judged GROUP BY part, fails),
+went AS (
+  SELECT part, o, seq, fails, n, good, toxic, list_position(list_transform(seq, lambda i: fails[i]), TRUE) AS hit FROM kinds, orders),
+steps AS (
+  SELECT part, o, any_value(seq) AS seq, step,
+         sum(CASE WHEN coalesce(hit, 9) > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN hit = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN hit < step AND fails[seq[step]] THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails[seq[step]] AND len(list_filter(fails, lambda f: f)) = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN hit = step THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN hit = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM went) GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(seq, lambda i: chr(CAST(64 + i AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step,
+       CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, seq[step]) AS BIGINT) AS shapley
+FROM steps
+""",
+    "op13_vector_codes": r"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+flat AS (SELECT r, unnest(range(0, len(v))) AS i, unnest(v) AS v, len(v) // 16 AS w FROM kept),
+x AS (SELECT r, i // w AS p, i % w AS k, v FROM flat),
+starts AS (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept WHERE vec_id IS NOT NULL),
+c0 AS (SELECT p, e, k, v AS c FROM x JOIN starts USING (r) WHERE e < 64),
+d0 AS (
+  SELECT r, x.p, e, CAST(sum((v - c) * (v - c)) AS BIGINT) AS d FROM x JOIN c0 c ON x.p = c.p AND x.k = c.k GROUP BY r, x.p, e),
+a0 AS (SELECT r, p, min(d) AS d, arg_min(e, {'d': d, 'e': e}) AS e FROM d0 GROUP BY r, p),
+c1 AS (
+  SELECT c.p, c.e, c.k, coalesce(m.c, c.c) AS c FROM c0 c LEFT JOIN (
+    SELECT a.p, a.e, k, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM a0 a JOIN x USING (r, p) GROUP BY a.p, a.e, k) m
+  ON c.p = m.p AND c.e = m.e AND c.k = m.k),
+d1 AS (
+  SELECT r, x.p, e, CAST(sum((v - c) * (v - c)) AS BIGINT) AS d FROM x JOIN c1 c ON x.p = c.p AND x.k = c.k GROUP BY r, x.p, e),
+a1 AS (SELECT r, p, min(d) AS d, arg_min(e, {'d': d, 'e': e}) AS e FROM d1 GROUP BY r, p),
+c2 AS (
+  SELECT c.p, c.e, c.k, coalesce(m.c, c.c) AS c FROM c1 c LEFT JOIN (
+    SELECT a.p, a.e, k, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM a1 a JOIN x USING (r, p) GROUP BY a.p, a.e, k) m
+  ON c.p = m.p AND c.e = m.e AND c.k = m.k),
+d2 AS (
+  SELECT r, x.p, e, CAST(sum((v - c) * (v - c)) AS BIGINT) AS d FROM x JOIN c2 c ON x.p = c.p AND x.k = c.k GROUP BY r, x.p, e),
+a2 AS (SELECT r, p, min(d) AS d, arg_min(e, {'d': d, 'e': e}) AS e FROM d2 GROUP BY r, p),
+codes AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+said AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (r), said
 """,
 }
