@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding of texts with a BPE model, by merge rounds over flat arrays.
 
-A text is normalised as the model says (blanks become U+2581, one is put in front), cut into words before each U+2581
-that follows another character, and cut further between characters that no piece has side by side: no piece goes
-over such a place, so each segment is merged by itself. The symbols of many segments lie in one array. A round finds in each
+A text is normalised as the model says (blanks become U+2581, one is put in front), cut into words of
+blanks and characters of one kind (those that pieces have side by side, directly or by others), and cut further between characters
+that no piece has side by side: no piece goes over such a place, so each segment is merged by itself. The symbols of many segments lie in one array. A round finds in each
 segment the pair whose piece has the best score, merges its places at once, the leftmost of those that overlap,
 closes the gaps and looks up the pairs that changed, until no segment has a pair left. The library merges one pair at a
 time, the best first, ties from the left. Merging all places at once is the same unless a merge can make a pair that
@@ -21,28 +21,27 @@ from __future__ import annotations
 
 import codecs
 import heapq
-import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 BLANK = "\u2581"
-WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: The kinds of pieces, and the algorithm, as the file numbers them.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE = 1, 2, 3, 6, 2
 #: A code for each character that is no piece follows the pieces' ids.
 CHARACTERS = 0x110000
 #: Symbols of a segment from which on it is merged with a heap.
 LONG = 256
-#: Characters of texts that are cut at a time, and of words that a task remembers.
-GROUP, REMEMBERED = 1 << 20, 1 << 21
+#: Characters of texts that are encoded at a time, and of words that a task remembers.
+GROUP, REMEMBERED = 1 << 18, 1 << 22
 NEVER = np.iinfo(np.int32).max
 
 codecs.register_error("millrace-each-byte", lambda e: ("\ufffd", e.start + 1))
@@ -73,6 +72,12 @@ def message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each start, length of them, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Model:
     """A BPE model: its pieces, and tables of the pairs that make them."""
 
@@ -119,12 +124,40 @@ class Model:
         order = np.argsort(keys)
         self.keys, self.made = keys[order], made[order]
         self.beside = np.array(sorted(ord(a) * CHARACTERS + ord(b) for a, b in beside), dtype=np.int64)
+        self.kind = self._kinds(beside)
         unknown = trainer.get(44, " ⁇ ".encode())
         surface = {UNKNOWN: lambda i: unknown, CONTROL: lambda i: b"", BYTE: lambda i: bytes([int(texts[i][3:-1], 16)])}
         self.surface = [surface[k](i) if k in surface else texts[i].replace(BLANK, " ").encode() for i, k in enumerate(kinds)]
         self.kinds = kinds
-        self.remembered: dict[str, bytes] = {}
-        self.characters = 0
+        lengths = np.array([len(x) for x in self.surface])
+        self.surface_bytes, self.surface_ends = np.frombuffer(b"".join(self.surface), dtype=np.uint8), np.cumsum(lengths)
+        self.surface_lengths = lengths
+        ascii_byte = [k == BYTE and self.surface[i] < b"\x80" for i, k in enumerate(kinds)]
+        self.plain = np.array([k in (NORMAL, UNKNOWN) for k in kinds]) | np.array(ascii_byte)
+        self.blank_first = np.array([k == NORMAL and x[:1] == b" " for k, x in zip(kinds, self.surface)])
+        random = np.random.default_rng(0)
+        self.values = random.integers(0, 1 << 63, CHARACTERS, dtype=np.uint64)
+        self.powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+        self.forget()
+
+    @staticmethod
+    def _kinds(beside: set[tuple[str, str]]) -> np.ndarray:
+        """The kind of each character: those that pieces connect are of one kind; the others are of none (0), blanks are 1."""
+        kind: dict[str, str] = {}
+
+        def of(c: str) -> str:
+            while kind.setdefault(c, c) != c:
+                kind[c] = c = kind[kind[c]]
+            return c
+
+        for a, b in beside:
+            if BLANK not in (a, b):
+                kind[of(a)] = of(b)
+        table, numbers = np.zeros(CHARACTERS, dtype=np.int32), {}
+        for c in list(kind):
+            table[ord(c)] = numbers.setdefault(of(c), len(numbers) + 2)
+        table[ord(BLANK)] = 1
+        return table
 
     def pairs(self, left: np.ndarray, right: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces that pairs of symbols make and their ranks; NEVER where there is none, or they are of two segments."""
@@ -210,57 +243,151 @@ class Model:
     def table(self) -> dict[int, int]:
         return dict(zip(self.keys.tolist(), self.made.tolist()))
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words and remembers their ids, as the bytes of 32-bit numbers."""
-        lengths = np.array([len(w) for w in words])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
-        segment = self.segments(codes, starts)
-        word_of = np.repeat(np.arange(len(words)), lengths)[np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))]
+    def forget(self) -> None:
+        """No word is known: their hashes in order, and by word its characters, its ids, and where both end."""
+        self.hashes, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.known_codes, self.known_ids = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.code_ends, self.id_ends = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def _powers(self, n: int) -> list[np.ndarray]:
+        """The powers of an odd number, and of its inverse, below 2^64."""
+        if len(self.powers[0]) < n:
+            base = 0x9E3779B97F4A7C15
+            for k, x in enumerate((base, pow(base, -1, 1 << 64))):
+                steps = np.full(n, x, dtype=np.uint64)
+                steps[0] = 1
+                self.powers[k] = np.cumprod(steps)
+        return self.powers
+
+    def word_starts(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where words begin, in texts that begin at starts: blanks and what of one kind follows them."""
+        kind = self.kind[codes]
+        begins = np.ones(len(codes), dtype=bool)
+        now, before = kind[1:], kind[:-1]
+        begins[1:] = (before != 1) & ((now != before) | (now == 0))
+        begins[1:] &= ~((now == 1) & (before == 1))
+        begins[starts] = True
+        return np.flatnonzero(begins)
+
+    def distinct(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct words, a place of each, and which of them each word is."""
+        power, inverse = self._powers(len(codes) + 1)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.values[codes] * power[: len(codes)])])
+        hashes = (sums[starts + lengths] - sums[starts]) * inverse[starts]
+        hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # equal hashes are to be equal words; else every word is taken for a word of its own
+        other = first[which]
+        same = lengths[other] == lengths
+        if same.all():
+            place = ragged(starts[other], lengths)
+            same = codes[place] == codes[ragged(starts, lengths)]
+        if not same.all():
+            return np.arange(len(starts), dtype=np.uint64), np.arange(len(starts)), np.arange(len(starts))
+        return hashes, first, which
+
+    def encode(self, texts: list[str], fronts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other, and where each text's end; fronts: they get the model's blank."""
+        if self.code_ends[-1] > REMEMBERED:
+            self.forget()
+        front = BLANK if self.prefix and fronts else ""
+        given = [front + t if t else "" for t in texts]
+        codes = np.frombuffer("".join(given).encode("utf-32-le", "replace"), dtype="<i4").copy()
+        if not len(codes):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+        codes[codes == 32] = ord(BLANK)
+        return self.encode_codes(codes, np.cumsum([len(t) for t in given]))
+
+    def encode_codes(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text_starts = np.concatenate([[0], ends[:-1]])
+        starts = self.word_starts(codes, text_starts[text_starts < ends])
+        lengths = np.diff(np.append(starts, len(codes)))
+        hashes, first, which = self.distinct(codes, starts, lengths)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        number = self.number[at] if len(self.number) else np.full(len(hashes), -1)
+        known = np.zeros(len(hashes), dtype=bool)
+        if len(self.number):
+            known = (self.hashes[at] == hashes) & (self.code_ends[number + 1] - self.code_ends[number] == lengths[first])
+            k = np.flatnonzero(known)  # the characters decide, not the hash
+            n = lengths[first[k]]
+            same = self.known_codes[ragged(self.code_ends[number[k]], n)] == codes[ragged(starts[first[k]], n)]
+            if not same.all():
+                known[k[np.repeat(np.arange(len(k)), n)[~same]]] = False
+        new = np.flatnonzero(~known)
+        if len(new):
+            number[new] = len(self.code_ends) - 1 + np.arange(len(new))
+            own = ragged(starts[first[new]], lengths[first[new]])
+            ids, id_ends = self.learn(codes[own], lengths[first[new]])
+            self.known_codes = np.concatenate([self.known_codes, codes[own]])
+            self.code_ends = np.concatenate([self.code_ends, self.code_ends[-1] + np.cumsum(lengths[first[new]])])
+            self.known_ids = np.concatenate([self.known_ids, ids])
+            self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + id_ends])
+            where = np.searchsorted(self.hashes, hashes[new])
+            self.hashes, self.number = np.insert(self.hashes, where, hashes[new]), np.insert(self.number, where, number[new])
+        word = number[which]
+        counts = self.id_ends[word + 1] - self.id_ends[word]
+        ids = self.known_ids[ragged(self.id_ends[word], counts)]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return ids, total[np.searchsorted(starts, ends)]
+
+    def learn(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and where each word's end."""
+        codes = codes.astype(np.int64)
+        segment = self.segments(codes, np.cumsum(lengths) - lengths)
+        word_of = np.repeat(np.arange(len(lengths)), lengths)[np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))]
         symbol, size = self.symbol[codes], np.bincount(segment)
-        long = size > LONG
-        short = ~long[segment]
-        symbols, segments = [], []
-        if short.any():
-            s, g = self.merge(symbol[short], segment[short])
-            symbols.append(s), segments.append(g)
-        for g in np.flatnonzero(long).tolist():
+        short = size[segment] <= LONG
+        symbols, segments = zip(self.merge(symbol[short], segment[short]))
+        symbols, segments = list(symbols), list(segments)
+        for g in np.flatnonzero(size > LONG).tolist():
             merged = self.merge_long(symbol[segment == g].tolist())
             symbols.append(np.array(merged, dtype=np.int64)), segments.append(np.full(len(merged), g))
         symbol, segment = np.concatenate(symbols), np.concatenate(segments)
         order = np.argsort(segment, kind="stable")
         symbol, word = symbol[order], word_of[segment[order]]
-        ends = np.searchsorted(word, np.arange(len(words)), side="right")
-        ids, start = symbol.astype("<i4"), 0
-        spelt = symbol >= self.size
-        for w, end, some in zip(words, ends.tolist(), np.logical_or.reduceat(spelt, np.append(0, ends[:-1])).tolist()):
-            if some:
-                found = [i for s in symbol[start:end].tolist() for i in ([s] if s < self.size else [self.bytes[x] for x in chr(s - self.size).encode()])]
-                self.remembered[w] = np.array(found, dtype="<i4").tobytes()
-            else:
-                self.remembered[w] = ids[start:end].tobytes()
-            start = end
-        self.characters += len(codes)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the bytes of 32-bit numbers."""
-        if self.characters > REMEMBERED:
-            self.remembered, self.characters = {}, 0
-        front = BLANK if self.prefix else ""
-        cut = [WORD.findall(front + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if new := list({w for words in cut for w in words if w not in self.remembered}):
-            self.learn(new)
-        known = self.remembered
-        return [b"".join([known[w] for w in words]) for words in cut]
-
-    def decode(self, ids: list[int]) -> str:
+        # what is no piece becomes the pieces of its bytes
+        spelt = {int(x): [self.bytes[b] for b in chr(x - self.size).encode()] for x in np.unique(symbol[symbol >= self.size])}
+        if spelt:
+            codes_of = np.array(sorted(spelt), dtype=np.int64)
+            sizes, flat = np.array([len(spelt[x]) for x in codes_of]), np.array([i for x in codes_of for i in spelt[x]])
+            which = np.searchsorted(codes_of, symbol)
+            other = symbol >= self.size
+            n = np.where(other, sizes[np.minimum(which, len(sizes) - 1)], 1)
+            out = np.repeat(symbol, n)
+            out[np.repeat(other, n)] = flat[ragged((np.cumsum(sizes) - sizes)[which[other]], n[other])]
+            symbol, word = out, np.repeat(word, n)
+        return symbol.astype(np.int32), np.searchsorted(word, np.arange(len(lengths)), side="right")
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the texts of lists of ids, one after the other, and where each text's end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            raise IndexError(f"an id is not among the {self.size} of the model")
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        lengths, at = self.surface_lengths[ids], (self.surface_ends - self.surface_lengths)[ids]
+        first = starts[starts < ends]  # the blank in front of the text was put there
+        cut = first[self.blank_first[ids[first]]] if self.prefix else first[:0]
+        lengths[cut] -= 1
+        at[cut] += 1
+        data = np.concatenate([self.surface_bytes[ragged(at[i : i + GROUP], lengths[i : i + GROUP])] for i in range(0, max(1, len(ids)), GROUP)])
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(~self.plain[ids]), side="right"))
+        if not len(odd):
+            return data, sums[ends]
+        texts, begin = [], 0
+        for k in odd.tolist():
+            texts += [data[sums[starts[begin]] : sums[starts[k]]].tobytes() if begin < k else b"", self.decode_one(ids[starts[k] : ends[k]].tolist()).encode()]
+            begin = k + 1
+        texts.append(data[sums[starts[begin]] :].tobytes() if begin < len(ends) else b"")
+        size = sums[ends] - sums[starts]
+        size[odd] = [len(x) for x in texts[1::2]]
+        return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(size)
+
+    def decode_one(self, ids: list[int]) -> str:
+        """A text with control ids, or with bytes beyond ASCII, of which some may be no character."""
         surface, kinds = self.surface, self.kinds
-        if ids and min(ids) < 0:
-            raise ValueError(f"there is no id {min(ids)}")
         raw = [surface[i] for i in ids]
-        for k, i in enumerate(ids):  # the blank in front of the text was put there
+        for k, i in enumerate(ids):
             if kinds[i] != CONTROL:
-                if self.prefix and kinds[i] == NORMAL and raw[k].startswith(b" "):
+                if self.prefix and self.blank_first[i]:
                     raw[k] = raw[k][1:]
                 break
         ends = [k for k, i in enumerate(ids) if kinds[i] == CONTROL]  # bytes on both sides make no character
@@ -283,17 +410,64 @@ def _shared(spark: SparkSession, path: str) -> Callable[[], Model]:
     return lambda: _model(shared.value)
 
 
-def _groups(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts in order, in lists of some GROUP characters."""
-    group, size = [], 0
-    for x in texts:
+def _chunks(text: str) -> Iterator[str]:
+    """A text in parts that begin with a blank behind another character, where a word ends, each some GROUP characters."""
+    begin = 0
+    while len(text) - begin > GROUP:
+        at = text.find(" ", begin + GROUP)
+        while at > 0 and text[at - 1] in (" ", BLANK):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        yield text[begin:at]
+        begin = at
+    yield text[begin:]
+
+
+def encode_array(model: Model, texts: pa.Array) -> pa.Array:
+    """The ids of each of the texts (binary), some GROUP characters at a time."""
+    values, counts, group, size = [], np.zeros(len(texts), dtype=np.int64), [], 0
+    of: list[int] = []
+
+    def flush() -> None:
+        ids, ends = model.encode(group, front)
+        values.append(ids)
+        np.add.at(counts, of, np.diff(ends, prepend=0))
+
+    front = True
+    for k, x in enumerate(texts):
         raw = x.as_py()
-        group.append("" if raw is None else raw.decode("utf-8", "millrace-each-byte"))
-        size += len(group[-1])
-        if size > GROUP:
-            yield group
-            group, size = [], 0
-    yield group
+        text = "" if raw is None else raw.decode("utf-8", "millrace-each-byte")
+        for n, chunk in enumerate(_chunks(text)):
+            if n:  # a part that goes on has no blank put in front
+                flush()
+                group, of, front = [chunk], [k], False
+                flush()
+                group, of, size, front = [], [], 0, True
+                continue
+            group.append(chunk), of.append(k)
+            size += len(chunk)
+            if size > GROUP:
+                flush()
+                group, of, size = [], [], 0
+    flush()
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), pa.int32()))
+
+
+def decode_array(model: Model, ids: pa.ListArray) -> pa.Array:
+    """The text of each list of ids; null for null."""
+    lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    sums, texts, begin = np.cumsum(lengths), [], 0
+    while begin < len(ids):  # lists of some GROUP ids at a time
+        end = max(begin + 1, int(np.searchsorted(sums, sums[begin] - lengths[begin] + GROUP)))
+        part = ids.slice(begin, end - begin)
+        data, ends = model.decode(part.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths[begin:end]))
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        out = pa.StringArray.from_buffers(len(part), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+        texts.append(pc.if_else(part.is_valid(), out, pa.scalar(None, pa.string())) if part.null_count else out)
+        begin = end
+    return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
 
 
 def encoder(spark: SparkSession, path: str = MODEL) -> Callable[[Column], Column]:
@@ -302,9 +476,7 @@ def encoder(spark: SparkSession, path: str = MODEL) -> Callable[[Column], Column
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        ids = [i for group in _groups(texts) for i in model().encode(group)]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+        return encode_array(model(), texts)
 
     return lambda text: encode(text.cast("binary"))
 
@@ -315,6 +487,6 @@ def decoder(spark: SparkSession, path: str = MODEL) -> Callable[[Column], Column
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x.as_py() is None else model().decode(x.as_py()) for x in ids], pa.string())
+        return decode_array(model(), ids)
 
     return decode
