@@ -2,7 +2,7 @@
 
 A gear hash h = (h << 1) + table[byte] in 32 bits depends on the last 32 bytes alone. A chunk ends where
 the hash is lower than at the reach places before and no higher than at the reach places after, and at
-max_size at the latest. So a cut depends on the bytes near it and on nothing else: an insertion moves no
+max_size at the latest, and where that is within a character, behind it. So a cut depends on the bytes near it and on nothing else: an insertion moves no
 other cuts, and a passage is cut alike wherever it stands. Chunks of all documents are grouped by a
 128-bit digest.
 The first place of a chunk, by row and start, keeps it; chunks at later places are repeated. Repeated chunks that
@@ -60,6 +60,14 @@ def window_min(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(m[: len(h) - n + 1], m[n - width :])
 
 
+def character_start(raw: bytes, at: int) -> int:
+    """The place, or the next one at which a character of UTF-8 begins; one is four bytes at most."""
+    for _ in range(3):
+        if at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+    return at
+
+
 def cut_points(raw: bytes, table: np.ndarray, reach: int, max_size: int) -> list[int]:
     """The ends of the chunks of raw."""
     h = gear_hashes(np.frombuffer(raw, dtype=np.uint8), table)
@@ -68,8 +76,9 @@ def cut_points(raw: bytes, table: np.ndarray, reach: int, max_size: int) -> list
     lowest = (h < least[: len(h)]) & (h <= least[reach + 1 :])
     ends, last = [], 0
     for at in [*(np.flatnonzero(lowest) + 1).tolist(), len(raw)]:
+        at = character_start(raw, at)
         while at - last > max_size:
-            last += max_size
+            last = min(at, character_start(raw, last + max_size))
             ends.append(last)
         if at > last:
             last = at
@@ -174,7 +183,7 @@ def cut(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
     narrow = rows.select(F.col(row).alias("__row"), "doc_id", "text")
     found = row_spans(chunk_table(narrow, **sizes), min_run).select(F.col("__row").alias(row), F.col("spans").alias(cuts))
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("binary")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for text, cuts in zip(texts, spans.to_pylist(), strict=True):
@@ -182,8 +191,8 @@ def cut(docs: DataFrame, min_run: int = MIN_RUN, **sizes: int) -> DataFrame:
             for s in cuts or []:
                 parts.append(raw[at : s["start"]])
                 at = s["end"]
-            out.append(None if raw is None else b"".join([*parts, raw[at:]]).decode("utf-8", "ignore"))
-        return pa.array(out, pa.string())
+            out.append(None if raw is None else b"".join([*parts, raw[at:]]))
+        return pa.array(out, pa.binary())
 
-    changed = rows.join(found, row, "left").withColumn("text", without(F.col("text").cast("binary"), F.col(cuts)))
+    changed = rows.join(found, row, "left").withColumn("text", without(F.col("text").cast("binary"), F.col(cuts)).cast("string"))
     return changed.where(F.col(cuts).isNull() | (F.trim("text") != "")).select(*columns_of(docs))

@@ -17,15 +17,18 @@ def brute_cuts(raw, reach, max_size):
     for b in raw:
         h = ((h << 1) + int(TABLE[b])) & 0xFFFFFFFF
         hashes.append(h)
+    starts = {len(raw)} | {i for i, b in enumerate(raw) if not 0x80 <= b < 0xC0}
+    start = lambda at: next((k for k in range(at, at + 3) if k in starts), min(at + 3, len(raw)))
     cuts, last = [], 0
     for i, h in enumerate(hashes):
         low = all(h < x for x in hashes[max(0, i - reach) : i]) and all(h <= x for x in hashes[i + 1 : i + 1 + reach])
         if low or i == len(raw) - 1:
-            while i + 1 - last > max_size:
-                last += max_size
+            at = start(i + 1)
+            while at - last > max_size:
+                last = min(at, start(last + max_size))
                 cuts.append(last)
-            if i + 1 > last:
-                last = i + 1
+            if at > last:
+                last = at
                 cuts.append(last)
     return cuts
 
@@ -117,6 +120,31 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert all(len(kept[i]) < len(texts[i]) - 112 for i in range(20, 40))
 
 
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрст", "éèàüöñçabcdefghi", "日本語漢字仮名文章😀🎉👍"])
+def test_cut_leaves_whole_characters(spark, letters):
+    """What is kept of a text is the text without its spans, to the character, whatever the characters are."""
+    r = random.Random(len(letters))
+    v = ["".join(r.choices(letters, k=r.randint(2, 8))) for _ in range(500)]
+    text = lambda n: " ".join(r.choices(v, k=n))
+    passages = [text(70) for _ in range(10)]
+    rows = [(i, f"{text(r.randint(20, 60))} {passages[i % 10]} {text(40)}") for i in range(60)]
+    rows += [(60, "".join(r.choices(letters, k=3000)))]  # no blanks, cut at the largest size too
+    rows += [(61, rows[60][1][:1500])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spans = {}
+    for x in chunks.spans(df).collect():
+        spans.setdefault(x.doc_id, []).append((x.start_byte, x.end_byte))
+    kept, cut = {x.doc_id: x.text for x in chunks.cut(df).collect()}, 0
+    for doc, whole in rows:
+        raw, left, at = whole.encode(), b"", 0
+        for a, b in sorted(spans.get(doc, [])):
+            left, at, cut = left + raw[at:a], b, cut + 1
+            raw[a:b].decode()
+        left = (left + raw[at:]).decode()  # no half characters
+        assert kept.get(doc, "") == (left if left.strip() else "") and "\ufffd" not in left
+    assert cut > 40
+
+
 def test_edges(spark, edge_docs, no_docs):
     found = Counter((x.doc_id, x.other_doc_id) for x in chunks.spans(edge_docs).collect())
     assert set(found) >= {(2, 1)} and all(d == 2 for d, _ in found)
