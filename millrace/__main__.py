@@ -1,5 +1,6 @@
 """Commands: validate CATALOG [DAY] prints the issues by record and exits with 1 if one is an error; rebuild CATALOG
-TABLE writes the query table anew and says how many records it has."""
+TABLE [KEY] writes the query table anew and says how many records it has (KEY: that of the list in a document that is
+an object)."""
 
 from __future__ import annotations
 
@@ -24,8 +25,8 @@ def validate(spark: SparkSession, path: str, day: str | None = None) -> int:
     return 0 if good else 1
 
 
-def rebuild(spark: SparkSession, path: str, table: str) -> int:
-    print(catalog.rebuild_from(spark, path, table))
+def rebuild(spark: SparkSession, path: str, table: str, key: str | None = None) -> int:
+    print(catalog.rebuild_from(spark, path, table, key))
     return 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _VOWEL = "[aeiou]|(?<=[^aeiou])y"
 #: Suffix tables of steps 2 to 4 of the paper.
@@ -73,3 +74,9 @@ def stem(word: str) -> str:
         if m > 1 or (m == 1 and not _short(word[:-1])):
             word = word[:-1]
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
+
+
+@lru_cache(maxsize=1 << 17)
+def remembered_stem(word: str) -> str:
+    """stem(), for words that come again and again."""
+    return stem(word)

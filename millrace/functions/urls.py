@@ -4,6 +4,8 @@ Anything but an absolute http(s) URL gives null or false."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,13 +114,21 @@ def is_allowed_host(url: Column, domains: Column) -> Column:
     return F.coalesce(once(host(url), lambda h: F.exists(domains, lambda d: fits(h, d))), F.lit(False))
 
 
-def is_relevant(url: Column) -> Column:
+@dataclass(frozen=True)
+class Skips:
+    """Ends and parts of addresses, in lower case, that the crawl leaves out."""
+
+    suffixes: tuple[str, ...] = tuple(SKIPPED_SUFFIXES)
+    parts: tuple[str, ...] = tuple(SKIPPED_PARTS)
+
+
+def is_relevant(url: Column, skips: Skips = Skips()) -> Column:
     """Neither a skipped suffix nor a skipped part."""
     low = F.lower(url)
     skipped = F.lit(False)
-    for suffix in SKIPPED_SUFFIXES:
+    for suffix in skips.suffixes:
         skipped = skipped | F.endswith(low, F.lit(suffix))
-    for part in SKIPPED_PARTS:
+    for part in skips.parts:
         skipped = skipped | F.contains(low, F.lit(part))
     return F.coalesce(~skipped, F.lit(False))
 

@@ -7,16 +7,21 @@ to", out of the join. Only the distinct titles of an institution are compared.""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import norm_title, similarity
 from millrace.functions.urls import canonical
-from millrace.operators.tables import materialize
+from millrace.operators.tables import components, materialize
 
 THRESHOLD = 0.88
 #: Characters of a gram.
 GRAM = 3
+#: Candidates of a chain that one task folds at a time.
+FOLD = 200_000
+#: The catalog's places (kind 0) come before those of all candidates.
+EARLIER = "existing.kind = 0 or existing.pos < pos"
 KINDS = ("url", "institution+code", "institution+title", "platform+code")
 
 
@@ -102,37 +107,74 @@ def ambiguous_matches(candidates: DataFrame, catalog: DataFrame, threshold: floa
     return c.join(best, ["block", "t"]).select("pos", "m.existing", "m.score")
 
 
-def classify(candidates: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD, max_rounds: int = 200) -> DataFrame:
+def classify(candidates: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pos, match (exact, ambiguous, none), by, existing_kind (catalog or candidate), existing (its pos), score.
 
-    A candidate is compared with the catalog and with the earlier candidates that were kept. Which are kept
-    is settled in rounds: whoever matches the catalog is not; of the rest, a candidate that is the first
-    undecided one under all its keys and similar titles is kept, and those that meet a kept earlier one go.
-    The first undecided candidate of all is settled in each round, most others long before."""
+    A candidate is compared with the catalog and with the earlier candidates that were kept. Whoever matches the
+    catalog is not kept. The rest is settled in rounds: a candidate that is the first undecided one under all its keys and
+    similar titles is kept, and those that meet a kept earlier one go. Most are settled at once; what is left are
+    chains, each waiting for the one before. When a round settles less than half, the chains are folded in order instead,
+    each connected group in one task, FOLD candidates at a time: a prefix of a group depends on nothing behind it."""
     named = materialize(candidates)
-    order = catalog.select((F.col("pos") - (1 << 40)).alias("pos"), "institution", "title", "course_code", "platform", "url_official")
     base = named.select("pos", "institution", "title", "course_code", "platform", "url_official")
+    order = catalog.select("pos", "institution", "title", "course_code", "platform", "url_official")
     seen = exact_matches(base, order).select("pos").unionByName(ambiguous_matches(base, order, threshold).select("pos")).distinct()
     open_ = materialize(base.join(seen, "pos", "left_anti"))
-    keys = materialize(_blocks(open_, threshold))
-    kept = None
-    undecided = open_.select("pos")
-    for _ in range(max_rounds):
+    kept = materialize(first_come(_blocks(open_, threshold), open_.select("pos")))
+    # places are of the catalog, which comes first, or of the candidates
+    placed = lambda df, kind: df.withColumn("pos", F.struct(F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos")))
+    known = materialize(placed(order, 0).unionByName(placed(base.join(kept, "pos", "left_semi"), 1)))
+    return _final(base, known, kept, threshold)
+
+
+def first_come(keys: DataFrame, members: DataFrame, fold: int = FOLD) -> DataFrame:
+    """pos of the members (pos) that are kept, in the order of pos: one is, unless it is in a block of keys (pos, block,
+    leads) that a kept earlier one leads."""
+    keys, undecided = materialize(keys), members.select("pos")
+    kept, before, chained = None, None, False
+    while True:
         live = keys.join(undecided, "pos")
-        least = live.where("leads").groupBy("block").agg(F.min("pos").alias("first"))
-        waits = live.join(least, "block").where("pos > first").select("pos").distinct()
-        now = materialize(undecided.join(waits, "pos", "left_anti"))
+        if not chained:
+            least = live.where("leads").groupBy("block").agg(F.min("pos").alias("first"))
+            waits = live.join(least, "block").where("pos > first").select("pos").distinct()
+            now = materialize(undecided.join(waits, "pos", "left_anti"))
+            hit = keys.where("leads").join(now, "pos").groupBy("block").agg(F.min("pos").alias("first"))
+            gone = live.join(hit, "block").where("pos > first").select("pos").distinct()
+        else:
+            settled = materialize(_folded(live, fold))
+            now = settled.where("kept").select("pos")
+            hit = keys.where("leads").join(now, "pos").groupBy("block").agg(F.min("pos").alias("first"))
+            gone = live.join(hit, "block").where("pos > first").select("pos").unionByName(settled.where("not kept").select("pos")).distinct()
         kept = now if kept is None else kept.unionByName(now)
-        hit = keys.where("leads").join(now, "pos").groupBy("block").agg(F.min("pos").alias("first"))
-        gone = live.join(hit, "block").where("pos > first").select("pos").distinct()
         undecided = materialize(undecided.join(now, "pos", "left_anti").join(gone, "pos", "left_anti"))
-        if undecided.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"classification did not settle in {max_rounds} rounds")
-    kept = materialize(kept)
-    known = materialize(order.unionByName(base.join(kept, "pos", "left_semi")))
-    return _final(base, known, kept, threshold)
+        left = undecided.count()
+        if not left:
+            return kept
+        chained = chained or (before is not None and 2 * left > before)
+        before = left
+
+
+def _folded(live: DataFrame, most: int) -> DataFrame:
+    """pos and kept of the first members, most of them, of each group of undecided ones that blocks connect."""
+    live = materialize(live.withColumn("node", F.xxhash64("block")))  # equal hashes make a group larger, nothing else
+    # nodes: members are even numbers, blocks odd ones
+    member, block = F.shiftleft("pos", 1), F.col("node").bitwiseOR(F.lit(1))
+    grouped = components(live.select(member.alias("a"), block.alias("b")))
+    of = grouped.where("node % 2 = 0").select(F.shiftright("node", 1).alias("pos"), F.col("component").alias("group"))
+    turn = F.row_number().over(Window.partitionBy("group").orderBy("pos"))
+    first = of.withColumn("turn", turn).where(F.col("turn") <= most).select("pos", "group")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        led: set[str] = set()
+        out = []
+        for pos, own in rows.sort_values("pos").groupby("pos", sort=False):
+            kept = led.isdisjoint(own["block"])
+            if kept:
+                led.update(own["block"][own["leads"]])
+            out.append((pos, kept))
+        return pd.DataFrame(out, columns=["pos", "kept"])
+
+    return live.select("pos", "block", "leads").join(first, "pos").groupBy("group").applyInPandas(fold, "pos long, kept boolean")
 
 
 def _blocks(open_: DataFrame, threshold: float) -> DataFrame:
@@ -160,12 +202,13 @@ def _final(base: DataFrame, known: DataFrame, kept: DataFrame, threshold: float)
     similar = ambiguous_matches_before(others, known, threshold)
     joined = others.select("pos").join(exact, "pos", "left").join(similar, "pos", "left")
     found = F.coalesce("existing", "existing2")
-    rest = joined.select(
+    kind = F.col("found.kind")
+    rest = joined.withColumn("found", found).select(
         "pos",
         F.when(F.col("existing").isNotNull(), "exact").otherwise("ambiguous").alias("match"),
         F.coalesce("by", F.lit("similitud de título")).alias("by"),
-        F.when(found < 0, "catalog").otherwise("candidate").alias("existing_kind"),
-        F.when(found < 0, found + (1 << 40)).otherwise(found).alias("existing"),
+        F.when(kind == 0, "catalog").otherwise("candidate").alias("existing_kind"),
+        F.col("found.pos").alias("existing"),
         F.when(F.col("existing").isNull(), F.col("score")).alias("score"),
     )
     none = kept.select("pos", F.lit("none").alias("match"), *[F.lit(None).cast(k).alias(n) for n, k in (("by", "string"), ("existing_kind", "string"), ("existing", "long"), ("score", "double"))])
@@ -181,11 +224,11 @@ def _first_before(others: DataFrame, known: DataFrame) -> DataFrame:
 
 def exact_all(others: DataFrame, known: DataFrame) -> DataFrame:
     first = keyed(known).groupBy("kind", "value").agg(F.min("pos").alias("existing"))
-    return keyed(others).join(first, ["kind", "value"]).where("existing < pos")
+    return keyed(others).join(first, ["kind", "value"]).where(EARLIER)
 
 
 def ambiguous_matches_before(others: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    found = ambiguous_matches(others, known, threshold).where("existing < pos")
+    found = ambiguous_matches(others, known, threshold).where(EARLIER)
     return found.withColumnRenamed("existing", "existing2")
 
 

@@ -9,6 +9,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions.dates import needs_reverify
-from millrace.functions.stemming import stem
+from millrace.functions.stemming import remembered_stem, stem
 from millrace.functions.text import strip_accents
 from millrace.operators.ranking import named_order, with_ranks
 from millrace.schema import ENUMS, FACETS
@@ -101,38 +102,47 @@ def query_phrases(search: str) -> list[list[str]]:
 
 @F.arrow_udf(StringType())
 def _stems(words: pa.Array) -> pa.Array:
-    return pa.array([stem(w) for w in words.to_pylist()], pa.string())
+    distinct = words.dictionary_encode()
+    return pa.array([remembered_stem(w) for w in distinct.dictionary.to_pylist()], pa.string()).take(distinct.indices)
 
 
 def postings(docs: DataFrame, key: str, fields: tuple[str, ...] = TEXT_FIELDS, stemmed: bool = True) -> DataFrame:
-    """key, field, pos, stem of each word of docs; only distinct words are stemmed."""
+    """key, field, pos, stem of each word of docs; each word is stemmed where it is, a task's distinct words once."""
     kinds = dict(docs.dtypes)
     text = lambda f: F.concat_ws(" ", f) if kinds[f].startswith("array") else F.col(f)
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(text(f)).alias("words")) for f in fields]))
     flat = docs.select(key, named.alias("f")).select(key, "f.field", F.posexplode("f.words").alias("pos", "word"))
-    if not stemmed:
-        return flat.withColumnRenamed("word", "stem")
-    vocabulary = flat.select("word").distinct().withColumn("stem", _stems("word"))
-    return flat.join(vocabulary, "word").select(key, "field", "pos", "stem")
+    return flat.select(key, "field", "pos", _stems("word").alias("stem") if stemmed else F.col("word").alias("stem"))
 
 
-def full_text(index: DataFrame, key: str, phrases: list[list[str]]) -> DataFrame:
+class Lookup(Protocol):
+    """An index that reads only what a word needs, such as sources.postings.Index."""
+
+    def word(self, word: str, prefix: bool) -> DataFrame: ...
+
+
+def full_text(index: DataFrame | Lookup, key: str, phrases: list[list[str]]) -> DataFrame:
     """The keys in which every phrase matches."""
     hits = []
+
+    def word_of(word: str, prefix: bool) -> DataFrame:
+        if not isinstance(index, DataFrame):
+            return index.word(word, prefix)
+        return index.where(F.startswith("stem", F.lit(word)) if prefix else F.col("stem") == word)
+
     for i, words in enumerate(phrases):
         if not words:
-            return index.select(key).limit(0)
+            return word_of("", False).select(key).limit(0)
         at = None
         for k, word in enumerate(words):
-            fits = F.startswith("stem", F.lit(word)) if k == len(words) - 1 else F.col("stem") == word
-            here = index.where(fits).select(key, "field", (F.col("pos") - k).alias("pos"))
+            here = word_of(word, k == len(words) - 1).select(key, "field", (F.col("pos") - k).alias("pos"))
             at = here if at is None else at.join(here, [key, "field", "pos"], "left_semi")
         hits.append(at.select(key, F.lit(i).alias("phrase")))
     every = reduce(DataFrame.unionByName, hits).distinct()
     return every.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(phrases)).select(key)
 
 
-def matching(catalog: DataFrame, request: Request, index: DataFrame | None = None, key: str = "id") -> DataFrame:
+def matching(catalog: DataFrame, request: Request, index: DataFrame | Lookup | None = None, key: str = "id") -> DataFrame:
     """Records that the request asks for, with ranks, not yet sorted or limited."""
     found = catalog.where(predicate(request))
     search = checked_text(request.search, 200)
@@ -143,7 +153,7 @@ def matching(catalog: DataFrame, request: Request, index: DataFrame | None = Non
     return with_ranks(found)
 
 
-def query(catalog: DataFrame, request: Request, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def query(catalog: DataFrame, request: Request, index: DataFrame | Lookup | None = None) -> tuple[DataFrame, DataFrame]:
     """The first rows in the request's order, and the number of all matching (a row)."""
     found = matching(catalog, request, index)
     limit = checked_int(request.limit, 1, MAX_ROWS) or MAX_ROWS

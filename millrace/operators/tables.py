@@ -58,6 +58,47 @@ def next_version(spark: SparkSession, path: str) -> Iterator[str]:
             delete(spark, f"{path}/{name}")
 
 
+def fingerprint(df: DataFrame) -> str:
+    """What a table holds, in whatever order its rows are, as a short text: their number and the sum of their hashes."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)")).alias("h")).first()
+    return f"{row.n}:{row.h}"
+
+
+class Trail:
+    """Finished steps of a long job under a folder, so that it goes on behind them after it was broken off. A step is a
+    folder of tables and a mark that it is whole; of is what the job works on, and another of is an error."""
+
+    def __init__(self, spark: SparkSession, path: str, of: str):
+        self.spark, self.path = spark, path
+        if not self.has("job"):
+            with self.step("job") as folder:
+                spark.createDataFrame([(of,)], "of string").coalesce(1).write.parquet(f"{folder}/of")
+        elif (found := spark.read.parquet(f"{path}/job/of").first().of) != of:
+            raise ValueError(f"{path} is of another job: {found}, not {of}")
+
+    def has(self, step: str) -> bool:
+        return "_complete" in names_in(self.spark, f"{self.path}/{step}")
+
+    @contextmanager
+    def step(self, step: str) -> Iterator[str]:
+        """A folder for the tables of a step, which is whole when the block ends without an error."""
+        folder = f"{self.path}/{step}"
+        delete(self.spark, folder)
+        yield folder
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_complete")
+        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark).close()
+
+    def read(self, step: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{step}/{name}")
+
+    def table(self, step: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The only table of a step, made if the step is not there yet."""
+        if not self.has(step):
+            with self.step(step) as folder:
+                make().write.parquet(f"{folder}/rows")
+        return self.read(step, "rows")
+
+
 #: The tables written since the innermost scratch() began.
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 

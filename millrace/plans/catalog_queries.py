@@ -16,8 +16,9 @@ from millrace.functions import classify, dates, html, robots, text, urls
 from millrace.operators import crawl, labels, lifecycle, links, memory, ranking, resolve, search, validation
 from millrace.operators.tables import materialize, shared_dir
 from millrace.schema import FACETS
-from millrace.sources import exports
+from millrace.sources import exports, postings
 from millrace.sources.catalog import read_state
+from millrace.streaming import keyed
 from millrace.streaming.state import track
 
 AS_OF = "2001-01-01"
@@ -438,6 +439,23 @@ def full_text_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.full_text(index, "doc_id", search.query_phrases("the-on thing* ther"))
 
 
+@_query(
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}\\p{Co}\\p{M}]+')) AS t FROM documents WHERE doc_id % 7 <> 0)
+    SELECT doc_id FROM w WHERE t LIKE 'ther%' OR t LIKE 'ing%' GROUP BY doc_id HAVING bool_or(t LIKE 'ther%') AND bool_or(t LIKE 'ing%')"""
+)
+def full_text_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of an earlier state of the documents, in which some had another text and some were not there yet, after an
+    update that brought these and one that removed others."""
+    docs, base = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/millrace-index-{uuid.uuid4().hex}"
+    kinds = {"key": "doc_id", "path": base, "fields": ("text",), "stemmed": False}
+    third = F.col("doc_id") % 3
+    none = docs.select("doc_id").limit(0)
+    postings.build(docs.where(third != 2).withColumn("text", F.when(third == 1, F.concat(F.lit("ther ing "), F.reverse("text"))).otherwise(F.col("text"))), **kinds)
+    postings.update(docs.where(third != 0), none, **kinds)
+    postings.update(docs.limit(0), docs.where("doc_id % 7 = 0").select("doc_id"), **kinds)
+    return postings.Index(spark, base, "doc_id").keys([["ther"], ["ing"]])
+
+
 @_query(f"WITH {RECORDS}, c AS (SELECT coalesce(domain, '(sin dato)') AS label, count(*) AS n FROM records GROUP BY 1) SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) AS INTEGER) AS position FROM c")
 def count_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.count_by(records(spark, sf_dir), "domain").withColumn("position", F.row_number().over(Window.orderBy(*search.count_order())))
@@ -530,6 +548,21 @@ def url_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_state(spark, f"{base}/state")
 
 
+@_query(f"WITH {STATE} SELECT * FROM named")
+def url_memory_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state kept as keyed state, of visits that come out of order within days, and some of them twice."""
+    base = f"{shared_dir(spark)}/millrace-keyed-{uuid.uuid4().hex}"
+    rows = visits(spark, sf_dir)
+    late = F.date_add(F.col("day").cast("date"), F.pmod(F.xxhash64("url", "seq"), F.lit(3)).cast("int"))
+    part = F.when(late < "2024-01-11", 0).when(late < "2024-01-21", 1).otherwise(2)
+    for k in range(3):
+        again = F.when(F.pmod(F.xxhash64("seq", "url"), F.lit(50)) == 0, part + 1).otherwise(part)
+        rows.where((part == k) | (again == k)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        keyed.track(stream, f"{base}/state", f"{base}/checkpoint", keep_days=5, availableNow=True).awaitTermination()
+    return keyed.current(spark, f"{base}/state")
+
+
 @_query(
     f"""WITH {STATE} SELECT url, CASE status WHEN 'retirado' THEN FALSE WHEN 'inestable' THEN TRUE
       ELSE coalesce(date_diff('day', CAST(last_seen AS DATE), DATE '2024-02-01') >= CASE WHEN is_course THEN 14 ELSE 2 END, TRUE) END AS due FROM named"""
@@ -557,13 +590,13 @@ def memory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     now = records(spark, sf_dir).select("id", "title", "verification_status", "last_verified", "pos")
     before = now.where("pos % 10 != 0").withColumn("title", F.when(F.col("pos") % 7 == 0, F.concat("title", F.lit(" old"))).otherwise(F.col("title")))
-    after = now.where("pos % 9 != 0").withColumn("last_verified", F.when(F.col("pos") % 4 != 0, F.col("last_verified")))
+    after = now.where("pos % 9 != 0 or pos % 10 = 0").withColumn("last_verified", F.when(F.col("pos") % 4 != 0, F.col("last_verified")))
     return before.drop("pos"), after.drop("pos")
 
 
 @_query(
     f"""WITH {RECORDS}, a AS (SELECT id, CASE WHEN pos % 7 = 0 THEN title || ' old' ELSE title END AS title, verification_status, last_verified FROM records WHERE pos % 10 <> 0),
-    b AS (SELECT id, title, verification_status, CASE WHEN pos % 4 <> 0 THEN last_verified END AS last_verified FROM records WHERE pos % 9 <> 0)
+    b AS (SELECT id, title, verification_status, CASE WHEN pos % 4 <> 0 THEN last_verified END AS last_verified FROM records WHERE pos % 9 <> 0 OR pos % 10 = 0)
     SELECT b.id, 'added' AS change, NULL::VARCHAR AS field, NULL::VARCHAR AS old, NULL::VARCHAR AS new FROM b ANTI JOIN a ON a.id = b.id UNION ALL SELECT a.id, 'removed', NULL, NULL, NULL FROM a ANTI JOIN b ON a.id = b.id
     UNION ALL SELECT a.id, 'changed', 'title', a.title, b.title FROM a JOIN b ON a.id = b.id WHERE a.title IS DISTINCT FROM b.title
     UNION ALL SELECT a.id, 'changed', 'last_verified', a.last_verified, b.last_verified FROM a JOIN b ON a.id = b.id WHERE a.last_verified IS DISTINCT FROM b.last_verified"""

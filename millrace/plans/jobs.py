@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import lifecycle, memory, resolve, validation
-from millrace.operators.crawl import Limits, crawl
-from millrace.operators.tables import materialize
+from millrace.operators.crawl import Limits, answered, crawl
+from millrace.operators.tables import Trail, fingerprint, materialize
 
 STEPS = ("update", "validate")
 log = logging.getLogger("millrace")
@@ -39,40 +39,51 @@ def verify(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     return candidates.join(found, "pos").withColumn("bucket", lifecycle.verification_bucket(F.col("match")))
 
 
-def update(sources: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], catalog: DataFrame, as_of: str, state: DataFrame | None = None, before_urls: DataFrame | None = None, limits: Limits = Limits()) -> Update:
+def update(sources: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], catalog: DataFrame, as_of: str, state: DataFrame | None = None, before_urls: DataFrame | None = None, limits: Limits = Limits(), work: str | None = None) -> Update:
     """Crawl, extract, verify, discover, mark what is gone, incorporate, diff. catalog has pos. pages is a table, or
     what fetches them (http.live_pages()). A page is read once: its body serves the crawl and the extraction. A
-    report of changes that fails leaves changes None, and the catalog as it is updated."""
-    if callable(pages):
+    report of changes that fails leaves changes None, and the catalog as it is updated.
+
+    work: a folder for what the stages and the levels of the crawl give. A run with the folder of one that broke off
+    goes on behind the last whole stage; the day, the sources, the catalog, the state and the limits must be the same."""
+    steps = None
+    if work:
+        given = [f"{n} {fingerprint(t)}" for n, t in (("sources", sources), ("catalog", catalog), ("state", state), ("urls", before_urls)) if t is not None]
+        steps = Trail(sources.sparkSession, work, f"update of {as_of}, {limits}, {', '.join(given)}")
+
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return steps.table(name, make) if steps else materialize(make())
+
+    if callable(pages) and not steps:
         live, fetched = pages, []
 
         def pages(urls: DataFrame) -> DataFrame:
             fetched.append(materialize(live(urls)))
             return fetched[-1]
 
-    visits, found = crawl(sources, pages, as_of, state, limits)
-    visits, found = materialize(visits), materialize(found)
-    folded = memory.fold(visits.select("url", F.lit(as_of).alias("day"), F.lit(1).alias("seq"), "ok", F.col("source_id").alias("source"), "is_course", "content_hash", "reason").dropDuplicates(["url"]), state)
-    folded = materialize(folded)
-    every = reduce(DataFrame.unionByName, fetched).dropDuplicates(["url"]) if callable(pages) else pages
+    visits, found = crawl(sources, pages, as_of, state, limits, f"{work}/crawl" if work else None)
+    visits, found = stage("visits", lambda: visits), stage("candidates", lambda: found)
+    seen = visits.select("url", F.lit(as_of).alias("day"), F.lit(1).alias("seq"), "ok", F.col("source_id").alias("source"), "is_course", "content_hash", "reason")
+    folded = stage("state", lambda: memory.fold(seen.dropDuplicates(["url"]), state))
+    every = (reduce(DataFrame.unionByName, fetched) if not steps else answered(sources.sparkSession, f"{work}/crawl")).dropDuplicates(["url"]) if callable(pages) else pages
     bodies = every.select(F.col("url").alias("raw"), "ok", "body", "reason")
-    fetched = found.withColumnRenamed("institution", "source_institution").join(visits.select("url", "source_id", "raw_url"), ["url", "source_id"], "left").join(bodies, F.coalesce("raw_url", "url") == F.col("raw"), "left")
-    extracted = materialize(lifecycle.extract(fetched, as_of))
-    ready = materialize(extracted.where("outcome = 'extracted'").withColumn("platform", F.lit(None).cast("string")).withColumn("pos", F.monotonically_increasing_id()))
-    verified = materialize(verify(ready, catalog))
+    taken = found.withColumnRenamed("institution", "source_institution").join(visits.select("url", "source_id", "raw_url"), ["url", "source_id"], "left").join(bodies, F.coalesce("raw_url", "url") == F.col("raw"), "left")
+    extracted = stage("extracted", lambda: lifecycle.extract(taken, as_of))
+    ready = stage("ready", lambda: extracted.where("outcome = 'extracted'").withColumn("platform", F.lit(None).cast("string")).withColumn("pos", F.monotonically_increasing_id()))
+    verified = stage("verified", lambda: verify(ready, catalog))
     retired = memory.retired(folded).withColumn("pos", F.lit(0))
-    marked = materialize(lifecycle.apply_retired(catalog, retired, as_of))
+    marked = stage("marked", lambda: lifecycle.apply_retired(catalog, retired, as_of))
     accepted = lifecycle.pending_record(verified.where("bucket = 'accepted'"), as_of)
     names = [c for c in catalog.columns if c != "pos"]
-    after = materialize(lifecycle.incorporate(marked.select(*names), accepted.select(*names)))
+    after = stage("catalog", lambda: lifecycle.incorporate(marked.select(*names), accepted.select(*names)))
     try:
-        changes = materialize(lifecycle.diff(catalog, after))
+        changes = stage("changes", lambda: lifecycle.diff(catalog, after))
     except PySparkException as error:
         log.error("the report of changes failed, the catalog is updated: %s", error)
         changes = None
     now = found.select("url")
     discovered = lifecycle.discover(now, before_urls) if before_urls is not None else now.distinct().withColumn("change", F.lit("new"))
-    return Update(after, folded, verified, changes, materialize(discovered))
+    return Update(after, folded, verified, changes, stage("discovered", lambda: discovered))
 
 
 class _Relay(logging.Handler):
