@@ -26,11 +26,19 @@ LINES = (".jsonl", ".ndjson")
 SPLIT_BYTES = 32 << 20
 
 
+def _value(text: Column) -> Column:
+    """The one JSON value of a text; null if it is none, or if anything stands beside it, which the parser alone would
+    leave out without a word."""
+    listed = F.try_parse_json(F.concat(F.lit("["), F.regexp_replace(text, r"^\x{FEFF}", ""), F.lit("]")))
+    at = lambda i: F.try_variant_get(listed, f"$[{i}]", "variant")
+    return F.when(at(1).isNull(), at(0))
+
+
 def _parsed(spark: SparkSession, path: str, whole: bool) -> DataFrame:
     """v, the value of each line, or of the whole document; text that is no JSON, or too long for one value
     (a line beyond 128 MB), is an error, not an empty catalog. Blank text has no value."""
     text = spark.read.text(path, wholetext=whole).where(r"value rlike '[^\\x{FEFF}\\s]'")
-    v = F.try_parse_json("value")
+    v = _value(F.col("value"))
     why = F.lit(f"{path}: no JSON, or a value beyond 128 MB")
     return text.select(F.when(v.isNull(), F.raise_error(why).cast("variant")).otherwise(v).alias("v"))
 
@@ -46,7 +54,7 @@ def _records(spark: SparkSession, path: str, wrapper: str | None) -> DataFrame:
     if path.rstrip("/").endswith(LINES):
         return _parsed(spark, path, False).select(F.monotonically_increasing_id().alias("pos"), F.col("v").alias("record"))
     if (size := _size(spark, path)) > SPLIT_BYTES:
-        record = F.try_parse_json("value")
+        record = _value(F.col("value"))
         why = F.concat(F.lit(f"{path}: no JSON, record "), F.col("pos"))
         return arrays.records(spark, path, size, wrapper).select("pos", F.when(record.isNull(), F.raise_error(why).cast("variant")).otherwise(record).alias("record"))
     listed = F.try_variant_get("v", "$", "array<variant>")
