@@ -61,7 +61,9 @@ def update(changed: DataFrame, removed: DataFrame, key: str, path: str, fields:
     with next_version(spark, path) as folder:
         number = int(folder.rpartition("=")[2])
         gone = changed.select(key).unionByName(removed.select(key)).distinct().withColumn("at", F.lit(number).cast("long"))
-        spark.read.parquet(f"{old}/removed").unionByName(gone).groupBy(key).agg(F.max("at").alias("at")).write.parquet(f"{folder}/removed")
+        oldest = _files(spark, old).agg(F.coalesce(F.min("born"), F.lit(number))).first()[0]
+        before = spark.read.parquet(f"{old}/removed").where(F.col("at") > oldest)  # others concern no segment any more
+        before.unionByName(gone).groupBy(key).agg(F.max("at").alias("at")).write.parquet(f"{folder}/removed")
         new = _write_segment(postings(changed, key, fields, stemmed), key, path, number)
         files = materialize(_files(spark, old).unionByName(new))
         _merged(spark, folder, files, key, path, MOST).coalesce(1).write.parquet(f"{folder}/files")

@@ -115,7 +115,7 @@ def test_chains_are_folded(spark, most):
     rows += [(2000 + i, f"r{r.randint(0, 60)}", r.random() < 0.6) for i in range(120) for _ in range(3)]
     rows = list({(p, b): (p, b, leads) for p, b, leads in rows}.values())
     if most == 7:  # chains longer than what is folded at a time
-        rows = [x for x in rows if x[0] % 1000 < 25]
+        rows = [x for x in rows if x[0] % 1000 < 14]
     keys = spark.createDataFrame(rows, "pos long, block string, leads boolean")
     got = resolve.first_come(keys, keys.select("pos").distinct(), most)
     assert sorted(x.pos for x in got.collect()) == fold(rows)
