@@ -70,17 +70,18 @@ def crawl(sources: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame
             here = here.join(done.select("id", "key"), ["id", "key"], "left_anti")
         known = F.lit(False)
         if state is not None and level > 0:
-            here = here.join(state.select(F.col("url").alias("key"), "status", "is_course", "first_seen", "last_seen"), "key", "left")
+            here = materialize(here)
+            here = here.join(_among(state.select(F.col("url").alias("key"), "status", "is_course", "first_seen", "last_seen"), here.select("key")), "key", "left")
             known = ~should_revisit(as_of, limits.revisit_days)
         else:
             here = here.withColumns({"is_course": F.lit(None).cast("boolean"), "first_seen": F.lit(None).cast("string")})
         here = here.select("id", "key", "raw", "domains", "most", "order", F.col("is_course").alias("was_course"), "first_seen", known.alias("from_memory"))
-        here = _within_budget(here, done, limits.max_pages)
+        here = materialize(_within_budget(here, done, limits.max_pages))
+        wanted = here.where("not from_memory").select(F.col("raw").alias("url")).distinct()
         if callable(pages):
-            wanted = here.where("not from_memory").select(F.col("raw").alias("url")).distinct()
             answers = materialize(pages(wanted)) if steps is None else steps.table(f"answers={level}", lambda: pages(wanted))
         else:
-            answers = pages
+            answers = _among(pages, wanted)
         store = answers.select(F.col("url").alias("page_url"), *[c for c in answers.columns if c != "url"])
         fetched = here.join(store, here.raw == F.col("page_url"), "left")
         permitted = allows(F.col("rules"), path(F.col("raw"))) if "rules" in answers.columns else F.lit(True)
@@ -114,6 +115,12 @@ def _thin(visited: DataFrame) -> DataFrame:
     return visited.drop("links", "domains", "most")
 
 
+def _among(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of a table whose key is in keys, a column of that name. The planner doesn't know the size of what is
+    computed, such as bodies, and would send all of it to each task; what is found here is joined by sorting."""
+    return table.join(keys, keys.columns, "left_semi").hint("merge")
+
+
 def _further(visited: DataFrame, skips: Skips) -> DataFrame:
     """The frontier behind a level."""
     found = visited.select("id", "domains", "most", "order", F.posexplode("links").alias("at", "raw")).where(

@@ -264,3 +264,22 @@ def test_an_update_goes_on_behind_its_last_stage(spark, tmp_path, monkeypatch):
     assert sorted(r.title for r in done.catalog.collect()) == sorted(TITLES.values())
     with pytest.raises(ValueError, match="another job"):
         jobs.update(sources, live(spark, asked), empty, "2026-08-10", work=work)
+
+
+def test_pages_of_a_crawl_are_not_broadcast(spark, tmp_path):
+    """Computed bodies and states, which the planner takes for small, go to no task as a whole."""
+    spark.range(4000).write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    url = F.concat(F.lit("https://x.org/course/"), "id")
+    body = F.concat(F.lit('<a href="/course/'), F.col("id") + 1, F.lit('">n</a>'), F.repeat(F.sha2(F.col("id").cast("string"), 512), F.lit(60)))
+    pages = keys.select(url.alias("url"), F.lit(True).alias("ok"), body.alias("body"), F.lit(None).cast("string").alias("reason"), F.lit(False).alias("manual_review"))
+    state = keys.where("id = 2 or id > 9").select(url.alias("url"), F.lit("activo").alias("status"), F.lit(True).alias("is_course"), F.repeat(F.lit("2000-06-01"), F.lit(300)).alias("first_seen"), F.lit("2000-12-31").alias("last_seen"))
+    sources = spark.createDataFrame([("s", "x", ["x.org"], ["https://x.org/course/0"], 9, True, None)], SOURCES)
+    most = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "6m")
+    try:
+        visits, found = crawl.crawl(sources, pages, "2001-01-01", state)
+        assert sorted((r.url, r.depth, r.ok) for r in visits.collect()) == [("https://x.org/course/0", 0, True), ("https://x.org/course/1", 1, True)]
+        assert sorted((r.url, r.from_memory) for r in found.collect()) == [(f"https://x.org/course/{k}", k == 2) for k in range(3)]
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", most)
