@@ -154,7 +154,8 @@ def duplicate_issues(records: DataFrame) -> DataFrame:
 
 def validate(records: DataFrame, as_of: str, max_age: int = MAX_AGE_DAYS) -> DataFrame:
     """All issues of records (pos, and fields), in order of pos and rule."""
-    return record_issues(records, as_of, max_age).unionByName(duplicate_issues(records)).orderBy("pos", "rule")
+    # a sort looks for its ranges first: what is written is not worked out twice
+    return materialize(record_issues(records, as_of, max_age).unionByName(duplicate_issues(records))).orderBy("pos", "rule")
 
 
 def summary(issues: DataFrame) -> DataFrame:

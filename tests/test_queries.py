@@ -70,3 +70,9 @@ def test_jobs(spark):
 def test_rows_of_one_row_group_are_dealt(spark, name):
     """The tables are files of one row group, which alone would be one task's."""
     assert catalog_queries.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4
+
+
+def test_issues_are_sorted_as_written(spark):
+    """A sort reads its input twice, so that the rules are not worked out in it."""
+    df = catalog_queries.QUERIES["validate_untyped"](spark, SF)
+    assert "parse_json" not in df._jdf.queryExecution().toString()
