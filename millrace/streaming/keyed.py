@@ -61,7 +61,8 @@ def day_number(day: str | None) -> int | None:
 
 
 class Memory(StatefulProcessor):
-    """The state of one address: folded (the state up to some visit), open (visits since, by number), due (its timer)."""
+    """The state of one address: folded (the state up to some visit), open (visits since, by number), due (its timer). All
+    visits since are read and written as one: each call of the state store is a message to another process."""
 
     def __init__(self, keep_days: int, revisit_days: int):
         self.keep_days, self.revisit_days = keep_days, revisit_days
@@ -69,7 +70,7 @@ class Memory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.folded = handle.getValueState("folded", f"{STATE}, seq long")
-        self.open = handle.getMapState("open", "seq long", VISIT)
+        self.open = handle.getListState("held", f"seq long, {VISIT}")
         self.due = handle.getValueState("due", "ms long")
 
     def close(self) -> None:
@@ -82,42 +83,49 @@ class Memory(StatefulProcessor):
         url, names = key[0], VISIT.replace(" string", "").replace(" boolean", "").split(", ")
         known = self.folded.get()
         state = dict(zip([*FIELDS, "seq"], known)) if known else None
-        new = False
+        new = {}
         for row in rows:
             if row.seq is None or state and row.seq <= state["seq"]:
                 yield self._row("late", {"url": url, "last_seen": row.day, "seq": row.seq})
             else:
-                self.open.updateValue((row.seq,), tuple(row[n] for n in names))
-                new = True
+                new[row.seq] = {n: row[n] for n in names}
         if not new:
             return
-        held = sorted((k[0], dict(zip(names, v))) for k, v in self.open.iterator())
+        before = {v[0]: dict(zip(names, v[1:])) for v in self.open.get()}
+        held = sorted((before | new).items())
         newest = max((d for _, v in held if (d := day_number(v["day"])) is not None), default=None)
-        settled, now = True, state
+        settled, now, left = True, state, []
         for seq, visit in held:
             day = day_number(visit["day"])
             settled = settled and newest is not None and day is not None and day < newest - self.keep_days
             now = visited(now, url, seq, visit)
             if settled:
-                self.open.removeKey((seq,))
                 state = now
+            else:
+                left.append((seq, *visit.values()))
+        self.open.put(left)  # the newest visit is never settled
         if state is not None and state["seq"] != (known and known[-1]):
             self.folded.update(tuple(state[n] for n in [*FIELDS, "seq"]))
         self._set_timer(now)
         yield self._row("state", now)
 
     def _set_timer(self, state: dict) -> None:
-        """Retired addresses have none; unstable ones are due at once, others when their age is that of a revisit."""
-        if before := self.due.get():
-            self.handle.deleteTimer(before[0])
+        """Retired addresses have none; unstable ones are due at once, others when their age is that of a revisit. A timer
+        that stays is left alone."""
+        before = self.due.get()
         days = self.revisit_days if state["is_course"] else max(1, int(self.revisit_days / 7 + 0.5))
         stable = state["status"] == "activo"
         seen = day_number(state["last_seen"] if stable else state["last_missing"])
         if state["status"] == "retirado" or seen is None:
             if before:
+                self.handle.deleteTimer(before[0])
                 self.due.clear()
             return
         at = (seen - datetime.date(1970, 1, 1).toordinal() + (days if stable else 0)) * DAY_MS
+        if before and before[0] == at:
+            return
+        if before:
+            self.handle.deleteTimer(before[0])
         self.due.update((at,))
         self.handle.registerTimer(at)
 

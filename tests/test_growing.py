@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.functions.stemming import kept_of, stem
@@ -11,6 +12,7 @@ from millrace.plans import jobs
 from millrace.schema import CATALOG
 from millrace.sources import catalog as store
 from millrace.sources import http, postings
+from millrace.streaming import keyed
 
 WORDS = "learn learning learner machine machines the de data datum deep depth course zeta".split()
 SOURCES = "id string, institution string, domains array<string>, seed_urls array<string>, max_depth int, enabled boolean, adapter string"
@@ -307,3 +309,44 @@ def test_a_stem_begins_as_its_word():
         word = "".join(r.choices("aeiouybclstr", k=r.randint(1, 5))) + "".join(r.choices(ends, k=r.randint(0, 3)))
         for n in range(1, len(stem(word)) + 1):
             assert word.startswith(stem(word)[: kept_of(n)])
+
+
+class Counted:
+    """A state store's handle, of one address, that counts the calls of its states."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def _state(self, empty):
+        def call(f):
+            self.calls += 1
+            return f()
+
+        held = {"v": empty}
+        put = lambda v: held.update(v=v)
+        return type("State", (), {"get": lambda _: call(lambda: iter(held["v"]) if isinstance(held["v"], list) else held["v"]), "put": lambda _, v: call(lambda: put(v)), "update": lambda _, v: call(lambda: put(v)), "clear": lambda _: call(lambda: put(empty))})()
+
+    def getValueState(self, *_):
+        return self._state(None)
+
+    def getListState(self, *_):
+        return self._state([])
+
+    def registerTimer(self, _):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+
+def test_visits_of_an_address_do_not_call_the_state_store_each():
+    def calls(n):
+        handle, memory = Counted(), keyed.Memory(5, 14)
+        memory.init(handle)
+        out = []
+        for part in (range(0, n, 2), range(1, n, 2)):
+            rows = [Row(seq=k, day=f"2024-01-{1 + k * 28 // n:02d}", ok=True, source="s", is_course=False, content_hash="h", reason=None) for k in part]
+            out = list(memory.handleInputRows(("u",), iter(rows), None))
+        assert out[-1].kind == "state" and out[-1].seq == n - 1
+        return handle.calls
+
+    assert calls(400) <= 16 and calls(40) <= 16
