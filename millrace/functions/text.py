@@ -77,7 +77,9 @@ ACCENTED, PLAIN = _accented()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[\u0300-\u036f]", "")
+    """ASCII text is left as it is, which is far cheaper than to look its characters up."""
+    ascii_ = F.octet_length(c) == F.length(c)
+    return F.when(ascii_, c).otherwise(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[\u0300-\u036f]", ""))
 
 
 def slug(c: Column, most: int = 80) -> Column:
@@ -88,7 +90,7 @@ def slug(c: Column, most: int = 80) -> Column:
 
 def norm_title(c: Column) -> Column:
     """A title for comparison: no accents, lower case, only a-z, 0-9 and single spaces."""
-    words = F.regexp_replace(F.lower(strip_accents(clean(c))), "[^a-z0-9]+", " ")
+    words = F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", " ")
     return blank_to_null(F.trim(words))
 
 

@@ -7,6 +7,8 @@ to", out of the join. Only the distinct titles of an institution are compared.""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from millrace.operators.tables import components, materialize
 THRESHOLD = 0.88
 #: Characters of a gram.
 GRAM = 3
+#: The columns of a title's shape.
+SHAPE = ("low", "high")
 #: Candidates of a chain that one task folds at a time.
 FOLD = 200_000
 #: The catalog's places (kind 0) come before those of all candidates.
@@ -26,12 +30,12 @@ KINDS = ("url", "institution+code", "institution+title", "platform+code")
 
 
 def identity_keys(df: DataFrame) -> Column:
-    """array<struct<rank, kind, value>> of the keys a record has, strongest first."""
-    institution = norm_title(F.col("institution"))
-    n = lambda name: F.coalesce(norm_title(F.col(name)), F.lit("null"))
-    given = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
+    """array<struct<rank, kind, value>> of the keys a record has, strongest first. df: a record's normalised parts, as of
+    keyed()."""
+    institution, given = F.col("institution"), lambda name: F.col(f"has_{name}")
+    n = lambda name: F.coalesce(name, F.lit("null"))
     values = (
-        canonical(F.col("url_official")),
+        F.col("url"),
         F.when(institution.isNotNull() & given("course_code"), F.concat_ws("|", institution, n("course_code"))),
         F.when(institution.isNotNull() & given("title"), F.concat_ws("|", institution, n("title"))),
         F.when(given("platform") & given("course_code"), F.concat_ws("|", n("platform"), n("course_code"))),
@@ -41,14 +45,29 @@ def identity_keys(df: DataFrame) -> Column:
 
 
 def keyed(df: DataFrame, pos: str = "pos") -> DataFrame:
-    return df.select(pos, F.inline(identity_keys(df)))
+    """The keys of records, one a row; each part of a record is normalised once."""
+    parts = ("institution", "title", "course_code", "platform")
+    given = [(F.coalesce(F.col(x), F.lit("")) != "").alias(f"has_{x}") for x in parts]
+    plain = df.select(pos, canonical(F.col("url_official")).alias("url"), *[norm_title(F.col(x)).alias(x) for x in parts], *given)
+    return plain.select(pos, F.inline(identity_keys(plain)))
 
 
 def exact_matches(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """pos, existing (the catalog's pos), by: each candidate's match by its strongest matching key, first in
     catalog order. Both have pos; the first record of a key is found before the join."""
-    first = keyed(catalog).groupBy("kind", "value").agg(F.min("pos").alias("existing"))
-    hits = keyed(candidates).join(first, ["kind", "value"])
+    return _best(_hits(candidates, _firsts(catalog)))
+
+
+def _firsts(catalog: DataFrame) -> DataFrame:
+    """kind, value, existing: the first record of each key."""
+    return keyed(catalog).groupBy("kind", "value").agg(F.min("pos").alias("existing"))
+
+
+def _hits(candidates: DataFrame, firsts: DataFrame) -> DataFrame:
+    return keyed(candidates).join(firsts, ["kind", "value"])
+
+
+def _best(hits: DataFrame) -> DataFrame:
     best = hits.groupBy("pos").agg(F.min(F.struct("rank", "existing", "kind")).alias("b"))
     return best.select("pos", "b.existing", F.col("b.kind").alias("by"))
 
@@ -71,26 +90,54 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = THRESHO
     """block, a, b, score of distinct titles of left (block, t) and right (block, t) of one block whose
     similarity is at least threshold. t: normalised titles, neither null nor empty."""
     sides = left.select("block", "t", F.lit(0).alias("side")).unionByName(right.select("block", "t", F.lit(1).alias("side"))).distinct()
+    sides = sides.join(left.select("block").distinct(), "block", "left_semi")
     titles = materialize(sides.groupBy("block", "t").agg(F.max(F.col("side") == 0).alias("is_left"), F.max(F.col("side") == 1).alias("is_right")))
     grams = materialize(_grams(titles))
     # normalised titles are of 37 characters, so there are at most 38 ** 3 grams
     frequency = grams.where("nth = 1").groupBy("gram").agg(F.count("*").alias("titles"))
     order = F.struct("titles", "gram", "nth")
-    ranked = grams.join(F.broadcast(frequency), "gram").groupBy("block", "t").agg(F.collect_list(order).alias("grams"))
+    ranked = grams.join(F.broadcast(frequency), "gram").groupBy("block", "t").agg(F.collect_list(order).alias("grams"), *_shape(F.col("gram")))
     # the partner may be longer, and the more edits be allowed
     most = _edits(F.floor(F.length("t") / threshold + 1e-9), threshold)
     rarest = F.slice(F.sort_array("grams"), F.lit(1), GRAM * most + 1)
-    keys = materialize(ranked.join(titles, ["block", "t"]).select("block", "t", "is_left", "is_right", F.inline(rarest)).drop("titles"))
-    a = keys.where("is_left").select("block", "gram", "nth", F.col("t").alias("a"))
-    b = keys.where("is_right").select("block", "gram", "nth", F.col("t").alias("b"))
+    shape = F.struct(F.length("t").alias("n"), *SHAPE)
+    kept = ranked.join(titles, ["block", "t"]).withColumn("digits", _digits(F.col("t")))
+    keys = materialize(kept.select("block", "t", "is_left", "is_right", "digits", shape.alias("shape"), F.inline(rarest)).drop("titles"))
+    a = keys.where("is_left").select("block", "gram", "nth", F.col("shape").alias("x"), F.col("t").alias("a"), F.col("digits").alias("da"))
+    b = keys.where("is_right").select("block", "gram", "nth", F.col("shape").alias("y"), F.col("t").alias("b"), F.col("digits").alias("db"))
+    # under a gram, shapes are compared first, each once, and then titles of shapes that may be that near
+    at = ["block", "gram", "nth"]
+    shapes = a.select(*at, "x").distinct().join(b.select(*at, "y").distinct(), at).where(_may_be_near(F.col("x"), F.col("y"), threshold))
     longer = F.greatest(F.length("a"), F.length("b"))
-    edits = _edits(longer, threshold)
-    met = a.join(b, ["block", "gram", "nth"]).where(F.abs(F.length("a") - F.length("b")) <= edits).select("block", "a", "b").distinct()
-    # the distance stops where it is beyond the edits allowed, and is -1 then
-    near = met.withColumn("d", edits + 1).withColumn("e", F.expr("levenshtein(a, b, d)")).where("e >= 0")
+    fewer = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) <= F.col("d")
+    met = a.join(shapes, [*at, "x"]).join(b, [*at, "y"]).withColumn("d", _edits(longer, threshold)).where(fewer("da", "db") & fewer("db", "da"))
+    # the distance stops where it is beyond the edits allowed, and is -1 then; pairs are tested before they are made
+    # distinct, and written, so that the score is made of distances and not of titles
+    near = materialize(met.withColumn("e", F.expr("levenshtein(a, b, d)")).where("e >= 0").select("block", "a", "b", "e").distinct())
     return near.select("block", "a", "b", (1 - F.col("e") / longer).alias("score")).where(F.col("score") >= threshold)
 
 
+def _digits(t: Column) -> Column:
+    """How often each digit is in a title, six times at most, as that many bits: an edit takes one away, and adds one."""
+    often = lambda i: F.least(F.length(t) - F.length(F.replace(t, F.lit(str(i)), F.lit(""))), F.lit(6))
+    bits = [F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), often(i)) - 1, F.lit(6 * i)) for i in range(10)]
+    return reduce(Column.bitwiseOR, bits)
+
+
+def _shape(gram: Column) -> list[Column]:
+    """The grams without digits as two sets of bits: titles that differ in numbers alone are of one shape."""
+    bit = F.pmod(F.xxhash64(gram), F.lit(128)).cast("int")
+    own = lambda i: (bit >= 64 * i) & (bit < 64 * (i + 1)) & ~gram.rlike("[0-9]")
+    return [F.bit_or(F.when(own(i), F.call_function("shiftleft", F.lit(1).cast("long"), bit - 64 * i)).otherwise(F.lit(0).cast("long"))).alias(name) for i, name in enumerate(SHAPE)]
+
+
+def _may_be_near(x: Column, y: Column, threshold: float) -> Column:
+    """Whether titles of two shapes can be so few edits apart: an edit takes at most GRAM grams away, and adds as many."""
+    most = _edits(F.greatest(x.n, y.n), threshold)
+    beyond = lambda x, y: sum(F.bit_count(x[s].bitwiseAND(F.bitwise_not(y[s]))) for s in SHAPE)
+    return (F.abs(x.n - y.n) <= most) & (beyond(x, y) <= GRAM * most) & (beyond(y, x) <= GRAM * most)
+
+
 def ambiguous_matches(candidates: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """pos, existing, score: the first catalog record, in order, with a similar title in the candidate's
     institution; a candidate without institution is compared with all titles."""
@@ -117,14 +164,14 @@ def classify(candidates: DataFrame, catalog: DataFrame, threshold: float = THRES
     each connected group in one task, FOLD candidates at a time: a prefix of a group depends on nothing behind it."""
     named = materialize(candidates)
     base = named.select("pos", "institution", "title", "course_code", "platform", "url_official")
-    order = catalog.select("pos", "institution", "title", "course_code", "platform", "url_official")
-    seen = exact_matches(base, order).select("pos").unionByName(ambiguous_matches(base, order, threshold).select("pos")).distinct()
-    open_ = materialize(base.join(seen, "pos", "left_anti"))
+    order = materialize(catalog.select("pos", "institution", "title", "course_code", "platform", "url_official"))
+    firsts = materialize(_firsts(order))
+    unkeyed = materialize(base.join(_hits(base, firsts).select("pos").distinct(), "pos", "left_anti"))
+    # titles are compared where no key has decided, and with the catalog once
+    alike = materialize(ambiguous_matches(unkeyed, order, threshold))
+    open_ = materialize(unkeyed.join(alike, "pos", "left_anti"))
     kept = materialize(first_come(_blocks(open_, threshold), open_.select("pos")))
-    # places are of the catalog, which comes first, or of the candidates
-    placed = lambda df, kind: df.withColumn("pos", F.struct(F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos")))
-    known = materialize(placed(order, 0).unionByName(placed(base.join(kept, "pos", "left_semi"), 1)))
-    return _final(base, known, kept, threshold)
+    return _final(base, firsts, alike, kept, threshold)
 
 
 def first_come(keys: DataFrame, members: DataFrame, fold: int = FOLD) -> DataFrame:
@@ -195,11 +242,19 @@ def _blocks(open_: DataFrame, threshold: float) -> DataFrame:
     return both.groupBy("pos", "block").agg(F.max("leads").alias("leads"))
 
 
-def _final(base: DataFrame, known: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
-    """Each candidate's match among the known records; a kept candidate has none."""
-    others = base.join(kept, "pos", "left_anti")
-    exact = _first_before(others, known)
-    similar = ambiguous_matches_before(others, known, threshold)
+def _final(base: DataFrame, firsts: DataFrame, alike: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
+    """Each candidate's match in the catalog, by the first records of its keys and by title (alike), or among those kept; a
+    kept candidate has none."""
+    # places are of the catalog, which comes first, or of the candidates
+    place = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), pos.cast("long").alias("pos"))
+    chosen = materialize(base.join(kept, "pos", "left_semi").withColumn("pos", place(1, F.col("pos"))))
+    others = materialize(base.join(kept, "pos", "left_anti"))
+    known = firsts.withColumn("existing", place(0, F.col("existing"))).unionByName(_firsts(chosen))
+    exact = materialize(_best(_hits(others, known.groupBy("kind", "value").agg(F.min("existing").alias("existing"))).where(EARLIER)))
+    titled = others.join(exact, "pos", "left_anti").join(alike, "pos", "left_anti")
+    similar = alike.select("pos", place(0, F.col("existing")).alias("existing2"), "score").unionByName(
+        ambiguous_matches(titled, chosen, threshold).where(EARLIER).withColumnRenamed("existing", "existing2")
+    )
     joined = others.select("pos").join(exact, "pos", "left").join(similar, "pos", "left")
     found = F.coalesce("existing", "existing2")
     kind = F.col("found.kind")
@@ -215,21 +270,4 @@ def _final(base: DataFrame, known: DataFrame, kept: DataFrame, threshold: float)
     return rest.unionByName(none)
 
 
-def _first_before(others: DataFrame, known: DataFrame) -> DataFrame:
-    """As exact_matches, among the known records before a candidate. The first record of a key is before it or
-    none is, as kept candidates have keys of their own."""
-    found = exact_all(others, known)
-    return found.groupBy("pos").agg(F.min(F.struct("rank", "existing", "kind")).alias("b")).select("pos", "b.existing", F.col("b.kind").alias("by"))
-
-
-def exact_all(others: DataFrame, known: DataFrame) -> DataFrame:
-    first = keyed(known).groupBy("kind", "value").agg(F.min("pos").alias("existing"))
-    return keyed(others).join(first, ["kind", "value"]).where(EARLIER)
-
-
-def ambiguous_matches_before(others: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    found = ambiguous_matches(others, known, threshold).where(EARLIER)
-    return found.withColumnRenamed("existing", "existing2")
-
-
 __all__ = ["ambiguous_matches", "classify", "exact_matches", "identity_keys", "similar_titles", "similarity"]

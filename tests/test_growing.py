@@ -350,3 +350,20 @@ def test_visits_of_an_address_do_not_call_the_state_store_each():
         return handle.calls
 
     assert calls(400) <= 16 and calls(40) <= 16
+
+
+def test_titles_are_compared_where_no_key_decides(spark, monkeypatch):
+    """Similar titles equal brute force; titles go to the comparison only where no key has decided."""
+    names = [(f"supplier {i * 37:09d}", f"customer {i * 41:09d}") for i in range(60)] + [("abc", "abd"), ("x1", "x2"), ("aaaaaaaaaa", "aaaaaaaaab")]
+    own = [a for a, _ in names]
+    other = [b for _, b in names] + [a[:-1] + "7" for a in own]
+    frame = lambda ts: spark.createDataFrame([("=", t) for t in ts], "block string, t string")
+    got = {(x.a, x.b) for x in resolve.similar_titles(frame(own), frame(other)).collect()}
+    assert got == {(a, b) for a in own for b in other if edits(a, b) <= int(max(len(a), len(b)) * 0.12 + 1e-9)} and len(got) > 60
+    asked, whole = [], resolve.ambiguous_matches
+    monkeypatch.setattr(resolve, "ambiguous_matches", lambda c, *rest: asked.append({x.pos for x in c.collect()}) or whole(c, *rest))
+    kind = "pos long, title string, institution string, course_code string, platform string, url_official string"
+    catalog = spark.createDataFrame([(1, "one", "I", "K1", None, None)], kind)
+    candidates = spark.createDataFrame([(1, "one more", "I", "K1", None, None), (2, "two", "I", "K2", None, None), (3, "three", "I", "K2", None, None)], kind)
+    assert {x.pos: x.match for x in resolve.classify(candidates, catalog).collect()} == {1: "exact", 2: "none", 3: "exact"}
+    assert asked == [{2, 3}, set()]
