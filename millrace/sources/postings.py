@@ -31,11 +31,19 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(FILES).parquet(f"{folder}/files")
 
 
-def _write_segment(flat: DataFrame, key: str, path: str, born: int) -> DataFrame:
+def _dealt(flat: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """Postings in ranges of stem and key, sorted by stem. Where there is one field, its name is left behind and put back."""
+    rows = flat.drop("field") if len(fields) == 1 else flat
+    rows = rows.repartitionByRange("stem", key).sortWithinPartitions("stem")
+    field = F.lit(fields[0]).alias("field") if len(fields) == 1 else F.col("field")
+    return rows.select(key, field, "pos", "stem")
+
+
+def _write_segment(flat: DataFrame, key: str, path: str, born: int, fields: tuple[str, ...]) -> DataFrame:
     """Writes postings as a segment; its FILES rows."""
     name = uuid.uuid4().hex
     folder = f"{path}/segments/{name}"
-    flat.repartitionByRange("stem", key).sortWithinPartitions("stem", key, "field", "pos").write.parquet(folder)
+    _dealt(flat, key, fields).write.parquet(folder)
     rows = flat.sparkSession.read.schema(flat.schema).parquet(folder)
     ends = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("stem").alias("first"), F.max("stem").alias("last"), F.count("*").alias("n"))
     return ends.select(F.lit(name).alias("segment"), F.lit(born).cast("long").alias("born"), F.concat(F.lit(f"{folder}/"), "file").alias("file"), "first", "last", "n")
@@ -46,7 +54,7 @@ def build(docs: DataFrame, key: str, path: str, fields: tuple[str, ...] = TEXT_F
     spark = docs.sparkSession
     with next_version(spark, path) as folder:
         number = int(folder.rpartition("=")[2])
-        _write_segment(postings(docs, key, fields, stemmed), key, path, number).write.parquet(f"{folder}/files")
+        _write_segment(postings(docs, key, fields, stemmed), key, path, number, fields).write.parquet(f"{folder}/files")
         docs.select(key).limit(0).withColumn("at", F.lit(number).cast("long")).write.parquet(f"{folder}/removed")
     _sweep(spark, path)
     return number
@@ -64,9 +72,9 @@ def update(changed: DataFrame, removed: DataFrame, key: str, path: str, fields:
         oldest = _files(spark, old).agg(F.coalesce(F.min("born"), F.lit(number))).first()[0]
         before = spark.read.parquet(f"{old}/removed").where(F.col("at") > oldest)  # others concern no segment any more
         before.unionByName(gone).groupBy(key).agg(F.max("at").alias("at")).write.parquet(f"{folder}/removed")
-        new = _write_segment(postings(changed, key, fields, stemmed), key, path, number)
+        new = _write_segment(postings(changed, key, fields, stemmed), key, path, number, fields)
         files = materialize(_files(spark, old).unionByName(new))
-        _merged(spark, folder, files, key, path, MOST).coalesce(1).write.parquet(f"{folder}/files")
+        _merged(spark, folder, files, key, path, MOST, fields).coalesce(1).write.parquet(f"{folder}/files")
     _sweep(spark, path)
     return number
 
@@ -85,7 +93,7 @@ def _live(spark: SparkSession, folder: str, files: list[tuple[str, int]], key: s
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _merged(spark: SparkSession, folder: str, files: DataFrame, key: str, path: str, most: int) -> DataFrame:
+def _merged(spark: SparkSession, folder: str, files: DataFrame, key: str, path: str, most: int, fields: tuple[str, ...]) -> DataFrame:
     """FILES rows of the segments, the smaller ones merged so that half of most are left if there are more."""
     sizes = files.groupBy("segment").agg(F.sum("n").alias("n"), F.max("born").alias("born")).orderBy(F.desc("n"), "segment").collect()
     if len(sizes) <= most:
@@ -94,7 +102,7 @@ def _merged(spark: SparkSession, folder: str, files: DataFrame, key: str, path:
     among = F.col("segment").isin([r.segment for r in small])
     parts = [(r.file, r.born) for r in files.where(among).select("file", "born").collect()]
     # what was removed up to the youngest of them is left out, and what is removed later is younger
-    new = _write_segment(_live(spark, folder, parts, key), key, path, max(r.born for r in small))
+    new = _write_segment(_live(spark, folder, parts, key), key, path, max(r.born for r in small), fields)
     return files.where(~among).unionByName(new)
 
 

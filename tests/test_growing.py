@@ -367,3 +367,14 @@ def test_titles_are_compared_where_no_key_decides(spark, monkeypatch):
     candidates = spark.createDataFrame([(1, "one more", "I", "K1", None, None), (2, "two", "I", "K2", None, None), (3, "three", "I", "K2", None, None)], kind)
     assert {x.pos: x.match for x in resolve.classify(candidates, catalog).collect()} == {1: "exact", 2: "none", 3: "exact"}
     assert asked == [{2, 3}, set()]
+
+
+@pytest.mark.parametrize("fields", [("text",), ("text", "title")])
+def test_postings_are_dealt_without_the_name_of_an_only_field(spark, fields):
+    """What is shuffled and sorted is key, place and stem; the postings are the same."""
+    rows = spark.createDataFrame([(i, f, p, w) for i in range(20) for f in fields for p, w in enumerate(WORDS)], "id long, field string, pos int, stem string")
+    dealt = postings._dealt(rows, "id", fields)
+    assert dealt.columns == rows.columns and sorted(dealt.collect()) == sorted(rows.collect())
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    sort = next(x for x in plan.splitlines() if "Sort" in x)
+    assert sort.count("ASC") == 1 and ("text AS field" in plan.partition("Sort")[0]) == (len(fields) == 1)
