@@ -108,10 +108,10 @@ def near(pairs: DataFrame, fps: DataFrame, max_bits: int) -> DataFrame:
 def links(fps: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): edges between fingerprints (id and longs, each different) that connect what all fetched pairs at most
     max_bits apart connect."""
-    # those that share a value are compared with its first
+    # those that share a value are compared with its first; what is exploded is sized as before, hence the hints
     table = fps.select("id", F.explode(segment_keys()).alias("key"))
     sizes = table.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    crowded = materialize(table.join(sizes, "key").where("id != first").select("key", "id", "first"))
+    crowded = materialize(table.join(sizes.hint("shuffle_hash"), "key").where("id != first").select("key", "id", "first"))
     shared = near(crowded.select(F.col("id").alias("a"), F.col("first").alias("b")), fps, max_bits)
     # all are compared with the first of each value that they fetch, unless they are connected already
     known = materialize(_named(fps, components(shared), "id", "mine"))

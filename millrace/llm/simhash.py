@@ -87,13 +87,14 @@ def links(fps: DataFrame, max_bits: int = 2, most: int = MOST) -> DataFrame:
     apart connect."""
     if not 0 <= max_bits <= REACH:
         raise ValueError(f"max_bits must be 0 to {REACH}: the tables do not reach further")
+    # Spark sizes what is exploded as the fingerprints it came from: the hints keep all that is below from being broadcast
     table = fps.select("fp", F.explode(segments(F.col("fp"))).alias("key"))
     sizes = table.groupBy("key").agg(F.count("*").alias("n"))
     # of a crowded value only that it is one
-    found = table.join(sizes, "key").select("key", F.when(F.col("n") <= most, F.col("fp")).alias("other")).distinct()
+    found = table.join(sizes.hint("shuffle_hash"), "key").select("key", F.when(F.col("n") <= most, F.col("fp")).alias("other")).distinct()
     probes = table.select("fp", F.explode(ball(F.col("key"), max_bits // 2)).alias("key")).where("key is not null")
     near = F.col("other").isNull() | ((F.col("fp") != F.col("other")) & (distance("fp", "other") <= max_bits))
-    met = materialize(probes.join(found, "key").where(near).select("fp", "other"))
+    met = materialize(probes.join(found.hint("shuffle_hash"), "key").where(near).select("fp", "other"))
     pairs = met.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b"))
     return pairs.unionByName(chains(met.where("other is null").select("fp").distinct(), max_bits)).distinct()
 
@@ -105,7 +106,7 @@ def chains(fps: DataFrame, max_bits: int) -> DataFrame:
     off = [F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(BITS)]
     table = fps.select(F.col("fp").alias("a"), F.explode(F.array("fp", *off)).alias("entry"))
     if max_bits < 2:
-        met = table.join(fps.select(F.col("fp").alias("b")), F.col("entry") == F.col("b"))
+        met = table.hint("merge").join(fps.select(F.col("fp").alias("b")), F.col("entry") == F.col("b"))
     else:
         met = table.select("a", F.lag("a").over(Window.partitionBy("entry").orderBy("a")).alias("b")).where("b is not null")
     return met.where((F.col("a") != F.col("b")) & (distance("a", "b") <= max_bits)).select("a", "b")

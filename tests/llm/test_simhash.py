@@ -95,6 +95,29 @@ def test_bits_beyond_reach_are_refused(spark):
             simhash.links(fps, bits)
 
 
+def test_nothing_exploded_is_broadcast(spark, monkeypatch):
+    """Of a small table of prints the planner sees only its size, not how many keys and probes are made of each."""
+    from millrace.llm import near_copies
+    from millrace.operators.tables import materialize
+
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return materialize(df)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    monkeypatch.setattr(near_copies, "materialize", noted)
+    monkeypatch.setattr(near_copies, "components", lambda edges: edges.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    fps = materialize(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    for bits in (1, 2):
+        plans.append(simhash.links(fps, bits, 0)._jdf.queryExecution().sparkPlan().toString())
+    wide = materialize(spark.range(500).select("id", *[F.xxhash64("id", F.lit(w)).alias(w) for w in near_copies.LONGS]))
+    near_copies.links(wide, 85)
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert len(exploded) >= 6 and not any("BroadcastHashJoin" in p for p in exploded)
+
+
 def test_balls_and_segments(spark):
     fp = 0x1234567890ABCDEF
     df = spark.createDataFrame([(fp,)], "fp long").select(F.explode(simhash.segments(F.col("fp"))).alias("key"))
