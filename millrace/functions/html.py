@@ -28,7 +28,8 @@ def title(html: Column) -> Column:
     raw = decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
     def longest(whole: Column) -> Column:
-        parts = F.filter(F.transform(F.split(whole, f"{SPACE}+[|·–—]{SPACE}+"), F.trim), lambda x: x != "")
+        # not F.trim itself: it takes two columns, and its second would be the place of the part
+        parts = F.filter(F.transform(F.split(whole, f"{SPACE}+[|·–—]{SPACE}+"), lambda x: F.trim(x)), lambda x: x != "")
         best = F.aggregate(parts, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
         return F.when(F.size(parts) < 2, whole).otherwise(best)
 

@@ -160,6 +160,11 @@ def test_titles(values):
     assert values(html.title, list(cases)) == list(cases.values())
 
 
+def test_parts_of_titles_keep_the_digits_of_their_place(values):
+    cases = {"<title>ab | 1st part of 11</title>": "1st part of 11", "<title>007 and 00 | b</title>": "007 and 00", "<title>ab – 1 – 2222</title>": "2222", "<title>abc | 1;x</title>": "abc"}
+    assert values(html.title, list(cases)) == list(cases.values())
+
+
 ROBOTS = """
 User-agent: other
 Disallow: /
