@@ -76,3 +76,16 @@ def test_issues_are_sorted_as_written(spark):
     """A sort reads its input twice, so that the rules are not worked out in it."""
     df = catalog_queries.QUERIES["validate_untyped"](spark, SF)
     assert "parse_json" not in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["curated_pages", "page_title"])
+def test_titles_with_digits_in_their_parts(spark, tmp_path, name):
+    """Parts of titles that begin or end with the number of their place, as the SQL gives them; of equal addresses the first page."""
+    titles = ["ab | 1x1", "1 | 11 | 222", "Zu, 20 | 10 und 1 | 2. die 2", "0a0 | b", "x | 1&amp;1", " | ".join("abcdefghij") + " | 10"]
+    rows = [(i, f"https://example.org/en/{i // 2}", f"<html><title>{t}</title><p>{t}</p></html>") for i, t in enumerate(titles * 2)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.sql(__spark_entry__.oracle_sql()[name])
+    got = catalog_queries.QUERIES[name](spark, str(tmp_path)).select(*found.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
